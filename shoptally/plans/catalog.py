@@ -35,3 +35,98 @@ def _(t):
 @query("movement_ledger")
 def _(t):
     return movement.movement_ledger(t)
+
+
+# ---------------------------------------------------------------- debts
+from ..operators import debts, reports  # noqa: E402
+
+
+@query("customer_current_debt")
+def _(t):
+    return debts.customer_current_debt(t)
+
+
+@query("customers_with_debt")
+def _(t):
+    return debts.customers_with_debt(t)
+
+
+@query("customer_debt_top_variant")
+def _(t):
+    return debts.customer_debt_top_variant(t)
+
+
+@query("customer_debt_total")
+def _(t):
+    return debts.customer_debt_total(t)
+
+
+@query("customer_debt_profit_variant")
+def _(t):
+    return debts.customer_debt_profit_variant(t)
+
+
+@query("supplier_debt")
+def _(t):
+    return debts.supplier_debt(t)
+
+
+@query("suppliers_with_debt")
+def _(t):
+    return debts.suppliers_with_debt(t)
+
+
+@query("supplier_debt_total")
+def _(t):
+    return debts.supplier_debt_total(t)
+
+
+# ---------------------------------------------------------------- reports
+@query("overview_report")
+def _(t):
+    return reports.overview_report(t, P.from_dt, P.to_dt)
+
+
+@query("cost_of_goods_sold")
+def _(t):
+    return reports.cost_of_goods_sold(t, P.from_dt, P.to_dt)
+
+
+@query("cashbook_profit_split")
+def _(t):
+    return reports.cashbook_profit_split(t, P.cb_from, P.cb_to)
+
+
+@query("supplier_statistics")
+def _(t):
+    return reports.supplier_statistics(t, P.from_dt, P.to_dt)
+
+
+@query("top_selling_products")
+def _(t):
+    return reports.top_selling_products(t, P.from_dt, P.to_dt)
+
+
+@query("customer_top")
+def _(t):
+    return reports.customer_top(t, P.top_n, P.from_dt, P.to_dt)
+
+
+@query("customer_profit")
+def _(t):
+    return reports.customer_profit(t, P.from_dt, P.to_dt, P.top_n)
+
+
+@query("order_cost")
+def _(t):
+    return reports.order_cost(t)
+
+
+@query("product_sales_statistics")
+def _(t):
+    return reports.product_sales_statistics(t)
+
+
+@query("products_with_sold")
+def _(t):
+    return reports.products_with_sold(t)

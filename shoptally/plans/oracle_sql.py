@@ -119,3 +119,314 @@ ORDER BY p.product_code, p.product_name"""
 @oracle("movement_ledger")
 def _():
     return f"WITH {_LEDGER.strip()}\nSELECT * FROM ledger"
+
+
+# ---------------------------------------------------------------- helpers
+import datetime as _dt  # noqa: E402
+
+CANCELLED = "('Cancelled','Canceled','Đã hủy','Hủy')"
+
+
+def day(v: str, plus_days: int = 0) -> str:
+    d = _dt.datetime.fromisoformat(v)
+    d = _dt.datetime(d.year, d.month, d.day) + _dt.timedelta(days=plus_days)
+    return ts(d.isoformat(sep=" "))
+
+
+def plus_day(v: str) -> str:
+    return ts((_dt.datetime.fromisoformat(v) + _dt.timedelta(days=1)).isoformat(sep=" "))
+
+
+# ---------------------------------------------------------------- debts
+_ORDER_DEBT_D1 = """coalesce((SELECT sum(coalesce(o.final_amount,0) - coalesce(o.paid_amount,0)) FROM sales_orders o
+     WHERE o.customer_id = c.customer_id AND coalesce(o.status,'') <> 'Cancelled'), 0)"""
+_PAID = """coalesce((SELECT sum(coalesce(p.amount,0)) FROM customer_payments p WHERE p.customer_id = {k}), 0)"""
+_ADJ = """coalesce((SELECT sum(coalesce(a.amount,0)) FROM customer_debt_adjustments a WHERE a.customer_id = c.customer_id), 0)"""
+
+
+@oracle("customer_current_debt")
+def _():
+    return f"""
+SELECT customer_id, CAST(CASE WHEN d > 0 THEN d ELSE 0 END AS DECIMAL(18,0)) AS current_debt
+FROM (SELECT c.customer_id, {_ORDER_DEBT_D1} - {_PAID.format(k='c.customer_id')} - {_ADJ} AS d FROM customers c) x"""
+
+
+@oracle("customers_with_debt")
+def _():
+    return f"""
+SELECT c.customer_id, coalesce(c.customer_code,'') AS customer_code, coalesce(c.name,'') AS customer_name,
+  coalesce(c.phone,'') AS phone, coalesce(c.address,'') AS address, coalesce(c.email,'') AS email,
+  CAST(x.d AS DECIMAL(38,0)) AS current_debt
+FROM customers c
+JOIN (SELECT c.customer_id, {_ORDER_DEBT_D1} - {_PAID.format(k='c.customer_id')} - {_ADJ} AS d FROM customers c) x
+  ON x.customer_id = c.customer_id
+WHERE x.d > 0
+ORDER BY current_debt DESC, c.name, c.customer_id"""
+
+
+_D3_ORDERS = """coalesce((SELECT sum(coalesce(o.final_amount,0) - coalesce(o.paid_amount,0)) FROM sales_orders o
+     WHERE o.customer_id = {k} AND coalesce(o.status,'') NOT IN ('Cancelled','Canceled','Đã hủy','Hủy')
+       AND coalesce(o.order_type,'') <> 'RETURN'), 0)"""
+_D5_ORDERS = """coalesce((SELECT sum(coalesce(o.final_amount,0) - coalesce(o.paid_amount,0)) FROM sales_orders o
+     WHERE o.customer_id = {k} AND coalesce(o.status,'') IN ('Completed','Partial')
+       AND coalesce(o.order_type,'') <> 'RETURN' AND coalesce(o.final_amount,0) > coalesce(o.paid_amount,0)), 0)"""
+
+
+@oracle("customer_debt_top_variant")
+def _():
+    k = "c.customer_id"
+    return f"""
+SELECT c.customer_id, CAST({_D3_ORDERS.format(k=k)} - {_PAID.format(k=k)} AS DECIMAL(38,0)) AS current_debt FROM customers c"""
+
+
+@oracle("customer_debt_total")
+def _():
+    return """
+SELECT CAST(coalesce(sum(coalesce(final_amount,0) - coalesce(paid_amount,0)), 0) AS DECIMAL(18,0)) AS total_debt_customer
+FROM sales_orders
+WHERE coalesce(status,'') IN ('Completed','Partial') AND coalesce(final_amount,0) > coalesce(paid_amount,0)
+  AND coalesce(order_type,'') <> 'RETURN'"""
+
+
+@oracle("customer_debt_profit_variant")
+def _():
+    k = "c.customer_id"
+    return f"""
+SELECT c.customer_id, CAST(CASE WHEN d > 0 THEN d ELSE 0 END AS DECIMAL(38,0)) AS current_debt
+FROM (SELECT c.customer_id, {_D5_ORDERS.format(k=k)} - {_PAID.format(k=k)} AS d FROM customers c) c"""
+
+
+_SUPPLIER_DEBT = """
+sdebt AS (
+  SELECT s.supplier_id,
+    coalesce((SELECT sum(CASE WHEN coalesce(i.final_amount,0) - coalesce(i.paid_amount,0) - coalesce(r.ret,0) > 0
+                              THEN coalesce(i.final_amount,0) - coalesce(i.paid_amount,0) - coalesce(r.ret,0) ELSE 0 END)
+              FROM imports i
+              LEFT JOIN (SELECT pr.import_id, sum(coalesce(pr.total_amount,0)) AS ret FROM purchase_returns pr
+                         WHERE coalesce(pr.status,'') NOT IN ('Cancelled','Canceled','Đã hủy','Hủy') GROUP BY pr.import_id) r
+                ON r.import_id = i.import_id
+              WHERE i.supplier_id = s.supplier_id AND coalesce(i.status,'') NOT IN ('Cancelled','Canceled','Đã hủy','Hủy')), 0)
+    - coalesce((SELECT sum(coalesce(sp.amount,0)) FROM supplier_payments sp WHERE sp.supplier_id = s.supplier_id), 0) AS d
+  FROM suppliers s
+),
+sd AS (SELECT supplier_id, CAST(CASE WHEN d > 0 THEN d ELSE 0 END AS DECIMAL(38,0)) AS current_debt FROM sdebt)"""
+
+
+@oracle("supplier_debt")
+def _():
+    return f"WITH {_SUPPLIER_DEBT.strip()}\nSELECT * FROM sd"
+
+
+@oracle("suppliers_with_debt")
+def _():
+    return f"""
+WITH {_SUPPLIER_DEBT.strip()}
+SELECT s.supplier_id, coalesce(s.supplier_name,'') AS supplier_name, coalesce(s.phone,'') AS phone,
+  coalesce(s.address,'') AS address, coalesce(s.email,'') AS email, coalesce(s.tax_code,'') AS tax_code,
+  coalesce(s.bank_name,'') AS bank_name, coalesce(s.bank_account,'') AS bank_account, coalesce(s.bank_owner,'') AS bank_owner,
+  coalesce(s.is_active, 1) AS is_active, sd.current_debt
+FROM suppliers s JOIN sd ON sd.supplier_id = s.supplier_id
+WHERE sd.current_debt > 0
+ORDER BY supplier_name, s.supplier_id"""
+
+
+@oracle("supplier_debt_total")
+def _():
+    return f"WITH {_SUPPLIER_DEBT.strip()}\nSELECT CAST(coalesce(sum(current_debt), 0) AS DECIMAL(18,0)) AS total_debt_supplier FROM sd"
+
+
+# ---------------------------------------------------------------- reports
+def _cogs_sql(a: str, b: str) -> str:
+    return f"""(SELECT CAST(coalesce(sum(CASE WHEN coalesce(o.order_type,'') = 'RETURN'
+        THEN -1 * coalesce(nullif(oi.cost_price,0), coalesce(p.import_price,0)) * abs(coalesce(oi.base_quantity, CAST(oi.quantity AS DECIMAL(18,3))))
+        ELSE coalesce(nullif(oi.cost_price,0), coalesce(p.import_price,0)) * abs(coalesce(oi.base_quantity, CAST(oi.quantity AS DECIMAL(18,3)))) END), 0) AS DECIMAL(18,0))
+   FROM order_items oi JOIN sales_orders o ON o.order_id = oi.order_id LEFT JOIN products p ON p.product_id = oi.product_id
+   WHERE o.order_date BETWEEN {a} AND {b} AND coalesce(o.status,'') IN ('Completed','Paid','Partial') AND oi.product_id IS NOT NULL)"""
+
+
+def _cash_sql(a: str, b_excl: str) -> str:
+    return f"""(SELECT
+      CAST(coalesce(sum(CASE WHEN e.entry_type = 'IN' THEN e.amount ELSE 0 END), 0) AS DECIMAL(18,0)) AS cashbook_total_income,
+      CAST(coalesce(sum(CASE WHEN e.entry_type = 'OUT' THEN e.amount ELSE 0 END), 0) AS DECIMAL(18,0)) AS cashbook_total_expense,
+      CAST(coalesce(sum(CASE WHEN e.entry_type = 'IN' AND coalesce(c.affects_profit, 1) = 1 THEN e.amount ELSE 0 END), 0) AS DECIMAL(18,0)) AS cashbook_income,
+      CAST(coalesce(sum(CASE WHEN e.entry_type = 'OUT' AND coalesce(c.affects_profit, 1) = 1 THEN e.amount ELSE 0 END), 0) AS DECIMAL(18,0)) AS cashbook_expense
+    FROM cashbook_entries e LEFT JOIN cashbook_categories c ON c.category_id = e.category_id
+    WHERE e.is_deleted = 0 AND e.entry_date >= {a} AND e.entry_date < {b_excl})"""
+
+
+@oracle("cost_of_goods_sold")
+def _():
+    v = _cogs_sql(ts(P.from_dt), ts(P.to_dt))
+    return f"SELECT CAST(CASE WHEN x < 0 THEN 0 ELSE x END AS DECIMAL(18,0)) AS cost_of_goods_sold FROM (SELECT {v} AS x) t"
+
+
+@oracle("cashbook_profit_split")
+def _():
+    return f"SELECT * FROM {_cash_sql(day(P.cb_from), day(P.cb_to, 1))} t"
+
+
+@oracle("overview_report")
+def _():
+    a, b = ts(P.from_dt), ts(P.to_dt)
+    return f"""
+WITH v AS (SELECT
+  (SELECT CAST(coalesce(sum(coalesce(final_amount,0)),0) AS DECIMAL(18,0)) FROM sales_orders WHERE order_date BETWEEN {a} AND {b}
+     AND coalesce(status,'') IN ('Completed','Paid','Partial') AND coalesce(order_type,'') <> 'RETURN') AS gross_sales,
+  (SELECT CAST(coalesce(sum(abs(coalesce(final_amount,0))),0) AS DECIMAL(18,0)) FROM sales_orders WHERE order_date BETWEEN {a} AND {b}
+     AND coalesce(status,'') IN ('Completed','Paid','Partial') AND coalesce(order_type,'') = 'RETURN') AS customer_return_amount,
+  (SELECT CAST(coalesce(sum(coalesce(final_amount,0)),0) AS DECIMAL(18,0)) FROM imports WHERE import_date BETWEEN {a} AND {b}
+     AND coalesce(status,'') NOT IN {CANCELLED}) AS total_purchase,
+  (SELECT CAST(coalesce(sum(coalesce(total_amount,0)),0) AS DECIMAL(18,0)) FROM purchase_returns WHERE return_date BETWEEN {a} AND {b}
+     AND coalesce(status,'') NOT IN {CANCELLED}) AS purchase_return_amount,
+  (SELECT CAST(count(*) AS INTEGER) FROM sales_orders WHERE order_date BETWEEN {a} AND {b}
+     AND coalesce(status,'') IN ('Completed','Paid','Partial') AND coalesce(order_type,'') <> 'RETURN') AS order_count,
+  {_cogs_sql(a, b)} AS cogs_raw,
+  (SELECT CAST(coalesce(sum(coalesce(final_amount,0) - coalesce(paid_amount,0)), 0) AS DECIMAL(18,0)) FROM sales_orders
+     WHERE coalesce(status,'') IN ('Completed','Partial') AND coalesce(final_amount,0) > coalesce(paid_amount,0)
+       AND coalesce(order_type,'') <> 'RETURN') AS total_debt_customer
+),
+{_SUPPLIER_DEBT.strip()},
+cash AS {_cash_sql(day(P.from_dt), day(P.to_dt, 1))},
+w AS (SELECT v.*, cash.*,
+  CAST(CASE WHEN gross_sales - customer_return_amount < 0 THEN 0 ELSE gross_sales - customer_return_amount END AS DECIMAL(18,0)) AS net_revenue,
+  CAST(CASE WHEN total_purchase - purchase_return_amount < 0 THEN 0 ELSE total_purchase - purchase_return_amount END AS DECIMAL(18,0)) AS net_purchase,
+  CAST(CASE WHEN cogs_raw < 0 THEN 0 ELSE cogs_raw END AS DECIMAL(18,0)) AS cost_of_goods_sold,
+  (SELECT CAST(coalesce(sum(current_debt),0) AS DECIMAL(18,0)) FROM sd) AS total_debt_supplier
+  FROM v, cash)
+SELECT net_revenue AS total_revenue, net_purchase AS total_cost, order_count,
+  CAST(net_revenue - cost_of_goods_sold AS DECIMAL(18,0)) AS gross_profit,
+  cashbook_total_income, cashbook_total_expense, cashbook_income, cashbook_expense,
+  CAST(net_revenue - cost_of_goods_sold + cashbook_income - cashbook_expense AS DECIMAL(18,0)) AS net_profit_after_cashbook,
+  total_debt_customer, total_debt_supplier, gross_sales, customer_return_amount, total_purchase, purchase_return_amount, cost_of_goods_sold
+FROM w"""
+
+
+@oracle("supplier_statistics")
+def _():
+    a, b = ts(P.from_dt), ts(P.to_dt)
+    return f"""
+WITH {_SUPPLIER_DEBT.strip()},
+rows AS (
+  SELECT s.supplier_id, coalesce(s.supplier_name, 'Không xác định') AS supplier_name, coalesce(s.phone, '') AS phone,
+    CAST(coalesce((SELECT sum(i.final_amount) FROM imports i WHERE i.supplier_id = s.supplier_id AND i.import_date BETWEEN {a} AND {b}
+       AND coalesce(i.status,'') NOT IN {CANCELLED}), 0) AS DECIMAL(38,0)) AS total_import_amount,
+    CAST(coalesce((SELECT sum(coalesce(pr.total_amount,0)) FROM purchase_returns pr WHERE pr.supplier_id = s.supplier_id
+       AND pr.return_date BETWEEN {a} AND {b} AND coalesce(pr.status,'') NOT IN {CANCELLED}), 0) AS DECIMAL(38,0)) AS total_return_amount,
+    CAST(coalesce(sd.current_debt, 0) AS DECIMAL(38,0)) AS current_debt
+  FROM suppliers s LEFT JOIN sd ON sd.supplier_id = s.supplier_id)
+SELECT * FROM rows WHERE total_import_amount > 0 OR current_debt > 0
+ORDER BY total_import_amount DESC, supplier_id LIMIT 50"""
+
+
+@oracle("top_selling_products")
+def _():
+    a, b = ts(P.from_dt), ts(P.to_dt)
+    return f"""
+SELECT p.product_code, p.product_name, CAST(sum(od.quantity) AS BIGINT) AS total_quantity,
+  CAST(sum(od.quantity * od.unit_price) AS DECIMAL(38,0)) AS total_revenue
+FROM order_items od JOIN sales_orders o ON od.order_id = o.order_id JOIN products p ON od.product_id = p.product_id
+WHERE o.order_date >= {a} AND o.order_date <= {b} AND o.status IN ('Completed','Paid')
+GROUP BY p.product_code, p.product_name
+ORDER BY total_quantity DESC, p.product_code, p.product_name LIMIT 50"""
+
+
+_ORDER_COGS = """(SELECT oi.order_id, sum(coalesce(nullif(oi.cost_price,0), coalesce(p.import_price,0))
+      * abs(CAST(coalesce(oi.base_quantity, CAST(oi.quantity AS DECIMAL(18,3))) AS DECIMAL(18,3)))) AS cogs
+   FROM order_items oi LEFT JOIN products p ON p.product_id = oi.product_id GROUP BY oi.order_id)"""
+
+_CO_MEASURES = """
+    CASE WHEN coalesce(o.order_type,'') = 'RETURN' THEN -1 * abs(coalesce(o.final_amount, o.total_amount, 0))
+         ELSE abs(coalesce(o.final_amount, o.total_amount, 0)) END AS rev,
+    CASE WHEN coalesce(o.order_type,'') = 'RETURN' THEN -1 * coalesce(cg.cogs, 0) ELSE coalesce(cg.cogs, 0) END AS cost,
+    CASE WHEN coalesce(o.order_type,'') = 'RETURN' THEN 0 ELSE 1 END AS cnt"""
+
+_AGG_MEASURES = """
+    CAST(sum(cnt) AS BIGINT) AS total_orders,
+    CAST(coalesce(sum(rev), 0) AS DECIMAL(38,0)) AS total_revenue,
+    CAST(coalesce(sum(cost), 0) AS DECIMAL(38,3)) AS total_cost,
+    CAST(coalesce(sum(rev - cost), 0) AS DECIMAL(38,3)) AS gross_profit,
+    CASE WHEN coalesce(sum(rev), 0) = 0 THEN 0.0
+         ELSE round(CAST(coalesce(sum(rev - cost), 0) AS DOUBLE) * 100.0 / CAST(sum(rev) AS DOUBLE), 4) END AS profit_margin,
+    min(order_date) AS first_order_date, max(order_date) AS last_order_date"""
+
+
+@oracle("customer_top")
+def _():
+    a, b = ts(P.from_dt), plus_day(P.to_dt)
+    k = "a.customer_id"
+    return f"""
+WITH co AS (
+  SELECT c.customer_id, c.name AS customer_name, c.phone, c.email, c.address, c.points, c.created_at, o.order_id, o.order_date,
+    {_CO_MEASURES.strip()}
+  FROM customers c JOIN sales_orders o ON c.customer_id = o.customer_id
+  LEFT JOIN {_ORDER_COGS} cg ON cg.order_id = o.order_id
+  WHERE o.order_date >= {a} AND o.order_date < {b} AND coalesce(o.status,'') NOT IN {CANCELLED}),
+agg AS (
+  SELECT customer_id, customer_name, phone, email, address, points, created_at, {_AGG_MEASURES.strip()}
+  FROM co GROUP BY customer_id, customer_name, phone, email, address, points, created_at
+  ORDER BY total_revenue DESC, customer_id LIMIT {P.top_n})
+SELECT a.*, CAST({_D3_ORDERS.format(k=k)} - {_PAID.format(k=k)} AS DECIMAL(38,0)) AS current_debt
+FROM agg a ORDER BY total_revenue DESC, customer_id"""
+
+
+@oracle("customer_profit")
+def _():
+    a, b = ts(P.from_dt), ts(P.to_dt)
+    k = "a.customer_id"
+    return f"""
+WITH co AS (
+  SELECT c.customer_id,
+    coalesce(nullif(trim(c.customer_code), ''), 'KH' || right('000000' || CAST(c.customer_id AS VARCHAR), 6)) AS customer_code,
+    coalesce(c.name, '') AS customer_name, coalesce(c.phone, '') AS phone, coalesce(c.address, '') AS address,
+    coalesce(c.points, 0) AS points, o.order_id, o.order_date,
+    {_CO_MEASURES.strip()}
+  FROM customers c JOIN sales_orders o ON c.customer_id = o.customer_id
+  LEFT JOIN {_ORDER_COGS} cg ON cg.order_id = o.order_id
+  WHERE o.order_date BETWEEN {a} AND {b} AND coalesce(o.status,'') IN ('Completed','Paid','Partial')),
+agg AS (
+  SELECT customer_id, customer_code, customer_name, phone, address, points, {_AGG_MEASURES.strip()}
+  FROM co GROUP BY customer_id, customer_code, customer_name, phone, address, points
+  ORDER BY total_revenue DESC, customer_id LIMIT {P.top_n}),
+d AS (SELECT a.customer_id, {_D5_ORDERS.format(k=k)} - {_PAID.format(k=k)} AS debt FROM agg a)
+SELECT a.customer_id, a.customer_code, a.customer_name, a.phone, a.address,
+  CAST(CASE WHEN coalesce(d.debt, 0) > 0 THEN coalesce(d.debt, 0) ELSE 0 END AS DECIMAL(38,0)) AS current_debt,
+  a.points, a.total_orders, a.total_revenue, a.total_cost, a.gross_profit, a.profit_margin, a.first_order_date, a.last_order_date
+FROM agg a LEFT JOIN d ON d.customer_id = a.customer_id
+ORDER BY a.total_revenue DESC, a.customer_name, a.customer_id"""
+
+
+@oracle("order_cost")
+def _():
+    return f"SELECT order_id, CAST(cogs AS DECIMAL(38,3)) AS cost_of_goods_sold FROM {_ORDER_COGS} x"
+
+
+_PRODUCT_COLS = """p.product_id, p.product_code, p.barcode, p.product_name, p.category_id,
+  coalesce(c.category_name, 'Chưa phân loại') AS category_name, p.unit_id, coalesce(u.unit_name, '') AS unit_name,
+  p.sell_price, p.stock, p.is_active, p.created_at, CAST(coalesce(p.import_price, 0) AS DECIMAL(18,0)) AS import_price,
+  coalesce(p.warranty_months, 0) AS warranty_months, coalesce(p.has_serial, 0) AS has_serial, p.image_path"""
+
+
+@oracle("product_sales_statistics")
+def _():
+    return f"""
+SELECT {_PRODUCT_COLS},
+  CAST(coalesce(sum(CASE WHEN ord.status != 'Cancelled' THEN o.quantity ELSE 0 END), 0) AS BIGINT) AS total_quantity_sold
+FROM products p
+LEFT JOIN categories c ON p.category_id = c.category_id
+LEFT JOIN units u ON p.unit_id = u.unit_id
+LEFT JOIN order_items o ON p.product_id = o.product_id
+LEFT JOIN sales_orders ord ON o.order_id = ord.order_id
+GROUP BY ALL
+ORDER BY total_quantity_sold DESC, p.product_id"""
+
+
+@oracle("products_with_sold")
+def _():
+    return f"""
+SELECT {_PRODUCT_COLS},
+  CAST(coalesce((SELECT sum(oi.quantity) FROM order_items oi JOIN sales_orders o ON oi.order_id = o.order_id
+                 WHERE oi.product_id = p.product_id AND o.status != 'Cancelled'), 0) AS BIGINT) AS total_quantity_sold
+FROM products p
+LEFT JOIN categories c ON p.category_id = c.category_id
+LEFT JOIN units u ON p.unit_id = u.unit_id
+ORDER BY p.product_name, p.product_id"""

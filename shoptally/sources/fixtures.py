@@ -32,7 +32,10 @@ select p_partkey product_id, concat('SP', right(concat('000000', cast(p_partkey
  p_name product_name, p_size % 8 category_id, p_size % 4 unit_id, cast(p_retailprice as decimal(18,2)) sell_price,
  case when p_partkey % 13 = 0 then null else cast(floor(p_retailprice) - 200 as decimal(18,0)) end import_price,
  cast((p_partkey * 37) % 500 as int) stock, case when p_partkey % 19 = 0 then 0 when p_partkey % 23 = 0 then null else 1 end is_active,
- case when p_partkey % 10 = 0 then null else concat('Ke ', cast(p_size % 5 as string)) end product_location from {part}""",
+ case when p_partkey % 10 = 0 then null else concat('Ke ', cast(p_size % 5 as string)) end product_location,
+ NTZ'2020-01-01 08:00:00' created_at, case when p_partkey % 4 = 0 then null else cast(p_partkey % 3 * 12 as int) end warranty_months,
+ case when p_partkey % 4 = 1 then 1 when p_partkey % 4 = 2 then null else 0 end has_serial,
+ case when p_partkey % 3 = 0 then null else concat('img/', cast(p_partkey as string), '.jpg') end image_path from {part}""",
     "categories": """
 select distinct p_size % 8 category_id, concat('Loai ', cast(p_size % 8 as string)) category_name from {part} where p_size % 8 < 6""",
     "units": """
@@ -43,7 +46,7 @@ select o_orderkey order_id, concat('HD', cast(o_orderkey as string)) order_code,
  case when o_orderkey % 29 = 0 then 'Cancelled' when o_orderkey % 31 = 0 then null when o_orderkey % 37 = 0 then 'Đã hủy' when o_orderstatus='F' then 'Paid' when o_orderstatus='O' then 'Completed' else 'Partial' end status,
  cast(floor(o_totalprice) as decimal(18,0)) final_amount,
  case when o_orderkey % 41 = 0 then null when o_orderstatus='F' then cast(floor(o_totalprice) as decimal(18,0)) when o_orderstatus='O' then cast(floor(o_totalprice/2) as decimal(18,0)) else cast(floor(o_totalprice/4) as decimal(18,0)) end paid_amount,
- cast(o_orderkey % 12 as int) employee_id from {orders}""",
+ cast(o_orderkey % 12 as int) employee_id, cast(ceil(o_totalprice) as decimal(18,0)) total_amount from {orders}""",
     "order_items": """
 select l_orderkey order_id, l_partkey product_id, cast(l_quantity as int) * (case when l_orderkey % 11 = 0 then -1 else 1 end) quantity,
  cast(floor(l_extendedprice / l_quantity) as decimal(18,0)) unit_price,
@@ -51,7 +54,9 @@ select l_orderkey order_id, l_partkey product_id, cast(l_quantity as int) * (cas
  case when l_linenumber = 3 then null when l_linenumber = 4 then cast(l_quantity * 12 as decimal(18,3)) else cast(l_quantity as decimal(18,3)) end * cast(case when l_orderkey % 11 = 0 then -1 else 1 end as decimal(1,0)) base_quantity from {lineitem}""",
     "customers": """
 select c_custkey customer_id, case when c_custkey % 9 = 0 then null when c_custkey % 9 = 1 then '  ' when c_custkey % 50 = 2 then 'KH000002' else concat('KH', right(concat('000000', cast(c_custkey as string)),6)) end customer_code,
- c_name name, case when c_custkey % 4 = 0 then null else concat('09', cast(c_custkey as string)) end phone, cast(c_custkey % 100 as int) points from {customer}""",
+ c_name name, case when c_custkey % 4 = 0 then null else concat('09', cast(c_custkey as string)) end phone, cast(c_custkey % 100 as int) points,
+ case when c_custkey % 3 = 0 then null else concat('Phuong ', cast(c_nationkey as string)) end address,
+ case when c_custkey % 5 = 0 then null else concat('kh', cast(c_custkey as string), '@mail.vn') end email, NTZ'2021-06-01 09:00:00' created_at from {customer}""",
     "customer_payments": """
 select event_id payment_id, user_id customer_id, ts - interval '9131' day payment_date, cast(floor(value) * 100 + 1 as decimal(18,0)) amount,
  case when event_id % 4 = 0 then null when event_id % 4 = 1 then ' ' when event_id % 4 = 2 then 'Tiền mặt' else 'Chuyển khoản' end payment_method, event_id % 12 employee_id from {events} where event_type='click'""",
@@ -120,6 +125,8 @@ select o_orderkey order_id, o_custkey customer_id, cast(floor(o_totalprice) as d
 }
 
 _REF = re.compile(r"\{(\w+)\}")
+# naive timestamp literal: NTZ'...' (Spark TIMESTAMP_NTZ, DuckDB TIMESTAMP)
+_NTZ = re.compile(r"NTZ'")
 
 
 def fixture_deps(name: str) -> list[str]:
@@ -145,7 +152,12 @@ def fixture_closure(names) -> list[str]:
 
 def render_plain(name: str) -> str:
     """Template with bare table names (for the DuckDB oracle CTEs)."""
-    return _REF.sub(lambda m: m.group(1), FIXTURE_SQL[name]).strip()
+    return _NTZ.sub("TIMESTAMP '", _REF.sub(lambda m: m.group(1), FIXTURE_SQL[name])).strip()
+
+
+def render_spark(name: str) -> str:
+    """Template for ``spark.sql(text, **frames)``."""
+    return _NTZ.sub("TIMESTAMP_NTZ '", FIXTURE_SQL[name])
 
 
 class ShopTables:
@@ -173,7 +185,7 @@ class ShopTables:
         if name not in FIXTURE_SQL:
             raise KeyError(f"unknown shop table {name!r}")
         refs = {d: (self.get(d) if d in FIXTURE_SQL else self.driver(d)) for d in fixture_deps(name)}
-        df = self.spark.sql(FIXTURE_SQL[name], **refs)
+        df = self.spark.sql(render_spark(name), **refs)
         self._frames[name] = df
         return df
 
