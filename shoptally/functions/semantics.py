@@ -109,25 +109,41 @@ def default_if_blank(c, default: str) -> Column:
     return F.coalesce(blank_to_null(c), F.lit(default))
 
 
-def keyword_match(keyword: str, *columns) -> Column:
-    """``(@kw = '' OR c1 LIKE '%'+@kw+'%' OR ...)``, case-insensitive.
+def like_any(keyword, *columns) -> Column:
+    """``c1 LIKE '%'+kw+'%' OR ...`` (case-insensitive, NULL column = no match).
 
-    The keyword is trimmed first; ``%`` and ``_`` stay wildcards, as in the
-    unescaped concatenation of the source. The predicate is built in Python
-    so an empty keyword adds no filter at all.
+    ``%`` and ``_`` in the keyword stay wildcards, as in the unescaped
+    concatenation of the source; ``\\`` is a plain character. A NULL keyword
+    matches nothing.
     """
-    kw = (keyword or "").strip()
-    if kw == "":
-        return F.lit(True)
-    pattern = F.lit(f"%{kw}%")
+    if keyword is None:
+        return F.lit(False)
+    pattern = F.lit(f"%{keyword}%")
     cond = None
     for c in columns:
-        # ilike with an escape char that cannot appear keeps '\' literal
         term = F.coalesce(F.ilike(col(c), pattern, F.lit("\u0001")), F.lit(False))
         cond = term if cond is None else (cond | term)
     return cond
 
 
+def keyword_match(keyword, *columns, trim: bool = True, null_is_empty: bool = True) -> Column:
+    """``(@kw = '' OR c1 LIKE '%'+@kw+'%' OR ...)``.
+
+    ``trim``: the keyword is trimmed first (most procedures do). When
+    ``null_is_empty`` is false a NULL keyword matches nothing (the procedures
+    that compare ``@Keyword = ''`` without ISNULL). The predicate is built in
+    Python, so an empty keyword adds no filter at all and pushdown stays intact.
+    """
+    if keyword is None:
+        if not null_is_empty:
+            return F.lit(False)
+        keyword = ""
+    kw = keyword.strip() if trim else keyword
+    if kw == "":
+        return F.lit(True)
+    return like_any(kw, *columns)
+
+
 def ts(value) -> Column:
     """A timestamp literal (naive, like the source's DATETIME)."""
     if value is None:

@@ -130,3 +130,36 @@ def _(t):
 @query("products_with_sold")
 def _(t):
     return reports.products_with_sold(t)
+
+
+# ---------------------------------------------------------------- listings
+from ..operators import listings as L  # noqa: E402
+
+_LISTINGS = {
+    "products_available": lambda t: L.products_available(t),
+    "product_by_id": lambda t: L.product_by_id(t),
+    "products_search": lambda t: L.products_search(t, P.kw_products),
+    "products_search_in_stock": lambda t: L.products_search_in_stock(t, P.kw_in_stock, P.cat_in_stock),
+    "products_search_for_import": lambda t: L.products_search_for_import(t, P.kw_for_import, P.cat_for_import),
+    "imports_list": lambda t: L.imports_list(t, P.from_dt, P.to_dt, P.kw_imports, P.status_imports),
+    "import_by_id": lambda t: L.import_by_id(t),
+    "imports_by_supplier": lambda t: L.imports_by_supplier(t),
+    "suppliers_all": lambda t: L.suppliers_all(t),
+    "suppliers_search": lambda t: L.suppliers_search(t, P.kw_suppliers),
+    "supplier_by_id": lambda t: L.supplier_by_id(t),
+    "customer_payment_history": lambda t: L.customer_payment_history(t, P.cb_from, P.cb_to),
+    "supplier_payment_history": lambda t: L.supplier_payment_history(t, P.cb_from, P.cb_to),
+    "supplier_payment_list": lambda t: L.supplier_payment_list(t),
+    "purchase_return_history": lambda t: L.purchase_return_history(t, P.from_dt, P.to_dt, P.kw_returns),
+    "purchase_return_details": lambda t: L.purchase_return_details(t),
+    "imports_returnable": lambda t: L.imports_returnable(t, P.from_dt, P.to_dt, P.kw_returnable),
+    "import_lines_returnable": lambda t: L.import_lines_returnable(t),
+    "cashbook_categories": lambda t: L.cashbook_categories(t, P.cb_type),
+    "cashbook_search": lambda t: L.cashbook_search(t, P.cb_from, P.cb_to, None, P.kw_cashbook),
+    "cashbook_summary": lambda t: L.cashbook_summary(t),
+    "serials_available": lambda t: L.serials_available(t),
+    "product_serial_trace": lambda t: L.product_serial_trace(t),
+    "serial_trace": lambda t: L.serial_trace(t),
+}
+for _k, _f in _LISTINGS.items():
+    query(_k)(_f)

@@ -430,3 +430,299 @@ FROM products p
 LEFT JOIN categories c ON p.category_id = c.category_id
 LEFT JOIN units u ON p.unit_id = u.unit_id
 ORDER BY p.product_name, p.product_id"""
+
+
+# ---------------------------------------------------------------- listings
+def ilike(cols, kw):
+    return "(" + " OR ".join(f"coalesce({c} ILIKE '%{kw}%', false)" for c in cols) + ")"
+
+
+@oracle("products_available")
+def _():
+    return """
+SELECT product_id, product_code, barcode, product_name, category_id, stock, sell_price, created_at,
+  '' AS unit, 0 AS cost_price, image_path, coalesce(warranty_months, 0) AS warranty_months, coalesce(has_serial, 0) AS has_serial
+FROM products WHERE is_active = 1 ORDER BY product_name, product_id"""
+
+
+_P_DETAIL = """p.product_id, p.product_code, p.barcode, p.product_name, p.category_id, {cat} AS category_name,
+  p.unit_id, coalesce(u.unit_name, '') AS unit_name, p.sell_price, p.stock, p.is_active, p.created_at"""
+
+
+@oracle("product_by_id")
+def _():
+    return f"""
+SELECT {_P_DETAIL.format(cat="coalesce(c.category_name, 'Chưa phân loại')")},
+  CAST(coalesce(p.import_price, 0) AS DECIMAL(18,0)) AS import_price, coalesce(p.warranty_months, 0) AS warranty_months,
+  coalesce(p.has_serial, 0) AS has_serial, p.image_path
+FROM products p LEFT JOIN categories c ON p.category_id = c.category_id LEFT JOIN units u ON p.unit_id = u.unit_id"""
+
+
+def _pkw(kw):
+    return "" if kw == "" else " AND " + ilike(["p.product_name", "p.product_code", "coalesce(p.barcode, '')"], kw)
+
+
+@oracle("products_search")
+def _():
+    return f"""
+SELECT {_P_DETAIL.format(cat="c.category_name")}, p.import_price, coalesce(p.warranty_months, 0) AS warranty_months,
+  coalesce(p.has_serial, 0) AS has_serial, p.image_path
+FROM products p LEFT JOIN categories c ON p.category_id = c.category_id LEFT JOIN units u ON p.unit_id = u.unit_id
+WHERE p.is_active = 1 {_pkw(P.kw_products)} ORDER BY p.product_name, p.product_id"""
+
+
+def _search_cat(kw, cat, in_stock):
+    stock = " AND p.stock > 0" if in_stock else ""
+    return f"""
+SELECT p.product_id, p.product_code, p.barcode, p.product_name, p.category_id, p.sell_price, p.stock, p.is_active,
+  p.created_at, p.import_price, p.unit_id, p.warranty_months, p.has_serial, p.image_path, c.category_name
+FROM products p LEFT JOIN categories c ON p.category_id = c.category_id
+WHERE p.is_active = 1{stock} AND ({cat} = 0 OR p.category_id = {cat}) {_pkw(kw)}
+ORDER BY p.product_name, p.product_id"""
+
+
+@oracle("products_search_in_stock")
+def _():
+    return _search_cat(P.kw_in_stock, P.cat_in_stock, True)
+
+
+@oracle("products_search_for_import")
+def _():
+    return _search_cat(P.kw_for_import, P.cat_for_import, False)
+
+
+_IMPORT_FROM = """FROM imports i LEFT JOIN suppliers s ON i.supplier_id = s.supplier_id LEFT JOIN employees e ON i.employee_id = e.employee_id"""
+
+
+@oracle("imports_list")
+def _():
+    kw = "" if P.kw_imports in ("", None) else " AND " + ilike(["i.import_code", "s.supplier_name", "e.name", "i.note"], P.kw_imports)
+    st = "" if P.status_imports in (None, "", "All") else f" AND i.status = '{P.status_imports}'"
+    return f"""
+SELECT i.import_id, i.import_code, i.supplier_id, i.employee_id, s.supplier_name, i.import_date, e.name AS employee_name,
+  i.total_amount, i.discount, i.vat_amount, i.final_amount, i.paid_amount, coalesce(i.payment_method, 'Tiền mặt') AS payment_method,
+  i.status, i.note
+{_IMPORT_FROM}
+WHERE i.import_date BETWEEN {ts(P.from_dt)} AND {ts(P.to_dt)}{kw}{st}
+ORDER BY i.import_date DESC, i.import_id DESC"""
+
+
+@oracle("import_by_id")
+def _():
+    return f"""
+SELECT i.import_id, i.import_code, i.supplier_id, i.employee_id, i.import_date, i.total_amount, i.vat_amount, i.discount,
+  i.final_amount, i.paid_amount, coalesce(i.payment_method, 'Tiền mặt') AS payment_method, i.note, i.status,
+  s.supplier_name, s.phone AS supplier_phone, s.address AS supplier_address, e.name AS employee_name
+{_IMPORT_FROM}"""
+
+
+@oracle("imports_by_supplier")
+def _():
+    return f"""
+SELECT i.import_id, i.import_code, i.supplier_id, i.employee_id, i.import_date, i.total_amount, i.vat_amount, i.discount,
+  i.final_amount, i.paid_amount, coalesce(i.payment_method, 'Tiền mặt') AS payment_method,
+  CAST(coalesce((SELECT sum(pr.total_amount) FROM purchase_returns pr WHERE pr.import_id = i.import_id
+     AND coalesce(pr.status,'') NOT IN {CANCELLED}), 0) AS DECIMAL(38,0)) AS returned_amount,
+  i.note, i.status, s.supplier_name, e.name AS employee_name
+{_IMPORT_FROM}
+ORDER BY i.import_date DESC, i.import_id"""
+
+
+_SUP_COLS = """supplier_id, supplier_name, phone, address, email, tax_code, coalesce(bank_code, '') AS bank_code,
+  bank_name, bank_account, bank_owner, is_active"""
+
+
+@oracle("suppliers_all")
+def _():
+    return f"SELECT {_SUP_COLS} FROM suppliers ORDER BY supplier_name, supplier_id"
+
+
+@oracle("suppliers_search")
+def _():
+    cond = ilike(["supplier_name", "phone", "bank_code", "bank_name", "bank_account", "bank_owner"], P.kw_suppliers)
+    return f"SELECT {_SUP_COLS} FROM suppliers WHERE is_active = 1 AND {cond} ORDER BY supplier_name, supplier_id"
+
+
+@oracle("supplier_by_id")
+def _():
+    return f"SELECT {_SUP_COLS} FROM suppliers"
+
+
+@oracle("customer_payment_history")
+def _():
+    return f"""
+SELECT p.payment_id, p.customer_id, c.name AS customer_name, p.payment_date, p.amount, p.employee_id, e.name AS employee_name,
+  coalesce(p.payment_method, 'Tiền mặt') AS payment_method, p.note
+FROM customer_payments p JOIN customers c ON p.customer_id = c.customer_id LEFT JOIN employees e ON p.employee_id = e.employee_id
+WHERE p.payment_date >= {ts(P.cb_from)} AND p.payment_date <= {ts(P.cb_to)}
+ORDER BY p.payment_date DESC, p.payment_id"""
+
+
+_SP = """
+SELECT p.payment_id, p.supplier_id, s.supplier_name, p.payment_date, p.amount, coalesce(p.payment_method, 'Tiền mặt') AS payment_method,
+  p.note, p.employee_id, e.name AS employee_name
+FROM supplier_payments p LEFT JOIN suppliers s ON p.supplier_id = s.supplier_id LEFT JOIN employees e ON p.employee_id = e.employee_id"""
+
+
+@oracle("supplier_payment_history")
+def _():
+    return f"{_SP}\nWHERE p.payment_date BETWEEN {ts(P.cb_from)} AND {ts(P.cb_to)} ORDER BY p.payment_date DESC, p.payment_id"
+
+
+@oracle("supplier_payment_list")
+def _():
+    return f"{_SP}\nORDER BY p.payment_date DESC, p.payment_id"
+
+
+@oracle("purchase_return_history")
+def _():
+    kw = P.kw_returns.strip()
+    cond = "" if kw == "" else " AND " + ilike(["pr.return_code", "coalesce(i.import_code, '')", "coalesce(s.supplier_name, '')", "coalesce(pr.note, '')"], kw)
+    return f"""
+SELECT pr.return_id, pr.return_code, pr.import_id, coalesce(i.import_code, '') AS import_code, pr.supplier_id,
+  coalesce(s.supplier_name, '') AS supplier_name, pr.employee_id, coalesce(e.name, coalesce(u.username, '')) AS employee_name,
+  pr.return_date, coalesce(pr.total_amount, 0) AS total_amount, coalesce(pr.note, '') AS note, coalesce(pr.status, '') AS status,
+  coalesce(pr.settlement_type, 'DEBT_OFFSET') AS settlement_type, coalesce(pr.refund_method, '') AS refund_method,
+  CASE WHEN coalesce(pr.settlement_type, 'DEBT_OFFSET') = 'REFUND' THEN 'Nhận lại tiền - ' || coalesce(nullif(pr.refund_method, ''), 'Tiền mặt')
+       ELSE 'Cấn trừ công nợ' END AS settlement_text,
+  CASE WHEN coalesce(pr.status, '') IN {CANCELLED} THEN 'Đã hủy' ELSE 'Hoàn tất' END AS status_text
+FROM purchase_returns pr
+LEFT JOIN imports i ON i.import_id = pr.import_id
+LEFT JOIN suppliers s ON s.supplier_id = pr.supplier_id
+LEFT JOIN employees e ON e.employee_id = pr.employee_id
+LEFT JOIN users u ON u.employee_id = pr.employee_id
+WHERE pr.return_date BETWEEN {ts(P.from_dt)} AND {ts(P.to_dt)}{cond}
+ORDER BY pr.return_date DESC, pr.return_id DESC"""
+
+
+_VARIANT_NAME = """COALESCE(nullif(pv.variant_name, ''),
+      nullif(concat(nullif(pv.color_value, ''),
+        CASE WHEN nullif(pv.color_value, '') IS NOT NULL AND nullif(pv.size_value, '') IS NOT NULL THEN ' / ' ELSE '' END,
+        nullif(pv.size_value, '')), ''), pv.sku_code)"""
+
+
+@oracle("purchase_return_details")
+def _():
+    return f"""
+SELECT prd.return_detail_id, prd.return_id, prd.import_detail_id, prd.product_id, prd.variant_id,
+  coalesce(CASE WHEN pv.variant_id IS NULL THEN p.product_code ELSE pv.sku_code END, '') AS product_code,
+  coalesce(CASE WHEN pv.variant_id IS NULL THEN p.barcode ELSE nullif(pv.barcode, '') END, '') AS barcode,
+  CASE WHEN pv.variant_id IS NULL THEN coalesce(p.product_name, '')
+       ELSE coalesce(p.product_name, '') || ' • ' || {_VARIANT_NAME} END AS product_name,
+  coalesce(prd.quantity, 0) AS quantity, coalesce(prd.import_price, 0) AS import_price,
+  CAST(coalesce(prd.total, coalesce(prd.import_price, 0) * coalesce(prd.quantity, 0)) AS DECIMAL(18,0)) AS total,
+  coalesce(prd.reason, '') AS reason
+FROM purchase_return_details prd
+LEFT JOIN products p ON p.product_id = prd.product_id
+LEFT JOIN product_variants pv ON pv.variant_id = prd.variant_id
+ORDER BY prd.return_detail_id"""
+
+
+_RETURNED_QTY = """coalesce((SELECT sum(prd.quantity) FROM purchase_return_details prd JOIN purchase_returns pr ON pr.return_id = prd.return_id
+        WHERE prd.import_detail_id = id.import_detail_id AND coalesce(pr.status, '') NOT IN {c}), 0)""".replace("{c}", CANCELLED)
+
+
+@oracle("imports_returnable")
+def _():
+    kw = P.kw_returnable.strip()
+    cond = "" if kw == "" else " AND " + ilike(["i.import_code", "coalesce(s.supplier_name, '')"], kw)
+    ret = f"(SELECT sum(pr.total_amount) FROM purchase_returns pr WHERE pr.import_id = i.import_id AND coalesce(pr.status, '') NOT IN {CANCELLED})"
+    return f"""
+SELECT i.import_id, i.import_code, i.supplier_id, coalesce(s.supplier_name, '') AS supplier_name, i.import_date, i.final_amount, i.status,
+  CASE WHEN i.status = 'Paid' THEN 'Tất toán' WHEN i.status = 'Completed' THEN 'Còn nợ' ELSE i.status END AS status_text,
+  CAST(coalesce({ret}, 0) AS DECIMAL(38,0)) AS returned_amount,
+  CAST(coalesce(i.final_amount, 0) - coalesce({ret}, 0) AS DECIMAL(38,0)) AS available_amount
+FROM imports i LEFT JOIN suppliers s ON s.supplier_id = i.supplier_id
+WHERE i.import_date BETWEEN {ts(P.from_dt)} AND {ts(P.to_dt)} AND coalesce(i.status, '') IN ('Completed', 'Paid'){cond}
+  AND EXISTS (SELECT 1 FROM import_details id WHERE id.import_id = i.import_id AND coalesce(id.quantity, 0) > {_RETURNED_QTY})
+ORDER BY i.import_date DESC, i.import_id DESC"""
+
+
+@oracle("import_lines_returnable")
+def _():
+    return f"""
+SELECT * FROM (
+SELECT id.import_detail_id, id.import_id, id.product_id, id.variant_id,
+  CASE WHEN pv.variant_id IS NULL THEN p.product_code ELSE pv.sku_code END AS product_code,
+  coalesce(CASE WHEN pv.variant_id IS NULL THEN p.barcode ELSE nullif(pv.barcode, '') END, '') AS barcode,
+  CASE WHEN pv.variant_id IS NULL THEN p.product_name ELSE p.product_name || ' • ' || {_VARIANT_NAME} END AS product_name,
+  coalesce(id.quantity, 0) AS imported_qty,
+  CAST({_RETURNED_QTY} AS BIGINT) AS returned_qty,
+  CAST(coalesce(id.quantity, 0) - {_RETURNED_QTY} AS BIGINT) AS max_return_qty,
+  0 AS return_qty, coalesce(id.import_price, 0) AS import_price, CAST(0 AS DECIMAL(18,0)) AS return_amount, '' AS reason
+FROM import_details id
+JOIN products p ON p.product_id = id.product_id
+LEFT JOIN product_variants pv ON pv.variant_id = id.variant_id) x
+WHERE imported_qty > returned_qty
+ORDER BY import_detail_id"""
+
+
+@oracle("cashbook_categories")
+def _():
+    ty = (P.cb_type or "").strip().upper()
+    cond = "" if ty == "" else f" AND category_type = '{ty}'"
+    return f"""
+SELECT category_id, category_type, category_name, is_system, is_active, sort_order FROM cashbook_categories
+WHERE is_active = 1{cond} ORDER BY category_type, sort_order, category_name"""
+
+
+@oracle("cashbook_search")
+def _():
+    kw = P.kw_cashbook.strip()
+    cond = "" if kw == "" else " AND " + ilike(
+        ["entry_code", "category_name", "payment_method", "reference_code", "description", "created_by"], kw)
+    return f"""
+SELECT entry_id, entry_code, entry_date, entry_type, category_id, category_name, amount, payment_method, description,
+  reference_code, created_by, created_at, updated_at
+FROM cashbook_entries
+WHERE is_deleted = 0 AND entry_date >= {ts(P.cb_from)} AND entry_date < {plus_day(P.cb_to)}{cond}
+ORDER BY entry_date DESC, entry_id DESC"""
+
+
+@oracle("cashbook_summary")
+def _():
+    return """
+SELECT CAST(coalesce(sum(CASE WHEN entry_type = 'IN' THEN amount ELSE 0 END), 0) AS DECIMAL(38,0)) AS total_in,
+  CAST(coalesce(sum(CASE WHEN entry_type = 'OUT' THEN amount ELSE 0 END), 0) AS DECIMAL(38,0)) AS total_out,
+  CAST(coalesce(sum(CASE WHEN entry_type = 'IN' THEN amount ELSE -amount END), 0) AS DECIMAL(38,0)) AS balance,
+  CAST(count(1) AS INTEGER) AS entry_count
+FROM cashbook_entries WHERE is_deleted = 0"""
+
+
+@oracle("serials_available")
+def _():
+    return """
+SELECT serial_id, product_id, import_id, serial_number, status, sell_price_override, note, created_at
+FROM product_serials WHERE status = 0 AND serial_number IS NOT NULL ORDER BY serial_id DESC"""
+
+
+@oracle("product_serial_trace")
+def _():
+    return """
+SELECT ps.serial_id, ps.import_id, ps.order_id, ps.product_id, coalesce(ps.serial_number, 'Chưa cập nhật') AS serial_number,
+  i.import_code, strftime(i.import_date, '%d/%m/%Y') AS import_date_text, coalesce(sup.supplier_name, 'Không xác định') AS supplier_name,
+  ps.sell_price_override, coalesce(ps.product_color, '') AS product_color, coalesce(ps.note, '') AS note,
+  CASE WHEN ps.status = 0 THEN '🟢 Trong kho' ELSE '🔴 Đã bán' END AS status_text,
+  coalesce(o.order_code, '') AS order_code,
+  CASE WHEN o.order_date IS NOT NULL THEN strftime(o.order_date, '%d/%m/%Y') ELSE '' END AS order_date_text
+FROM product_serials ps JOIN imports i ON ps.import_id = i.import_id
+LEFT JOIN suppliers sup ON i.supplier_id = sup.supplier_id
+LEFT JOIN sales_orders o ON ps.order_id = o.order_id
+ORDER BY ps.serial_id DESC"""
+
+
+@oracle("serial_trace")
+def _():
+    return """
+SELECT serial_id, product_id, serial_number, import_id, order_id, status, created_at, sell_price_override, product_color, note,
+  product_name, supplier_name, import_date, import_code, customer_name, order_date, order_code
+FROM (
+  SELECT ps.*, p.product_name, s.supplier_name, i.import_date, i.import_code, c.name AS customer_name, o.order_date, o.order_code,
+    row_number() OVER (PARTITION BY ps.serial_number ORDER BY ps.serial_id) AS rn
+  FROM product_serials ps JOIN products p ON ps.product_id = p.product_id
+  LEFT JOIN imports i ON ps.import_id = i.import_id
+  LEFT JOIN suppliers s ON i.supplier_id = s.supplier_id
+  LEFT JOIN sales_orders o ON ps.order_id = o.order_id
+  LEFT JOIN customers c ON o.customer_id = c.customer_id
+  WHERE ps.serial_number IS NOT NULL) x
+WHERE rn = 1"""

@@ -23,3 +23,14 @@ P = SimpleNamespace(
     # "as of" instant replacing GETDATE()
     as_of=_dt.datetime(2026, 8, 20, 9, 30, 0),
 )
+
+# listing parameters
+P.kw_products = "red"
+P.kw_in_stock, P.cat_in_stock = "blue", 3
+P.kw_for_import, P.cat_for_import = "gear", 0
+P.kw_imports, P.status_imports = "chu 3", "All"
+P.kw_suppliers = "bank"
+P.kw_returns = "tra hang 1"
+P.kw_returnable = ""
+P.cb_type = " out "
+P.kw_cashbook = "sq1"

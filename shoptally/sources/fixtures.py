@@ -59,7 +59,8 @@ select c_custkey customer_id, case when c_custkey % 9 = 0 then null when c_custk
  case when c_custkey % 5 = 0 then null else concat('kh', cast(c_custkey as string), '@mail.vn') end email, NTZ'2021-06-01 09:00:00' created_at from {customer}""",
     "customer_payments": """
 select event_id payment_id, user_id customer_id, ts - interval '9131' day payment_date, cast(floor(value) * 100 + 1 as decimal(18,0)) amount,
- case when event_id % 4 = 0 then null when event_id % 4 = 1 then ' ' when event_id % 4 = 2 then 'Tiền mặt' else 'Chuyển khoản' end payment_method, event_id % 12 employee_id from {events} where event_type='click'""",
+ case when event_id % 4 = 0 then null when event_id % 4 = 1 then ' ' when event_id % 4 = 2 then 'Tiền mặt' else 'Chuyển khoản' end payment_method, event_id % 12 employee_id,
+ case when event_id % 6 = 0 then null else concat('Thu no ', cast(event_id % 30 as string)) end note from {events} where event_type='click'""",
     "customer_debt_adjustments": """
 select event_id adjustment_id, user_id customer_id, ts - interval '9131' day adjustment_date, cast(floor(value) * 10 + 1 as decimal(18,0)) amount from {events} where event_type='view' and event_id % 5 = 0""",
     "customer_debt_discount_allocations": """
@@ -67,6 +68,8 @@ select a.adjustment_id, o.o_orderkey order_id, cast(floor(a.amount/3) + 1 as dec
  union all select a.adjustment_id, a.adjustment_id order_id, cast(1 as decimal(18,0)) amount from {customer_debt_adjustments} a where a.adjustment_id % 50 = 0""",
     "employees": """
 select distinct user_id employee_id, concat('NV', cast(user_id as string)) name from {events} where user_id < 10""",
+    "users": """
+select distinct user_id + 100 user_id, concat('user', cast(user_id as string)) username, user_id employee_id from {events} where user_id < 12""",
     "suppliers": """
 select s_suppkey supplier_id, s_name supplier_name, case when s_suppkey % 5 = 0 then null else concat('028', cast(s_suppkey as string)) end phone,
  concat('So ', cast(s_nationkey as string), ' Duong ', cast(s_suppkey % 7 as string)) address,
@@ -83,28 +86,35 @@ select l_orderkey*1000 + row_number() over (partition by l_orderkey order by l_l
 select l_orderkey import_id, concat('PN', cast(l_orderkey as string)) import_code, min(l_suppkey) supplier_id, min(l_shipdate) import_date,
  cast(sum(floor(l_extendedprice)) as decimal(18,0)) final_amount, case when l_orderkey % 4 = 0 then cast(sum(floor(l_extendedprice)) as decimal(18,0)) else cast(floor(sum(floor(l_extendedprice))/3) as decimal(18,0)) end paid_amount,
  case when l_orderkey % 29 = 0 then 'Cancelled' when l_orderkey % 4 = 0 then 'Paid' else 'Completed' end status, cast(l_orderkey % 12 as int) employee_id, case when l_orderkey % 2 = 0 then null else 'Chuyển khoản' end payment_method,
- case when l_orderkey % 5 = 0 then null else concat('Ghi chu ', cast(l_orderkey % 9 as string)) end note from {lineitem} where l_orderkey % 3 = 0 group by l_orderkey""",
+ case when l_orderkey % 5 = 0 then null else concat('Ghi chu ', cast(l_orderkey % 9 as string)) end note,
+ cast(sum(floor(l_extendedprice)) + case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) total_amount, cast(0 as decimal(18,0)) vat_amount,
+ cast(case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) discount from {lineitem} where l_orderkey % 3 = 0 group by l_orderkey""",
     "purchase_return_details": """
 select import_detail_id return_detail_id, import_id return_id, import_detail_id, product_id, variant_id, cast(case when import_detail_id % 2 = 0 then quantity else 1 end as int) quantity, import_price,
- cast(import_price * (case when import_detail_id % 2 = 0 then quantity else 1 end) as decimal(18,0)) total from {import_details} where rf='R'""",
+ cast(import_price * (case when import_detail_id % 2 = 0 then quantity else 1 end) as decimal(18,0)) total,
+ case when import_detail_id % 3 = 0 then 'Hang loi' else null end reason from {import_details} where rf='R'""",
     "purchase_returns": """
 select d.return_id, concat('TH', cast(d.return_id as string)) return_code, d.return_id import_id, i.supplier_id, i.employee_id, i.import_date + interval '10' day return_date, cast(sum(d.total) as decimal(18,0)) total_amount,
  case when d.return_id % 15 = 0 then 'Canceled' else 'Completed' end status, case when d.return_id % 2 = 0 then 'REFUND' when d.return_id % 9 = 0 then 'CREDIT' else 'DEBT_OFFSET' end settlement_type,
  case when d.return_id % 2 = 0 then 'Tiền mặt' when d.return_id % 9 = 0 then 'Chuyển khoản' else null end refund_method,
  case when d.return_id % 4 = 0 then null else concat('Tra hang ', cast(d.return_id % 5 as string)) end note from {purchase_return_details} d join {imports} i on i.import_id = d.return_id group by d.return_id, i.supplier_id, i.employee_id, i.import_date""",
     "supplier_payments": """
-select event_id payment_id, user_id supplier_id, ts - interval '9131' day payment_date, cast(floor(value) * 100 + 1 as decimal(18,0)) amount, case when event_id % 3 = 0 then null else 'Chuyển khoản' end payment_method, event_id % 12 employee_id from {events} where event_type='purchase'""",
+select event_id payment_id, user_id supplier_id, ts - interval '9131' day payment_date, cast(floor(value) * 100 + 1 as decimal(18,0)) amount, case when event_id % 3 = 0 then null else 'Chuyển khoản' end payment_method, event_id % 12 employee_id,
+ case when event_id % 5 = 0 then null else concat('Tra no ', cast(event_id % 30 as string)) end note from {events} where event_type='purchase'""",
     "stocktake": """
 select user_id product_id, ts - interval '9131' day check_date, cast(cast(floor(value) as int) % 11 - 5 as decimal(18,3)) difference from {events} where event_type='error'""",
     "cashbook_categories": """
+select category_id, category_type, category_name, affects_profit, is_active, sort_order, case when category_id in (6, 7, 8) then 1 else 0 end is_system from (
 select 1 category_id, 'IN' category_type, 'Thu khác' category_name, 1 affects_profit, 1 is_active, 10 sort_order union all select 2,'IN','Góp vốn',0,1,20 union all select 3,'IN','Thu nợ khách hàng',0,1,30 union all select 4,'OUT','Chi khác',1,1,10 union all select 5,'OUT','Tiền điện',1,1,30
- union all select 6,'OUT','Chi trả nhà cung cấp',0,1,90 union all select 7,'OUT','Tạm ứng lương nhân viên',1,1,95 union all select 8,'OUT','Chi lương nhân viên',1,1,96 union all select 9,'IN','Thu cũ',1,0,99""",
+ union all select 6,'OUT','Chi trả nhà cung cấp',0,1,90 union all select 7,'OUT','Tạm ứng lương nhân viên',1,1,95 union all select 8,'OUT','Chi lương nhân viên',1,1,96 union all select 9,'IN','Thu cũ',1,0,99) c""",
     "cashbook_entries": """
 select event_id entry_id, ts - interval '9131' day entry_date, case when event_type in ('click','purchase') then 'IN' else 'OUT' end entry_type, case when event_id % 12 < 10 then cast(event_id % 12 as int) else null end category_id,
  cast(floor(value) + 1 as decimal(18,0)) amount, case when event_id % 17 = 0 then 1 else 0 end is_deleted, case when event_type='signup' and event_id % 2 = 0 then concat('PAYROLL:', cast(event_id as string)) else null end reference_code, concat('Note ', event_type) description,
  case when event_id % 10 = 0 then null when event_id % 10 = 1 then ' ' else concat('SQ', cast(event_id as string)) end entry_code,
  case when event_id % 3 = 0 then 'Tiền mặt' when event_id % 3 = 1 then 'Chuyển khoản' else null end payment_method,
- case when event_id % 5 = 0 then null else concat('Doi tac ', cast(user_id % 20 as string)) end partner_name, cast(event_id % 12 as int) created_by from {events} where event_type <> 'error'""",
+ case when event_id % 5 = 0 then null else concat('Doi tac ', cast(user_id % 20 as string)) end partner_name, concat('NV', cast(event_id % 12 as string)) created_by,
+ case when event_id % 12 < 10 then concat('Danh muc ', cast(event_id % 12 as string)) else null end category_name,
+ ts - interval '9131' day created_at, case when event_id % 4 = 0 then ts - interval '9131' day + interval '1' hour else null end updated_at from {events} where event_type <> 'error'""",
     "employee_payrolls": """
 select user_id payroll_id, case when user_id % 5 = 0 then '  ' else concat('NV', cast(user_id as string)) end employee_name, cast(user_id % 12 as int) employee_id from (select distinct user_id from {events} where event_type='signup') u""",
     "employee_payroll_payments": """
@@ -113,11 +123,12 @@ select event_id payment_id, user_id payroll_id, case when event_id % 3 = 0 then
  case when event_id % 6 = 0 then null else concat('Ky luong ', cast(user_id % 12 + 1 as string)) end note from {events} where event_type='signup'""",
     "product_variants": """
 select p_partkey*10 + v variant_id, p_partkey product_id, concat('SKU', cast(p_partkey*10+v as string)) sku_code, case when p_partkey % 6 = 0 then 'Bien the' when p_partkey % 6 = 3 then '' else null end variant_name,
- case when p_partkey % 2 = 0 then 'Do' else '' end color_value, case when p_partkey % 5 = 0 then null else 'XL' end size_value, cast((p_partkey * 7) % 60 - 5 as decimal(18,3)) stock_base_qty from {part} cross join (select 0 v union all select 1) x where p_partkey % 3 = 0""",
+ case when p_partkey % 2 = 0 then 'Do' else '' end color_value, case when p_partkey % 5 = 0 then null else 'XL' end size_value, cast((p_partkey * 7) % 60 - 5 as decimal(18,3)) stock_base_qty,
+ case when p_partkey % 4 = 0 then concat('VB', cast(p_partkey*10+v as string)) when p_partkey % 4 = 1 then '' else null end barcode from {part} cross join (select 0 v union all select 1) x where p_partkey % 3 = 0""",
     "product_serials": """
 select import_detail_id serial_id, product_id, import_id, case when import_detail_id % 6 = 0 then null when import_detail_id % 97 = 1 then ' ' else concat('SN', cast(import_detail_id as string)) end serial_number, case when import_detail_id % 4 = 1 then 1 else 0 end status,
  case when import_detail_id % 4 = 1 then import_id else null end order_id, case when import_detail_id % 5 = 0 then import_price else null end sell_price_override,
- case when import_detail_id % 8 = 3 then 'Den' else null end color, case when import_detail_id % 9 = 0 then 'Tray xuoc' else null end note, line_date created_at from {import_details}""",
+ case when import_detail_id % 8 = 3 then 'Den' else null end product_color, case when import_detail_id % 9 = 0 then 'Tray xuoc' else null end note, line_date created_at from {import_details}""",
     "duplicate_sale_candidates": """
 select o_orderkey order_id, o_custkey customer_id, cast(floor(o_totalprice) as decimal(18,0)) final_amount, o_orderdate order_date, o_orderkey source_id from {orders}
  union all select o_orderkey + 100000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '20' second, o_orderkey from {orders} where o_orderkey % 100 = 0
