@@ -163,3 +163,39 @@ _LISTINGS = {
 }
 for _k, _f in _LISTINGS.items():
     query(_k)(_f)
+
+
+# ---------------------------------------------------------------- quality
+from ..operators import quality as Q  # noqa: E402
+
+_QUALITY = {
+    "payroll_cashbook_missing": lambda t: Q.payroll_cashbook_missing(t),
+    "payroll_cashbook_void": lambda t: Q.payroll_cashbook_void(t, P.as_of),
+    "cashbook_code_backfill": lambda t: Q.cashbook_code_backfill(t, P.as_of),
+    "allocation_wrong_customer": lambda t: Q.allocation_wrong_customer(t),
+    "allocation_over_amount": lambda t: Q.allocation_over_amount(t),
+    "barcode_normalise": lambda t: Q.barcode_normalise(t),
+    "barcode_duplicates": lambda t: Q.barcode_duplicates(t),
+    "barcode_duplicate_products": lambda t: Q.barcode_duplicate_products(t),
+    "duplicate_document_codes": lambda t: Q.duplicate_document_codes(t),
+    "customer_code_backfill": lambda t: Q.customer_code_backfill(t),
+    "customer_code_dedupe": lambda t: Q.customer_code_dedupe(t),
+    "return_code_dedupe": lambda t: Q.return_code_dedupe(t),
+    "bank_code_standardise": lambda t: Q.bank_code_standardise(t),
+    "quantity_backfill": lambda t: Q.quantity_backfill(t),
+    "import_quantity_backfill": lambda t: Q.import_quantity_backfill(t),
+    "cost_price_backfill": lambda t: Q.cost_price_backfill(t),
+    "variant_return_backfill": lambda t: Q.variant_return_backfill(t),
+    "variant_return_stock_delta": lambda t: Q.variant_return_stock_delta(t),
+    "duplicate_sale_detect": lambda t: Q.duplicate_sale_detect_shop(t),
+    "duplicate_sale_reverse": lambda t: Q.duplicate_sale_reverse(t),
+    "unreferenced_duplicate_customer": lambda t: Q.unreferenced_duplicate_customer(t),
+    "rekey_invalid_id": lambda t: Q.rekey_supplier_zero(t),
+    "empty_stocktakes": lambda t: Q.empty_stocktakes(t),
+    "blank_to_null_serial": lambda t: Q.blank_to_null_serial(t),
+    "settlement_normalise": lambda t: Q.settlement_normalise(t),
+    "payment_method_backfill": lambda t: Q.payment_method_backfill(t),
+    "constraint_violations": lambda t: Q.constraint_violations(t),
+}
+for _k, _f in _QUALITY.items():
+    query(_k)(_f)

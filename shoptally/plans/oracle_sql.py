@@ -726,3 +726,302 @@ FROM (
   LEFT JOIN customers c ON o.customer_id = c.customer_id
   WHERE ps.serial_number IS NOT NULL) x
 WHERE rn = 1"""
+
+
+# ---------------------------------------------------------------- quality
+def _blank(c):
+    return f"nullif(trim(coalesce({c}, '')), '') IS NULL"
+
+
+@oracle("payroll_cashbook_missing")
+def _():
+    return f"""
+WITH cat AS (SELECT
+   (SELECT min(category_id) FROM cashbook_categories WHERE category_type = 'OUT' AND category_name = 'Tạm ứng lương nhân viên') AS adv,
+   (SELECT min(category_id) FROM cashbook_categories WHERE category_type = 'OUT' AND category_name = 'Chi lương nhân viên') AS sett)
+SELECT pp.payment_id, pp.payment_date AS entry_date, 'OUT' AS entry_type,
+  CAST(CASE WHEN pp.payment_type = 'ADVANCE' THEN cat.adv ELSE cat.sett END AS INTEGER) AS category_id,
+  CASE WHEN pp.payment_type = 'ADVANCE' THEN 'Tạm ứng lương nhân viên' ELSE 'Chi lương nhân viên' END AS category_name,
+  pp.amount, coalesce(nullif(trim(pp.payment_method), ''), 'Tiền mặt') AS payment_method,
+  CASE WHEN pp.payment_type = 'ADVANCE' THEN 'Tạm ứng lương: ' ELSE 'Thanh toán lương: ' END
+    || coalesce(nullif(trim(p.employee_name), ''), 'nhân viên') AS description,
+  'PAYROLL:' || CAST(pp.payment_id AS VARCHAR) AS reference_code,
+  nullif(trim(pp.created_by), '') AS created_by
+FROM employee_payroll_payments pp JOIN employee_payrolls p ON p.payroll_id = pp.payroll_id, cat
+WHERE pp.is_void = 0 AND pp.amount > 0 AND pp.payment_type IN ('ADVANCE', 'SETTLEMENT')
+  AND NOT EXISTS (SELECT 1 FROM cashbook_entries ce WHERE ce.is_deleted = 0 AND ce.reference_code = 'PAYROLL:' || CAST(pp.payment_id AS VARCHAR))"""
+
+
+@oracle("payroll_cashbook_void")
+def _():
+    return f"""
+SELECT ce.entry_id, ce.reference_code, pp.payment_id, 1 AS is_deleted, {ts(P.as_of.isoformat(sep=' '))} AS updated_at
+FROM cashbook_entries ce JOIN employee_payroll_payments pp ON ce.reference_code = 'PAYROLL:' || CAST(pp.payment_id AS VARCHAR)
+WHERE ce.is_deleted = 0 AND pp.is_void = 1"""
+
+
+@oracle("cashbook_code_backfill")
+def _():
+    return f"""
+SELECT entry_id, entry_date, 'SQ' || strftime(entry_date, '%y%m%d') || right('000000' || CAST(entry_id AS VARCHAR), 6) AS entry_code,
+  {ts(P.as_of.isoformat(sep=' '))} AS updated_at
+FROM cashbook_entries WHERE is_deleted = 0 AND reference_code ILIKE 'PAYROLL:%' AND {_blank('entry_code')}"""
+
+
+@oracle("allocation_wrong_customer")
+def _():
+    return """
+SELECT da.adjustment_id, da.order_id, da.amount, a.customer_id AS adjustment_customer_id, o.customer_id AS order_customer_id
+FROM customer_debt_discount_allocations da JOIN customer_debt_adjustments a ON a.adjustment_id = da.adjustment_id
+JOIN sales_orders o ON o.order_id = da.order_id WHERE a.customer_id <> o.customer_id"""
+
+
+@oracle("allocation_over_amount")
+def _():
+    return """
+SELECT adjustment_id, adjustment_amount, CAST(allocated AS DECIMAL(38,0)) AS allocated_amount FROM (
+  SELECT a.adjustment_id, a.amount AS adjustment_amount, sum(coalesce(da.amount, 0)) AS allocated
+  FROM customer_debt_adjustments a LEFT JOIN customer_debt_discount_allocations da ON da.adjustment_id = a.adjustment_id
+  GROUP BY a.adjustment_id, a.amount) q
+WHERE allocated > adjustment_amount"""
+
+
+@oracle("barcode_normalise")
+def _():
+    return "SELECT product_id, nullif(trim(barcode), '') AS barcode FROM products WHERE barcode IS NOT NULL"
+
+
+@oracle("blank_to_null_serial")
+def _():
+    return "SELECT serial_id, nullif(trim(serial_number), '') AS serial_number FROM product_serials WHERE serial_number IS NOT NULL"
+
+
+_BARCODE_DUPS = """SELECT barcode, count(*) AS product_count FROM products WHERE barcode IS NOT NULL AND trim(barcode) <> ''
+  GROUP BY barcode HAVING count(*) > 1"""
+
+
+@oracle("barcode_duplicates")
+def _():
+    return _BARCODE_DUPS + " ORDER BY barcode"
+
+
+@oracle("barcode_duplicate_products")
+def _():
+    return f"""
+SELECT p.product_id, p.product_code, p.barcode, p.product_name FROM products p JOIN ({_BARCODE_DUPS}) d ON d.barcode = p.barcode
+ORDER BY p.barcode, p.product_id"""
+
+
+@oracle("duplicate_document_codes")
+def _():
+    return """
+SELECT 'order' AS document_type, order_code AS code, count(*) AS duplicate_count FROM sales_orders WHERE order_code IS NOT NULL
+  GROUP BY order_code HAVING count(*) > 1
+UNION ALL
+SELECT 'import', import_code, count(*) FROM imports WHERE import_code IS NOT NULL GROUP BY import_code HAVING count(*) > 1"""
+
+
+@oracle("customer_code_backfill")
+def _():
+    return f"""
+SELECT customer_id, 'KH' || right('000000' || CAST(customer_id AS VARCHAR), 6) AS customer_code FROM customers WHERE {_blank('customer_code')}"""
+
+
+@oracle("customer_code_dedupe")
+def _():
+    return f"""
+SELECT customer_id, old_customer_code, 'KH' || right('000000' || CAST(customer_id AS VARCHAR), 6) || '-' || CAST(row_no AS VARCHAR) AS customer_code, row_no
+FROM (SELECT customer_id, customer_code AS old_customer_code,
+        row_number() OVER (PARTITION BY trim(customer_code) ORDER BY customer_id) AS row_no
+      FROM customers WHERE NOT ({_blank('customer_code')})) d
+WHERE row_no > 1"""
+
+
+@oracle("return_code_dedupe")
+def _():
+    return """
+SELECT return_id, return_code AS old_return_code,
+  left(return_code, 30 - length(CAST(return_id AS VARCHAR)) - 1) || '-' || CAST(return_id AS VARCHAR) AS return_code
+FROM (SELECT return_id, return_code, row_number() OVER (PARTITION BY return_code ORDER BY return_id) AS rn FROM purchase_returns) d
+WHERE rn > 1"""
+
+
+@oracle("bank_code_standardise")
+def _():
+    from ..operators.quality import BANK_CODES
+
+    whens = "\n".join(
+        f"    WHEN upper(trim(coalesce(bank_name, ''))) IN ({', '.join(repr(n) for n in names)}) THEN '{code}'"
+        for code, names in BANK_CODES.items()
+    )
+    return f"""
+SELECT supplier_id, bank_name, bank_code AS old_bank_code,
+  CASE
+{whens}
+    ELSE bank_code END AS bank_code
+FROM suppliers WHERE {_blank('bank_code')}"""
+
+
+@oracle("quantity_backfill")
+def _():
+    return """
+SELECT order_id, product_id, quantity, gift_quantity,
+  coalesce(input_quantity, CAST(quantity AS DECIMAL(18,3))) AS input_quantity,
+  CAST(coalesce(base_quantity, CAST(CASE WHEN coalesce(quantity, 0) < 0 THEN coalesce(quantity, 0) - coalesce(gift_quantity, 0)
+                                    ELSE coalesce(quantity, 0) + coalesce(gift_quantity, 0) END AS DECIMAL(18,3))) AS DECIMAL(18,3)) AS base_quantity,
+  coalesce(unit_conversion_to_base, CAST(1 AS DECIMAL(18,6))) AS unit_conversion_to_base
+FROM order_items WHERE input_quantity IS NULL OR base_quantity IS NULL OR unit_conversion_to_base IS NULL"""
+
+
+@oracle("import_quantity_backfill")
+def _():
+    return """
+SELECT import_detail_id, quantity,
+  coalesce(input_quantity, CAST(quantity AS DECIMAL(18,3))) AS input_quantity,
+  coalesce(base_quantity, CAST(quantity AS DECIMAL(18,3))) AS base_quantity,
+  coalesce(unit_conversion_to_base, CAST(1 AS DECIMAL(18,6))) AS unit_conversion_to_base
+FROM import_details WHERE input_quantity IS NULL OR base_quantity IS NULL OR unit_conversion_to_base IS NULL"""
+
+
+@oracle("cost_price_backfill")
+def _():
+    return """
+SELECT oi.order_id, oi.product_id, oi.quantity, oi.cost_price AS old_cost_price, CAST(coalesce(p.import_price, 0) AS DECIMAL(18,0)) AS cost_price
+FROM order_items oi JOIN products p ON p.product_id = oi.product_id
+WHERE coalesce(oi.cost_price, 0) = 0 AND coalesce(p.import_price, 0) > 0"""
+
+
+_VARIANT_FIX = """SELECT prd.return_detail_id, prd.import_detail_id, id.variant_id FROM purchase_return_details prd
+  JOIN import_details id ON id.import_detail_id = prd.import_detail_id WHERE prd.variant_id IS NULL AND id.variant_id IS NOT NULL"""
+
+
+@oracle("variant_return_backfill")
+def _():
+    return _VARIANT_FIX
+
+
+@oracle("variant_return_stock_delta")
+def _():
+    return f"""
+WITH fixed AS ({_VARIANT_FIX}),
+lines AS (SELECT prd.return_id, prd.quantity, coalesce(prd.variant_id, f.variant_id) AS variant_id
+          FROM purchase_return_details prd LEFT JOIN fixed f ON f.return_detail_id = prd.return_detail_id),
+r AS (SELECT l.variant_id, sum(CAST(l.quantity AS DECIMAL(18,3))) AS q FROM lines l JOIN purchase_returns pr ON pr.return_id = l.return_id
+      WHERE l.variant_id IS NOT NULL AND coalesce(pr.status, '') NOT IN {CANCELLED} GROUP BY l.variant_id)
+SELECT pv.variant_id, CAST(r.q AS DECIMAL(38,3)) AS return_qty, CAST(coalesce(pv.stock_base_qty, 0) - r.q AS DECIMAL(38,3)) AS stock_base_qty
+FROM product_variants pv JOIN r ON r.variant_id = pv.variant_id"""
+
+
+_DUP_SALES = """
+lines AS (SELECT d.order_id, oi.product_id, 0 AS v, oi.quantity, coalesce(oi.gift_quantity, 0) AS g, oi.unit_price, '' AS s
+          FROM duplicate_sale_candidates d JOIN order_items oi ON oi.order_id = d.source_id),
+lg AS (SELECT order_id, product_id, v, quantity, g, unit_price, s, count(*) AS n FROM lines GROUP BY ALL),
+lc AS (SELECT order_id, count(*) AS k FROM lg GROUP BY order_id),
+base AS (
+  SELECT z.order_id, z.order_date, c.order_id AS cand, c.order_date AS cand_date
+  FROM duplicate_sale_candidates z JOIN duplicate_sale_candidates c
+    ON c.order_id <> z.order_id AND coalesce(c.customer_id, -1) = coalesce(z.customer_id, -1)
+   AND coalesce(c.final_amount, 0) = coalesce(z.final_amount, 0) AND coalesce(c.order_type, '') = coalesce(z.order_type, '')
+   AND abs(date_diff('second', date_trunc('second', z.order_date), date_trunc('second', c.order_date))) <= 30
+  WHERE z.order_type = 'SALE' AND NOT EXISTS (SELECT 1 FROM product_serials ps WHERE ps.order_id = z.order_id)),
+m AS (SELECT b.order_id, b.cand, count(*) AS matched FROM base b
+      JOIN lg a ON a.order_id = b.order_id
+      JOIN lg x ON x.order_id = b.cand AND x.product_id IS NOT DISTINCT FROM a.product_id AND x.v = a.v
+        AND x.quantity IS NOT DISTINCT FROM a.quantity AND x.g = a.g AND x.unit_price IS NOT DISTINCT FROM a.unit_price
+        AND x.s = a.s AND x.n = a.n
+      GROUP BY b.order_id, b.cand),
+ok AS (SELECT b.* FROM base b LEFT JOIN m ON m.order_id = b.order_id AND m.cand = b.cand
+       LEFT JOIN lc kz ON kz.order_id = b.order_id LEFT JOIN lc kc ON kc.order_id = b.cand
+       WHERE coalesce(m.matched, 0) = coalesce(kz.k, 0) AND coalesce(kz.k, 0) = coalesce(kc.k, 0)),
+hits AS (SELECT order_id, order_date, cand AS duplicate_of, cand_date AS duplicate_of_date FROM (
+   SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY cand_date, cand) AS rn FROM ok) r WHERE rn = 1)"""
+
+
+@oracle("duplicate_sale_detect")
+def _():
+    return f"WITH {_DUP_SALES.strip()}\nSELECT * FROM hits"
+
+
+@oracle("duplicate_sale_reverse")
+def _():
+    return f"""
+WITH {_DUP_SALES.strip()},
+later AS (SELECT order_id FROM hits WHERE duplicate_of_date < order_date OR (duplicate_of_date = order_date AND duplicate_of < order_id))
+SELECT l.product_id, CAST(sum(CASE WHEN coalesce(l.quantity, 0) < 0 THEN coalesce(l.quantity, 0) - l.g ELSE coalesce(l.quantity, 0) + l.g END) AS BIGINT) AS quantity_to_restore
+FROM lines l JOIN later ON later.order_id = l.order_id GROUP BY l.product_id"""
+
+
+@oracle("unreferenced_duplicate_customer")
+def _():
+    return """
+SELECT c.customer_id, c.name, c.phone FROM customers c
+WHERE EXISTS (SELECT 1 FROM customers t WHERE t.customer_id <> c.customer_id
+                AND trim(coalesce(t.name, '')) = trim(coalesce(c.name, '')) AND trim(coalesce(t.phone, '')) = trim(coalesce(c.phone, '')))
+  AND NOT EXISTS (SELECT 1 FROM sales_orders o WHERE o.customer_id = c.customer_id)
+  AND NOT EXISTS (SELECT 1 FROM customer_payments p WHERE p.customer_id = c.customer_id)
+  AND NOT EXISTS (SELECT 1 FROM customer_debt_adjustments a WHERE a.customer_id = c.customer_id)"""
+
+
+@oracle("rekey_invalid_id")
+def _():
+    nid = "(SELECT CAST(coalesce(max(CASE WHEN supplier_id > 0 THEN supplier_id END), 0) + 1 AS BIGINT) FROM suppliers)"
+    return f"""
+SELECT 'suppliers' AS table_name, CAST(supplier_id AS VARCHAR) AS row_key, CAST(supplier_id AS BIGINT) AS old_id, {nid} AS new_id FROM suppliers WHERE supplier_id = 0
+UNION ALL SELECT 'imports', CAST(import_id AS VARCHAR), CAST(supplier_id AS BIGINT), {nid} FROM imports WHERE supplier_id = 0
+UNION ALL SELECT 'purchase_returns', CAST(return_id AS VARCHAR), CAST(supplier_id AS BIGINT), {nid} FROM purchase_returns WHERE supplier_id = 0
+UNION ALL SELECT 'supplier_payments', CAST(payment_id AS VARCHAR), CAST(supplier_id AS BIGINT), {nid} FROM supplier_payments WHERE supplier_id = 0"""
+
+
+@oracle("empty_stocktakes")
+def _():
+    return """
+SELECT ic.check_id, ic.check_date FROM inventory_checks ic
+WHERE ic.check_id = 0 AND NOT EXISTS (SELECT 1 FROM inventory_check_details d WHERE d.check_id = ic.check_id)"""
+
+
+@oracle("settlement_normalise")
+def _():
+    return """
+SELECT return_id, st AS settlement_type, CASE WHEN st = 'DEBT_OFFSET' THEN NULL ELSE refund_method END AS refund_method
+FROM (SELECT return_id, refund_method,
+        CASE WHEN settlement_type IS NULL OR settlement_type NOT IN ('DEBT_OFFSET', 'REFUND') THEN 'DEBT_OFFSET' ELSE settlement_type END AS st
+      FROM purchase_returns) x"""
+
+
+@oracle("payment_method_backfill")
+def _():
+    return f"""
+SELECT 'customer_payments' AS table_name, CAST(payment_id AS BIGINT) AS row_id, 'Tiền mặt' AS payment_method FROM customer_payments WHERE {_blank('payment_method')}
+UNION ALL SELECT 'imports', CAST(import_id AS BIGINT), 'Tiền mặt' FROM imports WHERE {_blank('payment_method')}
+UNION ALL SELECT 'supplier_payments', CAST(payment_id AS BIGINT), 'Tiền mặt' FROM supplier_payments WHERE {_blank('payment_method')}"""
+
+
+@oracle("constraint_violations")
+def _():
+    def bad(rule, table, cond, key):
+        return f"SELECT '{rule}' AS rule, '{table}' AS table_name, CAST({key} AS VARCHAR) AS row_key FROM {table} WHERE {cond}"
+
+    def dup(rule, table, cols, cond="TRUE"):
+        k = " || '|' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+        return (f"SELECT '{rule}', '{table}', {k} FROM {table} WHERE {cond} GROUP BY {', '.join(cols)} HAVING count(*) > 1")
+
+    parts = [
+        bad("amount_positive", "cashbook_entries", "NOT coalesce(amount > 0, false)", "entry_id"),
+        bad("amount_positive", "customer_debt_adjustments", "NOT coalesce(amount > 0, false)", "adjustment_id"),
+        bad("amount_positive", "customer_debt_discount_allocations", "NOT coalesce(amount > 0, false)",
+            "CAST(adjustment_id AS VARCHAR) || '|' || CAST(order_id AS VARCHAR)"),
+        bad("entry_type_in_out", "cashbook_entries", "NOT coalesce(entry_type IN ('IN', 'OUT'), false)", "entry_id"),
+        bad("category_type_in_out", "cashbook_categories", "NOT coalesce(category_type IN ('IN', 'OUT'), false)", "category_id"),
+        bad("payment_type_advance_settlement", "employee_payroll_payments",
+            "NOT coalesce(payment_type IN ('ADVANCE', 'SETTLEMENT'), false)", "payment_id"),
+        bad("settlement_type_valid", "purchase_returns", "NOT coalesce(settlement_type IN ('DEBT_OFFSET', 'REFUND'), false)", "return_id"),
+        bad("order_code_not_null", "sales_orders", "order_code IS NULL", "order_id"),
+        bad("import_code_not_null", "imports", "import_code IS NULL", "import_id"),
+        dup("order_code_unique", "sales_orders", ["order_code"], "order_code IS NOT NULL"),
+        dup("import_code_unique", "imports", ["import_code"], "import_code IS NOT NULL"),
+        dup("allocation_unique", "customer_debt_discount_allocations", ["adjustment_id", "order_id"]),
+        dup("sku_unique", "product_variants", ["sku_code"]),
+        dup("serial_unique", "product_serials", ["serial_number"], "serial_number IS NOT NULL"),
+        dup("barcode_unique", "products", ["barcode"], "barcode IS NOT NULL AND trim(barcode) <> ''"),
+    ]
+    return "\nUNION ALL\n".join(parts)

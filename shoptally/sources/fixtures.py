@@ -41,7 +41,7 @@ select distinct p_size % 8 category_id, concat('Loai ', cast(p_size % 8 as strin
     "units": """
 select distinct p_size % 4 unit_id, concat('DVT ', cast(p_size % 4 as string)) unit_name from {part} where p_size % 4 < 3""",
     "sales_orders": """
-select o_orderkey order_id, concat('HD', cast(o_orderkey as string)) order_code, o_custkey customer_id, o_orderdate order_date,
+select o_orderkey order_id, case when o_orderkey % 997 = 0 then 'HD997' else concat('HD', cast(o_orderkey as string)) end order_code, o_custkey customer_id, o_orderdate order_date,
  case when o_orderkey % 11 = 0 then 'RETURN' when o_orderkey % 13 = 0 then null else 'SALE' end order_type,
  case when o_orderkey % 29 = 0 then 'Cancelled' when o_orderkey % 31 = 0 then null when o_orderkey % 37 = 0 then 'Đã hủy' when o_orderstatus='F' then 'Paid' when o_orderstatus='O' then 'Completed' else 'Partial' end status,
  cast(floor(o_totalprice) as decimal(18,0)) final_amount,
@@ -51,12 +51,17 @@ select o_orderkey order_id, concat('HD', cast(o_orderkey as string)) order_code,
 select l_orderkey order_id, l_partkey product_id, cast(l_quantity as int) * (case when l_orderkey % 11 = 0 then -1 else 1 end) quantity,
  cast(floor(l_extendedprice / l_quantity) as decimal(18,0)) unit_price,
  case when l_linenumber = 1 then null when l_linenumber = 2 then cast(0 as decimal(18,0)) else cast(floor(l_extendedprice / l_quantity) - 100 as decimal(18,0)) end cost_price,
- case when l_linenumber = 3 then null when l_linenumber = 4 then cast(l_quantity * 12 as decimal(18,3)) else cast(l_quantity as decimal(18,3)) end * cast(case when l_orderkey % 11 = 0 then -1 else 1 end as decimal(1,0)) base_quantity from {lineitem}""",
+ case when l_linenumber = 3 then null when l_linenumber = 4 then cast(l_quantity * 12 as decimal(18,3)) else cast(l_quantity as decimal(18,3)) end * cast(case when l_orderkey % 11 = 0 then -1 else 1 end as decimal(1,0)) base_quantity,
+ case when l_linenumber = 3 and l_orderkey % 2 = 0 then 1 else null end gift_quantity,
+ case when l_linenumber % 2 = 0 then cast(l_quantity as decimal(18,3)) else null end input_quantity,
+ case when l_linenumber = 7 then null else cast(1 as decimal(18,6)) end unit_conversion_to_base from {lineitem}""",
     "customers": """
 select c_custkey customer_id, case when c_custkey % 9 = 0 then null when c_custkey % 9 = 1 then '  ' when c_custkey % 50 = 2 then 'KH000002' else concat('KH', right(concat('000000', cast(c_custkey as string)),6)) end customer_code,
  c_name name, case when c_custkey % 4 = 0 then null else concat('09', cast(c_custkey as string)) end phone, cast(c_custkey % 100 as int) points,
  case when c_custkey % 3 = 0 then null else concat('Phuong ', cast(c_nationkey as string)) end address,
- case when c_custkey % 5 = 0 then null else concat('kh', cast(c_custkey as string), '@mail.vn') end email, NTZ'2021-06-01 09:00:00' created_at from {customer}""",
+ case when c_custkey % 5 = 0 then null else concat('kh', cast(c_custkey as string), '@mail.vn') end email, NTZ'2021-06-01 09:00:00' created_at from {customer}
+ union all select c_custkey + 1000000, null, concat(' ', c_name), case when c_custkey % 4 = 0 then null else concat('09', cast(c_custkey as string)) end, 0, null, null, NTZ'2022-01-01 10:00:00'
+ from {customer} where c_custkey % 97 = 0""",
     "customer_payments": """
 select event_id payment_id, user_id customer_id, ts - interval '9131' day payment_date, cast(floor(value) * 100 + 1 as decimal(18,0)) amount,
  case when event_id % 4 = 0 then null when event_id % 4 = 1 then ' ' when event_id % 4 = 2 then 'Tiền mặt' else 'Chuyển khoản' end payment_method, event_id % 12 employee_id,
@@ -81,7 +86,9 @@ select s_suppkey supplier_id, s_name supplier_name, case when s_suppkey % 5 = 0
     "import_details": """
 select l_orderkey*1000 + row_number() over (partition by l_orderkey order by l_linenumber,l_partkey,l_suppkey,l_shipdate,l_extendedprice,l_quantity,l_discount,l_tax,l_returnflag,l_linestatus) import_detail_id, l_orderkey import_id, l_partkey product_id,
  case when l_partkey % 3 = 0 then l_partkey*10 + l_linenumber % 2 else null end variant_id, cast(l_quantity as int) quantity, case when l_linenumber = 3 then null else cast(l_quantity as decimal(18,3)) end base_quantity,
- cast(floor(l_extendedprice / l_quantity) as decimal(18,0)) import_price, case when l_linenumber = 5 then null else cast(floor(l_extendedprice) as decimal(18,0)) end total, l_returnflag rf, l_shipdate line_date from {lineitem} where l_orderkey % 3 = 0""",
+ cast(floor(l_extendedprice / l_quantity) as decimal(18,0)) import_price, case when l_linenumber = 5 then null else cast(floor(l_extendedprice) as decimal(18,0)) end total, l_returnflag rf, l_shipdate line_date,
+ case when l_linenumber % 2 = 1 then cast(l_quantity as decimal(18,3)) else null end input_quantity,
+ case when l_linenumber = 2 then null else cast(1 as decimal(18,6)) end unit_conversion_to_base from {lineitem} where l_orderkey % 3 = 0""",
     "imports": """
 select l_orderkey import_id, concat('PN', cast(l_orderkey as string)) import_code, min(l_suppkey) supplier_id, min(l_shipdate) import_date,
  cast(sum(floor(l_extendedprice)) as decimal(18,0)) final_amount, case when l_orderkey % 4 = 0 then cast(sum(floor(l_extendedprice)) as decimal(18,0)) else cast(floor(sum(floor(l_extendedprice))/3) as decimal(18,0)) end paid_amount,
@@ -90,11 +97,11 @@ select l_orderkey import_id, concat('PN', cast(l_orderkey as string)) import_cod
  cast(sum(floor(l_extendedprice)) + case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) total_amount, cast(0 as decimal(18,0)) vat_amount,
  cast(case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) discount from {lineitem} where l_orderkey % 3 = 0 group by l_orderkey""",
     "purchase_return_details": """
-select import_detail_id return_detail_id, import_id return_id, import_detail_id, product_id, variant_id, cast(case when import_detail_id % 2 = 0 then quantity else 1 end as int) quantity, import_price,
+select import_detail_id return_detail_id, import_id return_id, import_detail_id, product_id, case when import_detail_id % 5 = 0 then null else variant_id end variant_id, cast(case when import_detail_id % 2 = 0 then quantity else 1 end as int) quantity, import_price,
  cast(import_price * (case when import_detail_id % 2 = 0 then quantity else 1 end) as decimal(18,0)) total,
  case when import_detail_id % 3 = 0 then 'Hang loi' else null end reason from {import_details} where rf='R'""",
     "purchase_returns": """
-select d.return_id, concat('TH', cast(d.return_id as string)) return_code, d.return_id import_id, i.supplier_id, i.employee_id, i.import_date + interval '10' day return_date, cast(sum(d.total) as decimal(18,0)) total_amount,
+select d.return_id, case when d.return_id % 45 = 0 then 'TH-TRUNG-MA-PHIEU-TRA-NCC-01' else concat('TH', cast(d.return_id as string)) end return_code, d.return_id import_id, i.supplier_id, i.employee_id, i.import_date + interval '10' day return_date, cast(sum(d.total) as decimal(18,0)) total_amount,
  case when d.return_id % 15 = 0 then 'Canceled' else 'Completed' end status, case when d.return_id % 2 = 0 then 'REFUND' when d.return_id % 9 = 0 then 'CREDIT' else 'DEBT_OFFSET' end settlement_type,
  case when d.return_id % 2 = 0 then 'Tiền mặt' when d.return_id % 9 = 0 then 'Chuyển khoản' else null end refund_method,
  case when d.return_id % 4 = 0 then null else concat('Tra hang ', cast(d.return_id % 5 as string)) end note from {purchase_return_details} d join {imports} i on i.import_id = d.return_id group by d.return_id, i.supplier_id, i.employee_id, i.import_date""",
@@ -120,7 +127,8 @@ select user_id payroll_id, case when user_id % 5 = 0 then '  ' else concat('NV',
     "employee_payroll_payments": """
 select event_id payment_id, user_id payroll_id, case when event_id % 3 = 0 then 'ADVANCE' else 'SETTLEMENT' end payment_type, ts - interval '9131' day payment_date, cast(floor(value) * 1000 as decimal(18,0)) amount,
  case when event_id % 4 = 1 then ' ' else 'Chuyển khoản' end payment_method, case when event_id % 7 = 0 then 1 else 0 end is_void,
- case when event_id % 6 = 0 then null else concat('Ky luong ', cast(user_id % 12 + 1 as string)) end note from {events} where event_type='signup'""",
+ case when event_id % 6 = 0 then null else concat('Ky luong ', cast(user_id % 12 + 1 as string)) end note,
+ case when event_id % 5 = 0 then ' ' else concat('NV', cast(event_id % 12 as string)) end created_by from {events} where event_type='signup'""",
     "product_variants": """
 select p_partkey*10 + v variant_id, p_partkey product_id, concat('SKU', cast(p_partkey*10+v as string)) sku_code, case when p_partkey % 6 = 0 then 'Bien the' when p_partkey % 6 = 3 then '' else null end variant_name,
  case when p_partkey % 2 = 0 then 'Do' else '' end color_value, case when p_partkey % 5 = 0 then null else 'XL' end size_value, cast((p_partkey * 7) % 60 - 5 as decimal(18,3)) stock_base_qty,
@@ -130,9 +138,13 @@ select import_detail_id serial_id, product_id, import_id, case when import_detai
  case when import_detail_id % 4 = 1 then import_id else null end order_id, case when import_detail_id % 5 = 0 then import_price else null end sell_price_override,
  case when import_detail_id % 8 = 3 then 'Den' else null end product_color, case when import_detail_id % 9 = 0 then 'Tray xuoc' else null end note, line_date created_at from {import_details}""",
     "duplicate_sale_candidates": """
-select o_orderkey order_id, o_custkey customer_id, cast(floor(o_totalprice) as decimal(18,0)) final_amount, o_orderdate order_date, o_orderkey source_id from {orders}
- union all select o_orderkey + 100000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '20' second, o_orderkey from {orders} where o_orderkey % 100 = 0
- union all select o_orderkey + 200000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '90' second, o_orderkey from {orders} where o_orderkey % 150 = 0""",
+select o_orderkey order_id, o_custkey customer_id, cast(floor(o_totalprice) as decimal(18,0)) final_amount, o_orderdate order_date, o_orderkey source_id, 'SALE' order_type from {orders}
+ union all select o_orderkey + 100000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '20' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 100 = 0
+ union all select o_orderkey + 200000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '90' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 150 = 0""",
+    "inventory_checks": """
+select cast(user_id % 20 as int) check_id, min(ts - interval '9131' day) check_date from {events} where event_type='error' group by cast(user_id % 20 as int)""",
+    "inventory_check_details": """
+select event_id check_detail_id, cast(user_id % 19 + 1 as int) check_id, user_id product_id, cast(cast(floor(value) as int) % 11 - 5 as decimal(18,3)) difference from {events} where event_type='error'""",
 }
 
 _REF = re.compile(r"\{(\w+)\}")
