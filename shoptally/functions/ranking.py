@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 def row_number_by_id(df: DataFrame, group_cols: list[str], id_col: str, out: str = "row_no", block: int = 65536) -> DataFrame:
     """Add ``out`` = row_number() over (partition by group_cols order by id_col).
 
-    ``id_col`` must be an integral column unique within each group.
+    ``id_col`` must be an integral column unique within each group; with no
+    group columns the whole frame is one group.
     """
+    if not group_cols:
+        return row_number_by_id(df.withColumn("_all", F.lit(0)), ["_all"], id_col, out, block).drop("_all")
     blk = F.floor(F.col(id_col) / F.lit(block)).alias("_blk")
     keyed = df.withColumn("_blk", blk)
     counts = keyed.groupBy(*group_cols, "_blk").agg(F.count(F.lit(1)).alias("_n"))

@@ -199,3 +199,41 @@ _QUALITY = {
 }
 for _k, _f in _QUALITY.items():
     query(_k)(_f)
+
+
+# ---------------------------------------------------------------- posting
+from ..operators import posting as T  # noqa: E402
+
+
+def _stocktake_requests(t):
+    return t.stocktake.select("product_id", F.col("difference").alias("quantity"))
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+_POSTING = {
+    "xml_line_items": lambda t: T.parse_return_items(t.return_requests),
+    "return_request_validate": lambda t: T.return_request_validate(t, t.return_requests),
+    "return_request_post": lambda t: T.return_request_post(t, t.return_requests, P.as_of)["header"],
+    "return_request_details": lambda t: T.return_request_post(t, t.return_requests, P.as_of)["details"],
+    "return_request_stock_delta": lambda t: T.stock_deltas(T.return_request_post(t, t.return_requests, P.as_of)),
+    "return_request_idempotent": lambda t: T.return_request_validate(t, t.return_requests).where(
+        F.col("outcome") == "existing"),
+    "return_cancel": lambda t: T.return_cancel(t, t.return_cancel_requests, P.as_of)["result"],
+    "return_cancel_stock_delta": lambda t: T.stock_deltas(
+        {k: v for k, v in T.return_cancel(t, t.return_cancel_requests, P.as_of).items()}),
+    "moving_average_cost": lambda t: T.moving_average_cost(t, T.receipts_from_imports(t), P.price_method),
+    "stock_reduce": lambda t: T.stock_reduce(t, t.stock_reduce_requests),
+    "stock_adjust": lambda t: T.stock_adjust(t, _stocktake_requests(t)),
+    "order_cancel": lambda t: T.order_cancel(t, t.order_cancel_requests),
+    "order_delete_eligible": lambda t: T.order_delete_eligible(t, t.order_delete_requests),
+    "serial_sell": lambda t: T.serial_sell(t, t.serial_sell_requests),
+    "serial_update_validate": lambda t: T.serial_update_validate(t, t.serial_update_requests),
+    "serial_receive": lambda t: T.serial_receive(t, t.serial_receive_requests, P.as_of),
+    "cashbook_post": lambda t: T.cashbook_post(t, t.cashbook_requests),
+    "cashbook_soft_delete": lambda t: T.cashbook_soft_delete(t, t.cashbook_delete_requests, P.as_of),
+    "order_line_enrich": lambda t: T.order_line_enrich(t, t.order_line_requests),
+    "payment_method_default": lambda t: T.payment_method_default(t.customer_payments, "payment_id"),
+}
+for _k, _f in _POSTING.items():
+    query(_k)(_f)

@@ -34,3 +34,4 @@ P.kw_returns = "tra hang 1"
 P.kw_returnable = ""
 P.cb_type = " out "
 P.kw_cashbook = "sq1"
+P.price_method = 1

@@ -145,6 +145,59 @@ select o_orderkey order_id, o_custkey customer_id, cast(floor(o_totalprice) as d
 select cast(user_id % 20 as int) check_id, min(ts - interval '9131' day) check_date from {events} where event_type='error' group by cast(user_id % 20 as int)""",
     "inventory_check_details": """
 select event_id check_detail_id, cast(user_id % 19 + 1 as int) check_id, user_id product_id, cast(cast(floor(value) as int) % 11 - 5 as decimal(18,3)) difference from {events} where event_type='error'""",
+    # ---- request batches for the posting operators (derived, so they grow with the data)
+    "return_requests": """
+select import_id request_id, case when import_id % 7 = 0 then concat('TH', cast(import_id as string)) else concat('RQ', cast(import_id as string)) end return_code,
+ import_id, supplier_id + case when import_id % 79 = 0 then 1 else 0 end supplier_id, employee_id, concat('Yeu cau tra ', cast(import_id as string)) note,
+ case when import_id % 97 = 0 then '<Details><Item ImportDetailId="1"' when import_id % 89 = 0 then '<Details></Details>' else concat('<Details>', items, '</Details>') end details_xml
+from (select d.import_id, i.supplier_id, i.employee_id,
+  string_agg(concat('<Item ImportDetailId="', cast(d.import_detail_id as string), '" ProductId="', cast(d.product_id + case when d.import_id % 73 = 0 then 1 else 0 end as string),
+   '" VariantId="', coalesce(cast(d.variant_id as string), ''), '" Quantity="', cast(case when d.import_id % 83 = 0 then 0 when d.import_id % 71 = 0 then d.quantity + 1 else 1 end as string),
+   '" ImportPrice="', cast(d.import_price as string), '" Reason="Hang loi"/>'), '') items
+  from {import_details} d join {imports} i on i.import_id = d.import_id where d.rf <> 'R' group by d.import_id, i.supplier_id, i.employee_id) x
+union all
+select import_id + 1, concat('RQ', cast(import_id as string)), import_id, supplier_id, employee_id, 'Gui lai', '<Details><Item ImportDetailId="0" ProductId="0" VariantId="" Quantity="1" ImportPrice="1" Reason=""/></Details>'
+from {imports} where import_id % 61 = 0""",
+    "cashbook_requests": """
+select event_id request_id, ts - interval '9131' day entry_date,
+ case event_id % 6 when 0 then ' in ' when 1 then 'out' when 2 then 'OUT' when 3 then 'IN' when 4 then 'x' else null end entry_type,
+ cast(case when event_id % 13 = 0 then 0 else floor(value) * 100 + 5 end as decimal(18,0)) amount,
+ case when event_id % 5 = 0 then null else cast(event_id % 10 as int) end category_id,
+ case when event_id % 3 = 0 then ' Muc rieng ' else null end category_name,
+ case when event_id % 4 = 0 then ' ' else 'Chuyển khoản' end payment_method,
+ concat(' Dien giai ', cast(event_id % 9 as string)) description,
+ case when event_id % 2 = 0 then null else concat('REF', cast(event_id as string)) end reference_code,
+ case when event_id % 7 = 0 then '  ' else 'thu ngan' end created_by from {events} where event_type = 'view' and event_id % 3 = 0""",
+    "return_cancel_requests": """
+select return_id, employee_id, case when return_id % 8 = 0 then '  ' else ' Nhap sai ' end reason from {purchase_returns} where return_id % 4 = 0
+union all select -return_id, employee_id, null from {purchase_returns} where return_id % 40 = 0""",
+    "stock_reduce_requests": """
+select order_id, product_id, quantity from {order_items} where order_id % 10 = 0""",
+    "order_cancel_requests": """
+select order_id from {sales_orders} where order_id % 53 = 0 union all select -order_id from {sales_orders} where order_id % 530 = 0""",
+    "order_delete_requests": """
+select order_id from {sales_orders} where order_id % 47 = 0 union all select -order_id from {sales_orders} where order_id % 470 = 0""",
+    "serial_sell_requests": """
+select serial_id * 10 request_id, case when serial_id % 3 = 0 then concat(' ', serial_number, ' ') when serial_id % 5 = 0 then ' ' else serial_number end serial_number,
+ case when status = 1 and serial_id % 2 = 0 then order_id else serial_id % 1000 end order_id from {product_serials} where serial_id % 7 = 0
+union all select serial_id * 10 + 1, serial_number, serial_id % 997 from {product_serials} where serial_id % 14 = 0""",
+    "serial_update_requests": """
+select serial_id, case when serial_id % 22 = 0 then concat('SN', cast(serial_id - 1 as string)) when serial_id % 4 = 2 then '  ' else concat(' IMEI', cast(serial_id as string), ' ') end serial_number,
+ case when serial_id % 33 = 0 then cast(-1 as decimal(18,0)) when serial_id % 2 = 0 then cast(serial_id % 5000 as decimal(18,0)) else null end sell_price_override,
+ case when serial_id % 3 = 0 then ' Xanh ' else '' end product_color, case when serial_id % 5 = 0 then null else ' ghi chu ' end note from {product_serials} where serial_id % 11 = 0
+union all select serial_id + 500, 'SNX', null, null, null from {product_serials} where serial_id % 110 = 0""",
+    "serial_receive_requests": """
+select d.import_detail_id request_id, d.product_id, d.import_id, case when d.import_detail_id % 4 = 0 then '   ' else concat(' IMEI', cast(d.import_detail_id as string)) end serial_number
+from {import_details} d join {products} p on p.product_id = d.product_id where p.has_serial = 1""",
+    "cashbook_delete_requests": """
+select entry_id * 10 request_id, entry_id from {cashbook_entries} where entry_id % 9 = 0
+union all select entry_id * 10 + 1, entry_id from {cashbook_entries} where entry_id % 27 = 0
+union all select entry_id * 10 + 2, -entry_id from {cashbook_entries} where entry_id % 90 = 0""",
+    "order_line_requests": """
+select order_id, product_id, quantity, unit_price,
+ case when product_id % 3 = 0 then cast(null as decimal(18,0)) when product_id % 3 = 1 then cast(0 as decimal(18,0)) else unit_price + 1000 end original_price,
+ cost_price from {order_items} where order_id % 5 = 0
+union all select order_id, product_id + 1000000, quantity, unit_price, null, null from {order_items} where order_id % 500 = 0""",
 }
 
 _REF = re.compile(r"\{(\w+)\}")
