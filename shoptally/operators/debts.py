@@ -98,7 +98,7 @@ def customer_debt_top_variant(t, ids: DataFrame | None = None) -> DataFrame:
     )
 
 
-def _open_receivable_cond():
+def open_receivable_cond():
     return (
         S.status_in("status", ("Completed", "Partial"))
         & (_z("final_amount") > _z("paid_amount"))
@@ -108,7 +108,7 @@ def _open_receivable_cond():
 
 def customer_debt_total(t) -> DataFrame:
     """Σ(final-paid) of open receivables; payments are not subtracted."""
-    return t.sales_orders.where(_open_receivable_cond()).agg(
+    return t.sales_orders.where(open_receivable_cond()).agg(
         F.coalesce(F.sum(_z("final_amount") - _z("paid_amount")), F.lit(0)).cast(S.MONEY).alias("total_debt_customer")
     )
 
@@ -116,7 +116,7 @@ def customer_debt_total(t) -> DataFrame:
 def customer_debt_profit_variant(t, ids: DataFrame | None = None) -> DataFrame:
     """Per customer, open receivables - payments, clamped at 0."""
     ids = t.customers.select("customer_id") if ids is None else ids.select("customer_id")
-    od = order_balance(t, _open_receivable_cond())
+    od = order_balance(t, open_receivable_cond())
     return (
         ids.join(od, "customer_id", "left")
         .join(customer_payments_total(t), "customer_id", "left")

@@ -77,21 +77,24 @@ def movement_ledger(t, since=None) -> DataFrame:
     orders = t.sales_orders.where(S.status_in("status", S.PAID_OR_COMPLETED) & date_ok("order_date")).select(
         "order_id", "order_date", "order_type"
     )
+    # one pass over the sales lines yields both SALES_OUT and RETURN_IN rows
     lines = t.order_items.where(F.col("product_id").isNotNull()).join(orders, "order_id")
-    line_amount = (F.coalesce(F.col("unit_price"), F.lit(0)) * F.abs(F.coalesce(F.col("quantity"), F.lit(0)))).cast(S.MONEY)
-    sales_out = lines.where(S.is_sale("order_type") & (F.coalesce(F.col("quantity"), F.lit(0)) > 0)).select(
-        "product_id",
-        F.col("order_date").alias("movement_date"),
-        (-S.base_qty("base_quantity", "quantity")).alias("qty"),
-        line_amount.alias("amount"),
-        F.lit("SALES_OUT").alias("movement_type"),
+    kind = (
+        F.when(S.is_return("order_type"), F.lit("RETURN_IN"))
+        .when(F.coalesce(F.col("quantity"), F.lit(0)) > 0, F.lit("SALES_OUT"))
     )
-    return_in = lines.where(S.is_return("order_type")).select(
-        "product_id",
-        F.col("order_date").alias("movement_date"),
-        F.abs(S.base_qty("base_quantity", "quantity")).alias("qty"),
-        line_amount.alias("amount"),
-        F.lit("RETURN_IN").alias("movement_type"),
+    bq = S.base_qty("base_quantity", "quantity")
+    sales = (
+        lines.withColumn("movement_type", kind)
+        .where(F.col("movement_type").isNotNull())
+        .select(
+            "product_id",
+            F.col("order_date").alias("movement_date"),
+            F.when(F.col("movement_type") == "SALES_OUT", -bq).otherwise(F.abs(bq)).alias("qty"),
+            (F.coalesce(F.col("unit_price"), F.lit(0)) * F.abs(F.coalesce(F.col("quantity"), F.lit(0))))
+            .cast(S.MONEY).alias("amount"),
+            "movement_type",
+        )
     )
 
     stocktake = t.stocktake.where(
@@ -106,8 +109,7 @@ def movement_ledger(t, since=None) -> DataFrame:
 
     return (
         purchase_in.unionByName(supplier_return_out)
-        .unionByName(sales_out)
-        .unionByName(return_in)
+        .unionByName(sales)
         .unionByName(stocktake)
     )
 

@@ -52,15 +52,22 @@ def line_cost(t, lines: DataFrame) -> DataFrame:
 
 
 def _sales_measures(t, start, end) -> DataFrame:
-    """R1.1, R1.2, R1.7 in one pass over the orders of the closed period."""
-    o = t.sales_orders.where(
-        S.in_closed("order_date", start, end) & S.status_in("status", S.EFFECTIVE_SALE_STATUSES)
-    )
+    """R1.1, R1.2, R1.7 and D4 in one pass over the orders.
+
+    The receivables total (D4) needs every order, so the period measures
+    are conditional sums in the same scan instead of a second, date-pruned
+    scan of the same table.
+    """
+    o = t.sales_orders
+    in_period = S.in_closed("order_date", start, end) & S.status_in("status", S.EFFECTIVE_SALE_STATUSES)
     sale = S.is_sale("order_type")
     return o.agg(
-        F.coalesce(F.sum(F.when(sale, _z("final_amount"))), F.lit(0)).cast(S.MONEY).alias("gross_sales"),
-        F.coalesce(F.sum(F.when(~sale, F.abs(_z("final_amount")))), F.lit(0)).cast(S.MONEY).alias("customer_return_amount"),
-        F.count(F.when(sale, F.lit(1))).cast("int").alias("order_count"),
+        F.coalesce(F.sum(F.when(in_period & sale, _z("final_amount"))), F.lit(0)).cast(S.MONEY).alias("gross_sales"),
+        F.coalesce(F.sum(F.when(in_period & ~sale, F.abs(_z("final_amount")))), F.lit(0)).cast(S.MONEY)
+        .alias("customer_return_amount"),
+        F.count(F.when(in_period & sale, F.lit(1))).cast("int").alias("order_count"),
+        F.coalesce(F.sum(F.when(debts.open_receivable_cond(), _z("final_amount") - _z("paid_amount"))), F.lit(0))
+        .cast(S.MONEY).alias("total_debt_customer"),
     )
 
 
@@ -119,9 +126,8 @@ def overview_report(t, from_dt, to_dt) -> DataFrame:
     imp, ret = _purchase_measures(t, start, end)
     cogs = cost_of_goods_sold(t, start, end)
     cash = cashbook_profit_split(t, start, end)
-    cdebt = debts.customer_debt_total(t)
     sdebt = debts.supplier_debt_total(t)
-    r = one_row(sales, imp, ret, cogs, cash, cdebt, sdebt)
+    r = one_row(sales, imp, ret, cogs, cash, sdebt)
     net_revenue = S.clamp0(F.col("gross_sales") - F.col("customer_return_amount")).cast(S.MONEY)
     net_purchase = S.clamp0(F.col("total_purchase") - F.col("purchase_return_amount")).cast(S.MONEY)
     gross_profit = (net_revenue - F.col("cost_of_goods_sold")).cast(S.MONEY)

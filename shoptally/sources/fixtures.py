@@ -244,10 +244,14 @@ class ShopTables:
     ``ReuseExchange`` then shares the shuffle).
     """
 
+    # sf_dir -> folder holding staged shop tables (see ``stage_shop_tables``)
+    staged_dirs: dict[str, str] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._frames: dict[str, DataFrame] = {}
+        self.staged = ShopTables.staged_dirs.get(self.sf_dir)
 
     def driver(self, name: str) -> DataFrame:
         key = "__driver__" + name
@@ -260,6 +264,10 @@ class ShopTables:
             return self._frames[name]
         if name not in FIXTURE_SQL:
             raise KeyError(f"unknown shop table {name!r}")
+        if self.staged is not None:
+            df = self.spark.read.parquet(f"{self.staged}/{name}")
+            self._frames[name] = df
+            return df
         refs = {d: (self.get(d) if d in FIXTURE_SQL else self.driver(d)) for d in fixture_deps(name)}
         df = self.spark.sql(render_spark(name), **refs)
         self._frames[name] = df
@@ -269,3 +277,21 @@ class ShopTables:
         if name.startswith("_") or name not in FIXTURE_SQL:
             raise AttributeError(name)
         return self.get(name)
+
+
+def stage_shop_tables(spark: SparkSession, sf_dir: str, out_dir: str, names=None) -> str:
+    """Write the derived shop tables of ``sf_dir`` to parquet under ``out_dir``.
+
+    Afterwards every ``ShopTables(spark, sf_dir)`` reads the staged files, as
+    a deployment reads its real shop tables. ``out_dir`` must be a shared
+    folder on a cluster (e.g. below ``spark.checkpoint.dir``).
+    """
+    sf_dir = sf_dir.rstrip("/")
+    t = ShopTables(spark, sf_dir)
+    t.staged = None
+    wanted = fixture_closure(names) if names else list(FIXTURE_SQL)
+    for n in wanted:  # dependency order: later tables read the staged files of earlier ones
+        t.get(n).write.mode("overwrite").parquet(f"{out_dir}/{n}")
+        t._frames[n] = spark.read.parquet(f"{out_dir}/{n}")
+    ShopTables.staged_dirs[sf_dir] = out_dir
+    return out_dir
