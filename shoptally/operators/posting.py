@@ -258,14 +258,20 @@ def stock_deltas(frames: dict[str, DataFrame]) -> DataFrame:
 
 def return_cancel(t, requests: DataFrame, as_of) -> dict[str, DataFrame]:
     """T4: reject unknown (51020) or already cancelled (51021) returns; otherwise
-    stock goes back to product and variant, status Cancelled and a stamped note."""
-    pr = t.purchase_returns.select("return_id", F.col("status").alias("_status"), F.col("note").alias("_note"))
-    first = requests.groupBy("return_id").agg(F.min(F.struct("employee_id", "reason")).alias("_r")).select(
-        "return_id", "_r.*"
+    stock goes back to product and variant, status Cancelled and a stamped note.
+
+    Requests: request_id, return_id, employee_id, reason. A second request
+    for the same return (later id) finds it cancelled by the first.
+    """
+    from pyspark.sql import Window
+
+    pr = t.purchase_returns.select(
+        "return_id", F.col("status").alias("_status"), F.col("note").alias("_note"), F.lit(True).alias("_exists")
     )
-    j = first.join(pr.withColumn("_exists", F.lit(True)), "return_id", "left")
+    first = F.min("request_id").over(Window.partitionBy("return_id"))
+    j = requests.withColumn("_first", first).join(pr, "return_id", "left")
     code = F.when(F.col("_exists").isNull(), F.lit(CANCEL_NOT_FOUND)).when(
-        ~S.not_cancelled_broad("_status"), F.lit(CANCEL_ALREADY)
+        ~S.not_cancelled_broad("_status") | (F.col("request_id") != F.col("_first")), F.lit(CANCEL_ALREADY)
     )
     reason = F.coalesce(S.blank_to_null("reason"), F.lit(DEFAULT_CANCEL_REASON))
     stamp = F.date_format(S.ts(as_of), "yyyy-MM-dd HH:mm:ss")
@@ -275,7 +281,7 @@ def return_cancel(t, requests: DataFrame, as_of) -> dict[str, DataFrame]:
         F.lit(CANCEL_NOTE_PREFIX), stamp, F.lit("] "), reason,
     )
     result = j.select(
-        "return_id", code.alias("error_code"),
+        "request_id", "return_id", code.alias("error_code"),
         F.when(code.isNull(), F.lit("Cancelled")).otherwise(F.col("_status")).alias("status"),
         F.when(code.isNull(), note).otherwise(F.col("_note")).alias("note"),
     )

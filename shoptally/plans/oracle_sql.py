@@ -22,9 +22,12 @@ def with_fixtures(body: str) -> str:
     used = [n for n in FIXTURE_SQL if re.search(rf"\b{n}\b", body)]
     names = fixture_closure(used)
     ctes = ",\n".join(f"{n} AS ({render_plain(n)})" for n in names)
+    head = "WITH"
+    if body[:14].upper() == "WITH RECURSIVE":
+        head, body = "WITH RECURSIVE", "WITH " + body[14:].lstrip()
     if body[:4].lower() == "with":
         body = body[4:].lstrip()
-        return f"WITH {ctes},\n{body}" if ctes else f"WITH {body}"
+        return f"{head} {ctes},\n{body}" if ctes else f"{head} {body}"
     return f"WITH {ctes}\n{body}" if ctes else body
 
 
@@ -1025,3 +1028,287 @@ def _():
         dup("barcode_unique", "products", ["barcode"], "barcode IS NOT NULL AND trim(barcode) <> ''"),
     ]
     return "\nUNION ALL\n".join(parts)
+
+
+# ---------------------------------------------------------------- posting
+_ASOF = "TIMESTAMP '2026-08-20 09:30:00'"
+
+# XML items parsed with regular expressions (independent of Spark's from_xml)
+_XML_ITEMS = """
+xi AS (SELECT request_id, unnest(regexp_extract_all(details_xml, '<Item [^>]*/>')) AS it FROM return_requests),
+xp AS (
+  SELECT r.request_id, r.return_code, r.import_id, r.supplier_id, xi.it IS NOT NULL AS item_present,
+    TRY_CAST(regexp_extract(xi.it, 'ImportDetailId="([^"]*)"', 1) AS BIGINT) AS import_detail_id,
+    TRY_CAST(regexp_extract(xi.it, 'ProductId="([^"]*)"', 1) AS BIGINT) AS product_id,
+    TRY_CAST(nullif(regexp_extract(xi.it, 'VariantId="([^"]*)"', 1), '') AS BIGINT) AS variant_id,
+    TRY_CAST(regexp_extract(xi.it, 'Quantity="([^"]*)"', 1) AS INTEGER) AS quantity,
+    TRY_CAST(regexp_extract(xi.it, 'ImportPrice="([^"]*)"', 1) AS DECIMAL(18,0)) AS import_price,
+    regexp_extract(xi.it, 'Reason="([^"]*)"', 1) AS reason,
+    NOT coalesce(r.details_xml LIKE '<Details>%</Details>', false) AS doc_bad
+  FROM return_requests r LEFT JOIN xi ON xi.request_id = r.request_id),
+items AS (
+  SELECT *, doc_bad OR (item_present AND (import_detail_id IS NULL OR product_id IS NULL OR quantity IS NULL OR import_price IS NULL)) AS bad_xml
+  FROM xp)"""
+
+_RETURN_VALIDATE = _XML_ITEMS + """,
+returned AS (SELECT prd.import_detail_id, sum(prd.quantity) AS q FROM purchase_return_details prd
+             JOIN purchase_returns pr ON pr.return_id = prd.return_id WHERE coalesce(pr.status, '') NOT IN {c} GROUP BY prd.import_detail_id),
+per_req AS (SELECT request_id, max(CASE WHEN bad_xml THEN 1 ELSE 0 END) AS f0, count(*) FILTER (WHERE item_present) AS n,
+                   max(CASE WHEN item_present AND quantity <= 0 THEN 1 ELSE 0 END) AS f2 FROM items GROUP BY request_id),
+chk AS (
+  SELECT r.request_id, r.return_code,
+    CASE WHEN pq.f0 = 1 THEN 51000 WHEN pq.n = 0 THEN 51001 WHEN pq.f2 = 1 THEN 51002
+      WHEN NOT EXISTS (SELECT 1 FROM imports i WHERE i.import_id = r.import_id AND i.supplier_id = r.supplier_id
+                         AND coalesce(i.status, '') IN ('Completed', 'Paid')) THEN 51003
+      WHEN EXISTS (SELECT 1 FROM items d LEFT JOIN import_details id ON id.import_detail_id = d.import_detail_id
+                   WHERE d.request_id = r.request_id AND d.item_present
+                     AND (id.import_detail_id IS NULL OR id.import_id <> r.import_id OR id.product_id <> d.product_id
+                          OR (d.variant_id IS NOT NULL AND coalesce(id.variant_id, 0) <> d.variant_id))) THEN 51004
+      WHEN EXISTS (SELECT 1 FROM items d JOIN import_details id ON id.import_detail_id = d.import_detail_id
+                   LEFT JOIN returned rt ON rt.import_detail_id = id.import_detail_id
+                   WHERE d.request_id = r.request_id AND d.item_present AND d.quantity > coalesce(id.quantity, 0) - coalesce(rt.q, 0)) THEN 51005
+      WHEN EXISTS (SELECT 1 FROM (SELECT product_id, sum(quantity) AS q FROM items d WHERE d.request_id = r.request_id AND d.item_present
+                                  GROUP BY product_id) x JOIN products pp ON pp.product_id = x.product_id
+                   WHERE coalesce(pp.stock, 0) < x.q) THEN 51006
+      WHEN EXISTS (SELECT 1 FROM (SELECT id.variant_id, sum(d.quantity) AS q FROM items d JOIN import_details id ON id.import_detail_id = d.import_detail_id
+                                  WHERE d.request_id = r.request_id AND d.item_present AND id.variant_id IS NOT NULL GROUP BY id.variant_id) x
+                   JOIN product_variants pv ON pv.variant_id = x.variant_id WHERE coalesce(pv.stock_base_qty, 0) < x.q) THEN 51007
+    END AS reason_code
+  FROM return_requests r JOIN per_req pq ON pq.request_id = r.request_id),
+ex AS (SELECT return_code, min(return_id) AS existing_id FROM purchase_returns GROUP BY return_code),
+fo AS (SELECT return_code, min(request_id) AS first_ok FROM chk WHERE reason_code IS NULL GROUP BY return_code),
+oc AS (SELECT c.*, ex.existing_id,
+         CASE WHEN ex.existing_id IS NOT NULL THEN 'existing' WHEN c.request_id = fo.first_ok THEN 'accepted'
+              WHEN c.request_id > fo.first_ok THEN 'existing' ELSE 'rejected' END AS outcome
+       FROM chk c LEFT JOIN ex ON ex.return_code = c.return_code LEFT JOIN fo ON fo.return_code = c.return_code),
+acc AS (SELECT request_id, return_code,
+          (SELECT coalesce(max(return_id), 0) FROM purchase_returns) + row_number() OVER (ORDER BY request_id) AS new_id
+        FROM oc WHERE outcome = 'accepted'),
+val AS (SELECT oc.request_id, oc.return_code, oc.outcome, CASE WHEN oc.outcome = 'rejected' THEN oc.reason_code END AS reason_code,
+          CAST(coalesce(oc.existing_id, a.new_id, CASE WHEN oc.outcome = 'existing' THEN ac.new_id END) AS BIGINT) AS return_id
+        FROM oc LEFT JOIN acc a ON a.request_id = oc.request_id LEFT JOIN acc ac ON ac.return_code = oc.return_code)""".replace("{c}", CANCELLED)
+
+
+@oracle("xml_line_items")
+def _():
+    return f"""WITH {_XML_ITEMS.strip()}
+SELECT request_id, item_present, import_detail_id, product_id, variant_id, quantity, import_price,
+  CASE WHEN item_present THEN reason END AS reason, bad_xml FROM items"""
+
+
+@oracle("return_request_validate")
+def _():
+    return f"WITH {_RETURN_VALIDATE.strip()}\nSELECT * FROM val"
+
+
+@oracle("return_request_idempotent")
+def _():
+    return f"WITH {_RETURN_VALIDATE.strip()}\nSELECT * FROM val WHERE outcome = 'existing'"
+
+
+@oracle("return_request_post")
+def _():
+    return f"""WITH {_RETURN_VALIDATE.strip()}
+SELECT v.return_id, r.return_code, r.import_id, r.supplier_id, r.employee_id, {_ASOF} AS return_date,
+  CAST(coalesce((SELECT sum(quantity * import_price) FROM items d WHERE d.request_id = r.request_id AND d.item_present), 0) AS DECIMAL(18,0)) AS total_amount,
+  r.note, 'Completed' AS status
+FROM val v JOIN return_requests r ON r.request_id = v.request_id WHERE v.outcome = 'accepted'"""
+
+
+@oracle("return_request_details")
+def _():
+    return f"""WITH {_RETURN_VALIDATE.strip()}
+SELECT v.return_id, d.import_detail_id, d.product_id, id.variant_id, d.quantity, d.import_price,
+  CAST(d.quantity * d.import_price AS DECIMAL(18,0)) AS total, d.reason
+FROM val v JOIN items d ON d.request_id = v.request_id AND d.item_present
+JOIN import_details id ON id.import_detail_id = d.import_detail_id
+WHERE v.outcome = 'accepted'"""
+
+
+@oracle("return_request_stock_delta")
+def _():
+    return f"""WITH {_RETURN_VALIDATE.strip()},
+ok AS (SELECT d.*, id.variant_id AS line_variant FROM val v JOIN items d ON d.request_id = v.request_id AND d.item_present
+       LEFT JOIN import_details id ON id.import_detail_id = d.import_detail_id WHERE v.outcome = 'accepted')
+SELECT 'product' AS kind, product_id AS id, CAST(-sum(quantity) AS BIGINT) AS stock_delta FROM ok GROUP BY product_id
+UNION ALL
+SELECT 'variant', line_variant, CAST(-sum(quantity) AS BIGINT) FROM ok WHERE line_variant IS NOT NULL
+  AND import_detail_id IN (SELECT import_detail_id FROM import_details) GROUP BY line_variant"""
+
+
+_CANCEL = """
+cq AS (SELECT q.*, min(request_id) OVER (PARTITION BY return_id) AS first_req FROM return_cancel_requests q),
+cj AS (SELECT q.request_id, q.return_id, q.reason, pr.status, pr.note,
+         CASE WHEN pr.return_id IS NULL THEN 51020 WHEN coalesce(pr.status, '') IN {c} OR q.request_id <> q.first_req THEN 51021 END AS error_code
+       FROM cq q LEFT JOIN purchase_returns pr ON pr.return_id = q.return_id)""".replace("{c}", CANCELLED)
+
+
+@oracle("return_cancel")
+def _():
+    return f"""WITH {_CANCEL.strip()}
+SELECT request_id, return_id, error_code,
+  CASE WHEN error_code IS NULL THEN 'Cancelled' ELSE status END AS status,
+  CASE WHEN error_code IS NULL THEN coalesce(note, '') || CASE WHEN coalesce(note, '') = '' THEN '' ELSE chr(13) || chr(10) END
+       || '[ĐÃ HỦY ' || strftime({_ASOF}, '%Y-%m-%d %H:%M:%S') || '] ' || coalesce(nullif(trim(reason), ''), 'Hủy phiếu trả NCC')
+       ELSE note END AS note
+FROM cj"""
+
+
+@oracle("return_cancel_stock_delta")
+def _():
+    return f"""WITH {_CANCEL.strip()},
+l AS (SELECT d.* FROM purchase_return_details d JOIN cj ON cj.return_id = d.return_id AND cj.error_code IS NULL)
+SELECT 'product' AS kind, product_id AS id, CAST(sum(quantity) AS BIGINT) AS stock_delta FROM l GROUP BY product_id
+UNION ALL SELECT 'variant', variant_id, CAST(sum(quantity) AS BIGINT) FROM l WHERE variant_id IS NOT NULL GROUP BY variant_id"""
+
+
+@oracle("moving_average_cost")
+def _():
+    m = P.price_method
+    return f"""
+WITH RECURSIVE rc AS (
+  SELECT d.product_id, CAST(d.quantity AS BIGINT) AS q, CAST(d.import_price AS BIGINT) AS np,
+    row_number() OVER (PARTITION BY d.product_id ORDER BY i.import_date, d.import_detail_id) AS rn
+  FROM import_details d JOIN imports i ON i.import_id = d.import_id WHERE coalesce(i.status, '') NOT IN {CANCELLED}),
+p0 AS (SELECT product_id, CAST(coalesce(stock, 0) AS BIGINT) AS s, CAST(coalesce(import_price, 0) AS BIGINT) AS pr FROM products
+       WHERE product_id IN (SELECT product_id FROM rc)),
+fold(product_id, rn, s, pr, n) AS (
+  SELECT product_id, 0, s, pr, 0 FROM p0
+  UNION ALL
+  SELECT f.product_id, f.rn + 1,
+    CASE WHEN coalesce(r.q, 0) <= 0 THEN f.s ELSE f.s + r.q END,
+    CASE WHEN coalesce(r.q, 0) <= 0 OR coalesce(r.np, 0) <= 0 THEN f.pr
+         WHEN {m} = 2 OR f.s <= 0 THEN r.np
+         WHEN f.s * f.pr + r.q * r.np >= 0 THEN (2 * (f.s * f.pr + r.q * r.np) + (f.s + r.q)) // (2 * (f.s + r.q))
+         ELSE -((2 * -(f.s * f.pr + r.q * r.np) + (f.s + r.q)) // (2 * (f.s + r.q))) END,
+    f.n + CASE WHEN coalesce(r.q, 0) > 0 THEN 1 ELSE 0 END
+  FROM fold f JOIN rc r ON r.product_id = f.product_id AND r.rn = f.rn + 1)
+SELECT product_id, s AS stock, CAST(pr AS DECIMAL(18,0)) AS import_price, CAST(n AS BIGINT) AS receipts_applied
+FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY rn DESC) AS k FROM fold) x WHERE k = 1"""
+
+
+@oracle("stock_reduce")
+def _():
+    return """
+SELECT r.product_id, CAST(r.req AS BIGINT) AS requested, CAST(p.stock AS BIGINT) AS stock_before,
+  CASE WHEN p.stock IS NOT NULL AND p.stock >= r.req THEN 1 ELSE 0 END AS accepted,
+  CAST(CASE WHEN p.stock IS NOT NULL AND p.stock >= r.req THEN p.stock - r.req ELSE p.stock END AS BIGINT) AS stock_after
+FROM (SELECT product_id, sum(quantity) AS req FROM stock_reduce_requests WHERE coalesce(quantity, 0) > 0 GROUP BY product_id) r
+LEFT JOIN products p ON p.product_id = r.product_id"""
+
+
+@oracle("stock_adjust")
+def _():
+    return """
+SELECT r.product_id, CAST(r.delta AS DECIMAL(38,3)) AS delta, CASE WHEN p.product_id IS NULL THEN 0 ELSE 1 END AS found,
+  CAST(CASE WHEN p.product_id IS NOT NULL THEN coalesce(p.stock, 0) + r.delta END AS DECIMAL(38,3)) AS stock_after
+FROM (SELECT product_id, sum(coalesce(difference, 0)) AS delta FROM stocktake GROUP BY product_id) r
+LEFT JOIN products p ON p.product_id = r.product_id"""
+
+
+@oracle("order_cancel")
+def _():
+    return """
+WITH j AS (SELECT r.order_id, o.status,
+             CASE WHEN o.status IS NULL THEN 'not_found' WHEN o.status = 'Cancelled' THEN 'already_cancelled' ELSE 'cancelled' END AS outcome
+           FROM (SELECT DISTINCT order_id FROM order_cancel_requests) r LEFT JOIN sales_orders o ON o.order_id = r.order_id)
+SELECT j.order_id, j.outcome, j.status AS old_status,
+  CAST(CASE WHEN j.outcome = 'cancelled' AND j.status IN ('Completed', 'Paid', 'Partial')
+            THEN coalesce((SELECT sum(coalesce(quantity, 0)) FROM order_items oi WHERE oi.order_id = j.order_id), 0) ELSE 0 END AS BIGINT) AS restored_quantity,
+  CAST(CASE WHEN j.outcome = 'cancelled' THEN (SELECT count(*) FROM product_serials ps WHERE ps.order_id = j.order_id) ELSE 0 END AS BIGINT) AS serials_freed
+FROM j"""
+
+
+@oracle("order_delete_eligible")
+def _():
+    return """
+WITH j AS (SELECT r.order_id, o.status,
+             CASE WHEN o.status IS NULL THEN 'not_found' WHEN o.status NOT IN ('Pending', 'Cancelled') THEN 'not_allowed' ELSE 'deleted' END AS outcome
+           FROM (SELECT DISTINCT order_id FROM order_delete_requests) r LEFT JOIN sales_orders o ON o.order_id = r.order_id)
+SELECT j.order_id, j.outcome, j.status,
+  CAST(CASE WHEN j.outcome = 'deleted' THEN (SELECT count(*) FROM order_items oi WHERE oi.order_id = j.order_id) ELSE 0 END AS BIGINT) AS lines_deleted,
+  CAST(CASE WHEN j.outcome = 'deleted' THEN (SELECT count(*) FROM product_serials ps WHERE ps.order_id = j.order_id) ELSE 0 END AS BIGINT) AS serials_freed
+FROM j"""
+
+
+@oracle("serial_sell")
+def _():
+    return """
+WITH req AS (SELECT request_id, order_id, nullif(trim(serial_number), '') AS sn FROM serial_sell_requests),
+cur AS (SELECT serial_number AS sn, max(CASE WHEN status = 0 THEN 1 ELSE 0 END) AS in_stock, max(CASE WHEN status = 1 THEN order_id END) AS sold_to
+        FROM product_serials WHERE serial_number IS NOT NULL GROUP BY serial_number),
+j AS (SELECT r.*, c.in_stock, coalesce(c.sold_to IS NOT NULL AND c.sold_to = r.order_id, false) AS init_noop
+      FROM req r LEFT JOIN cur c ON c.sn = r.sn),
+w AS (SELECT sn, min(request_id) AS wr, arg_min(order_id, request_id) AS wo FROM j
+      WHERE sn IS NOT NULL AND in_stock = 1 AND NOT init_noop GROUP BY sn)
+SELECT j.request_id, j.sn AS serial_number, j.order_id,
+  CASE WHEN j.sn IS NULL THEN 'invalid' WHEN j.init_noop THEN 'noop' WHEN w.wr = j.request_id THEN 'sold'
+       WHEN w.wr < j.request_id AND w.wo = j.order_id THEN 'noop' ELSE 'rejected' END AS outcome
+FROM j LEFT JOIN w ON w.sn = j.sn"""
+
+
+@oracle("serial_update_validate")
+def _():
+    return """
+WITH req AS (SELECT serial_id, nullif(trim(serial_number), '') AS sn, sell_price_override,
+               nullif(trim(product_color), '') AS pc, nullif(trim(note), '') AS nt FROM serial_update_requests)
+SELECT r.serial_id,
+  CASE WHEN ps.serial_id IS NULL THEN 'not_found' WHEN ps.status <> 0 THEN 'sold'
+       WHEN r.sn IS NOT NULL AND EXISTS (SELECT 1 FROM product_serials x WHERE x.serial_number = r.sn AND x.serial_id <> r.serial_id) THEN 'duplicate_serial'
+       WHEN r.sell_price_override < 0 THEN 'invalid_price' ELSE 'updated' END AS outcome,
+  r.sn AS serial_number, r.sell_price_override, r.pc AS product_color, r.nt AS note
+FROM req r LEFT JOIN product_serials ps ON ps.serial_id = r.serial_id"""
+
+
+@oracle("serial_receive")
+def _():
+    return f"""
+SELECT request_id, product_id, import_id, nullif(trim(serial_number), '') AS serial_number, 0 AS status, {_ASOF} AS created_at
+FROM serial_receive_requests"""
+
+
+@oracle("cashbook_post")
+def _():
+    return """
+WITH r AS (SELECT request_id, entry_date, upper(trim(coalesce(entry_type, ''))) AS et, amount, category_id,
+             nullif(trim(coalesce(category_name, '')), '') AS gname, coalesce(nullif(trim(payment_method), ''), 'Tiền mặt') AS pm,
+             nullif(trim(coalesce(description, '')), '') AS descr, nullif(trim(coalesce(reference_code, '')), '') AS ref,
+             nullif(trim(coalesce(created_by, '')), '') AS cb FROM cashbook_requests),
+o AS (SELECT r.*, CASE WHEN et NOT IN ('IN', 'OUT') THEN 'invalid_type' WHEN coalesce(amount, 0) <= 0 THEN 'invalid_amount' ELSE 'accepted' END AS outcome,
+        c.category_name AS cname
+      FROM r LEFT JOIN cashbook_categories c ON c.category_id = r.category_id AND c.category_type = r.et AND c.is_active = 1),
+a AS (SELECT request_id, (SELECT coalesce(max(entry_id), 0) FROM cashbook_entries) + row_number() OVER (ORDER BY request_id) AS eid
+      FROM o WHERE outcome = 'accepted')
+SELECT o.request_id, o.outcome, CAST(a.eid AS BIGINT) AS entry_id,
+  CASE WHEN o.outcome = 'accepted' THEN 'SQ' || strftime(o.entry_date, '%y%m%d') || right('000000' || CAST(a.eid AS VARCHAR), 6) END AS entry_code,
+  o.entry_date, o.et AS entry_type,
+  CASE WHEN o.outcome = 'accepted' AND o.cname IS NOT NULL THEN o.category_id END AS category_id,
+  CASE WHEN o.outcome = 'accepted' THEN coalesce(o.cname, o.gname, CASE WHEN o.et = 'IN' THEN 'Thu khác' ELSE 'Chi khác' END) END AS category_name,
+  o.amount, o.pm AS payment_method, o.descr AS description, o.ref AS reference_code, o.cb AS created_by
+FROM o LEFT JOIN a ON a.request_id = o.request_id"""
+
+
+@oracle("cashbook_soft_delete")
+def _():
+    return f"""
+SELECT q.request_id, q.entry_id,
+  CASE WHEN e.entry_id IS NOT NULL AND q.request_id = f.first_req THEN 1 ELSE 0 END AS affected_rows,
+  CASE WHEN e.entry_id IS NOT NULL AND q.request_id = f.first_req THEN {_ASOF} END AS updated_at
+FROM cashbook_delete_requests q
+LEFT JOIN (SELECT entry_id FROM cashbook_entries WHERE is_deleted = 0) e ON e.entry_id = q.entry_id
+JOIN (SELECT entry_id, min(request_id) AS first_req FROM cashbook_delete_requests GROUP BY entry_id) f ON f.entry_id = q.entry_id"""
+
+
+@oracle("order_line_enrich")
+def _():
+    return """
+SELECT q.order_id, q.product_id, q.quantity, q.unit_price,
+  CAST(coalesce(nullif(q.original_price, 0), CASE WHEN p.product_id IS NOT NULL THEN coalesce(CAST(p.sell_price AS DECIMAL(18,0)), q.unit_price) END,
+                q.unit_price) AS DECIMAL(18,0)) AS original_price,
+  CAST(coalesce(nullif(q.cost_price, 0), CASE WHEN p.product_id IS NOT NULL THEN coalesce(p.import_price, 0) END, 0) AS DECIMAL(18,0)) AS cost_price
+FROM order_line_requests q LEFT JOIN products p ON p.product_id = q.product_id"""
+
+
+@oracle("payment_method_default")
+def _():
+    return "SELECT payment_id, coalesce(nullif(trim(payment_method), ''), 'Tiền mặt') AS payment_method FROM customer_payments"

@@ -169,8 +169,9 @@ select event_id request_id, ts - interval '9131' day entry_date,
  case when event_id % 2 = 0 then null else concat('REF', cast(event_id as string)) end reference_code,
  case when event_id % 7 = 0 then '  ' else 'thu ngan' end created_by from {events} where event_type = 'view' and event_id % 3 = 0""",
     "return_cancel_requests": """
-select return_id, employee_id, case when return_id % 8 = 0 then '  ' else ' Nhap sai ' end reason from {purchase_returns} where return_id % 4 = 0
-union all select -return_id, employee_id, null from {purchase_returns} where return_id % 40 = 0""",
+select return_id * 10 request_id, return_id, employee_id, case when return_id % 8 = 0 then '  ' else ' Nhap sai ' end reason from {purchase_returns} where return_id % 4 = 0
+union all select return_id * 10 + 1, return_id, employee_id, 'Lan hai' from {purchase_returns} where return_id % 44 = 0
+union all select return_id * 10 + 2, -(return_id + 1), employee_id, null from {purchase_returns} where return_id % 40 = 0""",
     "stock_reduce_requests": """
 select order_id, product_id, quantity from {order_items} where order_id % 10 = 0""",
     "order_cancel_requests": """
