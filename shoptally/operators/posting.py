@@ -186,14 +186,16 @@ def return_request_validate(t, requests: DataFrame) -> DataFrame:
     below and recomputing the parse and the joins each time would triple
     the work; the checkpoint also survives the loss of an executor.
     """
-    from pyspark.sql import Window
-
     from ..session import checkpoint_dir
 
     existing = t.purchase_returns.groupBy("return_code").agg(F.min("return_id").alias("existing_id"))
     checked = return_request_checks(t, requests)
-    first_ok = F.min(F.when(F.col("reason_code").isNull(), F.col("request_id"))).over(Window.partitionBy("return_code"))
-    j = checked.withColumn("_first_ok", first_ok).join(existing, "return_code", "left")
+    # first valid request per code: an aggregate joined back (a code repeated
+    # by a large share of the batch is pre-combined per task, not windowed)
+    first_ok = checked.where(F.col("reason_code").isNull()).groupBy("return_code").agg(
+        F.min("request_id").alias("_first_ok")
+    )
+    j = checked.join(first_ok, "return_code", "left").join(existing, "return_code", "left")
     outcome = (
         F.when(F.col("existing_id").isNotNull(), F.lit("existing"))
         .when(F.col("request_id") == F.col("_first_ok"), F.lit("accepted"))
@@ -263,13 +265,11 @@ def return_cancel(t, requests: DataFrame, as_of) -> dict[str, DataFrame]:
     Requests: request_id, return_id, employee_id, reason. A second request
     for the same return (later id) finds it cancelled by the first.
     """
-    from pyspark.sql import Window
-
     pr = t.purchase_returns.select(
         "return_id", F.col("status").alias("_status"), F.col("note").alias("_note"), F.lit(True).alias("_exists")
     )
-    first = F.min("request_id").over(Window.partitionBy("return_id"))
-    j = requests.withColumn("_first", first).join(pr, "return_id", "left")
+    first = requests.groupBy("return_id").agg(F.min("request_id").alias("_first"))
+    j = requests.join(first, "return_id").join(pr, "return_id", "left")
     code = F.when(F.col("_exists").isNull(), F.lit(CANCEL_NOT_FOUND)).when(
         ~S.not_cancelled_broad("_status") | (F.col("request_id") != F.col("_first")), F.lit(CANCEL_ALREADY)
     )

@@ -132,7 +132,7 @@ select event_id payment_id, user_id payroll_id, case when event_id % 3 = 0 then
     "product_variants": """
 select p_partkey*10 + v variant_id, p_partkey product_id, concat('SKU', cast(p_partkey*10+v as string)) sku_code, case when p_partkey % 6 = 0 then 'Bien the' when p_partkey % 6 = 3 then '' else null end variant_name,
  case when p_partkey % 2 = 0 then 'Do' else '' end color_value, case when p_partkey % 5 = 0 then null else 'XL' end size_value, cast((p_partkey * 7) % 60 - 5 as decimal(18,3)) stock_base_qty,
- case when p_partkey % 4 = 0 then concat('VB', cast(p_partkey*10+v as string)) when p_partkey % 4 = 1 then '' else null end barcode from {part} cross join (select 0 v union all select 1) x where p_partkey % 3 = 0""",
+ case when p_partkey % 4 = 0 then concat('VB', cast(p_partkey*10+v as string)) when p_partkey % 4 = 1 then '' else null end barcode from (select p_partkey, 0 v from {part} where p_partkey % 3 = 0 union all select p_partkey, 1 v from {part} where p_partkey % 3 = 0) x""",
     "product_serials": """
 select import_detail_id serial_id, product_id, import_id, case when import_detail_id % 6 = 0 then null when import_detail_id % 97 = 1 then ' ' else concat('SN', cast(import_detail_id as string)) end serial_number, case when import_detail_id % 4 = 1 then 1 else 0 end status,
  case when import_detail_id % 4 = 1 then import_id else null end order_id, case when import_detail_id % 5 = 0 then import_price else null end sell_price_override,
