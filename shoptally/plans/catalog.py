@@ -237,3 +237,32 @@ _POSTING = {
 }
 for _k, _f in _POSTING.items():
     query(_k)(_f)
+
+
+# ---------------------------------------------------------------- sources and sinks
+from ..sources import seeds  # noqa: E402
+from ..sources import tables as TB  # noqa: E402
+
+
+@query("cashbook_category_seed")
+def _(t):
+    return seeds.cashbook_category_seed(t.cashbook_categories)
+
+
+@query("typed_scan_period")
+def _(t):
+    """A1 + A4: write sales orders month-partitioned to the shared checkpoint
+    folder, scan them back with the declared schema and a period filter
+    (partition pruning on the month, row-group pruning on the date)."""
+    import uuid
+
+    from ..session import checkpoint_dir
+
+    root = f"{checkpoint_dir(t.spark).rstrip('/')}/shop-{uuid.uuid4().hex[:8]}"
+    TB.stage_partitioned(t.sales_orders, "sales_orders", root)
+    from ..functions import semantics as S
+
+    a, b = S.parse_dt(P.from_dt), S.parse_dt(P.to_dt)
+    return TB.read_shop_table(t.spark, root, "sales_orders").where(
+        F.col("order_month").between(a.strftime("%Y-%m"), b.strftime("%Y-%m")) & S.in_closed("order_date", a, b)
+    )

@@ -1312,3 +1312,39 @@ FROM order_line_requests q LEFT JOIN products p ON p.product_id = q.product_id""
 @oracle("payment_method_default")
 def _():
     return "SELECT payment_id, coalesce(nullif(trim(payment_method), ''), 'Tiền mặt') AS payment_method FROM customer_payments"
+
+
+# ---------------------------------------------------------------- sources and sinks
+@oracle("cashbook_category_seed")
+def _():
+    from ..sources.seeds import NOT_PROFIT, PROFIT, REFUND_CATEGORY, SEED_CATEGORIES
+
+    vals = ",\n  ".join(f"({i}, '{ty}', '{n}', {so}, {ap})" for i, (ty, n, so, ap) in enumerate(SEED_CATEGORIES, start=1))
+    q = lambda xs: ", ".join(f"'{x}'" for x in xs)
+    ty, name, sort = REFUND_CATEGORY
+    refund = f"(category_type = '{ty}' AND category_name = '{name}')"
+    return f"""
+WITH seed(seed_no, category_type, category_name, sort_order, affects_profit) AS (VALUES
+  {vals}),
+missing AS (SELECT s.* FROM seed s WHERE NOT EXISTS (SELECT 1 FROM cashbook_categories c
+            WHERE c.category_type = s.category_type AND c.category_name = s.category_name)),
+added AS (SELECT CAST((SELECT coalesce(max(category_id), 0) FROM cashbook_categories) + row_number() OVER (ORDER BY seed_no) AS INTEGER) AS category_id,
+            category_type, category_name, 1 AS is_system, 1 AS is_active, affects_profit, sort_order FROM missing),
+existing AS (SELECT category_id, category_type, category_name,
+               CASE WHEN {refund} THEN 1 ELSE is_system END AS is_system,
+               CASE WHEN {refund} THEN 1 ELSE is_active END AS is_active,
+               CASE WHEN {refund} THEN 0 ELSE affects_profit END AS affects_profit,
+               CASE WHEN {refund} THEN {sort} ELSE sort_order END AS sort_order FROM cashbook_categories),
+allrows AS (SELECT * FROM existing UNION ALL SELECT * FROM added)
+SELECT category_id, category_type, category_name, is_system, is_active,
+  CAST(CASE WHEN category_name IN ({q(NOT_PROFIT)}) THEN 0 WHEN category_name IN ({q(PROFIT)}) THEN 1 ELSE affects_profit END AS INTEGER) AS affects_profit,
+  sort_order
+FROM allrows"""
+
+
+@oracle("typed_scan_period")
+def _():
+    return f"""
+SELECT order_id, order_code, customer_id, order_date, order_type, status, final_amount, paid_amount, employee_id, total_amount,
+  strftime(order_date, '%Y-%m') AS order_month
+FROM sales_orders WHERE order_date BETWEEN {ts(P.from_dt)} AND {ts(P.to_dt)}"""
