@@ -40,15 +40,19 @@ def customer_adjustments_total(t, name="adjusted_total") -> DataFrame:
     return t.customer_debt_adjustments.groupBy("customer_id").agg(F.sum(_z("amount")).alias(name))
 
 
-def _ledger_debt(t) -> DataFrame:
-    """Unclamped D1 per customer id (orders not 'Cancelled' incl. returns - payments - adjustments)."""
-    ids = t.customers.select("customer_id")
+def _ledger_debt(t, customers: DataFrame | None = None) -> DataFrame:
+    """Unclamped D1 per customer (orders not 'Cancelled' incl. returns - payments - adjustments).
+
+    ``customers`` (default: the ids) carries extra columns through.
+    """
+    ids = t.customers.select("customer_id") if customers is None else customers
+    keep = [c for c in ids.columns if c != "customer_id"]
     return (
         ids.join(order_balance(t, S.not_cancelled_isnull("status")), "customer_id", "left")
         .join(customer_payments_total(t), "customer_id", "left")
         .join(customer_adjustments_total(t), "customer_id", "left")
         .select(
-            "customer_id",
+            "customer_id", *keep,
             (_z("order_debt") - _z("paid_total") - _z("adjusted_total")).alias("debt"),
         )
     )
@@ -64,10 +68,9 @@ def customer_current_debt(t, customer_id=None) -> DataFrame:
 
 def customers_with_debt(t) -> DataFrame:
     """Customers whose unclamped ledger debt is positive; debt desc, name."""
-    d = _ledger_debt(t).where(F.col("debt") > 0)
-    c = t.customers
+    c = t.customers.select("customer_id", "customer_code", "name", "phone", "address", "email")
     return (
-        c.join(d, "customer_id")
+        _ledger_debt(t, c).where(F.col("debt") > 0)
         .select(
             "customer_id",
             F.coalesce(F.col("customer_code"), F.lit("")).alias("customer_code"),

@@ -398,11 +398,20 @@ def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: Da
     )
     sig = sig.join(serial_orders.select("order_id").distinct().withColumn("_has_serial", F.lit(True)), "order_id", "left")
     b = F.floor(F.col("_sec") / bucket_seconds).cast("bigint")
-    main = sig.withColumn("_bucket", b).withColumn("_main", F.lit(True))
-    lo = sig.where(F.col("_sec") - b * bucket_seconds < window_seconds).withColumn("_bucket", b - 1)
-    hi = sig.where((b + 1) * bucket_seconds - F.col("_sec") <= window_seconds).withColumn("_bucket", b + 1)
-    halo = lo.unionByName(hi).withColumn("_main", F.lit(False))
-    rows = main.unionByName(halo)
+    near_start = F.col("_sec") - b * bucket_seconds < window_seconds
+    near_end = (b + 1) * bucket_seconds - F.col("_sec") <= window_seconds
+
+    def slot(bucket, main):
+        return F.struct(bucket.alias("bucket"), F.lit(main).alias("main"))
+
+    # own bucket plus halo copies, produced from one pass over the signatures
+    slots = F.filter(
+        F.array(slot(b, True), F.when(near_start, slot(b - 1, False)), F.when(near_end, slot(b + 1, False))),
+        lambda x: x.isNotNull(),
+    )
+    rows = sig.select("*", F.explode(slots).alias("_slot")).select(
+        "*", F.col("_slot.bucket").alias("_bucket"), F.col("_slot.main").alias("_main")
+    ).drop("_slot")
     part = [f"_h_{c}" for c, _ in HEADER_KEYS] + ["sig_lines", "sig_h1", "sig_h2", "_bucket"]
     me = F.struct(F.col("order_date"), F.col("order_id"))
     rng = Window.partitionBy(*part).orderBy("_sec").rangeBetween(-window_seconds, window_seconds)

@@ -289,8 +289,16 @@ def customer_top(t, top: int = 20, from_dt=None, to_dt=None) -> DataFrame:
         .orderBy(F.col("total_revenue").desc(), "customer_id")
         .limit(top)
     )
-    debt = debts.customer_debt_top_variant(t, ranked.select("customer_id"))
-    return ranked.join(debt, "customer_id", "left").orderBy(F.col("total_revenue").desc(), "customer_id")
+    # debt pre-aggregates for every customer joined to the N chosen ones: the
+    # ranked subtree is referenced once (referencing it twice recomputes it)
+    od = debts.order_balance(t, S.not_cancelled_broad("status") & S.is_sale("order_type"))
+    debt = (_z("order_debt") - _z("paid_total")).cast(S.SUM_MONEY).alias("current_debt")
+    return (
+        ranked.join(od, "customer_id", "left")
+        .join(debts.customer_payments_total(t), "customer_id", "left")
+        .select(*ranked.columns, debt)
+        .orderBy(F.col("total_revenue").desc(), "customer_id")
+    )
 
 
 def customer_profit(t, from_dt, to_dt, top: int = 20) -> DataFrame:
@@ -315,10 +323,12 @@ def customer_profit(t, from_dt, to_dt, top: int = 20) -> DataFrame:
         .orderBy(F.col("total_revenue").desc(), "customer_id")
         .limit(top)
     )
-    debt = debts.customer_debt_profit_variant(t, ranked.select("customer_id"))
+    od = debts.order_balance(t, debts.open_receivable_cond())
+    debt = S.clamp0(_z("order_debt") - _z("paid_total")).cast(S.SUM_MONEY).alias("current_debt")
     return (
-        ranked.join(debt, "customer_id", "left")
-        .withColumn("current_debt", _z("current_debt").cast(S.SUM_MONEY))
+        ranked.join(od, "customer_id", "left")
+        .join(debts.customer_payments_total(t), "customer_id", "left")
+        .select(*ranked.columns, debt)
         .orderBy(F.col("total_revenue").desc(), "customer_name", "customer_id")
     )
 

@@ -201,6 +201,11 @@ select order_id, product_id, quantity, unit_price,
 union all select order_id, product_id + 1000000, quantity, unit_price, null, null from {order_items} where order_id % 500 = 0""",
 }
 
+_STAGED_SCHEMAS: dict = {}
+
+# fixed or tiny lists (bounded by construction, not by the data size)
+SMALL_TABLES = {"categories", "units", "cashbook_categories", "employees", "users", "inventory_checks"}
+
 _REF = re.compile(r"\{(\w+)\}")
 # naive timestamp literal: NTZ'...' (Spark TIMESTAMP_NTZ, DuckDB TIMESTAMP)
 _NTZ = re.compile(r"NTZ'")
@@ -266,7 +271,10 @@ class ShopTables:
         if name not in FIXTURE_SQL:
             raise KeyError(f"unknown shop table {name!r}")
         if self.staged is not None:
-            df = self.spark.read.parquet(f"{self.staged}/{name}")
+            path = f"{self.staged}/{name}"
+            if path not in _STAGED_SCHEMAS:  # read the footers once, then scan with the schema
+                _STAGED_SCHEMAS[path] = self.spark.read.parquet(path).schema
+            df = self.spark.read.schema(_STAGED_SCHEMAS[path]).parquet(path)
             self._frames[name] = df
             return df
         refs = {d: (self.get(d) if d in FIXTURE_SQL else self.driver(d)) for d in fixture_deps(name)}
@@ -291,8 +299,14 @@ def stage_shop_tables(spark: SparkSession, sf_dir: str, out_dir: str, names=None
     t = ShopTables(spark, sf_dir)
     t.staged = None
     wanted = fixture_closure(names) if names else list(FIXTURE_SQL)
+    # spread every table over the cluster's parallelism so later scans get
+    # one task per core (the driver's files are single row groups and
+    # cannot be split); fixed lists stay one file
+    width = spark.sparkContext.defaultParallelism
     for n in wanted:  # dependency order: later tables read the staged files of earlier ones
-        t.get(n).write.mode("overwrite").parquet(f"{out_dir}/{n}")
+        df = t.get(n)
+        df = df.coalesce(1) if n in SMALL_TABLES else df.repartition(width)
+        df.write.mode("overwrite").parquet(f"{out_dir}/{n}")
         t._frames[n] = spark.read.parquet(f"{out_dir}/{n}")
     ShopTables.staged_dirs[sf_dir] = out_dir
     return out_dir
