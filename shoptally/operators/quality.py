@@ -221,8 +221,13 @@ def customer_code_backfill(t) -> DataFrame:
 
 
 def customer_code_dedupe(t) -> DataFrame:
-    """Q11: second and later holders of a (trimmed) code get ``KH<id6>-<n>``."""
-    c = t.customers.where(~S.is_blank("customer_code")).withColumn("_code", F.trim("customer_code"))
+    """Q11: second and later holders of a (trimmed) code get ``KH<id6>-<n>``.
+
+    Runs on the codes *after* the blank backfill (Q10), as the source script
+    does: a generated code can collide with an existing one.
+    """
+    code = F.coalesce(S.blank_to_null("customer_code"), S.code6("KH", "customer_id"))
+    c = t.customers.select("customer_id", code.alias("customer_code")).withColumn("_code", F.trim("customer_code"))
     ranked = row_number_by_id(c, ["_code"], "customer_id")
     return ranked.where(F.col("row_no") > 1).select(
         "customer_id",

@@ -834,9 +834,9 @@ SELECT customer_id, 'KH' || right('000000' || CAST(customer_id AS VARCHAR), 6) A
 def _():
     return f"""
 SELECT customer_id, old_customer_code, 'KH' || right('000000' || CAST(customer_id AS VARCHAR), 6) || '-' || CAST(row_no AS VARCHAR) AS customer_code, row_no
-FROM (SELECT customer_id, customer_code AS old_customer_code,
-        row_number() OVER (PARTITION BY trim(customer_code) ORDER BY customer_id) AS row_no
-      FROM customers WHERE NOT ({_blank('customer_code')})) d
+FROM (SELECT customer_id, code AS old_customer_code, row_number() OVER (PARTITION BY trim(code) ORDER BY customer_id) AS row_no
+      FROM (SELECT customer_id, CASE WHEN {_blank('customer_code')} THEN 'KH' || right('000000' || CAST(customer_id AS VARCHAR), 6)
+                                     ELSE customer_code END AS code FROM customers) b) d
 WHERE row_no > 1"""
 
 
