@@ -24,9 +24,6 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 
-LEDGER_COLUMNS = ("product_id", "movement_date", "qty", "amount", "movement_type")
-
-
 def movement_ledger(t, since=None) -> DataFrame:
     """The ledger of stock movements (R2.1).
 
@@ -193,8 +190,3 @@ def inventory_movement(t, from_date, to_date, keyword: str = "") -> DataFrame:
         m("sales_out_value"),
         ((stock - after) * F.coalesce(F.col("import_price"), z)).cast(S.MONEY).alias("closing_cost_value"),
     ).orderBy("product_code", "product_name")
-
-
-def movement_ledger_report(t) -> DataFrame:
-    """The whole ledger (R2.1) as a result, typed for comparison."""
-    return movement_ledger(t)

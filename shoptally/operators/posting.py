@@ -14,8 +14,6 @@ Time stamps ("GETDATE()") come from an explicit ``as_of`` parameter.
 
 from __future__ import annotations
 
-from functools import reduce
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -610,7 +608,3 @@ def order_line_enrich(t, requests: DataFrame) -> DataFrame:
 def payment_method_default(df: DataFrame, key: str) -> DataFrame:
     """Blank or NULL payment method -> 'Tiền mặt' (customer payments, imports)."""
     return df.select(key, S.default_if_blank("payment_method", S.DEFAULT_PAYMENT_METHOD).alias("payment_method"))
-
-
-def all_outcomes(frames) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames)

@@ -156,8 +156,9 @@ from (select d.import_id, i.supplier_id, i.employee_id,
    '" ImportPrice="', cast(d.import_price as string), '" Reason="Hang loi"/>'), '') items
   from {import_details} d join {imports} i on i.import_id = d.import_id where d.rf <> 'R' group by d.import_id, i.supplier_id, i.employee_id) x
 union all
-select import_id + 1, concat('RQ', cast(import_id as string)), import_id, supplier_id, employee_id, 'Gui lai', '<Details><Item ImportDetailId="0" ProductId="0" VariantId="" Quantity="1" ImportPrice="1" Reason=""/></Details>'
-from {imports} where import_id % 61 = 0""",
+select import_id + 1, case when import_id % 7 = 0 then concat('TH', cast(import_id as string)) else concat('RQ', cast(import_id as string)) end, import_id, supplier_id, employee_id, 'Gui lai',
+ '<Details><Item ImportDetailId="0" ProductId="0" VariantId="" Quantity="1" ImportPrice="1" Reason=""/></Details>'
+from {imports}""",
     "cashbook_requests": """
 select event_id request_id, ts - interval '9131' day entry_date,
  case event_id % 6 when 0 then ' in ' when 1 then 'out' when 2 then 'OUT' when 3 then 'IN' when 4 then 'x' else null end entry_type,
@@ -167,41 +168,42 @@ select event_id request_id, ts - interval '9131' day entry_date,
  case when event_id % 4 = 0 then ' ' else 'Chuyển khoản' end payment_method,
  concat(' Dien giai ', cast(event_id % 9 as string)) description,
  case when event_id % 2 = 0 then null else concat('REF', cast(event_id as string)) end reference_code,
- case when event_id % 7 = 0 then '  ' else 'thu ngan' end created_by from {events} where event_type = 'view' and event_id % 3 = 0""",
+ case when event_id % 7 = 0 then '  ' else 'thu ngan' end created_by from {events} where event_type = 'view'""",
     "return_cancel_requests": """
-select return_id * 10 request_id, return_id, employee_id, case when return_id % 8 = 0 then '  ' else ' Nhap sai ' end reason from {purchase_returns} where return_id % 4 = 0
-union all select return_id * 10 + 1, return_id, employee_id, 'Lan hai' from {purchase_returns} where return_id % 44 = 0
-union all select return_id * 10 + 2, -(return_id + 1), employee_id, null from {purchase_returns} where return_id % 40 = 0""",
+select return_id * 10 request_id, return_id, employee_id, case when return_id % 8 = 0 then '  ' else ' Nhap sai ' end reason from {purchase_returns}
+union all select return_id * 10 + 1, return_id, employee_id, 'Lan hai' from {purchase_returns}
+union all select return_id * 10 + 2, -(return_id + 1), employee_id, null from {purchase_returns}""",
     "stock_reduce_requests": """
-select order_id, product_id, quantity from {order_items} where order_id % 10 = 0""",
+select order_id, product_id, quantity from {order_items}""",
     "order_cancel_requests": """
-select order_id from {sales_orders} where order_id % 53 = 0 union all select -order_id from {sales_orders} where order_id % 530 = 0""",
+select order_id from {sales_orders} union all select -(order_id + 1) from {sales_orders}""",
     "order_delete_requests": """
-select order_id from {sales_orders} where order_id % 47 = 0 union all select -order_id from {sales_orders} where order_id % 470 = 0""",
+select order_id from {sales_orders} union all select -(order_id + 1) from {sales_orders}""",
     "serial_sell_requests": """
 select serial_id * 10 request_id, case when serial_id % 3 = 0 then concat(' ', serial_number, ' ') when serial_id % 5 = 0 then ' ' else serial_number end serial_number,
- case when status = 1 and serial_id % 2 = 0 then order_id else serial_id % 1000 end order_id from {product_serials} where serial_id % 7 = 0
-union all select serial_id * 10 + 1, serial_number, serial_id % 997 from {product_serials} where serial_id % 14 = 0""",
+ case when status = 1 and serial_id % 2 = 0 then order_id else serial_id % 1000 end order_id from {product_serials}
+union all select serial_id * 10 + 1, serial_number, case when serial_id % 3 = 0 then serial_id % 1000 else serial_id % 997 end from {product_serials}""",
     "serial_update_requests": """
 select serial_id, case when serial_id % 22 = 0 then concat('SN', cast(serial_id - 1 as string)) when serial_id % 4 = 2 then '  ' else concat(' IMEI', cast(serial_id as string), ' ') end serial_number,
  case when serial_id % 33 = 0 then cast(-1 as decimal(18,0)) when serial_id % 2 = 0 then cast(serial_id % 5000 as decimal(18,0)) else null end sell_price_override,
- case when serial_id % 3 = 0 then ' Xanh ' else '' end product_color, case when serial_id % 5 = 0 then null else ' ghi chu ' end note from {product_serials} where serial_id % 11 = 0
-union all select serial_id + 500, 'SNX', null, null, null from {product_serials} where serial_id % 110 = 0""",
+ case when serial_id % 3 = 0 then ' Xanh ' else '' end product_color, case when serial_id % 5 = 0 then null else ' ghi chu ' end note from {product_serials}
+union all select serial_id + 500, 'SNX', null, null, null from {product_serials}""",
     "serial_receive_requests": """
 select d.import_detail_id request_id, d.product_id, d.import_id, case when d.import_detail_id % 4 = 0 then '   ' else concat(' IMEI', cast(d.import_detail_id as string)) end serial_number
 from {import_details} d join {products} p on p.product_id = d.product_id where p.has_serial = 1""",
     "cashbook_delete_requests": """
-select entry_id * 10 request_id, entry_id from {cashbook_entries} where entry_id % 9 = 0
-union all select entry_id * 10 + 1, entry_id from {cashbook_entries} where entry_id % 27 = 0
-union all select entry_id * 10 + 2, -entry_id from {cashbook_entries} where entry_id % 90 = 0""",
+select entry_id * 10 request_id, entry_id from {cashbook_entries}
+union all select entry_id * 10 + 1, entry_id from {cashbook_entries}
+union all select entry_id * 10 + 2, -(entry_id + 1) from {cashbook_entries}""",
     "order_line_requests": """
 select order_id, product_id, quantity, unit_price,
  case when product_id % 3 = 0 then cast(null as decimal(18,0)) when product_id % 3 = 1 then cast(0 as decimal(18,0)) else unit_price + 1000 end original_price,
- cost_price from {order_items} where order_id % 5 = 0
-union all select order_id, product_id + 1000000, quantity, unit_price, null, null from {order_items} where order_id % 500 = 0""",
+ cost_price from {order_items}
+union all select order_id, product_id + 1000000, quantity, unit_price, null, null from {order_items}""",
 }
 
 _STAGED_SCHEMAS: dict = {}
+_STAGED_NAMES: dict[str, set] = {}
 
 # fixed or tiny lists (bounded by construction, not by the data size)
 SMALL_TABLES = {"categories", "units", "cashbook_categories", "employees", "users", "inventory_checks"}
@@ -252,6 +254,8 @@ class ShopTables:
 
     # sf_dir -> folder holding staged shop tables (see ``stage_shop_tables``)
     staged_dirs: dict[str, str] = {}
+    # when a set, every table name asked for is recorded (plan building only)
+    recorder: set | None = None
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -266,11 +270,13 @@ class ShopTables:
         return self._frames[key]
 
     def get(self, name: str) -> DataFrame:
+        if ShopTables.recorder is not None:
+            ShopTables.recorder.add(name)
         if name in self._frames:
             return self._frames[name]
         if name not in FIXTURE_SQL:
             raise KeyError(f"unknown shop table {name!r}")
-        if self.staged is not None:
+        if self.staged is not None and name in _STAGED_NAMES.get(self.staged, ()):
             path = f"{self.staged}/{name}"
             if path not in _STAGED_SCHEMAS:  # read the footers once, then scan with the schema
                 _STAGED_SCHEMAS[path] = self.spark.read.parquet(path).schema
@@ -308,5 +314,6 @@ def stage_shop_tables(spark: SparkSession, sf_dir: str, out_dir: str, names=None
         df = df.coalesce(1) if n in SMALL_TABLES else df.repartition(width)
         df.write.mode("overwrite").parquet(f"{out_dir}/{n}")
         t._frames[n] = spark.read.parquet(f"{out_dir}/{n}")
+    _STAGED_NAMES[out_dir] = set(wanted)
     ShopTables.staged_dirs[sf_dir] = out_dir
     return out_dir
