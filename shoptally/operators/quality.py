@@ -163,7 +163,7 @@ def allocation_over_amount(t) -> DataFrame:
 
 
 def normalise_blanks(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Q6/Q22 shape: ``SET c = NULLIF(TRIM(c), '') WHERE c IS NOT NULL``."""
+    """Q6 shape: ``SET c = NULLIF(TRIM(c), '') WHERE c IS NOT NULL``."""
     return df.where(F.col(column).isNotNull()).select(key, S.blank_to_null(column).alias(column))
 
 
@@ -173,8 +173,13 @@ def barcode_normalise(t) -> DataFrame:
 
 
 def blank_to_null_serial(t) -> DataFrame:
-    """Q22: trimmed serial numbers, blank -> NULL."""
-    return normalise_blanks(t.product_serials, "serial_id", "serial_number")
+    """Q22: ``SET serial_number = NULL WHERE TRIM(ISNULL(serial_number, '')) = ''``.
+
+    Unlike the barcode repair, other serials are left as they are (not trimmed).
+    """
+    return t.product_serials.where(S.is_blank("serial_number")).select(
+        "serial_id", F.lit(None).cast("string").alias("serial_number")
+    )
 
 
 def barcode_duplicates(t) -> DataFrame:

@@ -796,7 +796,7 @@ def _():
 
 @oracle("blank_to_null_serial")
 def _():
-    return "SELECT serial_id, nullif(trim(serial_number), '') AS serial_number FROM product_serials WHERE serial_number IS NOT NULL"
+    return f"SELECT serial_id, CAST(NULL AS VARCHAR) AS serial_number FROM product_serials WHERE {_blank('serial_number')}"
 
 
 _BARCODE_DUPS = """SELECT barcode, count(*) AS product_count FROM products WHERE barcode IS NOT NULL AND trim(barcode) <> ''

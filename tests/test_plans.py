@@ -34,3 +34,28 @@ def test_column_pruning_on_lineitem(spark):
     for line in p.splitlines():
         if "FileScan parquet" in line and "l_orderkey" in line:
             assert "l_comment" not in line and "l_tax" not in line
+
+
+def test_month_partitions_are_pruned(spark):
+    p = plan_of(spark, "typed_scan_period")
+    scans = [line for line in p.splitlines() if "FileScan parquet" in line and "order_month" in line]
+    assert scans and all("PartitionFilters: [" in line and "order_month" in line.split("PartitionFilters: [")[1].split("]")[0]
+                         for line in scans), scans
+
+
+def test_explicit_broadcasts_are_fixed_lists_only(spark):
+    """broadcast() hints appear only on the fixed category lists (bounded by construction)."""
+    import inspect
+
+    import shoptally.operators.debts as d
+    import shoptally.operators.listings as li
+    import shoptally.operators.movement as m
+    import shoptally.operators.posting as po
+    import shoptally.operators.quality as q
+    import shoptally.operators.reports as r
+    import shoptally.sources.seeds as se
+
+    for mod in (d, li, m, po, q, r, se):
+        for line in inspect.getsource(mod).splitlines():
+            if "F.broadcast(" in line:
+                assert "categor" in line or "seed" in line, (mod.__name__, line)
