@@ -139,7 +139,7 @@ def keyword_match(keyword, *columns, trim: bool = True, null_is_empty: bool = Tr
             return F.lit(False)
         keyword = ""
     kw = keyword.strip() if trim else keyword
-    if kw == "":
+    if kw.rstrip(" ") == "":  # T-SQL '=' pads with blanks: '   ' = '' is true
         return F.lit(True)
     return like_any(kw, *columns)
 
