@@ -511,6 +511,29 @@ def serial_update_validate(t, requests: DataFrame) -> DataFrame:
     return j.select("serial_id", outcome.alias("outcome"), "serial_number", "sell_price_override", "product_color", "note")
 
 
+def serial_set_number(t, requests: DataFrame) -> DataFrame:
+    """T11 (blank-only variant): set the number of a serial.
+
+    Checks in the source's order: blank number, unknown serial, number held
+    by another serial, serial already sold; otherwise the trimmed number.
+    """
+    ps = t.product_serials.select("serial_id", F.col("status").alias("_status"))
+    holders = t.product_serials.where(F.col("serial_number").isNotNull()).groupBy(
+        F.col("serial_number").alias("_sn")
+    ).agg(F.count(F.lit(1)).alias("_holders"), F.min("serial_id").alias("_any_id"))
+    req = requests.select("serial_id", S.blank_to_null("serial_number").alias("serial_number"))
+    j = req.join(ps, "serial_id", "left").join(holders, F.col("serial_number") == F.col("_sn"), "left")
+    dup = (F.col("_holders") > 1) | ((F.col("_holders") == 1) & (F.col("_any_id") != F.col("serial_id")))
+    outcome = (
+        F.when(F.col("serial_number").isNull(), F.lit("missing_serial"))
+        .when(F.col("_status").isNull(), F.lit("not_found"))
+        .when(F.coalesce(dup, F.lit(False)), F.lit("duplicate_serial"))
+        .when(F.col("_status") != 0, F.lit("sold"))
+        .otherwise(F.lit("updated"))
+    )
+    return j.select("serial_id", outcome.alias("outcome"), "serial_number")
+
+
 def serial_receive(t, requests: DataFrame, as_of) -> DataFrame:
     """New serial rows; blank serial -> NULL; in stock (status 0)."""
     return requests.select(

@@ -230,6 +230,7 @@ _POSTING = {
     "serial_sell": lambda t: T.serial_sell(t, t.serial_sell_requests),
     "serial_update_validate": lambda t: T.serial_update_validate(t, t.serial_update_requests),
     "serial_receive": lambda t: T.serial_receive(t, t.serial_receive_requests, P.as_of),
+    "serial_set_number": lambda t: T.serial_set_number(t, t.serial_update_requests),
     "cashbook_post": lambda t: T.cashbook_post(t, t.cashbook_requests),
     "cashbook_soft_delete": lambda t: T.cashbook_soft_delete(t, t.cashbook_delete_requests, P.as_of),
     "order_line_enrich": lambda t: T.order_line_enrich(t, t.order_line_requests),

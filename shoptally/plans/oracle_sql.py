@@ -1348,3 +1348,15 @@ def _():
 SELECT order_id, order_code, customer_id, order_date, order_type, status, final_amount, paid_amount, employee_id, total_amount,
   strftime(order_date, '%Y-%m') AS order_month
 FROM sales_orders WHERE order_date BETWEEN {ts(P.from_dt)} AND {ts(P.to_dt)}"""
+
+
+@oracle("serial_set_number")
+def _():
+    return """
+WITH req AS (SELECT serial_id, nullif(trim(serial_number), '') AS sn FROM serial_update_requests)
+SELECT r.serial_id,
+  CASE WHEN r.sn IS NULL THEN 'missing_serial' WHEN ps.serial_id IS NULL THEN 'not_found'
+       WHEN EXISTS (SELECT 1 FROM product_serials x WHERE x.serial_number = r.sn AND x.serial_id <> r.serial_id) THEN 'duplicate_serial'
+       WHEN ps.status <> 0 THEN 'sold' ELSE 'updated' END AS outcome,
+  r.sn AS serial_number
+FROM req r LEFT JOIN product_serials ps ON ps.serial_id = r.serial_id"""
