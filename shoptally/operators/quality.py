@@ -446,13 +446,11 @@ def duplicate_sale_inputs(t):
     """Orders and lines of the duplicate-sale fixture (lines come from ``source_id``)."""
     orders = t.duplicate_sale_candidates
     lines = orders.select("order_id", "source_id").join(
-        t.order_items.select(F.col("order_id").alias("source_id"), "product_id", "quantity", "unit_price",
-                             "gift_quantity"),
+        t.order_items.select(F.col("order_id").alias("source_id"), "product_id", "product_variant_id", "quantity",
+                             "unit_price", "gift_quantity"),
         "source_id",
     ).drop("source_id")
-    lines = lines.withColumn("product_variant_id", F.lit(None).cast("bigint")).withColumn(
-        "serial_number", F.lit(None).cast("string")
-    )
+    lines = lines.withColumn("serial_number", F.lit(None).cast("string"))
     return orders, lines
 
 
@@ -462,11 +460,11 @@ def duplicate_sale_detect_shop(t) -> DataFrame:
     return duplicate_sale_detect(orders, lines, serials)
 
 
-def duplicate_sale_reverse(t) -> DataFrame:
-    """Q18: stock to restore per product for duplicates that are later than their twin.
+def duplicate_sales_to_reverse(t):
+    """Orders of the duplicate-sale input that Q18 reverses, with the inputs.
 
     Of a detected pair the earlier order survives; the later copy is
-    reversed: Σ(quantity ± gift with the line's sign) per product.
+    reversed.
     """
     orders, lines = duplicate_sale_inputs(t)
     serials = t.product_serials.where(F.col("order_id").isNotNull()).select("order_id")
@@ -475,11 +473,63 @@ def duplicate_sale_reverse(t) -> DataFrame:
         (F.col("duplicate_of_date") < F.col("order_date"))
         | ((F.col("duplicate_of_date") == F.col("order_date")) & (F.col("duplicate_of") < F.col("order_id")))
     ).select("order_id")
+    return orders, lines, later
+
+
+def _restore_qty():
     q, g = _z("quantity"), _z("gift_quantity")
+    return F.when(q < 0, q - g).otherwise(q + g)
+
+
+def duplicate_sale_reverse(t) -> DataFrame:
+    """Q18 (stock): Σ(quantity ± gift with the line's sign) per product of the reversed orders."""
+    _, lines, later = duplicate_sales_to_reverse(t)
     return (
         lines.join(later, "order_id")
         .groupBy("product_id")
-        .agg(F.sum(F.when(q < 0, q - g).otherwise(q + g)).cast("bigint").alias("quantity_to_restore"))
+        .agg(F.sum(_restore_qty()).cast("bigint").alias("quantity_to_restore"))
+    )
+
+
+def duplicate_sale_reverse_variants(t) -> DataFrame:
+    """Q18 (variant stock): the same restore per variant, on existing variants."""
+    _, lines, later = duplicate_sales_to_reverse(t)
+    per_variant = (
+        lines.where(F.col("product_variant_id").isNotNull()).join(later, "order_id")
+        .groupBy(F.col("product_variant_id").alias("variant_id"))
+        .agg(F.sum(_restore_qty()).alias("quantity_to_restore"))
+    )
+    return t.product_variants.select("variant_id", "stock_base_qty").join(per_variant, "variant_id").select(
+        "variant_id", F.col("quantity_to_restore").cast("bigint").alias("quantity_to_restore"),
+        (_z("stock_base_qty") + F.col("quantity_to_restore")).cast(S.SUM_QTY).alias("stock_base_qty"),
+    )
+
+
+def duplicate_sale_reverse_points(t) -> DataFrame:
+    """Q18 (points): customers get back points used and lose points earned on the reversed orders.
+
+    Summed per customer first (several reversed orders of one customer all count).
+    """
+    orders, _, later = duplicate_sales_to_reverse(t)
+    delta = (
+        orders.join(later, "order_id")
+        .groupBy("customer_id")
+        .agg(F.sum(_z("points_used") - _z("points_earned")).alias("points_delta"))
+    )
+    return t.customers.select("customer_id", "points").join(delta, "customer_id").select(
+        "customer_id", F.col("points_delta").cast("bigint").alias("points_delta"),
+        (_z("points") + F.col("points_delta")).cast("bigint").alias("points"),
+    )
+
+
+def duplicate_sale_reverse_cashbook(t, as_of) -> DataFrame:
+    """Q18 (cashbook): live receipts ``BH:<order code>`` of the reversed orders are deleted."""
+    orders, _, later = duplicate_sales_to_reverse(t)
+    refs = orders.join(later, "order_id").select(F.concat(F.lit("BH:"), F.col("order_code")).alias("reference_code"))
+    return (
+        t.cashbook_entries.where(_z("is_deleted") == 0)
+        .join(refs, "reference_code", "left_semi")
+        .select("entry_id", "reference_code", F.lit(1).alias("is_deleted"), S.ts(as_of).alias("updated_at"))
     )
 
 

@@ -189,6 +189,9 @@ _QUALITY = {
     "variant_return_stock_delta": lambda t: Q.variant_return_stock_delta(t),
     "duplicate_sale_detect": lambda t: Q.duplicate_sale_detect_shop(t),
     "duplicate_sale_reverse": lambda t: Q.duplicate_sale_reverse(t),
+    "duplicate_sale_reverse_variants": lambda t: Q.duplicate_sale_reverse_variants(t),
+    "duplicate_sale_reverse_points": lambda t: Q.duplicate_sale_reverse_points(t),
+    "duplicate_sale_reverse_cashbook": lambda t: Q.duplicate_sale_reverse_cashbook(t, P.as_of),
     "unreferenced_duplicate_customer": lambda t: Q.unreferenced_duplicate_customer(t),
     "rekey_invalid_id": lambda t: Q.rekey_supplier_zero(t),
     "empty_stocktakes": lambda t: Q.empty_stocktakes(t),

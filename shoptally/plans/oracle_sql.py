@@ -916,9 +916,11 @@ FROM product_variants pv JOIN r ON r.variant_id = pv.variant_id"""
 
 
 _DUP_SALES = """
-lines AS (SELECT d.order_id, oi.product_id, 0 AS v, oi.quantity, coalesce(oi.gift_quantity, 0) AS g, oi.unit_price, '' AS s
+lines AS (SELECT d.order_id, oi.product_id, coalesce(oi.product_variant_id, 0) AS v, oi.product_variant_id AS variant_id, oi.quantity,
+                 coalesce(oi.gift_quantity, 0) AS g, oi.unit_price, '' AS s
           FROM duplicate_sale_candidates d JOIN order_items oi ON oi.order_id = d.source_id),
-lg AS (SELECT order_id, product_id, v, quantity, g, unit_price, s, count(*) AS n FROM lines GROUP BY ALL),
+lg AS (SELECT order_id, product_id, v, quantity, g, unit_price, s, count(*) AS n FROM lines
+       GROUP BY order_id, product_id, v, quantity, g, unit_price, s),
 lc AS (SELECT order_id, count(*) AS k FROM lg GROUP BY order_id),
 base AS (
   SELECT z.order_id, z.order_date, c.order_id AS cand, c.order_date AS cand_date
@@ -1360,3 +1362,39 @@ SELECT r.serial_id,
        WHEN ps.status <> 0 THEN 'sold' ELSE 'updated' END AS outcome,
   r.sn AS serial_number
 FROM req r LEFT JOIN product_serials ps ON ps.serial_id = r.serial_id"""
+
+
+_LATER = """later AS (SELECT order_id FROM hits WHERE duplicate_of_date < order_date OR (duplicate_of_date = order_date AND duplicate_of < order_id))"""
+
+
+@oracle("duplicate_sale_reverse_variants")
+def _():
+    return f"""
+WITH {_DUP_SALES.strip()},
+{_LATER},
+pv AS (SELECT l.variant_id, sum(CASE WHEN coalesce(l.quantity, 0) < 0 THEN coalesce(l.quantity, 0) - l.g ELSE coalesce(l.quantity, 0) + l.g END) AS q
+       FROM lines l JOIN later ON later.order_id = l.order_id WHERE l.variant_id IS NOT NULL GROUP BY l.variant_id)
+SELECT v.variant_id, CAST(pv.q AS BIGINT) AS quantity_to_restore, CAST(coalesce(v.stock_base_qty, 0) + pv.q AS DECIMAL(38,3)) AS stock_base_qty
+FROM product_variants v JOIN pv ON pv.variant_id = v.variant_id"""
+
+
+@oracle("duplicate_sale_reverse_points")
+def _():
+    return f"""
+WITH {_DUP_SALES.strip()},
+{_LATER},
+d AS (SELECT o.customer_id, sum(coalesce(o.points_used, 0) - coalesce(o.points_earned, 0)) AS delta
+      FROM duplicate_sale_candidates o JOIN later ON later.order_id = o.order_id GROUP BY o.customer_id)
+SELECT c.customer_id, CAST(d.delta AS BIGINT) AS points_delta, CAST(coalesce(c.points, 0) + d.delta AS BIGINT) AS points
+FROM customers c JOIN d ON d.customer_id = c.customer_id"""
+
+
+@oracle("duplicate_sale_reverse_cashbook")
+def _():
+    return f"""
+WITH {_DUP_SALES.strip()},
+{_LATER}
+SELECT e.entry_id, e.reference_code, 1 AS is_deleted, {_ASOF} AS updated_at
+FROM cashbook_entries e
+WHERE coalesce(e.is_deleted, 0) = 0
+  AND e.reference_code IN (SELECT 'BH:' || o.order_code FROM duplicate_sale_candidates o JOIN later ON later.order_id = o.order_id)"""

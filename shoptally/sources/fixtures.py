@@ -54,7 +54,8 @@ select l_orderkey order_id, l_partkey product_id, cast(l_quantity as int) * (cas
  case when l_linenumber = 3 then null when l_linenumber = 4 then cast(l_quantity * 12 as decimal(18,3)) else cast(l_quantity as decimal(18,3)) end * cast(case when l_orderkey % 11 = 0 then -1 else 1 end as decimal(1,0)) base_quantity,
  case when l_linenumber = 3 and l_orderkey % 2 = 0 then 1 else null end gift_quantity,
  case when l_linenumber % 2 = 0 then cast(l_quantity as decimal(18,3)) else null end input_quantity,
- case when l_linenumber = 7 then null else cast(1 as decimal(18,6)) end unit_conversion_to_base from {lineitem}""",
+ case when l_linenumber = 7 then null else cast(1 as decimal(18,6)) end unit_conversion_to_base,
+ case when l_partkey % 3 = 0 then l_partkey*10 + l_linenumber % 2 else null end product_variant_id from {lineitem}""",
     "customers": """
 select c_custkey customer_id, case when c_custkey % 9 = 0 then null when c_custkey % 9 = 1 then '  ' when c_custkey % 50 = 2 then 'KH000002' else concat('KH', right(concat('000000', cast(c_custkey as string)),6)) end customer_code,
  c_name name, case when c_custkey % 4 = 0 then null else concat('09', cast(c_custkey as string)) end phone, cast(c_custkey % 100 as int) points,
@@ -121,7 +122,13 @@ select event_id entry_id, ts - interval '9131' day entry_date, case when event_t
  case when event_id % 3 = 0 then 'Tiền mặt' when event_id % 3 = 1 then 'Chuyển khoản' else null end payment_method,
  case when event_id % 5 = 0 then null else concat('Doi tac ', cast(user_id % 20 as string)) end partner_name, concat('NV', cast(event_id % 12 as string)) created_by,
  case when event_id % 12 < 10 then concat('Danh muc ', cast(event_id % 12 as string)) else null end category_name,
- ts - interval '9131' day created_at, case when event_id % 4 = 0 then ts - interval '9131' day + interval '1' hour else null end updated_at from {events} where event_type <> 'error'""",
+ ts - interval '9131' day created_at, case when event_id % 4 = 0 then ts - interval '9131' day + interval '1' hour else null end updated_at from {events} where event_type <> 'error'
+ union all
+select 1000000000 + o_orderkey * 2 + k, o_orderdate, 'IN', 1, cast(floor(o_totalprice) as decimal(18,0)), 0,
+ concat('BH:HD', cast(o_orderkey + k * 100000000 as string)), 'Thu ban hang', concat('SQ', cast(1000000000 + o_orderkey * 2 + k as string)), 'Tiền mặt', null, 'NV1',
+ 'Danh muc 1', o_orderdate, null
+from (select o_orderkey, o_orderdate, o_totalprice, 0 k from {orders} where o_orderkey % 100 = 0
+      union all select o_orderkey, o_orderdate, o_totalprice, 1 k from {orders} where o_orderkey % 100 = 0) bh""",
     "employee_payrolls": """
 select user_id payroll_id, case when user_id % 5 = 0 then '  ' else concat('NV', cast(user_id as string)) end employee_name, cast(user_id % 12 as int) employee_id from (select distinct user_id from {events} where event_type='signup') u""",
     "employee_payroll_payments": """
@@ -138,9 +145,11 @@ select import_detail_id serial_id, product_id, import_id, case when import_detai
  case when import_detail_id % 4 = 1 then import_id else null end order_id, case when import_detail_id % 5 = 0 then import_price else null end sell_price_override,
  case when import_detail_id % 8 = 3 then 'Den' else null end product_color, case when import_detail_id % 9 = 0 then 'Tray xuoc' else null end note, line_date created_at from {import_details}""",
     "duplicate_sale_candidates": """
+select order_id, customer_id, final_amount, order_date, source_id, order_type, concat('HD', cast(order_id as string)) order_code,
+ cast(source_id % 5 as int) points_used, cast(floor(final_amount / 100000) as int) points_earned from (
 select o_orderkey order_id, o_custkey customer_id, cast(floor(o_totalprice) as decimal(18,0)) final_amount, o_orderdate order_date, o_orderkey source_id, 'SALE' order_type from {orders}
  union all select o_orderkey + 100000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '20' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 100 = 0
- union all select o_orderkey + 200000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '90' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 150 = 0""",
+ union all select o_orderkey + 200000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '90' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 150 = 0) d""",
     "inventory_checks": """
 select cast(user_id % 20 as int) check_id, min(ts - interval '9131' day) check_date from {events} where event_type='error' group by cast(user_id % 20 as int)""",
     "inventory_check_details": """
