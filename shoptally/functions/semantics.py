@@ -38,6 +38,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def nz(c, default=0) -> Column:
+    """``ISNULL(x, default)``."""
+    return F.coalesce(col(c), F.lit(default))
+
+
 def isnull_str(c, default: str = "") -> Column:
     return F.coalesce(col(c), F.lit(default))
 

@@ -19,8 +19,7 @@ from ..functions import semantics as S
 
 
 
-def _z(c):
-    return F.coalesce(F.col(c), F.lit(0))
+_z = S.nz
 
 
 def order_balance(t, cond, name="order_debt") -> DataFrame:

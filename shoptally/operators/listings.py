@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import semantics as S
 
 
-def _z(c, v=0):
-    return F.coalesce(S.col(c), F.lit(v))
+_z = S.nz
 
 
 def _s(c, v=""):

@@ -46,8 +46,7 @@ ITEM_SCHEMA = (
 )
 
 
-def _z(c, v=0):
-    return F.coalesce(S.col(c), F.lit(v))
+_z = S.nz
 
 
 # ---------------------------------------------------------------- A2: XML line items

@@ -60,8 +60,7 @@ BANK_CODES = {
 # ---------------------------------------------------------------------------
 
 
-def _z(c, v=0):
-    return F.coalesce(S.col(c), F.lit(v))
+_z = S.nz
 
 
 def payroll_ref(payment_id) -> F.Column:

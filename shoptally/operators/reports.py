@@ -25,8 +25,7 @@ from . import debts
 
 
 
-def _z(c):
-    return F.coalesce(F.col(c), F.lit(0))
+_z = S.nz
 
 
 def one_row(*frames: DataFrame) -> DataFrame:
