@@ -339,10 +339,11 @@ def imports_returnable(t, from_dt, to_dt, keyword: str = "") -> DataFrame:
         & S.status_in("status", S.PAID_OR_COMPLETED)
     )
     s = t.suppliers.select("supplier_id", "supplier_name")
-    open_lines = (
+    open_lines = (  # distinct import ids: the semi join's right side has no hot key
         t.import_details.join(returned_qty_per_import_line(t), "import_detail_id", "left")
         .where(_z("quantity") > _z("returned_qty"))
         .select("import_id")
+        .distinct()
     )
     returned = (
         t.purchase_returns.where(S.not_cancelled_broad("status"))

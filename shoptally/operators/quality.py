@@ -63,6 +63,17 @@ BANK_CODES = {
 _z = S.nz
 
 
+def _keys(df: DataFrame, key: str) -> DataFrame:
+    """Distinct non-NULL keys of a fact table, for the right side of a semi/anti join.
+
+    Spark's skew handling cannot split the right side of a semi or anti
+    join; de-duplicating first (a partial aggregate per task) means one
+    customer with a third of all orders sends one row, not a third of the
+    table, to one reducer.
+    """
+    return df.where(F.col(key).isNotNull()).select(key).distinct()
+
+
 def payroll_ref(payment_id) -> F.Column:
     return F.concat(F.lit(PAYROLL_PREFIX), S.col(payment_id).cast("string"))
 
@@ -82,7 +93,11 @@ def payroll_cashbook_missing(t) -> DataFrame:
     )
     adv_id = cats.where(F.col("category_name") == ADVANCE_CATEGORY).agg(F.min("category_id")).scalar()
     set_id = cats.where(F.col("category_name") == SETTLEMENT_CATEGORY).agg(F.min("category_id")).scalar()
-    live_refs = t.cashbook_entries.where(F.col("is_deleted") == 0).select("reference_code")
+    # distinct non-NULL keys: the anti join's right side never holds a hot key
+    live_refs = (
+        t.cashbook_entries.where((F.col("is_deleted") == 0) & F.col("reference_code").isNotNull())
+        .select("reference_code").distinct()
+    )
     pp = t.employee_payroll_payments.where(
         (F.col("is_void") == 0) & (F.col("amount") > 0) & F.col("payment_type").isin("ADVANCE", "SETTLEMENT")
     ).withColumn("reference_code", payroll_ref("payment_id"))
@@ -546,9 +561,9 @@ def unreferenced_duplicate_customer(t) -> DataFrame:
     twins = c.groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_cnt")).where(F.col("_cnt") > 1).select("_n", "_p")
     return (
         c.join(twins, ["_n", "_p"], "left_semi")
-        .join(t.sales_orders.select("customer_id"), "customer_id", "left_anti")
-        .join(t.customer_payments.select("customer_id"), "customer_id", "left_anti")
-        .join(t.customer_debt_adjustments.select("customer_id"), "customer_id", "left_anti")
+        .join(_keys(t.sales_orders, "customer_id"), "customer_id", "left_anti")
+        .join(_keys(t.customer_payments, "customer_id"), "customer_id", "left_anti")
+        .join(_keys(t.customer_debt_adjustments, "customer_id"), "customer_id", "left_anti")
         .select("customer_id", "name", "phone")
     )
 
@@ -594,7 +609,7 @@ def empty_stocktakes(t) -> DataFrame:
     """Q21: stocktake headers with id 0 and no detail lines."""
     return (
         t.inventory_checks.where(F.col("check_id") == 0)
-        .join(t.inventory_check_details.select("check_id"), "check_id", "left_anti")
+        .join(_keys(t.inventory_check_details, "check_id"), "check_id", "left_anti")
         .select("check_id", "check_date")
     )
 

@@ -58,7 +58,8 @@ def cashbook_category_seed(categories: DataFrame) -> DataFrame:
     plus missing seed rows numbered after the largest existing id."""
     spark = categories.sparkSession
     seed = F.broadcast(seed_frame(spark))  # a fixed list of 18 rows
-    missing = seed.join(categories.select("category_type", "category_name"), ["category_type", "category_name"], "left_anti")
+    missing = seed.join(categories.select("category_type", "category_name").distinct(), ["category_type", "category_name"],
+                        "left_anti")
     max_id = categories.agg(F.coalesce(F.max("category_id"), F.lit(0)).cast("int")).scalar()
     from ..functions.ranking import row_number_by_id
 
