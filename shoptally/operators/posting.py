@@ -178,12 +178,13 @@ def return_request_validate(t, requests: DataFrame) -> DataFrame:
     with the same code resolve to it; earlier invalid ones are rejected.
     New ids continue after the largest existing return id, in request order.
 
-    The per-request result (one small row per request) is checkpointed to
-    ``spark.checkpoint.dir`` before ids are numbered: it is used three times
-    below and recomputing the parse and the joins each time would triple
-    the work; the checkpoint also survives the loss of an executor.
+    The per-request result (one small row per request) is written to
+    ``spark.checkpoint.dir`` and read back before ids are numbered: it is
+    used three times below and recomputing the parse and the joins each time
+    would triple the work; the written files also survive the loss of an
+    executor.
     """
-    from ..session import checkpoint_dir
+    from ..session import materialize
 
     existing = t.purchase_returns.groupBy("return_code").agg(F.min("return_id").alias("existing_id"))
     checked = return_request_checks(t, requests)
@@ -199,8 +200,7 @@ def return_request_validate(t, requests: DataFrame) -> DataFrame:
         .when(F.col("request_id") > F.col("_first_ok"), F.lit("existing"))
         .otherwise(F.lit("rejected"))
     )
-    checkpoint_dir(j.sparkSession)
-    j = j.withColumn("outcome", outcome).checkpoint(eager=True)
+    j = materialize(j.withColumn("outcome", outcome), "return-requests")
     max_id = t.purchase_returns.agg(F.coalesce(F.max("return_id"), F.lit(0)).cast("bigint")).scalar()
     accepted = row_number_by_id(j.where(F.col("outcome") == "accepted").select("request_id", "return_code"), [],
                                 "request_id", "_rank")

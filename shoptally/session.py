@@ -51,3 +51,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # noqa: BLE001
         pass
     return d
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as parquet under the shared checkpoint
+    folder and reading it back.
+
+    Used where one intermediate feeds several branches of a plan. Unlike an
+    in-memory cache the written files survive the loss of an executor, and
+    the read-back plan carries real file sizes for AQE's join choices.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/materialized/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -211,7 +211,7 @@ select order_id, product_id, quantity, unit_price,
 union all select order_id, product_id + 1000000, quantity, unit_price, null, null from {order_items}""",
 }
 
-_STAGED_SCHEMAS: dict = {}
+_STAGED_FRAMES: dict = {}
 _STAGED_NAMES: dict[str, set] = {}
 
 # fixed or tiny lists (bounded by construction, not by the data size)
@@ -287,9 +287,9 @@ class ShopTables:
             raise KeyError(f"unknown shop table {name!r}")
         if self.staged is not None and name in _STAGED_NAMES.get(self.staged, ()):
             path = f"{self.staged}/{name}"
-            if path not in _STAGED_SCHEMAS:  # read the footers once, then scan with the schema
-                _STAGED_SCHEMAS[path] = self.spark.read.parquet(path).schema
-            df = self.spark.read.schema(_STAGED_SCHEMAS[path]).parquet(path)
+            if path not in _STAGED_FRAMES:  # list the files and read the footers once per staged table
+                _STAGED_FRAMES[path] = self.spark.read.parquet(path)
+            df = _STAGED_FRAMES[path]
             self._frames[name] = df
             return df
         refs = {d: (self.get(d) if d in FIXTURE_SQL else self.driver(d)) for d in fixture_deps(name)}
