@@ -390,6 +390,48 @@ def stock_reduce(t, requests: DataFrame) -> DataFrame:
     )
 
 
+def _fold_reduce(batches):
+    cur, stock, found = None, 0, False
+    for pdf in batches:
+        out_stock, out_outcome = [], []
+        for pid, st0, fnd, qty in zip(pdf["product_id"], pdf["stock0"], pdf["found"], pdf["quantity"]):
+            if pid != cur:
+                cur, stock, found = pid, (0 if pd.isna(st0) else int(st0)), bool(fnd)
+            q = 0 if pd.isna(qty) else int(qty)
+            if q <= 0:
+                out_outcome.append("ignored")
+            elif found and stock >= q:
+                stock -= q
+                out_outcome.append("accepted")
+            else:
+                out_outcome.append("rejected")
+            out_stock.append(stock if found else None)
+        yield pd.DataFrame({
+            "order_id": pdf["order_id"], "product_id": pdf["product_id"], "quantity": pdf["quantity"],
+            "outcome": out_outcome, "stock_after": pd.array(out_stock, dtype="Int64"),
+        })
+
+
+def stock_reduce_sequential(t, requests: DataFrame) -> DataFrame:
+    """T6 as sequential calls: each request (in order) reduces stock only when
+    the stock left by the earlier requests covers it; quantity <= 0 is ignored.
+
+    Requests of one product depend on each other, so they are
+    hash-partitioned by product, sorted in request order (order id, then
+    quantity; equal rows are interchangeable) and folded streaming by
+    ``mapInPandas`` - constant state, no group held in memory.
+    """
+    p = t.products.select("product_id", F.col("stock").cast("bigint").alias("stock0"), F.lit(True).alias("found"))
+    r = requests.select("order_id", "product_id", F.col("quantity").cast("bigint").alias("quantity")).join(
+        p, "product_id", "left"
+    ).withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
+    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ordered = r.repartition(n, "product_id").sortWithinPartitions("product_id", "order_id", "quantity")
+    return ordered.mapInPandas(
+        _fold_reduce, "order_id bigint, product_id bigint, quantity bigint, outcome string, stock_after bigint"
+    )
+
+
 def stock_adjust(t, requests: DataFrame) -> DataFrame:
     """Signed stock change per product; unknown products are reported (found = 0)."""
     req = requests.groupBy("product_id").agg(F.sum(_z("quantity")).alias("delta"))

@@ -227,6 +227,7 @@ _POSTING = {
         {k: v for k, v in T.return_cancel(t, t.return_cancel_requests, P.as_of).items()}),
     "moving_average_cost": lambda t: T.moving_average_cost(t, T.receipts_from_imports(t), P.price_method),
     "stock_reduce": lambda t: T.stock_reduce(t, t.stock_reduce_requests),
+    "stock_reduce_sequential": lambda t: T.stock_reduce_sequential(t, t.stock_reduce_requests),
     "stock_adjust": lambda t: T.stock_adjust(t, _stocktake_requests(t)),
     "order_cancel": lambda t: T.order_cancel(t, t.order_cancel_requests),
     "order_delete_eligible": lambda t: T.order_delete_eligible(t, t.order_delete_requests),

@@ -1398,3 +1398,24 @@ SELECT e.entry_id, e.reference_code, 1 AS is_deleted, {_ASOF} AS updated_at
 FROM cashbook_entries e
 WHERE coalesce(e.is_deleted, 0) = 0
   AND e.reference_code IN (SELECT 'BH:' || o.order_code FROM duplicate_sale_candidates o JOIN later ON later.order_id = o.order_id)"""
+
+
+@oracle("stock_reduce_sequential")
+def _():
+    return """
+WITH RECURSIVE rq AS (
+  SELECT order_id, product_id, quantity, row_number() OVER (PARTITION BY product_id ORDER BY order_id, quantity) AS rn
+  FROM stock_reduce_requests WHERE product_id IN (SELECT product_id FROM products)),
+p0 AS (SELECT product_id, CAST(coalesce(stock, 0) AS BIGINT) AS s FROM products WHERE product_id IN (SELECT product_id FROM rq)),
+f(product_id, rn, s, order_id, quantity, outcome) AS (
+  SELECT product_id, 0, s, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM p0
+  UNION ALL
+  SELECT f.product_id, f.rn + 1,
+    CASE WHEN coalesce(r.quantity, 0) > 0 AND f.s >= r.quantity THEN f.s - r.quantity ELSE f.s END,
+    r.order_id, CAST(r.quantity AS BIGINT),
+    CASE WHEN coalesce(r.quantity, 0) <= 0 THEN 'ignored' WHEN f.s >= r.quantity THEN 'accepted' ELSE 'rejected' END
+  FROM f JOIN rq r ON r.product_id = f.product_id AND r.rn = f.rn + 1)
+SELECT order_id, product_id, quantity, outcome, s AS stock_after FROM f WHERE rn > 0
+UNION ALL
+SELECT order_id, product_id, CAST(quantity AS BIGINT), CASE WHEN coalesce(quantity, 0) <= 0 THEN 'ignored' ELSE 'rejected' END, CAST(NULL AS BIGINT)
+FROM stock_reduce_requests WHERE product_id NOT IN (SELECT product_id FROM products) OR product_id IS NULL"""

@@ -19,7 +19,7 @@ def test_no_python_udf_no_cartesian(spark, key):
     assert "BatchEvalPython" not in p, "row-at-a-time Python UDF in the plan"
     assert "CartesianProduct" not in p
     assert "BroadcastNestedLoopJoin" not in p
-    if key != "moving_average_cost":  # the one sequential fold runs as mapInPandas
+    if key not in ("moving_average_cost", "stock_reduce_sequential"):  # the sequential folds run as mapInPandas
         assert "MapInPandas" not in p and "FlatMapGroupsInPandas" not in p and "ArrowEvalPython" not in p
 
 
