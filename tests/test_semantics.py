@@ -267,3 +267,25 @@ def test_xml_items_bad_empty_and_typed(spark):
 def test_cashbook_entry_code(spark):
     df = spark.createDataFrame([(dt.datetime(2026, 8, 9, 23, 59), 1234567)], "d timestamp_ntz, id long")
     assert df.select(quality.entry_code("d", "id")).collect()[0][0] == "SQ260809234567"
+
+
+def test_stock_reduce_sequential_replays_calls(spark):
+    rnd = random.Random(5)
+    stock = {1: 10, 2: 0, 3: None}
+    reqs = [(rnd.randint(1, 50), rnd.choice([1, 2, 3, 4]), rnd.choice([-1, 0, 1, 3, 5, 8])) for _ in range(120)]
+    t = SimpleNamespace(products=spark.createDataFrame(list(stock.items()), "product_id long, stock int"))
+    r = spark.createDataFrame(reqs, "order_id long, product_id long, quantity int")
+    got = sorted((x["order_id"], x["product_id"], x["quantity"], x["outcome"], x["stock_after"])
+                 for x in posting.stock_reduce_sequential(t, r).collect())
+    want = []
+    left = {k: (v or 0) for k, v in stock.items()}
+    for o, p, q in sorted(reqs, key=lambda x: (x[1], x[0], x[2])):
+        if q <= 0:
+            outcome = "ignored"
+        elif p in left and left[p] >= q:
+            left[p] -= q
+            outcome = "accepted"
+        else:
+            outcome = "rejected"
+        want.append((o, p, q, outcome, left.get(p)))
+    assert got == sorted(want)
