@@ -268,6 +268,6 @@ def _(t):
     from ..functions import semantics as S
 
     a, b = S.parse_dt(P.from_dt), S.parse_dt(P.to_dt)
-    return TB.read_shop_table(t.spark, root, "sales_orders").where(
+    return TB.read_shop_table(t.spark, root, "sales_orders", partitioned=True).where(
         F.col("order_month").between(a.strftime("%Y-%m"), b.strftime("%Y-%m")) & S.in_closed("order_date", a, b)
     )

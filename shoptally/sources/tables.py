@@ -12,26 +12,58 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Declared schemas of the shop tables (the data model of SURVEY §1.1, reduced
+# to the columns the operators read): money decimal(18,0), quantities
+# decimal(18,3), naive timestamp_ntz times.
 SHOP_SCHEMAS = {
-    "sales_orders": "order_id bigint, order_code string, customer_id bigint, order_date timestamp_ntz, "
-                    "order_type string, status string, final_amount decimal(18,0), paid_amount decimal(18,0), "
-                    "employee_id int, total_amount decimal(18,0), order_month string",
-    "order_items": "order_id bigint, product_id bigint, quantity int, unit_price decimal(18,0), cost_price decimal(18,0), "
-                   "base_quantity decimal(18,3), gift_quantity int, input_quantity decimal(18,3), "
-                   "unit_conversion_to_base decimal(18,6)",
-    "products": "product_id bigint, product_code string, barcode string, product_name string, category_id int, "
-                "unit_id int, sell_price decimal(18,2), import_price decimal(18,0), stock int, is_active int",
-    "cashbook_entries": "entry_id bigint, entry_date timestamp_ntz, entry_type string, category_id int, "
-                        "amount decimal(18,0), is_deleted int, reference_code string, description string",
+"products": "product_id bigint, product_code string, barcode string, product_name string, category_id int, unit_id int, sell_price decimal(18,2), import_price decimal(18,0), stock int, is_active int, product_location string, created_at timestamp_ntz, warranty_months int, has_serial int, image_path string",
+    "categories": "category_id int, category_name string",
+    "units": "unit_id int, unit_name string",
+    "sales_orders": "order_id bigint, order_code string, customer_id bigint, order_date timestamp_ntz, order_type string, status string, final_amount decimal(18,0), paid_amount decimal(18,0), employee_id int, total_amount decimal(18,0)",
+    "order_items": "order_id bigint, product_id bigint, quantity int, unit_price decimal(18,0), cost_price decimal(18,0), base_quantity decimal(18,3), gift_quantity int, input_quantity decimal(18,3), unit_conversion_to_base decimal(18,6), product_variant_id bigint",
+    "customers": "customer_id bigint, customer_code string, name string, phone string, points int, address string, email string, created_at timestamp_ntz",
+    "customer_payments": "payment_id bigint, customer_id bigint, payment_date timestamp_ntz, amount decimal(18,0), payment_method string, employee_id bigint, note string",
+    "customer_debt_adjustments": "adjustment_id bigint, customer_id bigint, adjustment_date timestamp_ntz, amount decimal(18,0)",
+    "customer_debt_discount_allocations": "adjustment_id bigint, order_id bigint, amount decimal(18,0)",
+    "employees": "employee_id bigint, name string",
+    "users": "user_id bigint, username string, employee_id bigint",
+    "suppliers": "supplier_id bigint, supplier_name string, phone string, address string, email string, tax_code string, bank_code string, bank_name string, bank_account string, bank_owner string, is_active int",
+    "import_details": "import_detail_id bigint, import_id bigint, product_id bigint, variant_id bigint, quantity int, base_quantity decimal(18,3), import_price decimal(18,0), total decimal(18,0), rf string, line_date timestamp_ntz, input_quantity decimal(18,3), unit_conversion_to_base decimal(18,6)",
+    "imports": "import_id bigint, import_code string, supplier_id bigint, import_date timestamp_ntz, final_amount decimal(18,0), paid_amount decimal(18,0), status string, employee_id int, payment_method string, note string, total_amount decimal(18,0), vat_amount decimal(18,0), discount decimal(18,0)",
+    "purchase_return_details": "return_detail_id bigint, return_id bigint, import_detail_id bigint, product_id bigint, variant_id bigint, quantity int, import_price decimal(18,0), total decimal(18,0), reason string",
+    "purchase_returns": "return_id bigint, return_code string, import_id bigint, supplier_id bigint, employee_id int, return_date timestamp_ntz, total_amount decimal(18,0), status string, settlement_type string, refund_method string, note string",
+    "supplier_payments": "payment_id bigint, supplier_id bigint, payment_date timestamp_ntz, amount decimal(18,0), payment_method string, employee_id bigint, note string",
+    "stocktake": "product_id bigint, check_date timestamp_ntz, difference decimal(18,3)",
+    "cashbook_categories": "category_id int, category_type string, category_name string, affects_profit int, is_active int, sort_order int, is_system int",
+    "cashbook_entries": "entry_id bigint, entry_date timestamp_ntz, entry_type string, category_id int, amount decimal(18,0), is_deleted int, reference_code string, description string, entry_code string, payment_method string, partner_name string, created_by string, category_name string, created_at timestamp_ntz, updated_at timestamp_ntz",
+    "employee_payrolls": "payroll_id bigint, employee_name string, employee_id int",
+    "employee_payroll_payments": "payment_id bigint, payroll_id bigint, payment_type string, payment_date timestamp_ntz, amount decimal(18,0), payment_method string, is_void int, note string, created_by string",
+    "product_variants": "variant_id bigint, product_id bigint, sku_code string, variant_name string, color_value string, size_value string, stock_base_qty decimal(18,3), barcode string",
+    "product_serials": "serial_id bigint, product_id bigint, import_id bigint, serial_number string, status int, order_id bigint, sell_price_override decimal(18,0), product_color string, note string, created_at timestamp_ntz",
+    "inventory_checks": "check_id int, check_date timestamp_ntz",
+    "inventory_check_details": "check_detail_id bigint, check_id int, product_id bigint, difference decimal(18,3)",
 }
 
-# month partition column for the fact tables that are filtered by period
+# month partition column of the fact tables that are filtered by period
 PARTITION_BY = {"sales_orders": ("order_month", "order_date")}
 
 
-def read_shop_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A1: ``spark.read.schema(declared).parquet(root/name)``."""
-    return spark.read.schema(SHOP_SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
+def schema_ddl(name: str, partitioned: bool = False) -> str:
+    ddl = SHOP_SCHEMAS[name]
+    if partitioned and name in PARTITION_BY:
+        ddl += f", {PARTITION_BY[name][0]} string"
+    return ddl
+
+
+def read_shop_table(spark: SparkSession, root: str, name: str, partitioned: bool = False) -> DataFrame:
+    """A1: ``spark.read.schema(declared).parquet(root/name)`` - no inference, no footer reads."""
+    return spark.read.schema(schema_ddl(name, partitioned)).parquet(f"{root.rstrip('/')}/{name}")
+
+
+def conform(df: DataFrame, name: str) -> DataFrame:
+    """Project and cast a frame to the declared schema of shop table ``name``."""
+    fields = [f.split(" ", 1) for f in (x.strip() for x in SHOP_SCHEMAS[name].split(", "))]
+    return df.select(*[F.col(c).cast(ty).alias(c) for c, ty in fields])
 
 
 def write_result(df: DataFrame, path: str, partition_by: str | None = None, mode: str = "overwrite",
@@ -53,10 +85,37 @@ def write_result(df: DataFrame, path: str, partition_by: str | None = None, mode
 
 
 def stage_partitioned(df: DataFrame, name: str, root: str) -> None:
-    """Write a shop table under ``root`` with its month partition column."""
+    """Write a shop table under ``root`` (month-partitioned when declared so)."""
+    df = conform(df, name)
     if name in PARTITION_BY:
         part, ts_col = PARTITION_BY[name]
-        df = df.withColumn(part, F.date_format(ts_col, "yyyy-MM"))
-        write_result(df, f"{root.rstrip('/')}/{name}", part)
+        write_result(df.withColumn(part, F.date_format(ts_col, "yyyy-MM")), f"{root.rstrip('/')}/{name}", part)
     else:
         write_result(df, f"{root.rstrip('/')}/{name}")
+
+
+def export_shop_tables(tables, root: str, names=None) -> None:
+    """A4: write shop tables (any object with table attributes) to ``root`` in their declared types."""
+    for n in names or SHOP_SCHEMAS:
+        stage_partitioned(getattr(tables, n), n, root)
+
+
+class ShopWarehouse:
+    """The shop tables of a folder of parquet tables, as typed scans (A1).
+
+    ``ShopWarehouse(spark, root).sales_orders`` reads ``root/sales_orders``
+    with the declared schema; every operator accepts it in place of the
+    test fixtures.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self._frames: dict[str, DataFrame] = {}
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name.startswith("_") or name not in SHOP_SCHEMAS:
+            raise AttributeError(name)
+        if name not in self._frames:
+            self._frames[name] = read_shop_table(self.spark, self.root, name, partitioned=name in PARTITION_BY)
+        return self._frames[name]
