@@ -239,6 +239,7 @@ _POSTING = {
     "cashbook_soft_delete": lambda t: T.cashbook_soft_delete(t, t.cashbook_delete_requests, P.as_of),
     "order_line_enrich": lambda t: T.order_line_enrich(t, t.order_line_requests),
     "payment_method_default": lambda t: T.payment_method_default(t.customer_payments, "payment_id"),
+    "import_payment_method_default": lambda t: T.payment_method_default(t.imports, "import_id"),
 }
 for _k, _f in _POSTING.items():
     query(_k)(_f)

@@ -1419,3 +1419,8 @@ SELECT order_id, product_id, quantity, outcome, s AS stock_after FROM f WHERE rn
 UNION ALL
 SELECT order_id, product_id, CAST(quantity AS BIGINT), CASE WHEN coalesce(quantity, 0) <= 0 THEN 'ignored' ELSE 'rejected' END, CAST(NULL AS BIGINT)
 FROM stock_reduce_requests WHERE product_id NOT IN (SELECT product_id FROM products) OR product_id IS NULL"""
+
+
+@oracle("import_payment_method_default")
+def _():
+    return "SELECT import_id, coalesce(nullif(trim(payment_method), ''), 'Tiền mặt') AS payment_method FROM imports"
