@@ -21,6 +21,9 @@ DEFAULTS = {
 }
 
 
+_LOCAL_DIR: str | None = None
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None, app: str = "shoptally") -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
@@ -38,19 +41,18 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    Only when the setting is unset (local tests) a scratch folder is
-    created and registered; on a cluster the platform's shared folder is
-    always used.
+    On a cluster the setting is required: no other folder is known to be
+    shared by driver and executors. A local session (tests), where all of
+    them are one process, uses a scratch folder if it is unset.
     """
+    global _LOCAL_DIR
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = tempfile.mkdtemp(prefix="shoptally-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    try:  # classic sessions; a Spark Connect session reads the conf instead
-        spark.sparkContext.setCheckpointDir(d)
-    except Exception:  # noqa: BLE001
-        pass
-    return d
+    if d:
+        return d
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _LOCAL_DIR = _LOCAL_DIR or tempfile.mkdtemp(prefix="shoptally-local-")
+    return _LOCAL_DIR
 
 
 def materialize(df, name: str = "stage"):
