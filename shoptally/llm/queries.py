@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoptally.llm import bpe, chat, quality_rules, sharding
+from shoptally.llm import bpe, chat, decontaminate, ngram_join, quality_rules, sharding
 from shoptally.llm.common import read
 
 C = F.col
@@ -25,6 +25,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, "text", *ranks())
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document and benchmark item found in it."""
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return sharding.shard_rows(docs, C("doc_id"), C("text"), keep=["doc_id"])
@@ -50,9 +55,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.length("formatted").cast("long").alias("formatted_chars"), "valid", "bad_turn")
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op4_decontaminate": op4_decontaminate,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
+    "op10_ngram_join": op10_ngram_join,
 }
