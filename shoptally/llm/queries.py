@@ -6,7 +6,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoptally.llm import bpe, chat, decontaminate, ngram_join, quality_rules, sharding
+from shoptally.llm import (
+    bpe,
+    chat,
+    decontaminate,
+    license_scan,
+    line_dedup,
+    ngram_join,
+    quality_rules,
+    secret_scan,
+    sharding,
+    url_filter,
+)
 from shoptally.llm.common import read
 
 C = F.col
@@ -20,16 +31,67 @@ def ranks() -> tuple[str, str]:
     return public_tokenizers.path(RANKS), public_tokenizers.PATTERN
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return line_dedup.dedup_lines(docs, C("doc_id"), C("text"), keep=["doc_id"])
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(docs, "text", *ranks())
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """The pages with a fetch day within 2024 (the table has none)."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(C("page_id") * 7919, F.lit(366)).cast("int")).alias("day"))
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """Dated list events derived from the hosts that occur: every host's
+    parent domain is blocked from one day of the year to another, advertising
+    hosts for good, mobile hosts are allowed again for a time, and the German
+    pages of every host are blocked in the second half of the year."""
+    hosts = pages.select(url_filter.host_of(C("url")).alias("host")).where("host is not null").distinct()
+    seed = F.ascii("host") * 31 + F.ascii(F.right("host", F.lit(9))) * 7 + F.length("host") * 17
+    hosts = hosts.withColumn("v", F.pmod(seed, F.lit(300)).cast("int"))
+    day = lambda n: F.date_add(F.lit("2024-01-01").cast("date"), n)
+    event = lambda lst, kind, pattern, action, on: F.struct(F.lit(lst).alias("list"), F.lit(kind).alias("kind"), pattern.alias("pattern"),
+                                                            F.lit(action).alias("action"), on.alias("day"))
+    domain = F.substring_index("host", ".", -3)
+    ads, mobile = F.contains("host", F.lit("ads-")), F.startswith("host", F.lit("m."))
+    events = F.array(
+        event("block", "domain", domain, "add", day(C("v"))), event("block", "domain", domain, "remove", day(C("v") + 40)),
+        event("block", "prefix", F.concat("host", F.lit("/de")), "add", F.lit("2024-07-01").cast("date")),
+        F.when(ads, event("block", "host", C("host"), "add", F.lit("2024-02-01").cast("date"))),
+        F.when(mobile, event("allow", "host", C("host"), "add", day(C("v") + 10))),
+        F.when(mobile, event("allow", "host", C("host"), "remove", day(C("v") + 20))))
+    return hosts.select(F.explode(F.array_compact(events)).alias("e")).select("e.*")
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.filter_urls(captures(pages), C("url"), C("day"), list_entries(pages), ["page_id", "url"])
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per document and benchmark item found in it."""
     return decontaminate.find_leaks(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "benchmark"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.find_licenses(read(spark, sf_dir, "documents"), C("doc_id"), C("text"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = secret_scan.scan_secrets(docs, C("text"), keep=["doc_id"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in secret_scan.BASE],
+                        F.sha2(listed(base), 256).alias("base_sha256"), listed(C("spans")).alias("spans"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return sharding.shard_rows(docs, C("doc_id"), C("text"), keep=["doc_id"])
@@ -60,8 +122,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
+    "op3_url_filter": op3_url_filter,
     "op4_decontaminate": op4_decontaminate,
+    "op5_license_scan": op5_license_scan,
+    "op6_secret_scan": op6_secret_scan,
     "op7_sharding": op7_sharding,
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
