@@ -158,6 +158,11 @@ def _map(df: DataFrame, drop: str | None, fields: list[T.StructField], make) ->
     return df.mapInArrow(run, schema)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat))
+
+
 def encode_texts(df: DataFrame, text: str, path: str, pattern: str, offsets: bool = False) -> DataFrame:
     """The rows with ``ids`` array<int> (and ``offsets`` array<struct<start,
     end>>) in place of the text."""
@@ -168,13 +173,12 @@ def encode_texts(df: DataFrame, text: str, path: str, pattern: str, offsets: boo
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         bpe = tokenizer(path, pattern)
         ids = [bpe.encode(t or "") for t in b.column(text).to_pylist()]
-        ends = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
-        flat = lambda xs: pa.array(np.concatenate(xs).astype(np.int32)) if xs else pa.array([], pa.int32())
-        out = [pa.ListArray.from_arrays(ends, flat(ids))]
+        out = [_lists(ids)]
         if offsets:
             at = [bpe.offsets(i) for i in ids]
-            pairs = pa.StructArray.from_arrays([flat([a for a, _ in at]), flat([b for _, b in at])], ["start", "end"])
-            out.append(pa.ListArray.from_arrays(ends, pairs))
+            start, end = _lists([a for a, _ in at]), _lists([b for _, b in at])
+            pairs = pa.StructArray.from_arrays([start.values, end.values], ["start", "end"])
+            out.append(pa.ListArray.from_arrays(start.offsets, pairs))
         return out
 
     return _map(df, text, fields, make)
@@ -194,20 +198,25 @@ def decode_ids(df: DataFrame, ids: str, path: str, pattern: str) -> DataFrame:
     return _map(df, ids, fields, make)
 
 
-def digests(df: DataFrame, text: str, path: str, pattern: str) -> DataFrame:
+def digests(df: DataFrame, text: str, path: str, pattern: str, ids: bool = False) -> DataFrame:
     """Encode and decode in one pass over the rows: ``n_tokens``,
     ``ids_sha256`` (ids as little-endian unsigned 32-bit integers) and
-    ``decoded_sha256`` (the decoded bytes) in place of the text."""
+    ``decoded_sha256`` (the decoded bytes), and ``ids`` if asked, in place of
+    the text."""
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
+    if ids:
+        fields.append(T.StructField("ids", T.ArrayType(T.IntegerType(), False)))
 
     def make(b: pa.RecordBatch) -> list[pa.Array]:
         bpe = tokenizer(path, pattern)
-        n, of_ids, of_bytes = [], [], []
+        n, of_ids, of_bytes, every = [], [], [], []
         for t in b.column(text).to_pylist():
-            ids = bpe.encode(t or "")
-            n.append(len(ids))
-            of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
-            of_bytes.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-        return [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
+            got = bpe.encode(t or "")
+            n.append(len(got))
+            of_ids.append(hashlib.sha256(got.tobytes()).hexdigest())
+            of_bytes.append(hashlib.sha256(bpe.decode(got)).hexdigest())
+            if ids:
+                every.append(got)
+        return [pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string()), *([_lists(every)] if ids else [])]
 
     return _map(df, text, fields, make)

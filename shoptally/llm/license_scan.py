@@ -74,11 +74,12 @@ def _bands(shingles: Column, bands: int) -> Column:
 
 def _windows(g: Column, n: int, m: int, anchors: Column) -> Column:
     """The windows of 2 m shingles at every m-th that hold an anchor."""
-    starts = F.when(F.size(g) > 0, F.sequence(F.lit(0), F.greatest(F.size(g) - 1, F.lit(0)), F.lit(m)))
+    starts = F.sequence(F.lit(0), F.greatest(F.size(g) - 1, F.lit(0)), F.lit(m))
     part = lambda i: F.slice(g, i + 1, F.lit(2 * m))
     held = F.filter(starts, lambda i: F.arrays_overlap(part(i), anchors))
     rows = F.transform(held, lambda i: F.struct(F.lit(n).alias("n"), F.lit(m).alias("m"), i.alias("at"), part(i).alias("window")))
-    return F.coalesce(rows, F.array().cast("array<struct<n:int,m:int,at:int,window:array<bigint>>>"))
+    # most texts have no anchor; a filter on the rows instead would be pushed below, and hash anew for each window
+    return F.when(F.arrays_overlap(g, anchors), rows).otherwise(F.array().cast("array<struct<n:int,m:int,at:int,window:array<bigint>>>"))
 
 
 def template_table(spark: SparkSession, templates: tuple[Template, ...], bands: int) -> list[dict]:
@@ -109,17 +110,11 @@ def find_licenses(df: DataFrame, doc_id: Column, text: Column, templates: tuple[
     spark = df.sparkSession
     known = template_table(spark, templates, bands)
     lengths = sorted({t["n"] for t in known})
-    docs = df.select(doc_id.alias("doc_id"), _words(text).alias("w")).where(F.size("w") > 0)
+    docs = df.select(doc_id.alias("doc_id"), _words(text).alias("w"))
     docs = docs.select("doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     docs = docs.select("doc_id", *[_grams(F.col("h"), n).alias(f"g{n}") for n in lengths])
-    anchors = {n: sorted({a for t in known if t["n"] == n for a in t["anchors"]}) for n in lengths}
-    some = None
-    for n in lengths:
-        one = F.arrays_overlap(F.col(f"g{n}"), _longs(anchors[n]))
-        some = one if some is None else some | one
-    docs = docs.where(some)
-
-    # windows of 2 m shingles at every m-th, for each size m and gram length n, where an anchor of that size is
+
+    # for each size m and gram length n the windows that hold an anchor of that size
     kinds = sorted({(t["n"], len(t["shingles"])) for t in known})
     windows = []
     for n, m in kinds:
