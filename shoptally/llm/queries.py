@@ -99,7 +99,8 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    return quality_rules.quality_rules(docs, C("text"), C("source"), keep=["doc_id"])
+    out = quality_rules.quality_rules(docs, C("text"), C("source"), keep=["doc_id"])
+    return out.withColumn("failed_rules", F.array_join("failed_rules", ","))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
