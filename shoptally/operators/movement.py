@@ -94,9 +94,9 @@ def movement_ledger(t, since=None) -> DataFrame:
         )
     )
 
-    stocktake = t.stocktake.where(
-        date_ok("check_date") & F.col("product_id").isNotNull() & (F.coalesce(F.col("difference"), F.lit(0)) != 0)
-    ).select(
+    checks = t.inventory_checks.where(date_ok("check_date")).select("check_id", "check_date")
+    counted = t.inventory_check_details.where(F.col("product_id").isNotNull() & (F.coalesce(F.col("difference"), F.lit(0)) != 0))
+    stocktake = counted.join(checks, "check_id").select(
         "product_id",
         F.col("check_date").alias("movement_date"),
         F.col("difference").cast(S.QTY).alias("qty"),

@@ -356,6 +356,14 @@ def moving_average_cost(t, receipts: DataFrame, method: int = 1) -> DataFrame:
         "product_id", "stock0", "price0", F.col("quantity").cast("bigint").alias("quantity"),
         F.col("new_price").cast("bigint").alias("new_price"), "seq1", "seq2",
     )
+    if method == 2:  # no fold: quantities add up, the last positive price stands
+        counts = _z("quantity") > 0
+        priced = F.when(counts & (_z("new_price") > 0), F.struct("seq1", "seq2", "new_price"))
+        return r.groupBy("product_id").agg(
+            (F.first("stock0") + F.coalesce(F.sum(F.when(counts, F.col("quantity"))), F.lit(0))).cast("bigint").alias("stock"),
+            F.coalesce(F.max(priced)["new_price"], F.first("price0")).cast(S.MONEY).alias("import_price"),
+            F.count(F.when(counts, 1)).alias("receipts_applied"),
+        )
     n = int(receipts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ordered = r.repartition(n, "product_id").sortWithinPartitions("product_id", "seq1", "seq2")
     folded = ordered.mapInPandas(
@@ -366,6 +374,12 @@ def moving_average_cost(t, receipts: DataFrame, method: int = 1) -> DataFrame:
     )
 
 
+def receipts_rejected(t, receipts: DataFrame) -> DataFrame:
+    """T5: receipts that name no known product, which the fold leaves out."""
+    known = t.products.select("product_id")
+    return receipts.join(known, "product_id", "left_anti").withColumn("outcome", F.lit("unknown_product"))
+
+
 def receipts_from_imports(t) -> DataFrame:
     """Receipt batch for T5: lines of live imports, in (import date, line id) order."""
     i = t.imports.where(S.not_cancelled_broad("status")).select("import_id", "import_date")
@@ -448,7 +462,7 @@ def stock_adjust(t, requests: DataFrame) -> DataFrame:
 def order_cancel(t, requests: DataFrame) -> DataFrame:
     """Cancel orders: unknown (status NULL counts as not found) or already
     'Cancelled' are rejected; Completed/Paid/Partial give their quantities back
-    (summed per product first); serials of the order are freed."""
+    (summed per order here; ``order_cancel_stock_delta`` has the products); serials of the order are freed."""
     o = t.sales_orders.select("order_id", "status")
     req = requests.select("order_id").distinct()
     j = req.join(o, "order_id", "left")
@@ -472,9 +486,12 @@ def order_cancel(t, requests: DataFrame) -> DataFrame:
 
 
 def order_cancel_stock_delta(t, requests: DataFrame) -> DataFrame:
-    """T8 stock effect: Σ quantity per product of the restocked orders."""
-    r = order_cancel(t, requests).where((F.col("outcome") == "cancelled") & (F.col("restored_quantity") != 0))
-    o = r.where(F.col("old_status").isin(*RESTOCK_ON_CANCEL)).select("order_id")
+    """T8 stock effect: Σ quantity per product over the lines of the restocked orders
+    (an order whose quantities cancel out still moves its products)."""
+    o = (
+        t.sales_orders.where(F.col("status").isin(*RESTOCK_ON_CANCEL)).select("order_id")
+        .join(requests.select("order_id").distinct(), "order_id", "left_semi")
+    )
     return t.order_items.join(o, "order_id").groupBy("product_id").agg(F.sum(_z("quantity")).cast("bigint").alias("stock_delta"))
 
 
@@ -526,10 +543,15 @@ def serial_sell(t, requests: DataFrame) -> DataFrame:
 
 
 def serial_update_validate(t, requests: DataFrame) -> DataFrame:
-    """Not found / sold / duplicate serial / negative price, else the normalised update."""
+    """Not found / sold / duplicate serial / negative price, else the normalised update.
+
+    Requests: request_id, serial_id, ... A number that several requests of the
+    batch set goes to the first valid one (by id); later ones for another
+    serial find it held.
+    """
     ps = t.product_serials.select("serial_id", F.col("status").alias("_status"))
     req = requests.select(
-        "serial_id",
+        "request_id", "serial_id",
         S.blank_to_null("serial_number").alias("serial_number"),
         "sell_price_override",
         S.blank_to_null("product_color").alias("product_color"),
@@ -549,7 +571,21 @@ def serial_update_validate(t, requests: DataFrame) -> DataFrame:
         .when(F.col("sell_price_override") < 0, F.lit("invalid_price"))
         .otherwise(F.lit("updated"))
     )
-    return j.select("serial_id", outcome.alias("outcome"), "serial_number", "sell_price_override", "product_color", "note")
+    j = _first_holder(j.withColumn("outcome", outcome))
+    return j.select("request_id", "serial_id", "outcome", "serial_number", "sell_price_override", "product_color", "note")
+
+
+def _first_holder(j: DataFrame) -> DataFrame:
+    """``outcome`` of a batch that sets serial numbers: of the valid requests for
+    one number the first (by id) holds it, later ones for another serial are
+    duplicates. A minimum per number, joined back."""
+    first = (
+        j.where((F.col("outcome") == "updated") & F.col("serial_number").isNotNull()).groupBy("serial_number")
+        .agg(F.min(F.struct("request_id", "serial_id")).alias("_holder"))
+    )
+    j = j.join(first, "serial_number", "left")
+    late = (F.col("outcome") == "updated") & (F.col("_holder.request_id") < F.col("request_id")) & (F.col("_holder.serial_id") != F.col("serial_id"))
+    return j.withColumn("outcome", F.when(F.coalesce(late, F.lit(False)), F.lit("duplicate_serial")).otherwise(F.col("outcome"))).drop("_holder")
 
 
 def serial_set_number(t, requests: DataFrame) -> DataFrame:
@@ -562,7 +598,7 @@ def serial_set_number(t, requests: DataFrame) -> DataFrame:
     holders = t.product_serials.where(F.col("serial_number").isNotNull()).groupBy(
         F.col("serial_number").alias("_sn")
     ).agg(F.count(F.lit(1)).alias("_holders"), F.min("serial_id").alias("_any_id"))
-    req = requests.select("serial_id", S.blank_to_null("serial_number").alias("serial_number"))
+    req = requests.select("request_id", "serial_id", S.blank_to_null("serial_number").alias("serial_number"))
     j = req.join(ps, "serial_id", "left").join(holders, F.col("serial_number") == F.col("_sn"), "left")
     dup = (F.col("_holders") > 1) | ((F.col("_holders") == 1) & (F.col("_any_id") != F.col("serial_id")))
     outcome = (
@@ -572,54 +608,93 @@ def serial_set_number(t, requests: DataFrame) -> DataFrame:
         .when(F.col("_status") != 0, F.lit("sold"))
         .otherwise(F.lit("updated"))
     )
-    return j.select("serial_id", outcome.alias("outcome"), "serial_number")
+    return _first_holder(j.withColumn("outcome", outcome)).select("request_id", "serial_id", "outcome", "serial_number")
 
 
 def serial_receive(t, requests: DataFrame, as_of) -> DataFrame:
-    """New serial rows; blank serial -> NULL; in stock (status 0)."""
-    return requests.select(
-        "request_id", "product_id", "import_id", S.blank_to_null("serial_number").alias("serial_number"),
-        F.lit(0).alias("status"), S.ts(as_of).alias("created_at"),
+    """New serial rows; blank serial -> NULL; in stock (status 0).
+
+    A number is unique: one that a serial holds already, or that an earlier
+    request of the batch (by id) brings, is rejected as ``duplicate_serial``.
+    """
+    r = requests.select("request_id", "product_id", "import_id", S.blank_to_null("serial_number").alias("serial_number"))
+    held = t.product_serials.where(F.col("serial_number").isNotNull()).select("serial_number").distinct().withColumn("_held", F.lit(True))
+    first = r.where(F.col("serial_number").isNotNull()).groupBy("serial_number").agg(F.min("request_id").alias("_first"))
+    r = r.join(held, "serial_number", "left").join(first, "serial_number", "left")
+    duplicate = F.col("_held").isNotNull() | (F.col("_first") < F.col("request_id"))
+    ok = ~F.coalesce(duplicate, F.lit(False))
+    return r.select(
+        "request_id", "product_id", "import_id", "serial_number",
+        F.when(ok, F.lit("accepted")).otherwise(F.lit("duplicate_serial")).alias("outcome"),
+        F.when(ok, F.lit(0)).alias("status"), F.when(ok, S.ts(as_of)).alias("created_at"),
     )
 
 
 # ---------------------------------------------------------------- T13-T14: cashbook
 
 
-def cashbook_post(t, requests: DataFrame) -> DataFrame:
-    """Normalise, reject bad type or amount, resolve the category, number the entry.
-
-    A category is kept only if it exists with the same type and is active;
-    otherwise the given name (or 'Thu khác' / 'Chi khác') is used with no id.
-    New entry ids continue after the largest existing id in request order;
-    the code is ``SQ<yyMMdd><last six digits of id>``.
-    """
+def _cashbook_normalised(t, requests: DataFrame, *keep) -> DataFrame:
+    """Requests with trimmed texts, ``outcome`` (type and amount checks) and the
+    category resolved by id, type and activity, else by the given or default name."""
     ty = F.upper(F.trim(F.coalesce(F.col("entry_type"), F.lit(""))))
     r = requests.select(
-        "request_id", "entry_date", ty.alias("entry_type"), "amount", "category_id",
+        *keep, "entry_date", ty.alias("entry_type"), "amount", "category_id",
         S.blank_to_null("category_name").alias("_given_name"),
         S.default_if_blank("payment_method", S.DEFAULT_PAYMENT_METHOD).alias("payment_method"),
         S.blank_to_null("description").alias("description"),
         S.blank_to_null("reference_code").alias("reference_code"),
-        S.blank_to_null("created_by").alias("created_by"),
     )
     outcome = (
         F.when(~F.col("entry_type").isin(S.CASH_IN, S.CASH_OUT), F.lit("invalid_type"))
         .when(_z("amount") <= 0, F.lit("invalid_amount"))
         .otherwise(F.lit("accepted"))
     )
-    r = r.withColumn("outcome", outcome)
-    cats = F.broadcast(  # the category list is a small fixed seed table
-        t.cashbook_categories.where(F.col("is_active") == 1).select(
-            F.col("category_id").alias("_cid"), F.col("category_type").alias("_ctype"),
-            F.col("category_name").alias("_cname"),
-        )
+    cats = t.cashbook_categories.where(F.col("is_active") == 1).select(
+        F.col("category_id").alias("_cid"), F.col("category_type").alias("_ctype"), F.col("category_name").alias("_cname"),
     )
-    j = r.join(cats, (F.col("category_id") == F.col("_cid")) & (F.col("entry_type") == F.col("_ctype")), "left")
+    j = r.withColumn("outcome", outcome).join(
+        cats, (F.col("category_id") == F.col("_cid")) & (F.col("entry_type") == F.col("_ctype")), "left")
     default_name = F.when(F.col("entry_type") == S.CASH_IN, F.lit(DEFAULT_IN_CATEGORY)).otherwise(F.lit(DEFAULT_OUT_CATEGORY))
-    j = j.withColumn("category_id", F.when(F.col("_cname").isNotNull(), F.col("category_id"))).withColumn(
+    return j.withColumn("category_id", F.when(F.col("_cname").isNotNull(), F.col("category_id"))).withColumn(
         "category_name", F.coalesce(F.col("_cname"), F.col("_given_name"), default_name)
+    ).drop("_cid", "_ctype", "_cname", "_given_name")
+
+
+def cashbook_update(t, requests: DataFrame, as_of) -> DataFrame:
+    """T13, second half: update a live entry. Requests are normalised and checked
+    as for a new entry (type, amount), then an unknown or deleted entry is
+    ``not_found``. The entry keeps its code, creator and creation time; of
+    several valid requests for one entry the last (by id) stands, the others
+    are ``superseded``.
+    """
+    r = _cashbook_normalised(t, requests, "request_id", "entry_id")
+    live = t.cashbook_entries.where(F.col("is_deleted") == 0).select("entry_id", "entry_code", "created_by", "created_at", F.lit(True).alias("_live"))
+    r = r.join(live, "entry_id", "left").withColumn("outcome", F.when(
+        (F.col("outcome") == "accepted") & F.col("_live").isNull(), F.lit("not_found")).otherwise(F.col("outcome")))
+    last = r.where(F.col("outcome") == "accepted").groupBy("entry_id").agg(F.max("request_id").alias("_last"))
+    r = r.join(last, "entry_id", "left")
+    outcome = F.when((F.col("outcome") == "accepted") & (F.col("request_id") < F.col("_last")), F.lit("superseded")).when(
+        F.col("outcome") == "accepted", F.lit("updated")).otherwise(F.col("outcome"))
+    r = r.withColumn("outcome", outcome)
+    ok = F.col("outcome") == "updated"
+    return r.select(
+        "request_id", "entry_id", "outcome", F.when(ok, F.col("entry_code")).alias("entry_code"), "entry_date", "entry_type",
+        F.when(ok, F.col("category_id")).alias("category_id"), F.when(ok, F.col("category_name")).alias("category_name"),
+        "amount", "payment_method", "description", "reference_code",
+        F.when(ok, F.col("created_by")).alias("created_by"), F.when(ok, F.col("created_at")).alias("created_at"),
+        F.when(ok, S.ts(as_of)).alias("updated_at"),
     )
+
+
+def cashbook_post(t, requests: DataFrame) -> DataFrame:
+    """Normalise, reject bad type or amount, resolve the category, number the entry.
+
+    A category is kept only if it exists with the same type and is active;
+    otherwise the given name (or 'Thu khác' / 'Chi khác') is used with no id.
+    New entry ids continue after the largest existing id in request order;
+    the code is ``SQ<yyMMdd><last six digits of id>``.
+    """
+    j = _cashbook_normalised(t, requests, "request_id", S.blank_to_null("created_by").alias("created_by"))
     max_id = t.cashbook_entries.agg(F.coalesce(F.max("entry_id"), F.lit(0)).cast("bigint")).scalar()
     ranked = row_number_by_id(j.where(F.col("outcome") == "accepted").select("request_id"), [], "request_id", "_rank")
     j = j.join(ranked, "request_id", "left").withColumn("entry_id", (max_id + F.col("_rank")).cast("bigint"))

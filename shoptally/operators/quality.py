@@ -414,8 +414,10 @@ def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: Da
     earliest neighbour; when that is the order itself, the next order in
     time order is the answer if it is within range.
     """
-    cols = [F.coalesce(F.col(c), F.lit(d)).alias(f"_h_{c}") if c in orders.columns else F.lit(d).alias(f"_h_{c}")
-            for c, d in HEADER_KEYS]
+    missing = [c for c, _ in HEADER_KEYS if c not in orders.columns]
+    if missing:  # comparing fewer fields would find more "duplicates"
+        raise ValueError(f"duplicate_sale_detect needs the header columns {missing}")
+    cols = [F.coalesce(F.col(c), F.lit(d)).alias(f"_h_{c}") for c, d in HEADER_KEYS]
     sig = sale_signatures(orders, lines).select(
         "order_id", "order_date", F.col("order_type").alias("_type"), *cols, "sig_lines", "sig_h1", "sig_h2",
         _epoch_seconds("order_date").alias("_sec"),
@@ -548,7 +550,8 @@ def duplicate_sale_reverse_cashbook(t, as_of) -> DataFrame:
 
 
 def unreferenced_duplicate_customer(t) -> DataFrame:
-    """Q19: customers with a same-name/phone twin and no orders, payments or adjustments.
+    """Q19: customers with a same-name/phone twin and no orders, payments or adjustments;
+    one member of every group stays.
 
     Twins are found by counting (trimmed name, trimmed phone) groups, so a
     crowded group (e.g. blank name and phone) never produces pairs.
@@ -558,12 +561,18 @@ def unreferenced_duplicate_customer(t) -> DataFrame:
         F.trim(F.coalesce(F.col("name"), F.lit(""))).alias("_n"),
         F.trim(F.coalesce(F.col("phone"), F.lit(""))).alias("_p"),
     )
-    twins = c.groupBy("_n", "_p").agg(F.count(F.lit(1)).alias("_cnt")).where(F.col("_cnt") > 1).select("_n", "_p")
+    refs = (
+        _keys(t.sales_orders, "customer_id").unionByName(_keys(t.customer_payments, "customer_id"))
+        .unionByName(_keys(t.customer_debt_adjustments, "customer_id")).distinct().withColumn("_ref", F.lit(1))
+    )
+    c = c.join(refs, "customer_id", "left")
+    # of a group without any referenced member the smallest id stays
+    twins = c.groupBy("_n", "_p").agg(
+        F.count(F.lit(1)).alias("_cnt"), F.max("_ref").alias("_any_ref"), F.min("customer_id").alias("_least")
+    ).where(F.col("_cnt") > 1)
     return (
-        c.join(twins, ["_n", "_p"], "left_semi")
-        .join(_keys(t.sales_orders, "customer_id"), "customer_id", "left_anti")
-        .join(_keys(t.customer_payments, "customer_id"), "customer_id", "left_anti")
-        .join(_keys(t.customer_debt_adjustments, "customer_id"), "customer_id", "left_anti")
+        c.where(F.col("_ref").isNull()).join(twins, ["_n", "_p"])
+        .where(F.col("_any_ref").isNotNull() | (F.col("customer_id") != F.col("_least")))
         .select("customer_id", "name", "phone")
     )
 

@@ -209,7 +209,7 @@ from ..operators import posting as T  # noqa: E402
 
 
 def _stocktake_requests(t):
-    return t.stocktake.select("product_id", F.col("difference").alias("quantity"))
+    return t.inventory_check_details.select("product_id", F.col("difference").alias("quantity"))
 
 
 from pyspark.sql import functions as F  # noqa: E402
@@ -226,16 +226,20 @@ _POSTING = {
     "return_cancel_stock_delta": lambda t: T.stock_deltas(
         {k: v for k, v in T.return_cancel(t, t.return_cancel_requests, P.as_of).items()}),
     "moving_average_cost": lambda t: T.moving_average_cost(t, T.receipts_from_imports(t), P.price_method),
+    "moving_average_cost_latest": lambda t: T.moving_average_cost(t, T.receipts_from_imports(t), 2),
+    "moving_average_cost_rejected": lambda t: T.receipts_rejected(t, t.receipt_requests),
     "stock_reduce": lambda t: T.stock_reduce(t, t.stock_reduce_requests),
     "stock_reduce_sequential": lambda t: T.stock_reduce_sequential(t, t.stock_reduce_requests),
     "stock_adjust": lambda t: T.stock_adjust(t, _stocktake_requests(t)),
     "order_cancel": lambda t: T.order_cancel(t, t.order_cancel_requests),
+    "order_cancel_stock_delta": lambda t: T.order_cancel_stock_delta(t, t.order_cancel_requests),
     "order_delete_eligible": lambda t: T.order_delete_eligible(t, t.order_delete_requests),
     "serial_sell": lambda t: T.serial_sell(t, t.serial_sell_requests),
     "serial_update_validate": lambda t: T.serial_update_validate(t, t.serial_update_requests),
     "serial_receive": lambda t: T.serial_receive(t, t.serial_receive_requests, P.as_of),
     "serial_set_number": lambda t: T.serial_set_number(t, t.serial_update_requests),
     "cashbook_post": lambda t: T.cashbook_post(t, t.cashbook_requests),
+    "cashbook_update": lambda t: T.cashbook_update(t, t.cashbook_update_requests, P.as_of),
     "cashbook_soft_delete": lambda t: T.cashbook_soft_delete(t, t.cashbook_delete_requests, P.as_of),
     "order_line_enrich": lambda t: T.order_line_enrich(t, t.order_line_requests),
     "payment_method_default": lambda t: T.payment_method_default(t.customer_payments, "payment_id"),

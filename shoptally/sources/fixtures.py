@@ -46,7 +46,7 @@ select o_orderkey order_id, case when o_orderkey % 997 = 0 then 'HD997' else con
  case when o_orderkey % 29 = 0 then 'Cancelled' when o_orderkey % 31 = 0 then null when o_orderkey % 37 = 0 then 'Đã hủy' when o_orderstatus='F' then 'Paid' when o_orderstatus='O' then 'Completed' else 'Partial' end status,
  cast(floor(o_totalprice) as decimal(18,0)) final_amount,
  case when o_orderkey % 41 = 0 then null when o_orderstatus='F' then cast(floor(o_totalprice) as decimal(18,0)) when o_orderstatus='O' then cast(floor(o_totalprice/2) as decimal(18,0)) else cast(floor(o_totalprice/4) as decimal(18,0)) end paid_amount,
- cast(o_orderkey % 12 as int) employee_id, cast(ceil(o_totalprice) as decimal(18,0)) total_amount from {orders}""",
+ cast(o_orderkey % 211 as int) employee_id, cast(ceil(o_totalprice) as decimal(18,0)) total_amount from {orders}""",
     "order_items": """
 select l_orderkey order_id, l_partkey product_id, cast(l_quantity as int) * (case when l_orderkey % 11 = 0 then -1 else 1 end) quantity,
  cast(floor(l_extendedprice / l_quantity) as decimal(18,0)) unit_price,
@@ -65,17 +65,17 @@ select c_custkey customer_id, case when c_custkey % 9 = 0 then null when c_custk
  from {customer} where c_custkey % 97 = 0""",
     "customer_payments": """
 select event_id payment_id, user_id customer_id, ts - interval '9131' day payment_date, cast(floor(value) * 100 + 1 as decimal(18,0)) amount,
- case when event_id % 4 = 0 then null when event_id % 4 = 1 then ' ' when event_id % 4 = 2 then 'Tiền mặt' else 'Chuyển khoản' end payment_method, event_id % 12 employee_id,
+ case when event_id % 4 = 0 then null when event_id % 4 = 1 then ' ' when event_id % 4 = 2 then 'Tiền mặt' else 'Chuyển khoản' end payment_method, event_id % 211 employee_id,
  case when event_id % 6 = 0 then null else concat('Thu no ', cast(event_id % 30 as string)) end note from {events} where event_type='click'""",
     "customer_debt_adjustments": """
-select event_id adjustment_id, user_id customer_id, ts - interval '9131' day adjustment_date, cast(floor(value) * 10 + 1 as decimal(18,0)) amount from {events} where event_type='view' and event_id % 5 = 0""",
+select event_id adjustment_id, user_id customer_id, ts - interval '9131' day adjustment_date, cast(floor(value) * 10 + 1 as decimal(18,0)) amount from {events} where event_type='view'""",
     "customer_debt_discount_allocations": """
 select a.adjustment_id, o.o_orderkey order_id, cast(floor(a.amount/3) + 1 as decimal(18,0)) amount from {customer_debt_adjustments} a join {orders} o on o.o_custkey = a.customer_id and (o.o_orderkey + a.adjustment_id) % 7 = 0
  union all select a.adjustment_id, a.adjustment_id order_id, cast(1 as decimal(18,0)) amount from {customer_debt_adjustments} a where a.adjustment_id % 50 = 0""",
     "employees": """
-select distinct user_id employee_id, concat('NV', cast(user_id as string)) name from {events} where user_id < 10""",
+select distinct user_id employee_id, concat('NV', cast(user_id as string)) name from {events}""",
     "users": """
-select distinct user_id + 100 user_id, concat('user', cast(user_id as string)) username, user_id employee_id from {events} where user_id < 12""",
+select distinct user_id + 100 user_id, concat('user', cast(user_id as string)) username, user_id employee_id from {events}""",
     "suppliers": """
 select s_suppkey supplier_id, s_name supplier_name, case when s_suppkey % 5 = 0 then null else concat('028', cast(s_suppkey as string)) end phone,
  concat('So ', cast(s_nationkey as string), ' Duong ', cast(s_suppkey % 7 as string)) address,
@@ -89,14 +89,14 @@ select l_orderkey*1000 + row_number() over (partition by l_orderkey order by l_l
  case when l_partkey % 3 = 0 then l_partkey*10 + l_linenumber % 2 else null end variant_id, cast(l_quantity as int) quantity, case when l_linenumber = 3 then null else cast(l_quantity as decimal(18,3)) end base_quantity,
  cast(floor(l_extendedprice / l_quantity) as decimal(18,0)) import_price, case when l_linenumber = 5 then null else cast(floor(l_extendedprice) as decimal(18,0)) end total, l_returnflag rf, l_shipdate line_date,
  case when l_linenumber % 2 = 1 then cast(l_quantity as decimal(18,3)) else null end input_quantity,
- case when l_linenumber = 2 then null else cast(1 as decimal(18,6)) end unit_conversion_to_base from {lineitem} where l_orderkey % 3 = 0""",
+ case when l_linenumber = 2 then null else cast(1 as decimal(18,6)) end unit_conversion_to_base from {lineitem}""",
     "imports": """
 select l_orderkey import_id, concat('PN', cast(l_orderkey as string)) import_code, min(l_suppkey) supplier_id, min(l_shipdate) import_date,
  cast(sum(floor(l_extendedprice)) as decimal(18,0)) final_amount, case when l_orderkey % 4 = 0 then cast(sum(floor(l_extendedprice)) as decimal(18,0)) else cast(floor(sum(floor(l_extendedprice))/3) as decimal(18,0)) end paid_amount,
- case when l_orderkey % 29 = 0 then 'Cancelled' when l_orderkey % 4 = 0 then 'Paid' else 'Completed' end status, cast(l_orderkey % 12 as int) employee_id, case when l_orderkey % 2 = 0 then null else 'Chuyển khoản' end payment_method,
+ case when l_orderkey % 29 = 0 then 'Cancelled' when l_orderkey % 4 = 0 then 'Paid' else 'Completed' end status, cast(l_orderkey % 211 as int) employee_id, case when l_orderkey % 2 = 0 then null else 'Chuyển khoản' end payment_method,
  case when l_orderkey % 5 = 0 then null else concat('Ghi chu ', cast(l_orderkey % 9 as string)) end note,
  cast(sum(floor(l_extendedprice)) + case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) total_amount, cast(0 as decimal(18,0)) vat_amount,
- cast(case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) discount from {lineitem} where l_orderkey % 3 = 0 group by l_orderkey""",
+ cast(case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) discount from {lineitem} group by l_orderkey""",
     "purchase_return_details": """
 select import_detail_id return_detail_id, import_id return_id, import_detail_id, product_id, case when import_detail_id % 5 = 0 then null else variant_id end variant_id, cast(case when import_detail_id % 2 = 0 then quantity else 1 end as int) quantity, import_price,
  cast(import_price * (case when import_detail_id % 2 = 0 then quantity else 1 end) as decimal(18,0)) total,
@@ -107,14 +107,13 @@ select d.return_id, case when d.return_id % 45 = 0 then 'TH-TRUNG-MA-PHIEU-TRA-N
  case when d.return_id % 2 = 0 then 'Tiền mặt' when d.return_id % 9 = 0 then 'Chuyển khoản' else null end refund_method,
  case when d.return_id % 4 = 0 then null else concat('Tra hang ', cast(d.return_id % 5 as string)) end note from {purchase_return_details} d join {imports} i on i.import_id = d.return_id group by d.return_id, i.supplier_id, i.employee_id, i.import_date""",
     "supplier_payments": """
-select event_id payment_id, user_id supplier_id, ts - interval '9131' day payment_date, cast(floor(value) * 100 + 1 as decimal(18,0)) amount, case when event_id % 3 = 0 then null else 'Chuyển khoản' end payment_method, event_id % 12 employee_id,
+select event_id payment_id, user_id supplier_id, ts - interval '9131' day payment_date, cast(floor(value) * 100 + 1 as decimal(18,0)) amount, case when event_id % 3 = 0 then null else 'Chuyển khoản' end payment_method, event_id % 211 employee_id,
  case when event_id % 5 = 0 then null else concat('Tra no ', cast(event_id % 30 as string)) end note from {events} where event_type='purchase'""",
-    "stocktake": """
-select user_id product_id, ts - interval '9131' day check_date, cast(cast(floor(value) as int) % 11 - 5 as decimal(18,3)) difference from {events} where event_type='error'""",
     "cashbook_categories": """
 select category_id, category_type, category_name, affects_profit, is_active, sort_order, case when category_id in (6, 7, 8) then 1 else 0 end is_system from (
 select 1 category_id, 'IN' category_type, 'Thu khác' category_name, 1 affects_profit, 1 is_active, 10 sort_order union all select 2,'IN','Góp vốn',0,1,20 union all select 3,'IN','Thu nợ khách hàng',0,1,30 union all select 4,'OUT','Chi khác',1,1,10 union all select 5,'OUT','Tiền điện',1,1,30
- union all select 6,'OUT','Chi trả nhà cung cấp',0,1,90 union all select 7,'OUT','Tạm ứng lương nhân viên',1,1,95 union all select 8,'OUT','Chi lương nhân viên',1,1,96 union all select 9,'IN','Thu cũ',1,0,99) c""",
+ union all select 6,'OUT','Chi trả nhà cung cấp',0,1,90 union all select 7,'OUT','Tạm ứng lương nhân viên',1,1,95 union all select 8,'OUT','Chi lương nhân viên',1,1,96 union all select 9,'IN','Thu cũ',1,0,99
+ union all select distinct 100 + ascii(event_type), case when event_type in ('click','purchase') then 'IN' else 'OUT' end, concat('Su kien ', event_type), 1, case when event_type = 'error' then 0 else 1 end, 200 from {events}) c""",
     "cashbook_entries": """
 select event_id entry_id, ts - interval '9131' day entry_date, case when event_type in ('click','purchase') then 'IN' else 'OUT' end entry_type, case when event_id % 12 < 10 then cast(event_id % 12 as int) else null end category_id,
  cast(floor(value) + 1 as decimal(18,0)) amount, case when event_id % 17 = 0 then 1 else 0 end is_deleted, case when event_type='signup' and event_id % 2 = 0 then concat('PAYROLL:', cast(event_id as string)) else null end reference_code, concat('Note ', event_type) description,
@@ -146,17 +145,21 @@ select import_detail_id serial_id, product_id, import_id, case when import_detai
  case when import_detail_id % 8 = 3 then 'Den' else null end product_color, case when import_detail_id % 9 = 0 then 'Tray xuoc' else null end note, line_date created_at from {import_details}""",
     "duplicate_sale_candidates": """
 select order_id, customer_id, final_amount, order_date, source_id, order_type, concat('HD', cast(order_id as string)) order_code,
+ case when source_id % 3 = 0 then null when source_id % 700 = 400 and order_id <> source_id then 999 else cast(source_id % 211 as int) end employee_id, cast(source_id % 7 as int) cashier_id, final_amount + 1000 total_amount,
+ case when source_id % 2 = 0 then cast(1000 as decimal(18,0)) else null end discount, cast(0 as decimal(18,0)) vat_amount, final_amount paid_amount,
+ case when source_id % 5 = 0 then null else 'Paid' end status, case when source_id % 4 = 0 then null else 'Tiền mặt' end payment_method,
  cast(source_id % 5 as int) points_used, cast(floor(final_amount / 100000) as int) points_earned from (
 select o_orderkey order_id, o_custkey customer_id, cast(floor(o_totalprice) as decimal(18,0)) final_amount, o_orderdate order_date, o_orderkey source_id, 'SALE' order_type from {orders}
  union all select o_orderkey + 100000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '20' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 100 = 0
  union all select o_orderkey + 200000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '90' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 150 = 0) d""",
     "inventory_checks": """
-select cast(user_id % 20 as int) check_id, min(ts - interval '9131' day) check_date from {events} where event_type='error' group by cast(user_id % 20 as int)""",
+select cast(floor(event_id / 40) as int) check_id, min(ts - interval '9131' day) check_date from {events} group by cast(floor(event_id / 40) as int)""",
     "inventory_check_details": """
-select event_id check_detail_id, cast(user_id % 19 + 1 as int) check_id, user_id product_id, cast(cast(floor(value) as int) % 11 - 5 as decimal(18,3)) difference from {events} where event_type='error'""",
+select event_id check_detail_id, cast(floor(event_id / 40) as int) + case when floor(event_id / 40) % 19 = 0 then 1 else 0 end check_id, user_id product_id,
+ case when event_id % 31 = 0 then null else cast(cast(floor(value) as int) % 11 - 5 as decimal(18,3)) end difference from {events} where event_type='error'""",
     # ---- request batches for the posting operators (derived, so they grow with the data)
     "return_requests": """
-select import_id request_id, case when import_id % 7 = 0 then concat('TH', cast(import_id as string)) else concat('RQ', cast(import_id as string)) end return_code,
+select import_id * 2 request_id, case when import_id % 7 = 0 then concat('TH', cast(import_id as string)) else concat('RQ', cast(import_id as string)) end return_code,
  import_id, supplier_id + case when import_id % 79 = 0 then 1 else 0 end supplier_id, employee_id, concat('Yeu cau tra ', cast(import_id as string)) note,
  case when import_id % 97 = 0 then '<Details><Item ImportDetailId="1"' when import_id % 89 = 0 then '<Details></Details>' else concat('<Details>', items, '</Details>') end details_xml
 from (select d.import_id, i.supplier_id, i.employee_id,
@@ -165,7 +168,7 @@ from (select d.import_id, i.supplier_id, i.employee_id,
    '" ImportPrice="', cast(d.import_price as string), '" Reason="Hang loi"/>'), '') items
   from {import_details} d join {imports} i on i.import_id = d.import_id where d.rf <> 'R' group by d.import_id, i.supplier_id, i.employee_id) x
 union all
-select import_id + 1, case when import_id % 7 = 0 then concat('TH', cast(import_id as string)) else concat('RQ', cast(import_id as string)) end, import_id, supplier_id, employee_id, 'Gui lai',
+select import_id * 2 + 1, case when import_id % 7 = 0 then concat('TH', cast(import_id as string)) else concat('RQ', cast(import_id as string)) end, import_id, supplier_id, employee_id, 'Gui lai',
  '<Details><Item ImportDetailId="0" ProductId="0" VariantId="" Quantity="1" ImportPrice="1" Reason=""/></Details>'
 from {imports}""",
     "cashbook_requests": """
@@ -182,6 +185,8 @@ select event_id request_id, ts - interval '9131' day entry_date,
 select return_id * 10 request_id, return_id, employee_id, case when return_id % 8 = 0 then '  ' else ' Nhap sai ' end reason from {purchase_returns}
 union all select return_id * 10 + 1, return_id, employee_id, 'Lan hai' from {purchase_returns}
 union all select return_id * 10 + 2, -(return_id + 1), employee_id, null from {purchase_returns}""",
+    "receipt_requests": """
+select import_detail_id request_id, product_id + case when import_detail_id % 17 = 0 then 5000000 else 0 end product_id, quantity, import_price new_price from {import_details}""",
     "stock_reduce_requests": """
 select order_id, product_id, quantity from {order_items}""",
     "order_cancel_requests": """
@@ -193,13 +198,22 @@ select serial_id * 10 request_id, case when serial_id % 3 = 0 then concat(' ', s
  case when status = 1 and serial_id % 2 = 0 then order_id else serial_id % 1000 end order_id from {product_serials}
 union all select serial_id * 10 + 1, serial_number, case when serial_id % 3 = 0 then serial_id % 1000 else serial_id % 997 end from {product_serials}""",
     "serial_update_requests": """
-select serial_id, case when serial_id % 22 = 0 then concat('SN', cast(serial_id - 1 as string)) when serial_id % 4 = 2 then '  ' else concat(' IMEI', cast(serial_id as string), ' ') end serial_number,
+select serial_id * 10 request_id, serial_id, case when serial_id % 22 = 0 then concat('SN', cast(serial_id - 1 as string)) when serial_id % 4 = 2 then '  '
+  when serial_id % 10 = 7 then concat('SNM', cast(floor(serial_id / 1000) as bigint)) else concat(' IMEI', cast(serial_id as string), ' ') end serial_number,
  case when serial_id % 33 = 0 then cast(-1 as decimal(18,0)) when serial_id % 2 = 0 then cast(serial_id % 5000 as decimal(18,0)) else null end sell_price_override,
  case when serial_id % 3 = 0 then ' Xanh ' else '' end product_color, case when serial_id % 5 = 0 then null else ' ghi chu ' end note from {product_serials}
-union all select serial_id + 500, 'SNX', null, null, null from {product_serials}""",
+union all select serial_id * 10 + 1, serial_id + 500, 'SNX', null, null, null from {product_serials}
+union all select serial_id * 10 + 2, serial_id, concat('SNM', cast(floor(serial_id / 3000) as bigint)), null, null, null from {product_serials}""",
     "serial_receive_requests": """
-select d.import_detail_id request_id, d.product_id, d.import_id, case when d.import_detail_id % 4 = 0 then '   ' else concat(' IMEI', cast(d.import_detail_id as string)) end serial_number
+select d.import_detail_id * 10 request_id, d.product_id, d.import_id, case when d.import_detail_id % 4 = 0 then '   ' when d.import_detail_id % 9 = 0 then concat('SN', cast(d.import_detail_id as string))
+  else concat(' IMEI', cast(d.import_detail_id as string)) end serial_number
+from {import_details} d join {products} p on p.product_id = d.product_id where p.has_serial = 1
+union all select d.import_detail_id * 10 + 1, d.product_id, d.import_id, concat('IMEI', cast(d.import_detail_id as string))
 from {import_details} d join {products} p on p.product_id = d.product_id where p.has_serial = 1""",
+    "cashbook_update_requests": """
+select request_id * 10 request_id, request_id - case when request_id % 3 = 0 then 1 else 0 end entry_id, entry_date, entry_type, amount, category_id, category_name, payment_method, description, reference_code from {cashbook_requests}
+union all select entry_id * 10 + 1, entry_id, entry_date + interval '1' day, concat(' ', lower(entry_type)), amount + 1, category_id, ' Sua ', null, '', reference_code from {cashbook_entries}
+union all select entry_id * 10 + 2, -(entry_id + 1), entry_date, entry_type, amount, category_id, null, null, null, null from {cashbook_entries}""",
     "cashbook_delete_requests": """
 select entry_id * 10 request_id, entry_id from {cashbook_entries}
 union all select entry_id * 10 + 1, entry_id from {cashbook_entries}
@@ -215,7 +229,7 @@ _STAGED_FRAMES: dict = {}
 _STAGED_NAMES: dict[str, set] = {}
 
 # fixed or tiny lists (bounded by construction, not by the data size)
-SMALL_TABLES = {"categories", "units", "cashbook_categories", "employees", "users", "inventory_checks"}
+SMALL_TABLES = {"categories", "units", "cashbook_categories", "employees", "users"}
 
 _REF = re.compile(r"\{(\w+)\}")
 # naive timestamp literal: NTZ'...' (Spark TIMESTAMP_NTZ, DuckDB TIMESTAMP)

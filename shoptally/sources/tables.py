@@ -33,7 +33,6 @@ SHOP_SCHEMAS = {
     "purchase_return_details": "return_detail_id bigint, return_id bigint, import_detail_id bigint, product_id bigint, variant_id bigint, quantity int, import_price decimal(18,0), total decimal(18,0), reason string",
     "purchase_returns": "return_id bigint, return_code string, import_id bigint, supplier_id bigint, employee_id int, return_date timestamp_ntz, total_amount decimal(18,0), status string, settlement_type string, refund_method string, note string",
     "supplier_payments": "payment_id bigint, supplier_id bigint, payment_date timestamp_ntz, amount decimal(18,0), payment_method string, employee_id bigint, note string",
-    "stocktake": "product_id bigint, check_date timestamp_ntz, difference decimal(18,3)",
     "cashbook_categories": "category_id int, category_type string, category_name string, affects_profit int, is_active int, sort_order int, is_system int",
     "cashbook_entries": "entry_id bigint, entry_date timestamp_ntz, entry_type string, category_id int, amount decimal(18,0), is_deleted int, reference_code string, description string, entry_code string, payment_method string, partner_name string, created_by string, category_name string, created_at timestamp_ntz, updated_at timestamp_ntz",
     "employee_payrolls": "payroll_id bigint, employee_name string, employee_id int",
