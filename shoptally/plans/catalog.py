@@ -161,6 +161,20 @@ _LISTINGS = {
     "product_serial_trace": lambda t: L.product_serial_trace(t),
     "serial_trace": lambda t: L.serial_trace(t),
 }
+_LISTINGS |= {
+    "product_by_id_one": lambda t: L.product_by_id(t, P.one_product),
+    "import_by_id_one": lambda t: L.import_by_id(t, P.one_import),
+    "imports_by_supplier_one": lambda t: L.imports_by_supplier(t, P.one_supplier),
+    "supplier_by_id_one": lambda t: L.supplier_by_id(t, P.one_supplier),
+    "serials_available_one": lambda t: L.serials_available(t, P.one_serial_product),
+    "customer_current_debt_one": lambda t: debts.customer_current_debt(t, P.one_customer),
+    "supplier_debt_one": lambda t: debts.supplier_debt(t, P.one_supplier),
+    "imports_list_paid": lambda t: L.imports_list(t, P.from_dt, P.to_dt, P.kw_imports, "Paid"),
+    "cashbook_search_in": lambda t: L.cashbook_search(t, P.cb_from, P.cb_to, " in", P.kw_cashbook),
+    "cashbook_search_undated": lambda t: L.cashbook_search(t, None, None, None, P.kw_cashbook),
+    "cashbook_summary_period": lambda t: L.cashbook_summary(t, P.cb_from, P.cb_to),
+    "customer_top_undated": lambda t: reports.customer_top(t, P.top_n),
+}
 for _k, _f in _LISTINGS.items():
     query(_k)(_f)
 

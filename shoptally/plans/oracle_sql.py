@@ -36,11 +36,13 @@ def ts(v: str) -> str:
 
 
 ORACLE: dict[str, str] = {}
+BODIES: dict[str, str] = {}
 
 
 def oracle(key: str):
     def deco(fn):
-        ORACLE[key] = with_fixtures(fn())
+        BODIES[key] = fn()
+        ORACLE[key] = with_fixtures(BODIES[key])
         return fn
 
     return deco
@@ -1479,3 +1481,28 @@ FROM stock_reduce_requests WHERE product_id NOT IN (SELECT product_id FROM produ
 @oracle("import_payment_method_default")
 def _():
     return "SELECT import_id, coalesce(nullif(trim(payment_method), ''), 'Tiền mặt') AS payment_method FROM imports"
+
+
+# ---------------------------------------------------------------- second parameter sets
+def _only(key: str, of: str, cond: str) -> None:
+    ORACLE[key] = with_fixtures(f"SELECT * FROM ({BODIES[of].strip()}) q WHERE {cond}")
+
+
+for _key, _cond in {
+    "product_by_id": f"product_id = {P.one_product}",
+    "import_by_id": f"import_id = {P.one_import}",
+    "imports_by_supplier": f"supplier_id = {P.one_supplier}",
+    "supplier_by_id": f"supplier_id = {P.one_supplier}",
+    "serials_available": f"product_id = {P.one_serial_product}",
+    "customer_current_debt": f"customer_id = {P.one_customer}",
+    "supplier_debt": f"supplier_id = {P.one_supplier}",
+}.items():
+    _only(f"{_key}_one", _key, _cond)
+_only("imports_list_paid", "imports_list", "status = 'Paid'")
+_only("cashbook_search_in", "cashbook_search", "entry_type = 'IN'")
+
+_PERIOD = f" AND entry_date >= {ts(P.cb_from)} AND entry_date < {plus_day(P.cb_to)}"
+ORACLE["cashbook_summary_period"] = with_fixtures(BODIES["cashbook_summary"] + _PERIOD)
+ORACLE["cashbook_search_undated"] = with_fixtures(BODIES["cashbook_search"].replace(_PERIOD, ""))
+ORACLE["customer_top_undated"] = with_fixtures(BODIES["customer_top"].replace(
+    f"o.order_date >= {ts(P.from_dt)} AND o.order_date < {plus_day(P.to_dt)} AND ", ""))

@@ -35,3 +35,6 @@ P.kw_returnable = ""
 P.cb_type = " out "
 P.kw_cashbook = "sq1"
 P.price_method = 1
+
+# second parameter sets: one id, one status, one type
+P.one_product, P.one_import, P.one_supplier, P.one_customer, P.one_serial_product = 10, 100, 3, 7, 9

@@ -3,18 +3,21 @@
 import pytest
 
 import __spark_entry__ as E
+from shoptally.plans.catalog import QUERIES
+from shoptally.plans.oracle_sql import ORACLE
 from tests.conftest import SF_SMALL
 from tests.oracle_compare import compare, duck_connect
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
-
 
 @pytest.fixture(scope="module")
 def duck():
     return duck_connect(SF_SMALL)
 
 
+def test_all_keys_are_registered():
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
+
+
 def test_every_key_has_an_oracle():
     assert set(QUERIES) == set(ORACLE), sorted(set(QUERIES) ^ set(ORACLE))
 
