@@ -3,11 +3,9 @@
 Each operator takes a *batch* of requests (a DataFrame) and the current
 tables and returns frames: per-request outcomes (accepted / rejected with a
 reason), and the rows or deltas a posting would write. Nothing is mutated.
-Requests of one batch are checked against the same snapshot of the
-tables; where the source's row-by-row effects inside a batch matter
-(repeated codes, the same serial twice, the same entry deleted twice) the
-first request by id wins and the others resolve against it, as sequential
-calls would.
+Where the source's row-by-row effects inside a batch matter (repeated codes,
+the same serial twice, the same entry deleted twice, stock that earlier
+requests used up) requests take effect by id, as sequential calls would.
 
 Time stamps ("GETDATE()") come from an explicit ``as_of`` parameter.
 """
@@ -19,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
-from ..functions.ranking import row_number_by_id
+from ..functions.ranking import row_number_by_id, running_sums_by_id
 
 # ---- fixed values that must equal the source system's ---------------------
 RETURN_ERRORS = {
@@ -98,16 +96,10 @@ def _returned_per_line(t) -> DataFrame:
     )
 
 
-def return_request_checks(t, requests: DataFrame) -> DataFrame:
-    """Per request: the first failing check (51000-51007) or NULL when valid.
-
-    One linear plan: the items of every request (parsed once, request
-    columns carried along) are left-joined with the import header, the
-    import line, the quantity already returned, product stock and variant
-    stock; per-product and per-variant sums inside a request are window
-    sums over (request, product|variant); one ``groupBy(request_id)``
-    turns line flags into request flags.
-    """
+def return_request_items(t, requests: DataFrame) -> DataFrame:
+    """The items of every request (parsed once, request columns carried along)
+    with the import header, the import line, what was returned of it, and the
+    product's and variant's stock."""
     items = parse_return_items(requests, keep=("return_code", "import_id", "supplier_id"))
     imp = t.imports.where(S.status_in("status", S.PAID_OR_COMPLETED)).select(
         "import_id", F.col("supplier_id").alias("_imp_supplier")
@@ -116,103 +108,142 @@ def return_request_checks(t, requests: DataFrame) -> DataFrame:
         "import_detail_id", F.col("import_id").alias("_d_import"), F.col("product_id").alias("_d_product"),
         F.col("variant_id").alias("_d_variant"), F.col("quantity").alias("_d_qty"),
     )
-    e = (
+    return (
         items.join(imp, "import_id", "left")
         .join(d, "import_detail_id", "left")
         .join(_returned_per_line(t), "import_detail_id", "left")
         .join(t.products.select("product_id", F.col("stock").alias("_p_stock"), F.lit(True).alias("_p_found")),
               "product_id", "left")
-        .join(t.product_variants.select(F.col("variant_id").alias("_d_variant"), F.col("stock_base_qty").alias("_v_stock")),
-              "_d_variant", "left")
+        .join(t.product_variants.select(F.col("variant_id").alias("_d_variant"), F.col("stock_base_qty").alias("_v_stock"),
+                                        F.lit(True).alias("_v_found")), "_d_variant", "left")
     )
-    present = F.col("item_present")
-    known = present & F.col("_d_import").isNotNull()
-    from pyspark.sql import Window
 
-    per_product = F.sum(F.when(present, F.col("quantity"))).over(Window.partitionBy("request_id", "product_id"))
-    per_variant = F.sum(F.when(known, F.col("quantity"))).over(Window.partitionBy("request_id", "_d_variant"))
+
+def _static_codes(items: DataFrame) -> DataFrame:
+    """Per request the first failing check of its own content (51000-51004), or NULL."""
+    present = F.col("item_present")
     wrong = (
         F.col("_d_import").isNull()
         | (F.col("_d_import") != F.col("import_id"))
         | (F.col("_d_product") != F.col("product_id"))
         | (F.col("variant_id").isNotNull() & (_z("_d_variant") != F.col("variant_id")))
     )
-    flags = e.select(
-        "request_id", "return_code", "import_id", "supplier_id", "_imp_supplier", "bad_xml", "item_present",
-        (present & (F.col("quantity") <= 0)).alias("_f2"),
-        (present & F.coalesce(wrong, F.lit(False))).alias("_f4"),
-        (known & F.coalesce(F.col("quantity") > _z("_d_qty") - _z("returned_qty"), F.lit(False))).alias("_f5"),
-        (present & F.col("_p_found").isNotNull() & (_z("_p_stock") < per_product)).alias("_f6"),
-        (known & F.col("_d_variant").isNotNull() & F.col("_v_stock").isNotNull()
-         & (F.coalesce(F.col("_v_stock"), F.lit(0)) < per_variant)).alias("_f7"),
-    )
 
     def anyf(c):
-        return F.max(F.coalesce(F.col(c), F.lit(False)).cast("int"))
+        return F.max(F.coalesce(c, F.lit(False)).cast("int")) == 1
 
-    r = flags.groupBy("request_id", "return_code", "import_id", "supplier_id").agg(
-        anyf("bad_xml").alias("f0"),
-        F.count(F.when(F.col("item_present"), 1)).alias("n"),
-        anyf("_f2").alias("f2"),
-        F.max((~F.coalesce(F.col("_imp_supplier") == F.col("supplier_id"), F.lit(False))).cast("int")).alias("f3"),
-        anyf("_f4").alias("f4"), anyf("_f5").alias("f5"), anyf("_f6").alias("f6"), anyf("_f7").alias("f7"),
+    r = items.groupBy("request_id", "return_code").agg(
+        anyf(F.col("bad_xml")).alias("f0"),
+        F.count(F.when(present, 1)).alias("n"),
+        anyf(present & (F.col("quantity") <= 0)).alias("f2"),
+        anyf(~F.coalesce(F.col("_imp_supplier") == F.col("supplier_id"), F.lit(False))).alias("f3"),
+        anyf(present & F.coalesce(wrong, F.lit(False))).alias("f4"),
     )
     code = (
-        F.when(F.col("f0") == 1, 51000)
-        .when(F.col("n") == 0, 51001)
-        .when(F.col("f2") == 1, 51002)
-        .when(F.col("f3") == 1, 51003)
-        .when(F.col("f4") == 1, 51004)
-        .when(F.col("f5") == 1, 51005)
-        .when(F.col("f6") == 1, 51006)
-        .when(F.col("f7") == 1, 51007)
-    )
-    return r.select("request_id", "return_code", code.alias("reason_code"))
+        F.when(F.col("f0"), 51000).when(F.col("n") == 0, 51001).when(F.col("f2"), 51002)
+        .when(F.col("f3"), 51003).when(F.col("f4"), 51004)
+    )
+    return r.select("request_id", "return_code", code.alias("static_code"))
+
+
+def _demands(items: DataFrame) -> DataFrame:
+    """What each request takes of each resource: (request_id, code, rid, need,
+    used, cap). A line (51005) must cover each item, a product's (51006) and a
+    variant's (51007) stock the sum of the request's items; unknown products
+    and variants limit nothing. One row per request and resource."""
+    qty = F.col("quantity").cast("bigint")
+    i = items.where("item_present")
+    rows = i.select("request_id", F.explode(F.filter(F.array(
+        F.struct(F.lit(51005).alias("code"), F.col("import_detail_id").alias("rid"), qty.alias("q"),
+                 (_z("_d_qty") - _z("returned_qty")).cast("decimal(20,3)").alias("cap"), F.col("_d_import").isNotNull().alias("on")),
+        F.struct(F.lit(51006).alias("code"), F.col("product_id").alias("rid"), qty.alias("q"),
+                 _z("_p_stock").cast("decimal(20,3)").alias("cap"), F.col("_p_found").isNotNull().alias("on")),
+        F.struct(F.lit(51007).alias("code"), F.col("_d_variant").alias("rid"), qty.alias("q"),
+                 _z("_v_stock").cast("decimal(20,3)").alias("cap"), F.col("_v_found").isNotNull().alias("on")),
+    ), lambda e: e["on"])).alias("e")).select("request_id", "e.*")
+    return rows.groupBy("request_id", "code", "rid").agg(
+        F.when(F.col("code") == 51005, F.max("q")).otherwise(F.sum("q")).alias("need"), F.sum("q").alias("used"), F.min("cap").alias("cap"))
+
+
+def _decided(state: DataFrame, demands: DataFrame) -> DataFrame:
+    """One round. Undecided requests (U) that pass even if every earlier
+    undecided one is accepted are accepted (A); those that fail with the
+    accepted ones alone are rejected (R); those whose code an accepted earlier
+    one has are existing (E). A request waits for earlier undecided ones with
+    its code. The first undecided request is always decided."""
+    live = demands.join(state.where(F.col("state").isin("A", "U")).select("request_id", "state"), "request_id")
+    sums = running_sums_by_id(live, ["code", "rid"], "request_id", {
+        "most": F.col("used"), "least": F.when(F.col("state") == "A", F.col("used"))})
+    fits = sums.groupBy("request_id").agg(
+        F.min((F.col("need") + F.col("most") <= F.col("cap")).cast("int")).alias("sure"),
+        F.min((F.col("need") + F.col("least") <= F.col("cap")).cast("int")).alias("maybe"))
+    codes = state.groupBy("return_code").agg(
+        F.min(F.when(F.col("state") == "A", F.col("request_id"))).alias("posted"),
+        F.min(F.when(F.col("state") == "U", F.col("request_id"))).alias("next"))
+    j = state.join(fits, "request_id", "left").join(codes, "return_code", "left")
+    new = (
+        F.when(F.col("state") != "U", F.col("state"))
+        .when(F.col("posted") < F.col("request_id"), "E")
+        .when(F.col("next") < F.col("request_id"), "U")
+        .when(F.coalesce(F.col("maybe"), F.lit(1)) == 0, "R")
+        .when(F.coalesce(F.col("sure"), F.lit(1)) == 1, "A")
+        .otherwise("U")
+    )
+    return j.select("request_id", "return_code", new.alias("state"))
 
 
 def return_request_validate(t, requests: DataFrame) -> DataFrame:
-    """T1 + T3: outcome per request: existing (code already posted), accepted, rejected(reason).
-
-    A code already in the table resolves to that return (the smallest id).
-    Inside the batch the first valid request of a code posts; later requests
-    with the same code resolve to it; earlier invalid ones are rejected.
-    New ids continue after the largest existing return id, in request order.
-
-    The per-request result (one small row per request) is written to
-    ``spark.checkpoint.dir`` and read back before ids are numbered: it is
-    used three times below and recomputing the parse and the joins each time
-    would triple the work; the written files also survive the loss of an
-    executor.
+    """T1 + T3: outcome per request, as if the requests were posted one by one
+    in id order: existing (code already posted), accepted, rejected(reason).
+
+    A code already in the table resolves to that return (the smallest id), one
+    posted earlier in the batch to the new return. Lines, products and variants
+    are checked against what earlier accepted requests left of them. New ids
+    continue after the largest existing return id, in request order.
+
+    Only resources that the batch's requests together could exhaust depend on
+    the order; requests that touch them are decided in rounds (``_decided``),
+    each written to ``spark.checkpoint.dir``, until none is undecided.
     """
     from ..session import materialize
 
     existing = t.purchase_returns.groupBy("return_code").agg(F.min("return_id").alias("existing_id"))
-    checked = return_request_checks(t, requests)
-    # first valid request per code: an aggregate joined back (a code repeated
-    # by a large share of the batch is pre-combined per task, not windowed)
-    first_ok = checked.where(F.col("reason_code").isNull()).groupBy("return_code").agg(
-        F.min("request_id").alias("_first_ok")
+    items = materialize(return_request_items(t, requests), "return-items")
+    checked = _static_codes(items).join(existing, "return_code", "left")
+    state = F.when(F.col("existing_id").isNotNull(), "E").when(F.col("static_code").isNotNull(), "S").otherwise("U")
+    checked = materialize(checked.withColumn("state", state), "return-requests")
+    demands = _demands(items).join(checked.where("state = 'U'").select("request_id"), "request_id")
+    scarce = demands.groupBy("code", "rid").agg(F.sum("used").alias("all"), F.min("cap").alias("cap")).where(F.col("all") > F.col("cap"))
+    demands = materialize(demands.join(scarce.select("code", "rid"), ["code", "rid"], "left_semi"), "return-demands")
+    state = checked.where("state = 'U'").select("request_id", "return_code", "state")
+    while True:
+        state = materialize(_decided(state, demands), "return-state")
+        if state.where("state = 'U'").isEmpty():
+            break
+
+    # why: the first check that fails on what the accepted ones before left
+    accepted = demands.join(state.select("request_id", "state"), "request_id")
+    left = running_sums_by_id(accepted, ["code", "rid"], "request_id", {"least": F.when(F.col("state") == "A", F.col("used"))})
+    why = left.where((F.col("state") == "R") & (F.col("need") + F.col("least") > F.col("cap"))).groupBy("request_id").agg(F.min("code").alias("why"))
+    posted = state.where("state = 'A'").select("request_id", "return_code")
+    max_id = t.purchase_returns.agg(F.coalesce(F.max("return_id"), F.lit(0)).cast("bigint")).scalar()
+    new_ids = row_number_by_id(posted, [], "request_id", "_rank").select(
+        F.col("request_id").alias("_by"), "return_code", (max_id + F.col("_rank")).cast("bigint").alias("_new_id"))
+    j = (
+        checked.drop("state").join(state.select("request_id", "state"), "request_id", "left").join(why, "request_id", "left")
+        .join(new_ids, "return_code", "left")  # one accepted request per code
     )
-    j = checked.join(first_ok, "return_code", "left").join(existing, "return_code", "left")
+    later = F.col("_by") < F.col("request_id")
     outcome = (
-        F.when(F.col("existing_id").isNotNull(), F.lit("existing"))
-        .when(F.col("request_id") == F.col("_first_ok"), F.lit("accepted"))
-        .when(F.col("request_id") > F.col("_first_ok"), F.lit("existing"))
+        F.when(F.col("existing_id").isNotNull() | F.coalesce(later, F.lit(False)), F.lit("existing"))
+        .when(F.col("state") == "A", F.lit("accepted"))
         .otherwise(F.lit("rejected"))
     )
-    j = materialize(j.withColumn("outcome", outcome), "return-requests")
-    max_id = t.purchase_returns.agg(F.coalesce(F.max("return_id"), F.lit(0)).cast("bigint")).scalar()
-    accepted = row_number_by_id(j.where(F.col("outcome") == "accepted").select("request_id", "return_code"), [],
-                                "request_id", "_rank")
-    new_ids = accepted.select("request_id", "return_code", (max_id + F.col("_rank")).alias("_new_id"))
-    j = j.join(new_ids.select("request_id", "_new_id"), "request_id", "left").join(
-        new_ids.select("return_code", F.col("_new_id").alias("_code_new_id")), "return_code", "left"
-    )
+    j = j.withColumn("outcome", outcome)
     return j.select(
         "request_id", "return_code", "outcome",
-        F.when(F.col("outcome") == "rejected", F.col("reason_code")).alias("reason_code"),
-        F.coalesce(F.col("existing_id"), F.col("_new_id"), F.when(F.col("outcome") == "existing", F.col("_code_new_id")))
-        .cast("bigint").alias("return_id"),
+        F.when(F.col("outcome") == "rejected", F.coalesce("static_code", "why")).alias("reason_code"),
+        F.when(F.col("outcome") != "rejected", F.coalesce("existing_id", "_new_id")).cast("bigint").alias("return_id"),
     )
 
 
@@ -236,11 +267,14 @@ def return_request_post(t, requests: DataFrame, as_of) -> dict[str, DataFrame]:
             _z("total_amount").cast(S.MONEY).alias("total_amount"), "note", F.lit("Completed").alias("status"),
         )
     )
-    product_delta = items.groupBy("product_id").agg((-F.sum("quantity")).cast("bigint").alias("stock_delta"))
+    # only products and variants that exist have a stock to change
+    product_delta = items.groupBy("product_id").agg((-F.sum("quantity")).cast("bigint").alias("stock_delta")).join(
+        t.products.select("product_id"), "product_id", "left_semi")
     variant_delta = (
         lines.where(F.col("line_variant_id").isNotNull())
         .groupBy(F.col("line_variant_id").alias("variant_id"))
         .agg((-F.sum("quantity")).cast("bigint").alias("stock_delta"))
+        .join(t.product_variants.select("variant_id"), "variant_id", "left_semi")
     )
     return {"header": header, "details": details, "product_delta": product_delta, "variant_delta": variant_delta}
 

@@ -1071,29 +1071,51 @@ chk AS (
                    WHERE d.request_id = r.request_id AND d.item_present
                      AND (id.import_detail_id IS NULL OR id.import_id <> r.import_id OR id.product_id <> d.product_id
                           OR (d.variant_id IS NOT NULL AND coalesce(id.variant_id, 0) <> d.variant_id))) THEN 51004
-      WHEN EXISTS (SELECT 1 FROM items d JOIN import_details id ON id.import_detail_id = d.import_detail_id
-                   LEFT JOIN returned rt ON rt.import_detail_id = id.import_detail_id
-                   WHERE d.request_id = r.request_id AND d.item_present AND d.quantity > coalesce(id.quantity, 0) - coalesce(rt.q, 0)) THEN 51005
-      WHEN EXISTS (SELECT 1 FROM (SELECT product_id, sum(quantity) AS q FROM items d WHERE d.request_id = r.request_id AND d.item_present
-                                  GROUP BY product_id) x JOIN products pp ON pp.product_id = x.product_id
-                   WHERE coalesce(pp.stock, 0) < x.q) THEN 51006
-      WHEN EXISTS (SELECT 1 FROM (SELECT id.variant_id, sum(d.quantity) AS q FROM items d JOIN import_details id ON id.import_detail_id = d.import_detail_id
-                                  WHERE d.request_id = r.request_id AND d.item_present AND id.variant_id IS NOT NULL GROUP BY id.variant_id) x
-                   JOIN product_variants pv ON pv.variant_id = x.variant_id WHERE coalesce(pv.stock_base_qty, 0) < x.q) THEN 51007
     END AS reason_code
   FROM return_requests r JOIN per_req pq ON pq.request_id = r.request_id),
 ex AS (SELECT return_code, min(return_id) AS existing_id FROM purchase_returns GROUP BY return_code),
-fo AS (SELECT return_code, min(request_id) AS first_ok FROM chk WHERE reason_code IS NULL GROUP BY return_code),
-oc AS (SELECT c.*, ex.existing_id,
-         CASE WHEN ex.existing_id IS NOT NULL THEN 'existing' WHEN c.request_id = fo.first_ok THEN 'accepted'
-              WHEN c.request_id > fo.first_ok THEN 'existing' ELSE 'rejected' END AS outcome
-       FROM chk c LEFT JOIN ex ON ex.return_code = c.return_code LEFT JOIN fo ON fo.return_code = c.return_code),
-acc AS (SELECT request_id, return_code,
-          (SELECT coalesce(max(return_id), 0) FROM purchase_returns) + row_number() OVER (ORDER BY request_id) AS new_id
-        FROM oc WHERE outcome = 'accepted'),
-val AS (SELECT oc.request_id, oc.return_code, oc.outcome, CASE WHEN oc.outcome = 'rejected' THEN oc.reason_code END AS reason_code,
-          CAST(coalesce(oc.existing_id, a.new_id, CASE WHEN oc.outcome = 'existing' THEN ac.new_id END) AS BIGINT) AS return_id
-        FROM oc LEFT JOIN acc a ON a.request_id = oc.request_id LEFT JOIN acc ac ON ac.return_code = oc.return_code)""".replace("{c}", CANCELLED)
+-- requests that compete are decided in rounds; tests replay the calls one by one at the smallest size
+dyn AS (SELECT c.request_id, c.return_code FROM chk c LEFT JOIN ex USING (return_code) WHERE c.reason_code IS NULL AND ex.existing_id IS NULL),
+parts AS (
+  SELECT d.request_id, 51005 AS code, id.import_detail_id AS rid, d.quantity AS q, coalesce(id.quantity, 0) - coalesce(rt.q, 0) AS cap
+  FROM items d JOIN import_details id ON id.import_detail_id = d.import_detail_id LEFT JOIN returned rt ON rt.import_detail_id = id.import_detail_id
+  WHERE d.item_present
+  UNION ALL SELECT d.request_id, 51006, d.product_id, d.quantity, coalesce(p.stock, 0) FROM items d JOIN products p ON p.product_id = d.product_id WHERE d.item_present
+  UNION ALL SELECT d.request_id, 51007, id.variant_id, d.quantity, coalesce(v.stock_base_qty, 0) FROM items d
+  JOIN import_details id ON id.import_detail_id = d.import_detail_id JOIN product_variants v ON v.variant_id = id.variant_id WHERE d.item_present),
+dem AS (SELECT request_id, code, rid, CASE WHEN code = 51005 THEN max(q) ELSE sum(q) END AS need, sum(q) AS used, min(cap) AS cap
+        FROM parts WHERE request_id IN (SELECT request_id FROM dyn) GROUP BY request_id, code, rid),
+scarce AS (SELECT code, rid FROM dem GROUP BY code, rid HAVING sum(used) > min(cap)),
+ask AS (SELECT dem.* FROM dem JOIN scarce USING (code, rid)),
+rounds(n, request_id, return_code, st) AS (
+  SELECT 0, request_id, return_code, 'U' FROM dyn
+  UNION ALL
+  SELECT n + 1, request_id, return_code,
+    CASE WHEN st <> 'U' THEN st WHEN posted < request_id THEN 'E' WHEN nxt < request_id THEN 'U' WHEN NOT maybe THEN 'R' WHEN sure THEN 'A' ELSE 'U' END
+  FROM (
+    SELECT s.*, coalesce(f.sure, true) AS sure, coalesce(f.maybe, true) AS maybe,
+      min(CASE WHEN s.st = 'A' THEN s.request_id END) OVER (PARTITION BY s.return_code) AS posted,
+      min(CASE WHEN s.st = 'U' THEN s.request_id END) OVER (PARTITION BY s.return_code) AS nxt
+    FROM rounds s LEFT JOIN (
+      SELECT request_id, bool_and(need + most <= cap) AS sure, bool_and(need + least <= cap) AS maybe FROM (
+        SELECT a.request_id, a.need, a.cap, coalesce(sum(a.used) OVER w, 0) AS most, coalesce(sum(CASE WHEN r.st = 'A' THEN a.used ELSE 0 END) OVER w, 0) AS least
+        FROM ask a JOIN rounds r ON r.request_id = a.request_id WHERE r.st IN ('A', 'U')
+        WINDOW w AS (PARTITION BY a.code, a.rid ORDER BY a.request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x GROUP BY request_id) f
+      ON f.request_id = s.request_id) y
+  WHERE EXISTS (SELECT 1 FROM rounds z WHERE z.st = 'U')),
+fin AS (SELECT * FROM rounds WHERE n = (SELECT max(n) FROM rounds)),
+why AS (SELECT request_id, min(code) AS code FROM (
+    SELECT a.*, f.st, coalesce(sum(CASE WHEN f.st = 'A' THEN a.used ELSE 0 END) OVER (PARTITION BY a.code, a.rid ORDER BY a.request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS least
+    FROM ask a JOIN fin f ON f.request_id = a.request_id) x WHERE st = 'R' AND need + least > cap GROUP BY request_id),
+told AS (SELECT f.request_id, f.return_code, CASE f.st WHEN 'A' THEN 0 WHEN 'E' THEN 1 ELSE w.code END AS verdict FROM fin f LEFT JOIN why w ON w.request_id = f.request_id),
+acc AS (SELECT request_id, return_code, (SELECT coalesce(max(return_id), 0) FROM purchase_returns) + row_number() OVER (ORDER BY request_id) AS new_id
+        FROM told WHERE verdict = 0),
+oc AS (SELECT c.request_id, c.return_code, ex.existing_id, a.new_id,
+         CASE WHEN ex.existing_id IS NOT NULL OR a.request_id < c.request_id THEN 'existing' WHEN a.request_id = c.request_id THEN 'accepted' ELSE 'rejected' END AS outcome,
+         coalesce(c.reason_code, t.verdict) AS reason_code
+       FROM chk c LEFT JOIN ex ON ex.return_code = c.return_code LEFT JOIN acc a ON a.return_code = c.return_code LEFT JOIN told t ON t.request_id = c.request_id),
+val AS (SELECT request_id, return_code, outcome, CASE WHEN outcome = 'rejected' THEN CAST(reason_code AS INTEGER) END AS reason_code,
+          CAST(CASE WHEN outcome <> 'rejected' THEN coalesce(existing_id, new_id) END AS BIGINT) AS return_id FROM oc)""".replace("{c}", CANCELLED)
 
 
 @oracle("xml_line_items")
@@ -1105,17 +1127,17 @@ SELECT request_id, item_present, import_detail_id, product_id, variant_id, quant
 
 @oracle("return_request_validate")
 def _():
-    return f"WITH {_RETURN_VALIDATE.strip()}\nSELECT * FROM val"
+    return f"WITH RECURSIVE {_RETURN_VALIDATE.strip()}\nSELECT * FROM val"
 
 
 @oracle("return_request_idempotent")
 def _():
-    return f"WITH {_RETURN_VALIDATE.strip()}\nSELECT * FROM val WHERE outcome = 'existing'"
+    return f"WITH RECURSIVE {_RETURN_VALIDATE.strip()}\nSELECT * FROM val WHERE outcome = 'existing'"
 
 
 @oracle("return_request_post")
 def _():
-    return f"""WITH {_RETURN_VALIDATE.strip()}
+    return f"""WITH RECURSIVE {_RETURN_VALIDATE.strip()}
 SELECT v.return_id, r.return_code, r.import_id, r.supplier_id, r.employee_id, {_ASOF} AS return_date,
   CAST(coalesce((SELECT sum(quantity * import_price) FROM items d WHERE d.request_id = r.request_id AND d.item_present), 0) AS DECIMAL(18,0)) AS total_amount,
   r.note, 'Completed' AS status
@@ -1124,7 +1146,7 @@ FROM val v JOIN return_requests r ON r.request_id = v.request_id WHERE v.outcome
 
 @oracle("return_request_details")
 def _():
-    return f"""WITH {_RETURN_VALIDATE.strip()}
+    return f"""WITH RECURSIVE {_RETURN_VALIDATE.strip()}
 SELECT v.return_id, d.import_detail_id, d.product_id, id.variant_id, d.quantity, d.import_price,
   CAST(d.quantity * d.import_price AS DECIMAL(18,0)) AS total, d.reason
 FROM val v JOIN items d ON d.request_id = v.request_id AND d.item_present
@@ -1134,12 +1156,12 @@ WHERE v.outcome = 'accepted'"""
 
 @oracle("return_request_stock_delta")
 def _():
-    return f"""WITH {_RETURN_VALIDATE.strip()},
+    return f"""WITH RECURSIVE {_RETURN_VALIDATE.strip()},
 ok AS (SELECT d.*, id.variant_id AS line_variant FROM val v JOIN items d ON d.request_id = v.request_id AND d.item_present
        LEFT JOIN import_details id ON id.import_detail_id = d.import_detail_id WHERE v.outcome = 'accepted')
-SELECT 'product' AS kind, product_id AS id, CAST(-sum(quantity) AS BIGINT) AS stock_delta FROM ok GROUP BY product_id
+SELECT 'product' AS kind, product_id AS id, CAST(-sum(quantity) AS BIGINT) AS stock_delta FROM ok WHERE product_id IN (SELECT product_id FROM products) GROUP BY product_id
 UNION ALL
-SELECT 'variant', line_variant, CAST(-sum(quantity) AS BIGINT) FROM ok WHERE line_variant IS NOT NULL
+SELECT 'variant', line_variant, CAST(-sum(quantity) AS BIGINT) FROM ok WHERE line_variant IN (SELECT variant_id FROM product_variants)
   AND import_detail_id IN (SELECT import_detail_id FROM import_details) GROUP BY line_variant"""
 
 

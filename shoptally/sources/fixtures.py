@@ -159,7 +159,7 @@ select event_id check_detail_id, cast(floor(event_id / 40) as int) + case when f
  case when event_id % 31 = 0 then null else cast(cast(floor(value) as int) % 11 - 5 as decimal(18,3)) end difference from {events} where event_type='error'""",
     # ---- request batches for the posting operators (derived, so they grow with the data)
     "return_requests": """
-select import_id * 2 request_id, case when import_id % 7 = 0 then concat('TH', cast(import_id as string)) else concat('RQ', cast(import_id as string)) end return_code,
+select import_id * 4 request_id, case when import_id % 7 = 0 then concat('TH', cast(import_id as string)) else concat('RQ', cast(import_id as string)) end return_code,
  import_id, supplier_id + case when import_id % 79 = 0 then 1 else 0 end supplier_id, employee_id, concat('Yeu cau tra ', cast(import_id as string)) note,
  case when import_id % 97 = 0 then '<Details><Item ImportDetailId="1"' when import_id % 89 = 0 then '<Details></Details>' else concat('<Details>', items, '</Details>') end details_xml
 from (select d.import_id, i.supplier_id, i.employee_id,
@@ -168,9 +168,14 @@ from (select d.import_id, i.supplier_id, i.employee_id,
    '" ImportPrice="', cast(d.import_price as string), '" Reason="Hang loi"/>'), '') items
   from {import_details} d join {imports} i on i.import_id = d.import_id where d.rf <> 'R' group by d.import_id, i.supplier_id, i.employee_id) x
 union all
-select import_id * 2 + 1, case when import_id % 7 = 0 then concat('TH', cast(import_id as string)) else concat('RQ', cast(import_id as string)) end, import_id, supplier_id, employee_id, 'Gui lai',
+select import_id * 4 + 1, case when import_id % 7 = 0 then concat('TH', cast(import_id as string)) else concat('RQ', cast(import_id as string)) end, import_id, supplier_id, employee_id, 'Gui lai',
  '<Details><Item ImportDetailId="0" ProductId="0" VariantId="" Quantity="1" ImportPrice="1" Reason=""/></Details>'
-from {imports}""",
+from {imports}
+union all
+select d.import_id * 4 + 2, concat('RR', cast(floor(d.import_id / 2) as bigint)), d.import_id, i.supplier_id, i.employee_id, 'Tra het',
+ concat('<Details>', string_agg(concat('<Item ImportDetailId="', cast(d.import_detail_id as string), '" ProductId="', cast(d.product_id as string),
+   '" VariantId="', coalesce(cast(d.variant_id as string), ''), '" Quantity="', cast(case when d.quantity <= 3 then d.quantity else 1 end as string), '" ImportPrice="', cast(d.import_price as string), '" Reason=""/>'), ''), '</Details>')
+from {import_details} d join {imports} i on i.import_id = d.import_id where d.rf = 'N' group by d.import_id, i.supplier_id, i.employee_id""",
     "cashbook_requests": """
 select event_id request_id, ts - interval '9131' day entry_date,
  case event_id % 6 when 0 then ' in ' when 1 then 'out' when 2 then 'OUT' when 3 then 'IN' when 4 then 'x' else null end entry_type,

@@ -2,6 +2,8 @@
 
 import datetime as dt
 import random
+
+import pytest
 from decimal import Decimal
 from types import SimpleNamespace
 
@@ -135,12 +137,13 @@ def _movement_tables(spark):
     empty_retd = spark.createDataFrame(
         [], "return_id long, product_id long, quantity int, total decimal(18,0), import_price decimal(18,0)"
     )
-    stocktake = spark.createDataFrame([(2, ts(2024, 2, 20), Decimal("-2.000"))], "product_id long, check_date timestamp_ntz, difference decimal(18,3)")
+    checks = spark.createDataFrame([(1, ts(2024, 2, 20))], "check_id int, check_date timestamp_ntz")
+    counted = spark.createDataFrame([(1, 2, Decimal("-2.000"))], "check_id int, product_id long, difference decimal(18,3)")
     cats = spark.createDataFrame([(0, "Loai 0")], "category_id int, category_name string")
     units = spark.createDataFrame([(0, "DVT 0")], "unit_id int, unit_name string")
     return SimpleNamespace(
         products=products, imports=imports, import_details=details, sales_orders=orders, order_items=items,
-        purchase_returns=empty_ret, purchase_return_details=empty_retd, stocktake=stocktake, categories=cats, units=units,
+        purchase_returns=empty_ret, purchase_return_details=empty_retd, inventory_checks=checks, inventory_check_details=counted, categories=cats, units=units,
     )
 
 
@@ -206,6 +209,9 @@ def test_duplicate_sale_detect_against_brute_force(spark):
         [(i, c, a, w, "SALE") for i, c, a, w in orders],
         "order_id long, customer_id long, final_amount decimal(18,0), order_date timestamp_ntz, order_type string",
     )
+    with pytest.raises(ValueError):  # a missing header field is no match for everything
+        quality.duplicate_sale_detect(o, None, None)
+    o = o.withColumns({c: F.lit(None) for c, _ in quality.HEADER_KEYS if c not in o.columns})
     ln = spark.createDataFrame(lines, "order_id long, product_id long, quantity int, unit_price decimal(18,0)").select(
         "*", F.lit(None).cast("int").alias("gift_quantity"), F.lit(None).cast("bigint").alias("product_variant_id"),
         F.lit(None).cast("string").alias("serial_number"),
