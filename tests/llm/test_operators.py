@@ -173,10 +173,12 @@ def _leaks_by_force(rows, items, percent=80):
         for doc, other in rows:
             v = cut(other)
             n = min(size, len(v))
+            if not v or not b.keys() & bag(v).keys() and n >= 5:
+                continue
             for s in range(len(v) - n + 1) if v else ():
                 c = bag(v[s:s + n])
                 shared = sum(min(c[g], k) * weight(g) for g, k in b.items())
-                whole = sum(k * weight(g) for g, k in (b | c).items()) if False else sum(k * weight(g) for g, k in b.items()) + sum(k * weight(g) for g, k in c.items()) - shared
+                whole = sum(k * weight(g) for bag_ in (b, c) for g, k in bag_.items()) - shared
                 if 100 * shared >= percent * whole:
                     out[doc, item] = max(out.get((doc, item), 0), shared / whole)
     return out
