@@ -53,3 +53,11 @@ def test_bpe_query(spark):
         assert rows[d.doc_id].n_tokens == len(ids)
         assert rows[d.doc_id].ids_sha256 == hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
         assert rows[d.doc_id].decoded_sha256 == hashlib.sha256((d.text or "").encode()).hexdigest()
+
+
+@pytest.mark.parametrize("n", [1, 3, 5, 6, 7, 8, 9])
+def test_native(spark, n):
+    """No Python in the plans of the operators that are to stay in the JVM, and no cross joins."""
+    key = next(k for k in QUERIES if k.startswith(f"op{n}_"))
+    plan = QUERIES[key](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert not any(w in plan for w in ("Python", "Pandas", "InArrow", "CartesianProduct", "BroadcastNestedLoopJoin"))
