@@ -101,7 +101,7 @@ def cashbook_profit_split(t, from_dt, to_dt) -> DataFrame:
     """
     start, end_excl = S.day_start(from_dt), S.day_after(to_dt)
     e = t.cashbook_entries.where((F.col("is_deleted") == 0) & S.in_half_open("entry_date", start, end_excl))
-    cats = F.broadcast(t.cashbook_categories.select("category_id", "affects_profit"))  # a fixed seed list
+    cats = t.cashbook_categories.select("category_id", "affects_profit")
     j = e.join(cats, "category_id", "left")
     is_in = F.col("entry_type") == S.CASH_IN
     is_out = F.col("entry_type") == S.CASH_OUT
