@@ -8,12 +8,17 @@ Jaccard similarity is at least 85 %. The join is exact:
    rarest word. Shingles are ordered by (rarity, hash). Any global order gives
    right results, this one puts shingles first that few documents share, and
    lines or passages that many share last.
-2. *Prefixes.* Two sets of similarity t share a shingle among the first
-   n - ceil(t n) + 1 of each, so only these are shuffled, as (shingle, set).
-   Equal sets are one set (its id a hash of its shingles). Of two sets only
-   that share a shingle, the sizes and places bound the overlap as well.
-3. *Groups.* A shingle's sets meet in the group of their least id: near copies
-   of one text meet in one group or two, not in one per shared shingle. A group
+2. *Prefixes.* Two sets of similarity t share ``SHARED`` shingles and
+   ``SHARED_PERCENT`` % of the smaller one's size (or all they share, if fewer)
+   among the first n - ceil(t n) + that many of each, so only these are
+   shuffled, as (shingle, set); equal sets are one set (its id a hash of its
+   shingles). Shingles of several sets are found again in the prefixes through
+   a bit table of fixed size; sets with too few of them have no partner and
+   leave, ``ROUNDS`` times. The pairs of a shingle with at most ``FEW`` sets are
+   counted: a similar pair has enough of them, or shares a shingle with more sets.
+3. *Groups.* A counted pair, and all sets of a shingle of more sets, meet in the
+   group of their least id: near copies of one text meet in one group or two,
+   not in one per shared shingle. A group
    beyond ``CELL_SHINGLES`` is cut into blocks, and every pair of blocks is a
    cell, so no cell exceeds a task's memory and no pair is lost.
 4. *Prefix tree.* In a cell, sets ordered by the cell's own frequencies (most
@@ -37,7 +42,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoptally.llm.common import materialize
@@ -46,8 +51,13 @@ from shoptally.llm.shingles import FOLD_LOWER, combine, grams, mix, text_batches
 
 N = 4
 PERCENT = 85
+SHARED = 4
+SHARED_PERCENT = 5
+FEW = 4
+ROUNDS = 2
 SLOT_BITS = 20
-BLOOM_BITS = 23
+ID_BITS = 23
+SHINGLE_BITS = 26
 CELL_SHINGLES = 1 << 18
 _U = np.uint64
 
@@ -81,8 +91,11 @@ def _set_id(s: np.ndarray) -> np.ndarray:
     return mix(np.array([np.sum(mix(s ^ _U(len(s))), dtype=np.uint64) + _U(len(s))], np.uint64))
 
 
-def least_overlap(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
+def head_size(n: int, percent: int) -> int:
+    """Shingles of a set of n that are shuffled: so many that two similar sets
+    share ``SHARED`` + ``SHARED_PERCENT`` % of the smaller one's size among them,
+    or all that they share."""
+    return n + percent * n // -100 + SHARED + SHARED_PERCENT * n // 100
 
 
 def _prefixes(table, percent: int) -> Callable:  # noqa: ANN001
@@ -100,7 +113,7 @@ def _prefixes(table, percent: int) -> Callable:  # noqa: ANN001
                 for k, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
                     if y - x >= N:
                         s, at = np.unique(g[x: y - N + 1], return_index=True)
-                        p = len(s) - least_overlap(len(s), percent) + 1
+                        p = head_size(len(s), percent)
                         # stable: within a rarity by hash
                         heads.append(s[np.argsort(r[x + at], kind="stable")[:p]])
                     else:
@@ -123,8 +136,7 @@ def _whole_sets(bloom) -> Callable:  # noqa: ANN001
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = bloom.value
         for b in batches:
-            h = b.column("h").to_numpy()
-            b = b.filter(pa.array((bits[h >> 3] >> (h & 7).astype(np.uint8)) & 1 == 1))
+            b = b.filter(pa.array(_in_table(bits, b.column("h").to_numpy())))
             for lo, hi, raw, offs in text_batches(b.column("text")):
                 w, _, first = words_of(raw, offs, FOLD_LOWER)
                 g = grams(w, N)
@@ -244,14 +256,51 @@ def _cells(percent: int) -> Callable:
     return run
 
 
-def _bloom(ids: DataFrame) -> np.ndarray:
-    """A fixed number of bits, one set per id: at most 2^17 rows of 64."""
-    h = F.pmod(F.xxhash64("x"), F.lit(1 << BLOOM_BITS))
-    words = ids.select(F.shiftright(h, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(xxhash64(x), 64) as int))").alias("bit"))
+def _bit_table(values: DataFrame, bits: int) -> np.ndarray:
+    """One bit per value (a bigint column ``h``) in a table of 2^bits: at most
+    2^(bits - 6) rows of 64 reach the driver."""
+    at = F.pmod("h", F.lit(1 << bits))
+    words = values.select(F.shiftright(at, 6).cast("int").alias("at"), F.expr("shiftleft(1L, cast(pmod(h, 64L) as int))").alias("bit"))
     got = words.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    table = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
+    table = np.zeros(1 << (bits - 6), np.int64)
     table[got["at"].to_numpy()] = got["bits"].to_numpy()
-    return table.astype("<i8").view(np.uint8)
+    return table
+
+
+def _in_table(table: np.ndarray, h: np.ndarray) -> np.ndarray:
+    h = h.view(np.uint64)
+    word = table.view(np.uint64)[((h & _U(len(table) * 64 - 1)) >> _U(6)).astype(np.int64)]
+    return (word >> (h & _U(63))) & _U(1) == 1
+
+
+def _posts_in(table) -> Callable:  # noqa: ANN001
+    """(set, n, shingle) of the prefixes' shingles that are in the table."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            head = b.column("head")
+            flat, row = np.asarray(head.flatten()), np.repeat(np.arange(b.num_rows), np.diff(np.asarray(head.offsets)))
+            on = _in_table(table.value, flat)
+            row = pa.array(row[on])
+            yield pa.RecordBatch.from_arrays([b.column("set").take(row), b.column("n").take(row), pa.array(flat[on])], ["set", "n", "shingle"])
+
+    return run
+
+
+def _needed(n: Column) -> Column:
+    return SHARED + F.floor(SHARED_PERCENT * n / 100)
+
+
+def _thinned(posts: DataFrame, percent: int) -> DataFrame:
+    """(shingle, set, n, rows) without the sets that have too few shared
+    shingles for any partner (of at least ``percent`` of their size), and
+    without the shingles that then have one set."""
+    enough = F.least(_needed(F.floor(percent * F.col("n") / 100)), F.ceil(percent * F.col("n") / 100))
+    sets = posts.groupBy("set").agg(F.count(F.lit(1)).alias("got"), F.min("n").alias("n")).where(F.col("got") >= enough)
+    posts = posts.select("shingle", "set", "n").withColumn("k", F.hash("set")).join(sets.select("set", F.hash("set").alias("k")), ["set", "k"], "left_semi")
+    rows = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    return posts.select("shingle", "set", "n", F.hash("shingle").alias("k")).join(
+        rows.select("shingle", F.hash("shingle").alias("k"), "rows"), ["shingle", "k"]).drop("k")
 
 
 def jaccard_components(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
@@ -262,28 +311,41 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, percent: int =
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = spark.sparkContext.broadcast(rarity_table(docs))
     sets = materialize(docs.mapInArrow(_prefixes(table, percent), "doc_id long, set long, n int, head array<long>"), "ngram-sets")
-    known = sets.where("n > 0 and doc_id is not null")
-    # places count from 0: n - place bounds the overlap of what is shared from there on
-    posts = known.select("set", "n", F.posexplode("head").alias("at", "shingle"))
-    shared = posts.groupBy("shingle").agg(
-        F.min("set").alias("c"), F.max("set").alias("_max"), F.count(F.lit(1)).alias("_rows"),
-        F.sum("n").alias("_sum"), F.min(F.col("n") - F.col("at")).alias("_room"))
-    pair_fails = (F.col("_rows") == 2) & ((100 + percent) * F.col("_room") < percent * F.col("_sum"))
-    shared = shared.where((F.col("c") != F.col("_max")) & ~pair_fails).select("shingle", F.hash("shingle").alias("k"), "c")
-    routes = (posts.select("set", "n", "shingle", F.hash("shingle").alias("k")).join(shared, ["shingle", "k"])
-              .select("c", "set", "n").distinct())
+    classes = sets.where("n > 0 and doc_id is not null").groupBy("set").agg(
+        F.min("doc_id").alias("x"), F.min("n").alias("n"), F.first("head").alias("head"))
+    classes = materialize(classes, "ngram-classes")
+    posts = classes.select("set", F.explode("head").alias("shingle"))
+    shared = posts.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    shared = materialize(shared, "ngram-shared")
+    table = spark.sparkContext.broadcast(_bit_table(shared.select(F.col("shingle").alias("h")), SHINGLE_BITS))
+    posts = classes.select("set", "n", "head").mapInArrow(_posts_in(table), "set long, n int, shingle long")
+    # shared is read from its files, so both sides are exchanged and a hot shingle can be split
+    posts = materialize(posts.join(shared.select("shingle", "rows"), "shingle"), "ngram-posts")
+    for _ in range(ROUNDS):
+        posts = materialize(_thinned(posts, percent), "ngram-posts")
+    few = posts.where(F.col("rows") <= FEW).groupBy("shingle").agg(F.sort_array(F.collect_list(F.struct("set", "n"))).alias("few"))
+    few = few.select(F.posexplode("few").alias("i", "a"), "few").select("a", F.explode(F.slice("few", F.col("i") + 2, FEW)).alias("b"))
+    many = posts.where(F.col("rows") > FEW)
+    centers = many.groupBy("shingle").agg(F.min("set").alias("c")).select("shingle", F.hash("shingle").alias("k"), "c")
+    many = many.withColumn("k", F.hash("shingle")).join(centers, ["shingle", "k"])
+    # overlap o of a similar pair: 100 o >= percent (n + n - o)
+    least = F.ceil(percent * (F.col("a.n") + F.col("b.n")) / (100 + percent))
+    smaller = F.least("a.n", "b.n")
+    pairs = few.groupBy("a", "b").agg(F.count(F.lit(1)).alias("got")).where(
+        (F.col("got") >= F.least(_needed(smaller), least)) & (smaller >= least))
+    routes = pairs.select(F.col("a.set").alias("c"), F.explode(F.array("a", "b")).alias("e")).select("c", "e.set", "e.n").unionByName(
+        many.select("c", "set", "n")).distinct()
     routes = materialize(routes, "ngram-routes")
-    classes = known.groupBy("set").agg(F.min("doc_id").alias("x"), F.min("n").alias("n"))  # equal sets are one
-    size = routes.groupBy("c").agg(F.sum("n").alias("_all"))
-    blocks = size.select("c", F.hash("c").alias("k"), F.ceil(F.col("_all") / cell_shingles).cast("int").alias("blocks"))
-    routes = routes.withColumn("k", F.hash("c")).join(blocks, ["c", "k"]).join(classes, ["set", "n"])
+    size = routes.groupBy("c").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("sets"))
+    blocks = size.select("c", F.hash("c").alias("k"), F.least(F.ceil(F.col("all") / cell_shingles), F.col("sets")).cast("int").alias("blocks"))
+    routes = routes.withColumn("k", F.hash("c")).join(blocks, ["c", "k"]).join(classes.select("set", "n", "x"), ["set", "n"])
     mine = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
     cells = routes.select("c", "x", mine.alias("b"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
     cells = materialize(cells.select("c", "x", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j")), "ngram-cells")
-    bloom = spark.sparkContext.broadcast(_bloom(cells.select("x")))
+    bloom = spark.sparkContext.broadcast(_bit_table(cells.select(F.xxhash64("x").alias("h")), ID_BITS))
     # by id: only documents that stand for a set in some cell are read into shingles again
     whole = docs.where("doc_id is not null").select(
-        "doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << BLOOM_BITS)).alias("h")).mapInArrow(_whole_sets(bloom), "x long, shingles binary")
+        "doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_whole_sets(bloom), "x long, shingles binary")
     cells = cells.join(whole, "x").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
     links = cells.select("c", "i", "j", "x", "shingles").mapInArrow(_cells(percent), "a long, b long")
     roots = components(links)
