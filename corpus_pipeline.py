@@ -21,6 +21,9 @@ from shoptally.llm.quality_rules import quality_rules
 from shoptally.llm.queries import ranks
 
 C = F.col
+#: Near copies of the stage; op10's contract (4 words, 85 %) binds its query alone.
+NEAR_WORDS = 5
+NEAR_PERCENT = 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that n-gram similarity connects, the one of least id stays."""
-    found = jaccard_components(docs, "doc_id", "text")
+    found = jaccard_components(docs, "doc_id", "text", percent=NEAR_PERCENT, n=NEAR_WORDS)
     drop = found.where("component_id != doc_id").select("doc_id").distinct()
     return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
 

@@ -1,7 +1,8 @@
 """N-gram Jaccard join with a prefix tree (operator 10).
 
-Documents are sets of 4-word shingles (A-Z lower-cased); two link when their
-Jaccard similarity is at least 85 %. The join is exact:
+Documents are sets of ``n``-word shingles (A-Z lower-cased); two link when their
+Jaccard similarity is at least ``percent`` % (4 words and 85 %, the query's
+contract, unless the caller says otherwise). The join is exact:
 
 1. *Global order.* Words' document frequencies are counted in a table of 2^20
    slots (a fixed size, whatever the corpus); a shingle is as rare as its
@@ -30,7 +31,7 @@ Jaccard similarity is at least 85 %. The join is exact:
 5. *Components* of the links (``components.py``) are joined back to documents.
 
 Defined results: a text without words (or NULL) has no shingles and its own
-component; with fewer than four words the whole sequence is one shingle;
+component; with fewer than ``n`` words the whole sequence is one shingle;
 repeated rows are equal sets; rows with a NULL id get a NULL component and take
 no part in others; an empty table gives no rows. Shingles are compared by
 64-bit hash.
@@ -98,7 +99,7 @@ def head_size(n: int, percent: int) -> int:
     return n + percent * n // -100 + SHARED + SHARED_PERCENT * n // 100
 
 
-def _prefixes(table, percent: int) -> Callable:  # noqa: ANN001
+def _prefixes(table, percent: int, words: int) -> Callable:  # noqa: ANN001
     """doc_id, set, n and the set's first shingles in the global order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,13 +107,15 @@ def _prefixes(table, percent: int) -> Callable:  # noqa: ANN001
         for b in batches:
             for lo, hi, raw, offs in text_batches(b.column("text")):
                 w, _, first = words_of(raw, offs, FOLD_LOWER)
-                g, f = grams(w, N), rare[_slots(w)]
+                g, f = grams(w, words), rare[_slots(w)]
                 m = len(g)
-                r = np.minimum(np.minimum(f[:m], f[1:m + 1]), np.minimum(f[2:m + 2], f[3:m + 3]))
+                r = f[:m]
+                for i in range(1, words):
+                    r = np.minimum(r, f[i:m + i])
                 sets, sizes, heads = np.zeros(hi - lo, np.uint64), np.zeros(hi - lo, np.int32), []
                 for k, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-                    if y - x >= N:
-                        s, at = np.unique(g[x: y - N + 1], return_index=True)
+                    if y - x >= words:
+                        s, at = np.unique(g[x: y - words + 1], return_index=True)
                         p = head_size(len(s), percent)
                         # stable: within a rarity by hash
                         heads.append(s[np.argsort(r[x + at], kind="stable")[:p]])
@@ -130,7 +133,7 @@ def _prefixes(table, percent: int) -> Callable:  # noqa: ANN001
     return run
 
 
-def _whole_sets(bloom) -> Callable:  # noqa: ANN001
+def _whole_sets(bloom, words: int) -> Callable:  # noqa: ANN001
     """doc_id and all shingle hashes of the documents that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +142,8 @@ def _whole_sets(bloom) -> Callable:  # noqa: ANN001
             b = b.filter(pa.array(_in_table(bits, b.column("h").to_numpy())))
             for lo, hi, raw, offs in text_batches(b.column("text")):
                 w, _, first = words_of(raw, offs, FOLD_LOWER)
-                g = grams(w, N)
-                rows = [np.unique(g[x: y - N + 1]).tobytes() if y - x >= N else combine(w[x:y]).tobytes() if y > x else b""
+                g = grams(w, words)
+                rows = [np.unique(g[x: y - words + 1]).tobytes() if y - x >= words else combine(w[x:y]).tobytes() if y > x else b""
                         for x, y in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(rows, pa.binary())], ["x", "shingles"])
 
@@ -303,14 +306,17 @@ def _thinned(posts: DataFrame, percent: int) -> DataFrame:
         rows.select("shingle", F.hash("shingle").alias("k"), "rows"), ["shingle", "k"]).drop("k")
 
 
-def jaccard_components(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, cell_shingles: int = CELL_SHINGLES) -> DataFrame:
+def jaccard_components(df: DataFrame, id_col: str, text_col: str, percent: int = PERCENT, cell_shingles: int = CELL_SHINGLES,
+                       n: int = N) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
+    if n < 1:
+        raise ValueError("n must be at least 1")
     if not 50 <= percent <= 100:
         raise ValueError("percent must be from 50 to 100")
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     table = spark.sparkContext.broadcast(rarity_table(docs))
-    sets = materialize(docs.mapInArrow(_prefixes(table, percent), "doc_id long, set long, n int, head array<long>"), "ngram-sets")
+    sets = materialize(docs.mapInArrow(_prefixes(table, percent, n), "doc_id long, set long, n int, head array<long>"), "ngram-sets")
     classes = sets.where("n > 0 and doc_id is not null").groupBy("set").agg(
         F.min("doc_id").alias("x"), F.min("n").alias("n"), F.first("head").alias("head"))
     classes = materialize(classes, "ngram-classes")
@@ -345,7 +351,7 @@ def jaccard_components(df: DataFrame, id_col: str, text_col: str, percent: int =
     bloom = spark.sparkContext.broadcast(_bit_table(cells.select(F.xxhash64("x").alias("h")), ID_BITS))
     # by id: only documents that stand for a set in some cell are read into shingles again
     whole = docs.where("doc_id is not null").select(
-        "doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_whole_sets(bloom), "x long, shingles binary")
+        "doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(_whole_sets(bloom, n), "x long, shingles binary")
     cells = cells.join(whole, "x").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
     links = cells.select("c", "i", "j", "x", "shingles").mapInArrow(_cells(percent), "a long, b long")
     roots = components(links)

@@ -404,6 +404,32 @@ def test_ngram_join_edges(spark):
     assert ngram_join.jaccard_components(docs(spark, []), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize(("n", "percent"), [(1, 70), (5, 80)])
+def test_ngram_join_other_figures(spark, n, percent):
+    rng = random.Random(8)
+    bases = [[f"w{rng.randrange(300)}" for _ in range(rng.randint(3, 90))] for _ in range(30)]
+    rows = []
+    for i in range(200):
+        w = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = f"w{rng.randrange(300)}"
+        rows.append((i, " ".join(w)))
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k:k + n]) for k in range(len(w) - n + 1)} or {tuple(w)}
+    want = {i: i for i in sets}
+    for a in sets:
+        for b in range(a):
+            if want[a] != want[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                old, new = max(want[a], want[b]), min(want[a], want[b])
+                want = {i: new if c == old else c for i, c in want.items()}
+    d = docs(spark, [(i, t, "s") for i, t in rows])
+    got = ngram_join.jaccard_components(d, "doc_id", "text", percent=percent, n=n).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
+    assert 30 < len(set(want.values())) < 150
+
+
 def test_components(spark):
     rng = random.Random(1)
     chain = [(k, k + 1) for k in range(0, 60)] + [(100, 100 + k) for k in range(1, 50)] + [(7, 7), (None, 3)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]

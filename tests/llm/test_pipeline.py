@@ -47,3 +47,15 @@ def test_stages_on_an_empty_table(spark):
     for name, stage in P.STAGES:
         docs = P.materialize(stage(spark, docs, SF_SMALL), name)
     assert docs.count() == 0
+
+
+def test_near_copies_by_five_words(spark):
+    w = [f"w{k}" for k in range(104)]
+    # 23 words more: five-word Jaccard 100/123, four-word 101/124 < 0.85; 26 words more: 100/126
+    rows = [(1, w), (2, w + [f"x{k}" for k in range(23)]), (3, w + [f"y{k}" for k in range(26)])]
+    sets = [{tuple(x[k:k + 5]) for k in range(len(x) - 4)} for _, x in rows]
+    assert len(sets[0] & sets[1]) / len(sets[0] | sets[1]) >= 0.8 > len(sets[0] & sets[2]) / len(sets[0] | sets[2])
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in rows], "doc_id long, text string")
+    assert sorted(r.doc_id for r in dict(P.STAGES)["ngram_join"](spark, docs, SF_SMALL).collect()) == [1, 3]
+    four = P.jaccard_components(docs, "doc_id", "text").collect()
+    assert {r.doc_id: r.component_id for r in four} == {1: 1, 2: 2, 3: 3}
