@@ -1,9 +1,9 @@
 """Line dedup by a deletion neighbourhood (operator 1), JVM-side only.
 
 A line goes if an earlier line (by document id, then line number) is equal to
-it or within one edit. Lines are compared without the white space around them;
-lines of fewer than ``MIN_CHARS`` code points take no part (short lines repeat
-in clean texts), and those under ``NEAR_CHARS`` only if equal.
+it or within one edit. Lines are compared without the white space around them.
+Every line with a word takes part, those under ``NEAR_CHARS`` code points only if
+equal; a caller may leave short lines out (``min_chars``).
 
 Equal lines: the first of each by a grouped minimum over 128-bit hashes.
 
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from shoptally.llm.common import has_word, materialize, pack, strip, unpack
 
-MIN_CHARS = 10
+MIN_CHARS = 1
 NEAR_CHARS = 20
 PARTS = 8
 TABLE_WORDS = 1 << 15
@@ -59,10 +59,10 @@ def _half_keys(line: Column, n: Column) -> Column:
     return F.array(*keys)
 
 
-def _scan(df: DataFrame) -> DataFrame:
+def _scan(df: DataFrame, least: int) -> DataFrame:
     """_id, no, line of every line that takes part."""
     lines = df.select("_id", F.posexplode(F.transform(_lines(F.col("_text")), strip)).alias("no", "line"))
-    return lines.where(F.length("line") >= MIN_CHARS)
+    return lines.where(F.length("line") >= least)
 
 
 def _hashes(line: str = "line") -> list[Column]:
@@ -82,14 +82,14 @@ def _bit_table(lines: DataFrame) -> DataFrame:
     return words.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "bits"))), lambda w: w["bits"]).alias("table"))
 
 
-def _candidates(df: DataFrame, firsts: DataFrame, lines: DataFrame) -> DataFrame:
+def _candidates(df: DataFrame, firsts: DataFrame, lines: DataFrame, least: int) -> DataFrame:
     """Distinct lines (h1, h2, f: first place, n, line) that share a half with another."""
-    keyed = lines.where(F.col("n") >= NEAR_CHARS).select("h1", "h2", F.explode("keys").alias("key"))
+    keyed = lines.where(F.col("n") >= least).select("h1", "h2", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("h1").alias("_a"), F.max("h1").alias("_z")).where("_a != _z").select("key", F.hash("key").alias("k"))
     some = keyed.withColumn("k", F.hash("key")).join(shared, ["key", "k"], "left_semi").select("h1", "h2").distinct()
     some = materialize(firsts.join(some, ["h1", "h2"], "left_semi"), "line-candidates")
     at, bit = _table_at()
-    texts = _scan(df).select("_id", "no", "line", *_hashes()).where(F.length("line") >= NEAR_CHARS)
+    texts = _scan(df, least).select("_id", "no", "line", *_hashes())
     word = F.get(_bit_table(some).scalar(), at)
     texts = texts.where(F.call_function("shiftrightunsigned", word, bit).bitwiseAND(F.lit(1).cast("long")) == 1)
     # the first occurrence alone, so each line comes once
@@ -133,16 +133,20 @@ def _near(cands: DataFrame) -> DataFrame:
     return hits.join(mine, "f").join(other, "g").where(F.levenshtein("x", "y") <= 1).select("f").distinct()
 
 
-def dedup_lines(df: DataFrame, id_col: Column, text: Column, max_edits: int = 1, keep: list[str] | None = None) -> DataFrame:
+def dedup_lines(df: DataFrame, id_col: Column, text: Column, max_edits: int = 1, keep: list[str] | None = None,
+                min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows (all input columns, or those in ``keep``) with ``n_lines``
     (lines with a word), ``n_equal`` and ``n_near`` (lines dropped as equal to,
     or within an edit of, an earlier one) and ``kept_text``. ``max_edits`` is 0
-    or 1."""
+    or 1; lines under ``min_chars`` (at least 1) code points take no part."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
+    if min_chars < 1:
+        raise ValueError("min_chars must be at least 1")
+    near_chars = max(NEAR_CHARS, min_chars)
     rows = pack(df, keep, _id=id_col, _text=F.coalesce(text, F.lit("")))
-    scan = _scan(rows)
-    keys = F.when(F.length("line") >= NEAR_CHARS, _half_keys(F.col("line"), F.length("line"))) if max_edits else F.lit(None).cast("array<bigint>")
+    scan = _scan(rows, min_chars)
+    keys = F.when(F.length("line") >= near_chars, _half_keys(F.col("line"), F.length("line"))) if max_edits else F.lit(None).cast("array<bigint>")
     lines = materialize(scan.select("_id", "no", *_hashes(), F.length("line").alias("n"), keys.alias("keys")), "lines")
     firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct("_id", "no")).alias("f"), F.first("n").alias("n"), F.count(F.lit(1)).alias("_n"))
     again = firsts.where("_n > 1").select("h1", "h2", "n", "f")
@@ -151,7 +155,7 @@ def dedup_lines(df: DataFrame, id_col: Column, text: Column, max_edits: int = 1,
     drops = (lines.select("_id", "no", "h1", "h2", "n").join(again, ["h1", "h2", "n"]).where(~place.eqNullSafe(F.col("f")))
              .select("_id", "no", F.lit(False).alias("near")))
     if max_edits:
-        cands = materialize(_candidates(rows.select("_id", "_text"), firsts.select("h1", "h2", "f", "n"), lines), "line-texts")
+        cands = materialize(_candidates(rows.select("_id", "_text"), firsts.select("h1", "h2", "f", "n"), lines, near_chars), "line-texts")
         drops = drops.unionByName(_near(cands).select("f._id", "f.no", F.lit(True).alias("near")))
     drops = drops.groupBy("_id").agg(F.collect_set(F.when(~F.col("near"), F.col("no"))).alias("equal"), F.collect_set(F.when(F.col("near"), F.col("no"))).alias("near"))
     drops = drops.select(F.xxhash64("_id").alias("k"), F.col("_id").alias("_d"), "equal", "near")

@@ -100,6 +100,16 @@ def test_line_dedup_edges(spark):
         line_dedup.dedup_lines(docs(spark, []), C("doc_id"), C("text"), max_edits=2)
 
 
+def test_line_dedup_short_lines(spark):
+    rows = docs(spark, [(1, "Les.\n\nAnd ornd.\n}", "s"), (2, "Les.\n\nWh the.\n }\n日\n日", "s"), (3, "les.\n \nAnd ornd.", "s")])
+    got = {r.doc_id: (r.n_equal, r.n_near, r.kept_text) for r in line_dedup.dedup_lines(rows, C("doc_id"), C("text")).collect()}
+    assert got == {1: (0, 0, "Les.\n\nAnd ornd.\n}"), 2: (3, 0, "\nWh the.\n日"), 3: (1, 0, "les.\n ")}
+    longer = line_dedup.dedup_lines(rows, C("doc_id"), C("text"), min_chars=9)
+    assert {r.doc_id: r.n_equal for r in longer.collect()} == {1: 0, 2: 0, 3: 1}
+    with pytest.raises(ValueError):
+        line_dedup.dedup_lines(rows, C("doc_id"), C("text"), min_chars=0)
+
+
 # 2 byte-level BPE
 
 def test_bpe_round_trip(spark):
