@@ -401,8 +401,8 @@ HEADER_KEYS = (
 
 
 def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: DataFrame,
-                          window_seconds: int = 30, bucket_seconds: int = 600) -> DataFrame:
-    """Q17: for each SALE order without serials, the earliest other order that
+                          window_seconds: int = 30, bucket_seconds: int = 600, wallet_orders: DataFrame | None = None) -> DataFrame:
+    """Q17: for each SALE order without serials or wallet rows, the earliest other order that
     has the same header (NULL-safe), the same multiset of lines and a time
     within ``window_seconds`` (whole-second difference).
 
@@ -422,7 +422,10 @@ def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: Da
         "order_id", "order_date", F.col("order_type").alias("_type"), *cols, "sig_lines", "sig_h1", "sig_h2",
         _epoch_seconds("order_date").alias("_sec"),
     )
-    sig = sig.join(serial_orders.select("order_id").distinct().withColumn("_has_serial", F.lit(True)), "order_id", "left")
+    tied = serial_orders.select("order_id")
+    if wallet_orders is not None:  # optional in the source as well
+        tied = tied.unionByName(wallet_orders.select("order_id"))
+    sig = sig.join(tied.distinct().withColumn("_tied", F.lit(True)), "order_id", "left")
     b = F.floor(F.col("_sec") / bucket_seconds).cast("bigint")
     near_start = F.col("_sec") - b * bucket_seconds < window_seconds
     near_end = (b + 1) * bucket_seconds - F.col("_sec") <= window_seconds
@@ -452,7 +455,7 @@ def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: Da
     cand = F.when(~is_self, F.col("_first.order_id")).when(next_ok, F.col("_next.order_id"))
     cand_date = F.when(~is_self, F.col("_first.order_date")).when(next_ok, F.col("_next.order_date"))
     return w.where(
-        F.col("_main") & (F.col("_type") == "SALE") & F.col("_has_serial").isNull() & cand.isNotNull()
+        F.col("_main") & (F.col("_type") == "SALE") & F.col("_tied").isNull() & cand.isNotNull()
     ).select(
         "order_id", "order_date", cand.alias("duplicate_of"), cand_date.alias("duplicate_of_date"),
     )
@@ -472,8 +475,8 @@ def duplicate_sale_inputs(t):
 
 def duplicate_sale_detect_shop(t) -> DataFrame:
     orders, lines = duplicate_sale_inputs(t)
-    serials = t.product_serials.where(F.col("order_id").isNotNull()).select("order_id")
-    return duplicate_sale_detect(orders, lines, serials)
+    return duplicate_sale_detect(orders, lines, _keys(t.product_serials, "order_id"),
+                                 wallet_orders=_keys(t.customer_wallet_transactions, "order_id"))
 
 
 def duplicate_sales_to_reverse(t):
@@ -483,8 +486,8 @@ def duplicate_sales_to_reverse(t):
     reversed.
     """
     orders, lines = duplicate_sale_inputs(t)
-    serials = t.product_serials.where(F.col("order_id").isNotNull()).select("order_id")
-    hits = duplicate_sale_detect(orders, lines, serials)
+    hits = duplicate_sale_detect(orders, lines, _keys(t.product_serials, "order_id"),
+                                 wallet_orders=_keys(t.customer_wallet_transactions, "order_id"))
     later = hits.where(
         (F.col("duplicate_of_date") < F.col("order_date"))
         | ((F.col("duplicate_of_date") == F.col("order_date")) & (F.col("duplicate_of") < F.col("order_id")))
@@ -550,7 +553,7 @@ def duplicate_sale_reverse_cashbook(t, as_of) -> DataFrame:
 
 
 def unreferenced_duplicate_customer(t) -> DataFrame:
-    """Q19: customers with a same-name/phone twin and no orders, payments or adjustments;
+    """Q19: customers with a same-name/phone twin and no orders, payments, wallet rows or adjustments;
     one member of every group stays.
 
     Twins are found by counting (trimmed name, trimmed phone) groups, so a
@@ -563,6 +566,7 @@ def unreferenced_duplicate_customer(t) -> DataFrame:
     )
     refs = (
         _keys(t.sales_orders, "customer_id").unionByName(_keys(t.customer_payments, "customer_id"))
+        .unionByName(_keys(t.customer_wallet_transactions, "customer_id"))
         .unionByName(_keys(t.customer_debt_adjustments, "customer_id")).distinct().withColumn("_ref", F.lit(1))
     )
     c = c.join(refs, "customer_id", "left")
@@ -609,11 +613,37 @@ def rekey_supplier_zero(t) -> DataFrame:
             "imports": (t.imports, "supplier_id", "import_id"),
             "purchase_returns": (t.purchase_returns, "supplier_id", "return_id"),
             "supplier_payments": (t.supplier_payments, "supplier_id", "payment_id"),
+            "supplier_debt_adjustments": (t.supplier_debt_adjustments, "supplier_id", "adjustment_id"),
         },
         "suppliers",
     )
 
 
+def rekey_import_zero(t) -> DataFrame:
+    return rekey_invalid_id(
+        t.imports, "import_id",
+        {
+            "import_details": (t.import_details, "import_id", "import_detail_id"),
+            "product_serials": (t.product_serials, "import_id", "serial_id"),
+            "purchase_returns": (t.purchase_returns, "import_id", "return_id"),
+            "supplier_debt_discount_allocations": (t.supplier_debt_discount_allocations, "import_id", "allocation_id"),
+        },
+        "imports",
+    )
+
+
+def rekey_purchase_return_zero(t) -> DataFrame:
+    return rekey_invalid_id(
+        t.purchase_returns, "return_id",
+        {"purchase_return_details": (t.purchase_return_details, "return_id", "return_detail_id")},
+        "purchase_returns",
+    )
+
+
+def rekey_purchase_return_line_zero(t) -> DataFrame:
+    return rekey_invalid_id(t.purchase_return_details, "return_detail_id", {}, "purchase_return_details")
+
+
 def empty_stocktakes(t) -> DataFrame:
     """Q21: stocktake headers with id 0 and no detail lines."""
     return (
@@ -673,6 +703,14 @@ def constraint_violations(t) -> DataFrame:
         rows("amount_positive", "customer_debt_adjustments", t.customer_debt_adjustments, not_pos("amount"), "adjustment_id"),
         rows("amount_positive", "customer_debt_discount_allocations", t.customer_debt_discount_allocations,
              not_pos("amount"), F.concat_ws("|", F.col("adjustment_id").cast("string"), F.col("order_id").cast("string"))),
+        rows("amount_positive", "supplier_debt_adjustments", t.supplier_debt_adjustments, not_pos("amount"), "adjustment_id"),
+        rows("amount_positive", "supplier_debt_discount_allocations", t.supplier_debt_discount_allocations,
+             not_pos("amount"), "allocation_id"),
+        rows("amount_positive", "employee_payroll_adjustments", t.employee_payroll_adjustments, not_pos("amount"), "adjustment_id"),
+        rows("adjustment_type_valid", "employee_payroll_adjustments", t.employee_payroll_adjustments,
+             ~F.coalesce(F.col("adjustment_type").isin("ALLOWANCE", "BONUS", "DEDUCTION"), F.lit(False)), "adjustment_id"),
+        # a CHECK lets NULL pass; the column is nullable
+        rows("price_method_1_2", "store_info", t.store_info, ~F.col("import_price_method").isin(1, 2), "store_name"),
         rows("entry_type_in_out", "cashbook_entries", t.cashbook_entries,
              ~F.coalesce(F.col("entry_type").isin(S.CASH_IN, S.CASH_OUT), F.lit(False)), "entry_id"),
         rows("category_type_in_out", "cashbook_categories", t.cashbook_categories,
@@ -687,6 +725,8 @@ def constraint_violations(t) -> DataFrame:
         dups("import_code_unique", "imports", t.imports, ["import_code"], F.col("import_code").isNotNull()),
         dups("allocation_unique", "customer_debt_discount_allocations", t.customer_debt_discount_allocations,
              ["adjustment_id", "order_id"]),
+        dups("allocation_unique", "supplier_debt_discount_allocations", t.supplier_debt_discount_allocations,
+             ["adjustment_id", "import_id"]),
         dups("sku_unique", "product_variants", t.product_variants, ["sku_code"]),
         dups("serial_unique", "product_serials", t.product_serials, ["serial_number"], F.col("serial_number").isNotNull()),
         dups("barcode_unique", "products", t.products, ["barcode"],

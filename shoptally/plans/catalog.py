@@ -208,6 +208,9 @@ _QUALITY = {
     "duplicate_sale_reverse_cashbook": lambda t: Q.duplicate_sale_reverse_cashbook(t, P.as_of),
     "unreferenced_duplicate_customer": lambda t: Q.unreferenced_duplicate_customer(t),
     "rekey_invalid_id": lambda t: Q.rekey_supplier_zero(t),
+    "rekey_import_id": lambda t: Q.rekey_import_zero(t),
+    "rekey_purchase_return_id": lambda t: Q.rekey_purchase_return_zero(t),
+    "rekey_purchase_return_line_id": lambda t: Q.rekey_purchase_return_line_zero(t),
     "empty_stocktakes": lambda t: Q.empty_stocktakes(t),
     "blank_to_null_serial": lambda t: Q.blank_to_null_serial(t),
     "settlement_normalise": lambda t: Q.settlement_normalise(t),

@@ -982,6 +982,29 @@ UNION ALL SELECT 'purchase_returns', CAST(return_id AS VARCHAR), CAST(supplier_i
 UNION ALL SELECT 'supplier_payments', CAST(payment_id AS VARCHAR), CAST(supplier_id AS BIGINT), {nid} FROM supplier_payments WHERE supplier_id = 0"""
 
 
+def _rekey(header, key, children):
+    nid = f"(SELECT CAST(coalesce(max(CASE WHEN {key} > 0 THEN {key} END), 0) + 1 AS BIGINT) FROM {header})"
+    return "\nUNION ALL ".join(
+        f"SELECT '{t}' AS table_name, CAST({rk} AS VARCHAR) AS row_key, CAST({key} AS BIGINT) AS old_id, {nid} AS new_id FROM {t} WHERE {key} = 0"
+        for t, rk in [(header, key), *children])
+
+
+@oracle("rekey_import_id")
+def _():
+    return _rekey("imports", "import_id", [("import_details", "import_detail_id"), ("product_serials", "serial_id"),
+                                           ("purchase_returns", "return_id"), ("supplier_debt_discount_allocations", "allocation_id")])
+
+
+@oracle("rekey_purchase_return_id")
+def _():
+    return _rekey("purchase_returns", "return_id", [("purchase_return_details", "return_detail_id")])
+
+
+@oracle("rekey_purchase_return_line_id")
+def _():
+    return _rekey("purchase_return_details", "return_detail_id", [])
+
+
 @oracle("empty_stocktakes")
 def _():
     return """

@@ -152,6 +152,18 @@ select order_id, customer_id, final_amount, order_date, source_id, order_type, c
 select o_orderkey order_id, o_custkey customer_id, cast(floor(o_totalprice) as decimal(18,0)) final_amount, o_orderdate order_date, o_orderkey source_id, 'SALE' order_type from {orders}
  union all select o_orderkey + 100000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '20' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 100 = 0
  union all select o_orderkey + 200000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '90' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 150 = 0) d""",
+    "customer_wallet_transactions": """
+select o_orderkey wallet_transaction_id, o_custkey customer_id, o_orderdate transaction_date, 'PAYMENT' transaction_type, cast(floor(o_totalprice) as decimal(18,2)) amount,
+ case when o_orderkey % 3 = 0 then null else o_orderkey end order_id from {orders} where o_orderkey % 50 = 7""",
+    "supplier_debt_adjustments": """
+select import_id adjustment_id, supplier_id, import_date adjustment_date, cast(import_id % 90 + 1 as decimal(18,0)) amount from {imports} where import_id % 20 = 3 and supplier_id > 0""",
+    "supplier_debt_discount_allocations": """
+select adjustment_id allocation_id, adjustment_id, adjustment_id import_id, amount from {supplier_debt_adjustments}""",
+    "employee_payroll_adjustments": """
+select payment_id adjustment_id, payroll_id, case when payment_id % 12 = 0 then 'ALLOWANCE' when payment_id % 12 = 4 then 'BONUS' else 'DEDUCTION' end adjustment_type, payment_date adjustment_date,
+ cast(payment_id % 500 + 1 as decimal(18,0)) amount, is_void from {employee_payroll_payments} where payment_id % 4 = 0""",
+    "store_info": """
+select 'Cua hang' store_name, cast(1 as int) import_price_method""",
     "inventory_checks": """
 select cast(floor(event_id / 40) as int) check_id, min(ts - interval '9131' day) check_date from {events} group by cast(floor(event_id / 40) as int)""",
     "inventory_check_details": """
@@ -234,7 +246,7 @@ _STAGED_FRAMES: dict = {}
 _STAGED_NAMES: dict[str, set] = {}
 
 # fixed or tiny lists (bounded by construction, not by the data size)
-SMALL_TABLES = {"categories", "units", "cashbook_categories", "employees", "users"}
+SMALL_TABLES = {"categories", "units", "cashbook_categories", "employees", "users", "store_info"}
 
 _REF = re.compile(r"\{(\w+)\}")
 # naive timestamp literal: NTZ'...' (Spark TIMESTAMP_NTZ, DuckDB TIMESTAMP)

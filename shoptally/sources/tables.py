@@ -39,6 +39,11 @@ SHOP_SCHEMAS = {
     "employee_payroll_payments": "payment_id bigint, payroll_id bigint, payment_type string, payment_date timestamp_ntz, amount decimal(18,0), payment_method string, is_void int, note string, created_by string",
     "product_variants": "variant_id bigint, product_id bigint, sku_code string, variant_name string, color_value string, size_value string, stock_base_qty decimal(18,3), barcode string",
     "product_serials": "serial_id bigint, product_id bigint, import_id bigint, serial_number string, status int, order_id bigint, sell_price_override decimal(18,0), product_color string, note string, created_at timestamp_ntz",
+    "customer_wallet_transactions": "wallet_transaction_id bigint, customer_id bigint, transaction_date timestamp_ntz, transaction_type string, amount decimal(18,2), order_id bigint",
+    "supplier_debt_adjustments": "adjustment_id bigint, supplier_id bigint, adjustment_date timestamp_ntz, amount decimal(18,0)",
+    "supplier_debt_discount_allocations": "allocation_id bigint, adjustment_id bigint, import_id bigint, amount decimal(18,0)",
+    "employee_payroll_adjustments": "adjustment_id bigint, payroll_id bigint, adjustment_type string, adjustment_date timestamp_ntz, amount decimal(18,0), is_void int",
+    "store_info": "store_name string, import_price_method int",
     "inventory_checks": "check_id int, check_date timestamp_ntz",
     "inventory_check_details": "check_detail_id bigint, check_id int, product_id bigint, difference decimal(18,3)",
 }
