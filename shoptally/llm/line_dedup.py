@@ -26,8 +26,9 @@ A common line or prefix, however frequent, combines before each shuffle, and
 joins exchange both sides anew so that a hot key's partition can be split.
 
 Defined results: NULL or blank texts have no lines that take part and stay as
-they are; rows with equal ids are one document (the same lines are dropped
-from each); NULL ids come first; an empty table gives no rows; input columns
+they are; rows with equal ids and texts are one document (the same lines are
+dropped from each), different texts under one id or NULL keep their own lines
+(compared in an order of text hashes); NULL ids come first; an empty table gives no rows; input columns
 named like a result are replaced.
 """
 
@@ -144,7 +145,9 @@ def dedup_lines(df: DataFrame, id_col: Column, text: Column, max_edits: int = 1,
     if min_chars < 1:
         raise ValueError("min_chars must be at least 1")
     near_chars = max(NEAR_CHARS, min_chars)
-    rows = pack(df, keep, _id=id_col, _text=F.coalesce(text, F.lit("")))
+    text = F.coalesce(text, F.lit(""))
+    # a text's place: ids may repeat or be NULL
+    rows = pack(df, keep, _id=F.struct(id_col.alias("id"), F.xxhash64(text).alias("text")), _text=text)
     scan = _scan(rows, min_chars)
     keys = F.when(F.length("line") >= near_chars, _half_keys(F.col("line"), F.length("line"))) if max_edits else F.lit(None).cast("array<bigint>")
     lines = materialize(scan.select("_id", "no", *_hashes(), F.length("line").alias("n"), keys.alias("keys")), "lines")

@@ -110,6 +110,18 @@ def test_line_dedup_short_lines(spark):
         line_dedup.dedup_lines(rows, C("doc_id"), C("text"), min_chars=0)
 
 
+def test_line_dedup_texts_under_one_id(spark):
+    texts = ["alpha is a line of its own\nthe second line says this", "beta is a line of its own, too\nanother second line is here",
+             "the second line says this\nand gamma has a line as well"]
+    for key in (None, 7):
+        rows = docs(spark, [(key, t, "s") for t in [*texts, texts[1]]])
+        got = [r.kept_text for r in line_dedup.dedup_lines(rows, C("doc_id"), C("text")).collect()]
+        # one of the two places of the repeated line goes, by the order of the texts' hashes; the repeated row loses nothing
+        assert len(got) == 4 and got.count(texts[1]) == 2
+        assert sum(t.count("the second line says this") for t in got) == 1
+        assert sum("alpha" in t for t in got) == sum("gamma" in t for t in got) == 1
+
+
 # 2 byte-level BPE
 
 def test_bpe_round_trip(spark):
