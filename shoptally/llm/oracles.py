@@ -4,7 +4,7 @@ brute force instead."""
 
 from __future__ import annotations
 
-from shoptally.llm import chat, license_scan, line_dedup, ngram_join, quality_rules, secret_scan
+from shoptally.llm import chat, fill_in_middle, license_scan, line_dedup, ngram_join, quality_rules, secret_scan, vector_codes
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -183,6 +183,68 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(root, d.doc_id) AS compo
 FROM d LEFT JOIN sizes USING (doc_id) LEFT JOIN roots ON d.doc_id = a"""
 
 
+def _vector_codes() -> str:
+    v = vector_codes
+    floored = "CAST((s - ((s % c) + c) % c) // c AS BIGINT)"  # // truncates
+    rounds = []
+    for r in range(v.ROUNDS):
+        rounds.append(f"""
+n{r} AS MATERIALIZED (
+  SELECT vec_id, p, min((d, e)) AS best FROM (
+    SELECT q.vec_id, q.p, b.e, list_sum(list_transform(list_zip(q.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM pieces q JOIN b{r} b USING (p)) GROUP BY vec_id, p),
+b{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM b{r} b LEFT JOIN (
+    SELECT p, e, list({floored} ORDER BY i) AS x FROM (
+      SELECT p, e, i, CAST(sum(c1) AS BIGINT) AS s, count(*) AS c FROM (
+        SELECT q.p, n.best[2] AS e, unnest(q.x) AS c1, generate_subscripts(q.x, 1) AS i FROM pieces q JOIN n{r} n USING (vec_id, p))
+      GROUP BY p, e, i) GROUP BY p, e) m ON b.p = m.p AND b.e = m.e)""")
+    last = v.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {v.SCALE:g}) AS BIGINT)) AS x, len(embedding) // {v.PARTS} AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS MATERIALIZED (SELECT vec_id, p, x[p * w + 1:(p + 1) * w] AS x FROM kept, range({v.PARTS}) r(p)),
+b0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x FROM pieces
+  JOIN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {v.ENTRIES}) USING (vec_id)),
+{','.join(rounds)},
+final AS (
+  SELECT vec_id, p, min((d, e)) AS best FROM (
+    SELECT q.vec_id, q.p, b.e, list_sum(list_transform(list_zip(q.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d
+    FROM pieces q JOIN b{last} b USING (p)) GROUP BY vec_id, p),
+coded AS (SELECT vec_id, string_agg(printf('%02x', best[2]), '' ORDER BY p) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM final GROUP BY vec_id),
+books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY p, e)) AS h FROM b{last})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN coded USING (vec_id), books"""
+
+
+def _fill_in_middle() -> str:
+    f = fill_in_middle
+    marked = " OR ".join(f"contains(t, '{s}')" for s in f.ORDER)
+    part = {f.PREFIX: "substring(t, 1, a)", f.MIDDLE: "substring(t, a + 1, b - a)", f.SUFFIX: "substring(t, b + 1, n - b)"}
+    output = {k: " || ".join(f"'{s}' || {part[s]}" for s in order) for k, order in f.FORMS.items()}
+    draw = ", ".join(f"CAST('0x' || substring(h, {8 * i + 1}, 8) AS BIGINT) AS h{i + 1}" for i in range(4))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('{f.SEED}:' || doc_id) AS h FROM documents),
+r AS (SELECT doc_id, t, n, {draw} FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+             CASE WHEN n = 0 OR {marked} OR h3 % 100 >= {f.PLAIN_FROM} THEN 'plain' WHEN h4 % 100 < {f.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM r)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'spm' THEN {output['spm']} ELSE {output['psm']} END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c"""
+
+
+#: base32 of a SHA-1 in SQL: five hex digits are four base32 digits.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS s FROM pages),
+d AS (SELECT page_id, h, translate(array_to_string(list_transform(range(8), lambda k: lpad(upper(to_base(CAST('0x' || s[k * 5 + 1:k * 5 + 5] AS BIGINT), 32)), 4, '0')), ''),
+             '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS b FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first FROM d)
+SELECT page_id, strlen(h) AS payload_bytes, b AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f"""
+
+
 ORACLE: dict[str, str] = {
     "op1_line_dedup": _line_dedup(),
     "op3_url_filter": _URLS,
@@ -191,4 +253,7 @@ ORACLE: dict[str, str] = {
     "op8_quality_rules": _quality_rules(),
     "op9_chat_format": _chat(),
     "op10_ngram_join": _ngram_join(),
+    "op11_vector_codes": _vector_codes(),
+    "op12_fill_in_middle": _fill_in_middle(),
+    "op13_warc": _WARC,
 }

@@ -10,6 +10,7 @@ from shoptally.llm import (
     bpe,
     chat,
     decontaminate,
+    fill_in_middle,
     license_scan,
     line_dedup,
     ngram_join,
@@ -17,6 +18,8 @@ from shoptally.llm import (
     secret_scan,
     sharding,
     url_filter,
+    vector_codes,
+    warc,
 )
 from shoptally.llm.common import read
 
@@ -122,6 +125,23 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "embeddings")
+    return vector_codes.compress(rows, C("vec_id"), C("embedding"), C("label"), keep=["vec_id"])
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return fill_in_middle.fill_in_middle_digests(docs, C("doc_id"), C("text"), keep=["doc_id"])
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An archive of all pages, written and read back."""
+    pages = read(spark, sf_dir, "pages")
+    found = warc.read_warc(spark, warc.write_warc(pages, C("page_id"), C("url"), C("html")), payload=False)
+    return found.select(C("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_bpe": op2_bpe,
@@ -133,4 +153,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_chat_format": op9_chat_format,
     "op10_ngram_join": op10_ngram_join,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_warc": op13_warc,
 }
