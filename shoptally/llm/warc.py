@@ -12,7 +12,7 @@ equal input gives equal archives, byte by byte, whatever its partitioning.
   the record's key, not by chance or by place. The bounds (one string a shard,
   ``MAX_SHARDS`` at most) are all the driver holds. A key that alone is larger
   than a shard, that is one record repeated, gets several shards.
-* Payloads are moved once: the verdicts on repeated payloads (found on slim
+* Payloads are compressed where they are read, and moved once: the verdicts on repeated payloads (found on slim
   rows of key, size and digest) take the same way through the exchange and
   sort just before their record; the writer merges the two.
 * Commit: tasks write under temporary names, one per attempt; what a task
@@ -73,6 +73,9 @@ RESPONSE_TYPE = "application/http; msgtype=response"
 ID, REFERS_ID = "X-Page-Id", "X-Refers-To-Page-Id"
 KINDS = {"response", "revisit"}
 
+FIRST = "0"
+"""In the id of the one response of its key, which others may refer to."""
+
 _FILES = ("shard int, seq int, name string, temp string, records long, bytes long, sha256 string, "
                               "segments array<struct<start: long, length: long>>")
 _FILES_ARROW = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("temp", pa.string()), ("records", pa.int64()),
@@ -144,7 +147,7 @@ class _Shard:
     def add(self, data: bytes) -> None:
         if self.out is None:
             self.open()
-        self.put(member(data))
+        self.put(data)
         self.row["records"] += 1
         if self.row["bytes"] >= self.roll:
             self.close()
@@ -156,40 +159,76 @@ class _Shard:
             self.out = None
 
 
+_MEMBERS = "_id long, _url string, _sha binary, _k string, _bytes long, _digest string, _member binary"
+_MEMBERS_ARROW = pa.schema([("_id", pa.int64()), ("_url", pa.string()), ("_sha", pa.binary()), ("_k", pa.string()), ("_bytes", pa.int64()),
+                            ("_digest", pa.string()), ("_member", pa.binary())])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for lo in range(0, b.num_rows, 64):  # few payloads are Python objects at a time
+            yield from b.slice(lo, 64).to_pylist()
+
+
+def _fields(r: dict, nth: str, date: str) -> dict[str, str | None]:
+    return {"WARC-Record-ID": _record_id(r["_k"], nth), "WARC-Date": date, "WARC-Target-URI": None if r["_url"] is None else _uri(r["_url"]),
+            ID: None if r["_id"] is None else str(r["_id"])}
+
+
+def _response(r: dict, payload: bytes, nth: str, date: str) -> bytes:
+    fields = _fields(r, nth, date) | {"WARC-Payload-Digest": f"sha1:{r['_digest']}", "Content-Type": RESPONSE_TYPE}
+    return member(record("response", fields, _http(len(payload)) + payload))
+
+
+def _revisit(r: dict, first: dict, nth: str, date: str) -> bytes:
+    fields = _fields(r, nth, date) | {
+        "WARC-Profile": PROFILE, "WARC-Refers-To": _record_id(first["k"], FIRST),
+        "WARC-Refers-To-Target-URI": None if first["url"] is None else _uri(first["url"]), "WARC-Refers-To-Date": date,
+        REFERS_ID: None if first["id"] is None else str(first["id"]), "WARC-Payload-Digest": f"sha1:{r['_digest']}", "Content-Type": RESPONSE_TYPE}
+    return member(record("revisit", fields, _http(r["_bytes"])))
+
+
+def _pack_members(date: str):  # noqa: ANN202
+    """Every row as the compressed response that it is unless it repeats a payload."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, held = [], 0
+        for r in _rows(batches):
+            payload = r.pop("_payload")
+            r["_digest"] = base32_sha1(payload)
+            out.append(r | {"_member": _response(r, payload, FIRST, date)})
+            held += len(out[-1]["_member"]) + 500
+            if held >= 2 << 20:
+                yield pa.RecordBatch.from_pylist(out, _MEMBERS_ARROW)
+                out, held = [], 0
+        yield pa.RecordBatch.from_pylist(out, _MEMBERS_ARROW)
+
+    return run
+
+
 def _write(uri: str, temp: str, roll: int, segment: int, date: str, least: int):  # noqa: ANN202
-    """Rows (_shard, _k, _place, _refers, _id, _url, _payload) in order: a
-    verdict (payload NULL) comes just before the record it is about."""
+    """Rows in order: a verdict (without a member) comes just before the record it is about."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, done, last, nth, verdict = None, [], None, 0, None
-        for b in batches:
-            names = b.schema.names
-            for lo in range(0, b.num_rows, 64):  # few payloads are Python objects at a time
-                for values in zip(*(b.column(c).slice(lo, 64).to_pylist() for c in names), strict=True):
-                    r = dict(zip(names, values, strict=True))
-                    if r["_payload"] is None:
-                        verdict = r
-                        continue
-                    if shard is None or shard.shard != r["_shard"]:
-                        if shard is not None:
-                            shard.close()
-                            done += shard.rows
-                        shard, last = _Shard(uri, temp, r["_shard"], roll, segment), None
-                    nth = nth + 1 if last == r["_k"] else 0
-                    last = r["_k"]
-                    payload = r["_payload"]
-                    first = verdict["_refers"] if verdict and (verdict["_k"], verdict["_place"]) == (r["_k"], r["_place"]) else None
-                    # what others may refer to is the only response of its key
-                    fields = {"WARC-Record-ID": _record_id(r["_k"], "0" if first is None and len(payload) >= least else f"{r['_shard']}:{nth}"),
-                              "WARC-Date": date, "WARC-Target-URI": None if r["_url"] is None else _uri(r["_url"]),
-                              ID: None if r["_id"] is None else str(r["_id"])}
-                    if first is not None:
-                        fields |= {"WARC-Profile": PROFILE, "WARC-Refers-To": _record_id(first["k"], "0"),
-                                   "WARC-Refers-To-Target-URI": None if first["url"] is None else _uri(first["url"]), "WARC-Refers-To-Date": date,
-                                   REFERS_ID: None if first["id"] is None else str(first["id"])}
-                    fields |= {"WARC-Payload-Digest": f"sha1:{base32_sha1(payload)}", "Content-Type": RESPONSE_TYPE}
-                    head = _http(len(payload))
-                    shard.add(record("revisit", fields, head) if first is not None else record("response", fields, head + payload))
+        for r in _rows(batches):
+            if r["_member"] is None:
+                verdict = r
+                continue
+            if shard is None or shard.shard != r["_shard"]:
+                if shard is not None:
+                    shard.close()
+                    done += shard.rows
+                shard, last = _Shard(uri, temp, r["_shard"], roll, segment), None
+            nth = nth + 1 if last == r["_k"] else 0
+            last = r["_k"]
+            if verdict and (verdict["_k"], verdict["_place"]) == (r["_k"], r["_place"]):
+                shard.add(_revisit(r, verdict["_refers"], f"{r['_shard']}:{nth}", date))
+            elif r["_bytes"] >= least:  # the only response of its key
+                shard.add(r["_member"])
+            else:
+                payload = zlib.decompress(r["_member"], 31).partition(b"\r\n\r\n")[2].partition(b"\r\n\r\n")[2][:r["_bytes"]]
+                shard.add(_response(r, payload, f"{r['_shard']}:{nth}", date))
         if shard is not None:
             shard.close()
             done += shard.rows
@@ -249,12 +288,13 @@ def write_warc(df: DataFrame, key: Column, url: Column, payload: Column, uri: st
     temp = "_temporary-" + uuid.uuid4().hex[:12]
     body = F.coalesce(payload.cast("binary"), F.lit("").cast("binary"))
     df = df.select(key.cast("long").alias("_id"), url.cast("string").alias("_url"), body.alias("_payload"))
-    sha = F.sha2("_payload", 256)
+    sha = F.unhex(F.sha2("_payload", 256))
     # offset binary: hex digits in the order of the ids, NULL after all of them
     order = F.coalesce(F.lpad(F.hex(F.col("_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("~"))
-    rows = df.select("_id", "_url", "_payload", sha.alias("_sha"),
-                     F.concat(order, F.lit(":"), F.sha2(F.concat(F.coalesce(F.concat(F.lit("u"), "_url"), F.lit("-")), sha), 256)).alias("_k"),
-                     F.octet_length("_payload").cast("long").alias("_bytes"), F.monotonically_increasing_id().alias("_place"))
+    name = F.coalesce(F.concat(F.lit("u"), "_url"), F.lit("-")).cast("binary")
+    rows = df.select("_id", "_url", "_payload", sha.alias("_sha"), F.concat(order, F.lit(":"), F.left(F.sha2(F.concat(sha, name), 256), F.lit(40))).alias("_k"),
+                     F.octet_length("_payload").cast("long").alias("_bytes"))
+    rows = rows.mapInArrow(_pack_members(date), _MEMBERS).withColumn("_place", F.monotonically_increasing_id())
     copy = f"{uri}/{temp}/rows"
     rows.write.option("compression", "zstd").parquet(copy)  # the places of repeated rows hold from here on
     rows = spark.read.parquet(copy)
@@ -273,10 +313,10 @@ def write_warc(df: DataFrame, key: Column, url: Column, payload: Column, uri: st
     refers = F.struct(F.col("_f._k").alias("k"), F.col("_f.id").alias("id"), F.col("_f.url").alias("url"))
     verdicts = (of_size.join(first, "_sha").where((F.col("_k") != F.col("_f._k")) | (F.col("_place") != F.col("_f._place")))
                 .select("_k", "_place", refers.alias("_refers")))
-    both = rows.select("_k", "_place", "_id", "_url", "_payload").unionByName(verdicts, allowMissingColumns=True)
+    both = rows.select("_k", "_place", "_id", "_url", "_bytes", "_digest", "_member").unionByName(verdicts, allowMissingColumns=True)
     both = both.withColumn("_shard", shard_of("_k", "_place")).repartitionById(shards, F.col("_shard"))
-    both = both.sortWithinPartitions("_shard", "_k", "_place", F.col("_payload").isNotNull())
-    files = both.select("_shard", "_k", "_place", "_refers", "_id", "_url", "_payload").mapInArrow(_write(uri, temp, roll_bytes, segment_bytes, date, least), _FILES)
+    both = both.sortWithinPartitions("_shard", "_k", "_place", F.col("_member").isNotNull())
+    files = both.mapInArrow(_write(uri, temp, roll_bytes, segment_bytes, date, least), _FILES)
     files.write.parquet(f"{uri}/{temp}/files")
     files = spark.read.schema(_FILES).parquet(f"{uri}/{temp}/files")
     files.repartition(max(1, min(shards, 200)), "shard", "seq").mapInArrow(_publish(uri), _FILES).drop("temp").write.parquet(f"{uri}/manifest")
