@@ -12,9 +12,11 @@ equal input gives equal archives, byte by byte, whatever its partitioning.
   the record's key, not by chance or by place. The bounds (one string a shard,
   ``MAX_SHARDS`` at most) are all the driver holds. A key that alone is larger
   than a shard, that is one record repeated, gets several shards.
-* Payloads are compressed where they are read, and moved once: the verdicts on repeated payloads (found on slim
-  rows of key, size and digest) take the same way through the exchange and
-  sort just before their record; the writer merges the two.
+* Payloads are compressed where they are read, and moved once: the verdicts on
+  repeated payloads (found on slim rows of key, size and digest) take the same
+  way through the exchange and sort just before their record; the writer
+  merges the two. Of a heavy key each task sends one payload, whatever the
+  number of its repeats; those come as counts, one for each of its shards.
 * Commit: tasks write under temporary names, one per attempt; what a task
   wrote is known by the rows that it returns, so those of lost or repeated
   attempts never count. Then the files get their names (again by tasks; doing
@@ -60,8 +62,6 @@ ROLL_BYTES = 8 << 20
 SEGMENT_BYTES = 2 << 20
 MAX_SHARDS = 10_000
 SAMPLE_A_SHARD = 32
-LEAST = 0
-"""Payloads of fewer bytes never become revisits."""
 OVERHEAD = 512
 """Bytes that a record counts besides its payload."""
 DATE = "2024-01-01T00:00:00Z"
@@ -73,9 +73,6 @@ RESPONSE_TYPE = "application/http; msgtype=response"
 ID, REFERS_ID = "X-Page-Id", "X-Refers-To-Page-Id"
 KINDS = {"response", "revisit"}
 
-FIRST = "0"
-"""In the id of the one response of its key, which others may refer to."""
-
 _FILES = ("shard int, seq int, name string, temp string, records long, bytes long, sha256 string, "
                               "segments array<struct<start: long, length: long>>")
 _FILES_ARROW = pa.schema([("shard", pa.int32()), ("seq", pa.int32()), ("name", pa.string()), ("temp", pa.string()), ("records", pa.int64()),
@@ -91,7 +88,8 @@ def _uri(url: str) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
 
 
-def _record_id(key: str, more: str) -> str:
+def _record_id(key: str, more: int | str) -> str:
+    """Of a key's records the first is number 0, which others may refer to."""
     return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(f'{key}:{more}'.encode()).digest()[:16], version=5)}>"
 
 
@@ -159,9 +157,9 @@ class _Shard:
             self.out = None
 
 
-_MEMBERS = "_id long, _url string, _sha binary, _k string, _bytes long, _digest string, _member binary"
-_MEMBERS_ARROW = pa.schema([("_id", pa.int64()), ("_url", pa.string()), ("_sha", pa.binary()), ("_k", pa.string()), ("_bytes", pa.int64()),
-                            ("_digest", pa.string()), ("_member", pa.binary())])
+_MEMBERS = "_k string, _id long, _url string, _bytes long, _digest binary, _member binary"
+_MEMBERS_ARROW = pa.schema([("_k", pa.string()), ("_id", pa.int64()), ("_url", pa.string()), ("_bytes", pa.int64()), ("_digest", pa.binary()),
+                            ("_member", pa.binary())])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -170,33 +168,36 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield from b.slice(lo, 64).to_pylist()
 
 
-def _fields(r: dict, nth: str, date: str) -> dict[str, str | None]:
+def _fields(r: dict, nth: int, date: str, **more: str | None) -> dict[str, str | None]:
     return {"WARC-Record-ID": _record_id(r["_k"], nth), "WARC-Date": date, "WARC-Target-URI": None if r["_url"] is None else _uri(r["_url"]),
-            ID: None if r["_id"] is None else str(r["_id"])}
+            ID: None if r["_id"] is None else str(r["_id"]), **more,
+            "WARC-Payload-Digest": f"sha1:{base64.b32encode(r['_digest']).decode()}", "Content-Type": RESPONSE_TYPE}
 
 
-def _response(r: dict, payload: bytes, nth: str, date: str) -> bytes:
-    fields = _fields(r, nth, date) | {"WARC-Payload-Digest": f"sha1:{r['_digest']}", "Content-Type": RESPONSE_TYPE}
-    return member(record("response", fields, _http(len(payload)) + payload))
+def _response(r: dict, payload: bytes, date: str) -> bytes:
+    return member(record("response", _fields(r, 0, date), _http(len(payload)) + payload))
 
 
-def _revisit(r: dict, first: dict, nth: str, date: str) -> bytes:
-    fields = _fields(r, nth, date) | {
-        "WARC-Profile": PROFILE, "WARC-Refers-To": _record_id(first["k"], FIRST),
-        "WARC-Refers-To-Target-URI": None if first["url"] is None else _uri(first["url"]), "WARC-Refers-To-Date": date,
-        REFERS_ID: None if first["id"] is None else str(first["id"]), "WARC-Payload-Digest": f"sha1:{r['_digest']}", "Content-Type": RESPONSE_TYPE}
-    return member(record("revisit", fields, _http(r["_bytes"])))
+def _revisit(r: dict, first: dict, nth: int, date: str) -> bytes:
+    refers = {"WARC-Profile": PROFILE, "WARC-Refers-To": _record_id(first["k"], 0),
+              "WARC-Refers-To-Target-URI": None if first["url"] is None else _uri(first["url"]), "WARC-Refers-To-Date": date,
+              REFERS_ID: None if first["id"] is None else str(first["id"])}
+    return member(record("revisit", _fields(r, nth, date, **refers), _http(r["_bytes"])))
 
 
-def _pack_members(date: str):  # noqa: ANN202
-    """Every row as the compressed response that it is unless it repeats a payload."""
+def _pack_members(date: str, heavy: frozenset[str]):  # noqa: ANN202
+    """Every row as the compressed response that it is unless it repeats a
+    payload; of a heavy key's rows the first of each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, held = [], 0
+        out, held, seen = [], 0, set()
         for r in _rows(batches):
+            if r["_k"] in heavy:
+                if r["_k"] in seen:
+                    continue
+                seen.add(r["_k"])
             payload = r.pop("_payload")
-            r["_digest"] = base32_sha1(payload)
-            out.append(r | {"_member": _response(r, payload, FIRST, date)})
+            out.append(r | {"_member": _response(r, payload, date)})
             held += len(out[-1]["_member"]) + 500
             if held >= 2 << 20:
                 yield pa.RecordBatch.from_pylist(out, _MEMBERS_ARROW)
@@ -206,29 +207,39 @@ def _pack_members(date: str):  # noqa: ANN202
     return run
 
 
-def _write(uri: str, temp: str, roll: int, segment: int, date: str, least: int):  # noqa: ANN202
-    """Rows in order: a verdict (without a member) comes just before the record it is about."""
+VERDICT, RECORD, REPEATS = 0, 1, 2
+"""Kinds of rows that meet in a shard, in the order in which they come for a key."""
+
+
+def _write(uri: str, temp: str, roll: int, segment: int, date: str, heavy: frozenset[str]):  # noqa: ANN202
+    """Rows in the order of (shard, key, kind). A key's first record is the
+    response unless a verdict says what it repeats; a heavy key's other records
+    come as a count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, done, last, nth, verdict = None, [], None, 0, None
         for r in _rows(batches):
-            if r["_member"] is None:
-                verdict = r
-                continue
             if shard is None or shard.shard != r["_shard"]:
                 if shard is not None:
                     shard.close()
                     done += shard.rows
                 shard, last = _Shard(uri, temp, r["_shard"], roll, segment), None
-            nth = nth + 1 if last == r["_k"] else 0
-            last = r["_k"]
-            if verdict and (verdict["_k"], verdict["_place"]) == (r["_k"], r["_place"]):
-                shard.add(_revisit(r, verdict["_refers"], f"{r['_shard']}:{nth}", date))
-            elif r["_bytes"] >= least:  # the only response of its key
-                shard.add(r["_member"])
+            if last != r["_k"]:
+                last, nth, verdict = r["_k"], 0, None
+            own = {"k": r["_k"], "id": r["_id"], "url": r["_url"]}
+            if r["_kind"] == VERDICT:
+                verdict = r["_refers"]
+            elif r["_kind"] == REPEATS:
+                first = r["_refers"]
+                for i in range(r["_from"], r["_from"] + r["_n"]):
+                    if i or first:  # else it is the response
+                        shard.add(_revisit(r, first or own, i, date))
             else:
-                payload = zlib.decompress(r["_member"], 31).partition(b"\r\n\r\n")[2].partition(b"\r\n\r\n")[2][:r["_bytes"]]
-                shard.add(_response(r, payload, f"{r['_shard']}:{nth}", date))
+                if not nth and not verdict:
+                    shard.add(r["_member"])
+                elif r["_k"] not in heavy:
+                    shard.add(_revisit(r, verdict or own, nth, date))
+                nth += 1
         if shard is not None:
             shard.close()
             done += shard.rows
@@ -254,33 +265,32 @@ def _publish(uri: str):  # noqa: ANN202
     return run
 
 
-def _bounds(slim: DataFrame, shard_bytes: int) -> tuple[list[str], list[int], list[int]]:
-    """(first key of each range, its first shard, its number of shards)."""
-    n, size = slim.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
+def _bounds(keys: DataFrame, shard_bytes: int) -> tuple[list[str], list[int], list[int], int]:
+    """(first key of each range, its first shard, its number of shards), and a shard's target size."""
+    n, size = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     shards = max(1, min(MAX_SHARDS, -(-size // shard_bytes)))
     target = max(1, -(-size // shards))
     every = max(1, n // (shards * SAMPLE_A_SHARD))
-    sample = slim.where(F.pmod(F.xxhash64("_k"), F.lit(every)) == 0).groupBy("_k").agg(F.sum("_size").alias("s"))
-    rows = sorted(map(tuple, sample.collect()))  # SAMPLE_A_SHARD keys a shard, by chance a few more
+    # SAMPLE_A_SHARD keys a shard, by chance a few more
+    rows = sorted(map(tuple, keys.where(F.pmod(F.xxhash64("_k"), F.lit(every)) == 0).select("_k", "_size").collect()))
     total, seen, bounds = sum(s for _, s in rows), 0, [""]
     for k, s in rows:
         if seen * shards >= len(bounds) * max(total, 1) and k > bounds[-1]:
             bounds.append(k)
         seen += s
-    # one record repeated until it fills more than a shard: fewer than there are shards
-    heavy = {k: s for k, s in slim.groupBy("_k").agg(F.sum("_size").alias("s")).where(F.col("s") > 2 * target).collect()}
-    for k in heavy:
-        bounds += [k, k + "~"]
-    bounds = sorted(set(bounds))
+    # one record repeated until it fills more than two shards: fewer than there are shards
+    heavy = dict(map(tuple, keys.where(F.col("_size") > 2 * target).where("_n > 1").select("_k", "_size").collect()))
+    bounds = sorted({*bounds, *heavy, *(k + "~" for k in heavy)})
     pieces = [-(-heavy[k] // target) if k in heavy else 1 for k in bounds]
-    return bounds, [0, *accumulate(pieces)][:-1], pieces
+    return bounds, [0, *accumulate(pieces)][:-1], pieces, target
 
 
 def write_warc(df: DataFrame, key: Column, url: Column, payload: Column, uri: str | None = None, shard_bytes: int = SHARD_BYTES,
-               roll_bytes: int = ROLL_BYTES, segment_bytes: int = SEGMENT_BYTES, date: str = DATE, least: int = LEAST) -> str:
+               roll_bytes: int = ROLL_BYTES, segment_bytes: int = SEGMENT_BYTES, date: str = DATE) -> str:
     """Writes an archive of a record per row into the new folder ``uri``
     (default: one in the shared checkpoint folder) and returns the folder.
-    ``key`` is integral; ``payload`` a string (UTF-8) or binary."""
+    ``key`` is integral; ``payload`` a string (UTF-8) or binary. ``df`` is read
+    twice and must give the same rows both times."""
     spark = df.sparkSession
     uri = (uri or f"{checkpoint_dir(spark).rstrip('/')}/warc/{uuid.uuid4().hex[:12]}").rstrip("/")
     if not re.match(r"[a-z][a-z0-9+.-]*:", uri):
@@ -288,35 +298,37 @@ def write_warc(df: DataFrame, key: Column, url: Column, payload: Column, uri: st
     temp = "_temporary-" + uuid.uuid4().hex[:12]
     body = F.coalesce(payload.cast("binary"), F.lit("").cast("binary"))
     df = df.select(key.cast("long").alias("_id"), url.cast("string").alias("_url"), body.alias("_payload"))
-    sha = F.unhex(F.sha2("_payload", 256))
+    df = df.withColumn("_sha", F.unhex(F.sha2("_payload", 256)))
     # offset binary: hex digits in the order of the ids, NULL after all of them
     order = F.coalesce(F.lpad(F.hex(F.col("_id").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"), F.lit("~"))
     name = F.coalesce(F.concat(F.lit("u"), "_url"), F.lit("-")).cast("binary")
-    rows = df.select("_id", "_url", "_payload", sha.alias("_sha"), F.concat(order, F.lit(":"), F.left(F.sha2(F.concat(sha, name), 256), F.lit(40))).alias("_k"),
-                     F.octet_length("_payload").cast("long").alias("_bytes"))
-    rows = rows.mapInArrow(_pack_members(date), _MEMBERS).withColumn("_place", F.monotonically_increasing_id())
-    copy = f"{uri}/{temp}/rows"
-    rows.write.option("compression", "zstd").parquet(copy)  # the places of repeated rows hold from here on
-    rows = spark.read.parquet(copy)
-    slim = rows.select("_k", "_place", "_sha", "_bytes", (F.col("_bytes") + OVERHEAD).alias("_size"), "_id", "_url")
-    bounds, firsts, pieces = _bounds(slim, shard_bytes)
-    shards = firsts[-1] + pieces[-1]
+    df = df.withColumns({"_k": F.concat(order, F.lit(":"), F.left(F.sha2(F.concat("_sha", name), 256), F.lit(40))),
+                         "_bytes": F.octet_length("_payload").cast("long"), "_digest": F.unhex(F.sha1("_payload"))})
+    # a row per different record: repeats are counted in each task before they are exchanged
+    of_key = ["_k", "_id", "_url", "_sha", "_bytes", "_digest"]
+    keys = df.groupBy(*of_key).agg(F.count(F.lit(1)).alias("_n")).withColumn("_size", (F.col("_bytes") + OVERHEAD) * F.col("_n"))
+    keys.write.option("compression", "zstd").parquet(f"{uri}/{temp}/keys")
+    keys = spark.read.parquet(f"{uri}/{temp}/keys")
+    bounds, firsts, pieces, target = _bounds(keys, shard_bytes)
+    shards, heavy = firsts[-1] + pieces[-1], frozenset(k for k, p in zip(bounds, pieces, strict=True) if p > 1)
 
     @F.pandas_udf("int")
-    def shard_of(k, place):  # noqa: ANN001, ANN202
-        at = [bisect.bisect_right(bounds, x) - 1 for x in k]
-        return pd.Series([firsts[i] + (p % pieces[i] if pieces[i] > 1 else 0) for i, p in zip(at, place, strict=True)], dtype="int32")
-
-    of_size = slim.where(F.col("_bytes") >= least)
-    first = of_size.groupBy("_sha").agg(F.min(F.struct("_k", "_place", F.col("_id").alias("id"), F.col("_url").alias("url"))).alias("_f"),
-                                        F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    refers = F.struct(F.col("_f._k").alias("k"), F.col("_f.id").alias("id"), F.col("_f.url").alias("url"))
-    verdicts = (of_size.join(first, "_sha").where((F.col("_k") != F.col("_f._k")) | (F.col("_place") != F.col("_f._place")))
-                .select("_k", "_place", refers.alias("_refers")))
-    both = rows.select("_k", "_place", "_id", "_url", "_bytes", "_digest", "_member").unionByName(verdicts, allowMissingColumns=True)
-    both = both.withColumn("_shard", shard_of("_k", "_place")).repartitionById(shards, F.col("_shard"))
-    both = both.sortWithinPartitions("_shard", "_k", "_place", F.col("_member").isNotNull())
-    files = both.mapInArrow(_write(uri, temp, roll_bytes, segment_bytes, date, least), _FILES)
+    def shard_of(k: pd.Series, piece: pd.Series) -> pd.Series:
+        return pd.Series([firsts[bisect.bisect_right(bounds, x) - 1] + p for x, p in zip(k, piece, strict=True)], dtype="int32")
+
+    first = keys.groupBy("_sha").agg(F.min(F.struct("_k", "_id", "_url")).alias("_f"), F.count(F.lit(1)).alias("_m")).where("_m > 1")
+    refers = F.struct(F.col("_f._k").alias("k"), F.col("_f._id").alias("id"), F.col("_f._url").alias("url"))
+    verdicts = keys.join(first, "_sha").where("_k <> _f._k").select("_k", refers.alias("_refers"))
+    many = keys.where((F.col("_size") > 2 * target) & (F.col("_n") > 1)).join(verdicts, "_k", "left")
+    cut = F.expr(f"(_size + {target}L - 1) div {target}L")
+    many = many.withColumn("_pieces", cut).withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_pieces") - 1)))
+    many = many.select("_k", "_id", "_url", "_bytes", "_digest", "_refers", "_piece", F.expr("_n * _piece div _pieces").alias("_from"),
+                       F.expr("_n * (_piece + 1) div _pieces - _n * _piece div _pieces").alias("_n"))
+    records = df.select("_k", "_id", "_url", "_bytes", "_digest", "_payload").mapInArrow(_pack_members(date, heavy), _MEMBERS)
+    rows = (records.withColumn("_kind", F.lit(RECORD)).unionByName(verdicts.withColumn("_kind", F.lit(VERDICT)), allowMissingColumns=True)
+            .unionByName(many.withColumn("_kind", F.lit(REPEATS)), allowMissingColumns=True))
+    rows = rows.withColumn("_shard", shard_of("_k", F.coalesce("_piece", F.lit(0).cast("long")))).repartitionById(shards, F.col("_shard"))
+    files = rows.sortWithinPartitions("_shard", "_k", "_kind").mapInArrow(_write(uri, temp, roll_bytes, segment_bytes, date, heavy), _FILES)
     files.write.parquet(f"{uri}/{temp}/files")
     files = spark.read.schema(_FILES).parquet(f"{uri}/{temp}/files")
     files.repartition(max(1, min(shards, 200)), "shard", "seq").mapInArrow(_publish(uri), _FILES).drop("temp").write.parquet(f"{uri}/manifest")
