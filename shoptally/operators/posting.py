@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 from ..functions.ranking import row_number_by_id, running_sums_by_id
+from ..functions.sequential import REPLAY_ROWS, decide
+from ..session import materialize
 
 # ---- fixed values that must equal the source system's ---------------------
 RETURN_ERRORS = {
@@ -147,52 +149,23 @@ def _static_codes(items: DataFrame) -> DataFrame:
 
 
 def _demands(items: DataFrame) -> DataFrame:
-    """What each request takes of each resource: (request_id, code, rid, need,
-    used, cap). A line (51005) must cover each item, a product's (51006) and a
-    variant's (51007) stock the sum of the request's items; unknown products
-    and variants limit nothing. One row per request and resource."""
-    qty = F.col("quantity").cast("bigint")
-    i = items.where("item_present")
-    rows = i.select("request_id", F.explode(F.filter(F.array(
-        F.struct(F.lit(51005).alias("code"), F.col("import_detail_id").alias("rid"), qty.alias("q"),
-                 (_z("_d_qty") - _z("returned_qty")).cast("decimal(20,3)").alias("cap"), F.col("_d_import").isNotNull().alias("on")),
-        F.struct(F.lit(51006).alias("code"), F.col("product_id").alias("rid"), qty.alias("q"),
-                 _z("_p_stock").cast("decimal(20,3)").alias("cap"), F.col("_p_found").isNotNull().alias("on")),
-        F.struct(F.lit(51007).alias("code"), F.col("_d_variant").alias("rid"), qty.alias("q"),
-                 _z("_v_stock").cast("decimal(20,3)").alias("cap"), F.col("_v_found").isNotNull().alias("on")),
-    ), lambda e: e["on"])).alias("e")).select("request_id", "e.*")
-    return rows.groupBy("request_id", "code", "rid").agg(
+    """What each request takes of each resource that the items together could
+    exhaust: (request_id, code, rid, need, used, cap). A line (51005) must
+    cover each item, a product's (51006) and a variant's (51007) stock the sum
+    of the request's items; unknown products and variants limit nothing."""
+    resource = lambda code, rid, cap, on: F.when(on, F.struct(
+        F.lit(code).alias("code"), F.col(rid).alias("rid"), F.floor(cap).cast("bigint").alias("cap")))
+    rows = items.where("item_present").select("request_id", F.col("quantity").cast("bigint").alias("q"), F.explode(F.array_compact(F.array(
+        resource(51005, "import_detail_id", _z("_d_qty") - _z("returned_qty"), F.col("_d_import").isNotNull()),
+        resource(51006, "product_id", _z("_p_stock"), F.col("_p_found").isNotNull()),
+        resource(51007, "_d_variant", _z("_v_stock"), F.col("_v_found").isNotNull())))).alias("e")).select("request_id", "q", "e.*")
+    # few rows pass this: quantities are summed by resource in each task, before any exchange
+    scarce = rows.groupBy("code", "rid").agg(F.sum("q").alias("all"), F.min("cap").alias("most")).where(F.col("all") > F.col("most"))
+    return rows.join(scarce.select("code", "rid"), ["code", "rid"], "left_semi").groupBy("request_id", "code", "rid").agg(
         F.when(F.col("code") == 51005, F.max("q")).otherwise(F.sum("q")).alias("need"), F.sum("q").alias("used"), F.min("cap").alias("cap"))
 
 
-def _decided(state: DataFrame, demands: DataFrame) -> DataFrame:
-    """One round. Undecided requests (U) that pass even if every earlier
-    undecided one is accepted are accepted (A); those that fail with the
-    accepted ones alone are rejected (R); those whose code an accepted earlier
-    one has are existing (E). A request waits for earlier undecided ones with
-    its code. The first undecided request is always decided."""
-    live = demands.join(state.where(F.col("state").isin("A", "U")).select("request_id", "state"), "request_id")
-    sums = running_sums_by_id(live, ["code", "rid"], "request_id", {
-        "most": F.col("used"), "least": F.when(F.col("state") == "A", F.col("used"))})
-    fits = sums.groupBy("request_id").agg(
-        F.min((F.col("need") + F.col("most") <= F.col("cap")).cast("int")).alias("sure"),
-        F.min((F.col("need") + F.col("least") <= F.col("cap")).cast("int")).alias("maybe"))
-    codes = state.groupBy("return_code").agg(
-        F.min(F.when(F.col("state") == "A", F.col("request_id"))).alias("posted"),
-        F.min(F.when(F.col("state") == "U", F.col("request_id"))).alias("next"))
-    j = state.join(fits, "request_id", "left").join(codes, "return_code", "left")
-    new = (
-        F.when(F.col("state") != "U", F.col("state"))
-        .when(F.col("posted") < F.col("request_id"), "E")
-        .when(F.col("next") < F.col("request_id"), "U")
-        .when(F.coalesce(F.col("maybe"), F.lit(1)) == 0, "R")
-        .when(F.coalesce(F.col("sure"), F.lit(1)) == 1, "A")
-        .otherwise("U")
-    )
-    return j.select("request_id", "return_code", new.alias("state"))
-
-
-def return_request_validate(t, requests: DataFrame) -> DataFrame:
+def return_request_validate(t, requests: DataFrame, replay_rows: int = REPLAY_ROWS) -> DataFrame:
     """T1 + T3: outcome per request, as if the requests were posted one by one
     in id order: existing (code already posted), accepted, rejected(reason).
 
@@ -202,41 +175,28 @@ def return_request_validate(t, requests: DataFrame) -> DataFrame:
     continue after the largest existing return id, in request order.
 
     Only resources that the batch's requests together could exhaust depend on
-    the order; requests that touch them are decided in rounds (``_decided``),
-    each written to ``spark.checkpoint.dir``, until none is undecided.
+    the order; requests that touch them are decided by ``sequential.decide``:
+    replayed by connected components, at most ``replay_rows`` rows a pass.
     """
-    from ..session import materialize
-
     existing = t.purchase_returns.groupBy("return_code").agg(F.min("return_id").alias("existing_id"))
     items = materialize(return_request_items(t, requests), "return-items")
     checked = _static_codes(items).join(existing, "return_code", "left")
     state = F.when(F.col("existing_id").isNotNull(), "E").when(F.col("static_code").isNotNull(), "S").otherwise("U")
     checked = materialize(checked.withColumn("state", state), "return-requests")
-    demands = _demands(items).join(checked.where("state = 'U'").select("request_id"), "request_id")
-    scarce = demands.groupBy("code", "rid").agg(F.sum("used").alias("all"), F.min("cap").alias("cap")).where(F.col("all") > F.col("cap"))
-    demands = materialize(demands.join(scarce.select("code", "rid"), ["code", "rid"], "left_semi"), "return-demands")
-    state = checked.where("state = 'U'").select("request_id", "return_code", "state")
-    while True:
-        state = materialize(_decided(state, demands), "return-state")
-        if state.where("state = 'U'").isEmpty():
-            break
-
-    # why: the first check that fails on what the accepted ones before left
-    accepted = demands.join(state.select("request_id", "state"), "request_id")
-    left = running_sums_by_id(accepted, ["code", "rid"], "request_id", {"least": F.when(F.col("state") == "A", F.col("used"))})
-    why = left.where((F.col("state") == "R") & (F.col("need") + F.col("least") > F.col("cap"))).groupBy("request_id").agg(F.min("code").alias("why"))
-    posted = state.where("state = 'A'").select("request_id", "return_code")
+    asked = checked.where("state = 'U'").select("request_id", F.col("return_code").alias("once"))
+    state = decide(asked, _demands(items.join(asked.select("request_id"), "request_id", "left_semi")), replay_rows).withColumnRenamed("state", "decision")
+    posted = checked.join(state.where("decision = 'A'").select("request_id"), "request_id").select("request_id", "return_code")
     max_id = t.purchase_returns.agg(F.coalesce(F.max("return_id"), F.lit(0)).cast("bigint")).scalar()
     new_ids = row_number_by_id(posted, [], "request_id", "_rank").select(
         F.col("request_id").alias("_by"), "return_code", (max_id + F.col("_rank")).cast("bigint").alias("_new_id"))
     j = (
-        checked.drop("state").join(state.select("request_id", "state"), "request_id", "left").join(why, "request_id", "left")
+        checked.drop("state").join(state, "request_id", "left")
         .join(new_ids, "return_code", "left")  # one accepted request per code
     )
     later = F.col("_by") < F.col("request_id")
     outcome = (
         F.when(F.col("existing_id").isNotNull() | F.coalesce(later, F.lit(False)), F.lit("existing"))
-        .when(F.col("state") == "A", F.lit("accepted"))
+        .when(F.col("decision") == "A", F.lit("accepted"))
         .otherwise(F.lit("rejected"))
     )
     j = j.withColumn("outcome", outcome)
@@ -247,9 +207,11 @@ def return_request_validate(t, requests: DataFrame) -> DataFrame:
     )
 
 
-def return_request_post(t, requests: DataFrame, as_of) -> dict[str, DataFrame]:
-    """Header, detail rows and stock deltas of the accepted requests."""
-    v = return_request_validate(t, requests).where(F.col("outcome") == "accepted").select("request_id", "return_id")
+def return_request_post(t, requests: DataFrame, as_of, validated: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Header, detail rows and stock deltas of the accepted requests.
+    ``validated`` is the result of ``return_request_validate`` if it is at hand
+    (written or cached); else the batch is validated here."""
+    v = (return_request_validate(t, requests) if validated is None else validated).where(F.col("outcome") == "accepted").select("request_id", "return_id")
     items = parse_return_items(requests).where(F.col("item_present")).join(v, "request_id")
     d = t.import_details.select("import_detail_id", F.col("variant_id").alias("line_variant_id"))
     lines = items.join(d, "import_detail_id")
