@@ -56,15 +56,17 @@ def row_number_by_id(df: DataFrame, group_cols: list[str], id_col: str, out: str
     )
 
 
-def running_sums_by_id(df: DataFrame, group_cols: list[str], id_col: str, sums: dict[str, Column], block: int = 65536) -> DataFrame:
+def running_sums_by_id(df: DataFrame, group_cols: list[str], id_col: str, sums: dict[str, Column], block: int = 65536,
+                       then: list[str] | None = None) -> DataFrame:
     """Add each ``sums[name]`` summed over the group's rows of smaller ``id_col``
     (0 for the first), in the same two bounded steps: block sums, a running sum
-    over them, and a running sum inside (group, block). Group columns are not NULL."""
+    over them, and a running sum inside (group, block). Group columns are not
+    NULL. ``then`` orders rows of equal id."""
     keyed = df.select("*", *[F.coalesce(c, F.lit(0)).alias(f"_v_{n}") for n, c in sums.items()], F.floor(F.col(id_col) / F.lit(block)).alias("_blk"))
     totals = keyed.groupBy(*group_cols, "_blk").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*group_cols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*group_cols, "_blk", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums])
-    local = Window.partitionBy(*group_cols, "_blk").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)
+    local = Window.partitionBy(*group_cols, "_blk").orderBy(id_col, *(then or [])).rowsBetween(Window.unboundedPreceding, -1)
     out = keyed.join(offsets, [*group_cols, "_blk"])
     out = out.select("*", *[(F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(local), F.lit(0))).alias(n) for n in sums])
     return out.drop("_blk", *[f"_{p}_{n}" for n in sums for p in "vo"])

@@ -15,6 +15,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DatetimeType
 
 from ..functions import semantics as S
 from ..functions.ranking import row_number_by_id, running_sums_by_id
@@ -291,45 +292,25 @@ def return_cancel(t, requests: DataFrame, as_of) -> dict[str, DataFrame]:
 # ---------------------------------------------------------------- T5: moving average cost
 
 
-def _fold_receipts(method: int):
-    def run(batches):
-        cur, stock, price, n = None, 0, 0, 0
-        out_rows = []
-
-        def flush():
-            if cur is not None:
-                out_rows.append((cur, stock, price, n))
-
-        for pdf in batches:
-            for pid, st0, pr0, qty, new in zip(
-                pdf["product_id"], pdf["stock0"], pdf["price0"], pdf["quantity"], pdf["new_price"]
-            ):
-                if pid != cur:
-                    flush()
-                    cur, stock, price, n = pid, int(st0), int(pr0), 0
-                q = 0 if pd.isna(qty) else int(qty)
-                if q <= 0:
-                    continue
-                p_new = 0 if pd.isna(new) else int(new)
-                n += 1
-                if p_new <= 0:
-                    stock += q
-                    continue
-                if method == 2 or stock <= 0:
-                    price = p_new
-                else:
-                    num, den = stock * price + q * p_new, stock + q
-                    # assignment to DECIMAL(18,0): round half away from zero
-                    price = (2 * abs(num) + den) // (2 * den) * (1 if num >= 0 else -1)
-                stock += q
-            if len(out_rows) > 10000:
-                yield pd.DataFrame(out_rows, columns=["product_id", "stock", "import_price", "receipts_applied"])
-                out_rows = []
-        flush()
-        if out_rows:
-            yield pd.DataFrame(out_rows, columns=["product_id", "stock", "import_price", "receipts_applied"])
-
-    return run
+def _fold_prices(batches):
+    """Rows (product_id, stock_before, quantity, new_price, price0) in receipt
+    order: each product's last price. ``price0`` is the price before its first row."""
+    cur, price, out = None, 0, []
+    for pdf in batches:
+        for pid, stock, q, new, start in zip(*(pdf[c] for c in ("product_id", "stock_before", "quantity", "new_price", "price0")), strict=True):
+            if pid != cur:
+                if cur is not None:
+                    out.append((cur, price))
+                cur, price = pid, start
+            num, den = stock * price + q * new, stock + q
+            # assignment to DECIMAL(18,0): round half away from zero
+            price = (2 * abs(num) + den) // (2 * den) * (1 if num >= 0 else -1)
+        if len(out) > 10000:
+            yield pd.DataFrame(out, columns=["product_id", "price"])
+            out = []
+    if cur is not None:
+        out.append((cur, price))
+    yield pd.DataFrame(out, columns=["product_id", "price"])
 
 
 def moving_average_cost(t, receipts: DataFrame, method: int = 1) -> DataFrame:
@@ -337,11 +318,14 @@ def moving_average_cost(t, receipts: DataFrame, method: int = 1) -> DataFrame:
 
     Price <= 0 adds quantity only; method 2 takes the latest price; with no
     stock the new price is taken; otherwise the weighted average, rounded to
-    whole dong at every step. The fold is sequential per product and the
-    rounding makes it non-associative, so receipts are hash-partitioned by
-    product, sorted inside each partition and folded *streaming* by
-    ``mapInPandas`` - constant state, Arrow batches, no group is ever held
-    in memory whole. ``receipts``: product_id, quantity, new_price, seq1, seq2.
+    whole dong at every step. Stocks and counts are sums; the stock before
+    each receipt is a running sum in blocks (several tasks for one product).
+    A receipt that finds no stock sets the price whatever it was, so prices
+    before a product's last such receipt are never computed; only the priced
+    receipts after it are folded, as the rounding makes the average
+    non-associative: ``mapInPandas`` streams them in order with constant state.
+    ``receipts``: product_id, quantity, new_price, seq1 (time), seq2 (integral,
+    unique within equal seq1).
     """
     if method not in (1, 2):
         method = 1
@@ -350,24 +334,33 @@ def moving_average_cost(t, receipts: DataFrame, method: int = 1) -> DataFrame:
     )
     r = receipts.join(p, "product_id").select(
         "product_id", "stock0", "price0", F.col("quantity").cast("bigint").alias("quantity"),
-        F.col("new_price").cast("bigint").alias("new_price"), "seq1", "seq2",
-    )
-    if method == 2:  # no fold: quantities add up, the last positive price stands
-        counts = _z("quantity") > 0
-        priced = F.when(counts & (_z("new_price") > 0), F.struct("seq1", "seq2", "new_price"))
-        return r.groupBy("product_id").agg(
-            (F.first("stock0") + F.coalesce(F.sum(F.when(counts, F.col("quantity"))), F.lit(0))).cast("bigint").alias("stock"),
-            F.coalesce(F.max(priced)["new_price"], F.first("price0")).cast(S.MONEY).alias("import_price"),
-            F.count(F.when(counts, 1)).alias("receipts_applied"),
-        )
-    n = int(receipts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ordered = r.repartition(n, "product_id").sortWithinPartitions("product_id", "seq1", "seq2")
-    folded = ordered.mapInPandas(
-        _fold_receipts(method), "product_id bigint, stock bigint, import_price bigint, receipts_applied bigint"
-    )
-    return folded.select(
-        "product_id", "stock", F.col("import_price").cast(S.MONEY).alias("import_price"), "receipts_applied"
-    )
+        _z("new_price").cast("bigint").alias("new_price"), "seq1", "seq2",
+    )
+    counts = _z("quantity") > 0
+    totals = r.groupBy("product_id").agg(
+        (F.first("stock0") + F.coalesce(F.sum(F.when(counts, F.col("quantity"))), F.lit(0))).cast("bigint").alias("stock"),
+        F.first("price0").alias("_price0"), F.count(F.when(counts, 1)).alias("receipts_applied"),
+        F.max(F.when(counts & (F.col("new_price") > 0), F.struct("seq1", "seq2", "new_price")))["new_price"].alias("_latest"),
+    )
+    if method == 2:  # no fold: the last positive price stands
+        price = totals.select("product_id", F.col("_latest").alias("price"))
+    else:
+        # receipts come in blocks of a day (or of 65,536 numbers), inside which seq1 and seq2 order them
+        dated = isinstance(r.schema["seq1"].dataType, DatetimeType)
+        day = F.datediff("seq1", F.lit("1970-01-01")) if dated else F.floor(F.col("seq1") / 65536)
+        applied = r.where(counts).withColumn("_day", F.coalesce(day, F.lit(-1 << 40)).cast("bigint"))
+        before = running_sums_by_id(applied, ["product_id"], "_day", {"_sum": F.col("quantity")}, block=1, then=["seq1", "seq2"])
+        priced = before.where("new_price > 0").withColumn("stock_before", F.col("stock0") + F.col("_sum"))
+        priced = materialize(priced.select("product_id", "price0", "quantity", "new_price", "seq1", "seq2", "stock_before"), "receipts")
+        reset = priced.where("stock_before <= 0").groupBy("product_id").agg(F.max(F.struct("seq1", "seq2", "new_price")).alias("_r"))
+        after = priced.join(reset, "product_id", "left").where("_r IS NULL OR struct(seq1, seq2) > struct(_r.seq1, _r.seq2)")
+        after = after.select("product_id", "stock_before", "quantity", "new_price", F.coalesce("_r.new_price", "price0").alias("price0"), "seq1", "seq2")
+        folded = (after.repartition("product_id").sortWithinPartitions("product_id", "seq1", "seq2")
+                  .select("product_id", "stock_before", "quantity", "new_price", "price0").mapInPandas(_fold_prices, "product_id bigint, price bigint"))
+        price = (reset.select("product_id", F.col("_r.new_price").alias("_reset")).join(folded, "product_id", "full")
+                 .select("product_id", F.coalesce("price", "_reset").alias("price")))
+    return totals.join(price, "product_id", "left").select(
+        "product_id", "stock", F.coalesce("price", "_price0").cast(S.MONEY).alias("import_price"), "receipts_applied")
 
 
 def receipts_rejected(t, receipts: DataFrame) -> DataFrame:
@@ -401,45 +394,70 @@ def stock_reduce(t, requests: DataFrame) -> DataFrame:
 
 
 def _fold_reduce(batches):
-    cur, stock, found = None, 0, False
+    """Rows (product_id, _n, quantity, stock) in request order: which are
+    accepted. ``stock`` is what the product's first row finds."""
+    cur, stock = None, 0
     for pdf in batches:
-        out_stock, out_outcome = [], []
-        for pid, st0, fnd, qty in zip(pdf["product_id"], pdf["stock0"], pdf["found"], pdf["quantity"]):
+        ok = []
+        for pid, q, start in zip(pdf["product_id"], pdf["quantity"], pdf["stock"], strict=True):
             if pid != cur:
-                cur, stock, found = pid, (0 if pd.isna(st0) else int(st0)), bool(fnd)
-            q = 0 if pd.isna(qty) else int(qty)
-            if q <= 0:
-                out_outcome.append("ignored")
-            elif found and stock >= q:
+                cur, stock = pid, start
+            ok.append(stock >= q)
+            if ok[-1]:
                 stock -= q
-                out_outcome.append("accepted")
-            else:
-                out_outcome.append("rejected")
-            out_stock.append(stock if found else None)
-        yield pd.DataFrame({
-            "order_id": pdf["order_id"], "product_id": pdf["product_id"], "quantity": pdf["quantity"],
-            "outcome": out_outcome, "stock_after": pd.array(out_stock, dtype="Int64"),
-        })
-
-
-def stock_reduce_sequential(t, requests: DataFrame) -> DataFrame:
-    """T6 as sequential calls: each request (in order) reduces stock only when
-    the stock left by the earlier requests covers it; quantity <= 0 is ignored.
-
-    Requests of one product depend on each other, so they are
-    hash-partitioned by product, sorted in request order (order id, then
-    quantity; equal rows are interchangeable) and folded streaming by
-    ``mapInPandas`` - constant state, no group held in memory.
+        yield pd.DataFrame({"product_id": pdf["product_id"], "_n": pdf["_n"], "_ok": ok})
+
+
+#: Rounds of running sums before what is still open is folded, and the rows for which no further round is worth it.
+REDUCE_ROUNDS, REDUCE_ROWS = 6, 1_000_000
+
+
+def stock_reduce_sequential(t, requests: DataFrame, fold_rows: int = REDUCE_ROWS) -> DataFrame:
+    """T6 as sequential calls: each request (in order: order id, then quantity;
+    equal rows are interchangeable) reduces stock only when the stock left by
+    the earlier requests covers it; quantity <= 0 is ignored.
+
+    Running sums in blocks (several tasks for one product) bracket the answers:
+    requests up to the first that doesn't fit are all accepted; after it, those
+    larger than what is left are rejected, and the same is asked of the rest,
+    until ``fold_rows`` or fewer are open. Those are folded in order by
+    ``mapInPandas`` with constant state. Products whose stock covers all their
+    requests never get so far.
     """
-    p = t.products.select("product_id", F.col("stock").cast("bigint").alias("stock0"), F.lit(True).alias("found"))
-    r = requests.select("order_id", "product_id", F.col("quantity").cast("bigint").alias("quantity")).join(
-        p, "product_id", "left"
-    ).withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
-    n = int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    ordered = r.repartition(n, "product_id").sortWithinPartitions("product_id", "order_id", "quantity")
-    return ordered.mapInPandas(
-        _fold_reduce, "order_id bigint, product_id bigint, quantity bigint, outcome string, stock_after bigint"
-    )
+    p = t.products.select("product_id", _z("stock").cast("bigint").alias("stock0"), F.lit(True).alias("found"))
+    r = requests.select("order_id", "product_id", F.col("quantity").cast("bigint").alias("quantity")).join(p, "product_id", "left")
+    asks = F.col("found") & (_z("quantity") > 0)
+    key = F.coalesce("product_id", F.lit(-1).cast("bigint"))
+    r = running_sums_by_id(r.withColumn("_p", key), ["_p"], "order_id", {"_n": F.lit(1), "_most": F.when(asks, F.col("quantity"))}, then=["quantity"])
+    r = materialize(r.drop("_p"), "reduce")
+    open_ = r.where(asks & (F.col("_most") + F.col("quantity") > F.col("stock0")))
+    # what the product's requests before its first open one have left
+    left = open_.groupBy("product_id").agg(F.min(F.struct("_n", (F.col("stock0") - F.col("_most")).alias("stock"))).alias("_f"))
+    rest = open_.join(left.select("product_id", "_f.stock"), "product_id").where("quantity <= stock").select("product_id", "_n", "quantity", "stock")
+    accepted = []
+    for _ in range(REDUCE_ROUNDS):
+        rest = materialize(rest, "reduce-open")
+        if rest.count() <= fold_rows:
+            break
+        sums = materialize(running_sums_by_id(rest, ["product_id"], "_n", {"_before": F.col("quantity")}), "reduce-sums")
+        fits = F.col("_before") + F.col("quantity") <= F.col("stock")
+        accepted.append(sums.where(fits).select("product_id", "_n"))
+        after = sums.where(~fits)
+        left = after.groupBy("product_id").agg(F.min(F.struct("_n", (F.col("stock") - F.col("_before")).alias("left"))).alias("_f"))
+        rest = (after.drop("stock").join(left.select("product_id", F.col("_f.left").alias("stock")), "product_id").where("quantity <= stock")
+                .select("product_id", "_n", "quantity", "stock"))
+    ordered = rest.repartition("product_id").sortWithinPartitions("product_id", "_n")
+    folded = ordered.mapInPandas(_fold_reduce, "product_id bigint, _n bigint, _ok boolean").where("_ok").select("product_id", "_n")
+    for a in accepted:
+        folded = folded.unionByName(a)
+    r = r.join(folded.withColumn("_late", F.lit(True)), ["product_id", "_n"], "left")
+    ok = asks & ((F.col("_most") + F.col("quantity") <= F.col("stock0")) | F.coalesce("_late", F.lit(False)))
+    outcome = F.when(_z("quantity") <= 0, F.lit("ignored")).when(F.coalesce(ok, F.lit(False)), F.lit("accepted")).otherwise(F.lit("rejected"))
+    r = r.withColumn("outcome", outcome).withColumn("_p", key)
+    took = F.when(F.col("outcome") == "accepted", F.col("quantity"))
+    r = running_sums_by_id(r, ["_p"], "_n", {"_took": took})
+    return r.select("order_id", "product_id", "quantity", "outcome",
+                    F.when(F.col("found"), F.col("stock0") - F.col("_took") - F.coalesce(took, F.lit(0))).alias("stock_after"))
 
 
 def stock_adjust(t, requests: DataFrame) -> DataFrame:

@@ -295,3 +295,32 @@ def test_stock_reduce_sequential_replays_calls(spark):
             outcome = "rejected"
         want.append((o, p, q, outcome, left.get(p)))
     assert got == sorted(want)
+
+
+@pytest.mark.parametrize("fold_rows", [0, 10, 10**6])
+def test_stock_reduce_by_rounds(spark, fold_rows):
+    """One hot product: running sums, further rounds and the fold give the same answers."""
+    rnd = random.Random(7)
+    reqs = [(rnd.randint(1, 10**6), 1, rnd.choice([0, 1, 2, 5, 40, 90])) for _ in range(300)] + [(k, 2, 1) for k in range(5)]
+    t = SimpleNamespace(products=spark.createDataFrame([(1, 400), (2, 100)], "product_id long, stock int"))
+    r = spark.createDataFrame(reqs, "order_id long, product_id long, quantity int")
+    left, want = {1: 400, 2: 100}, []
+    for o, p, q in sorted(reqs, key=lambda x: (x[1], x[0], x[2])):
+        ok = 0 < q <= left[p]
+        left[p] -= q * ok
+        want.append((o, p, q, "ignored" if q <= 0 else "accepted" if ok else "rejected", left[p]))
+    assert sorted(tuple(x) for x in posting.stock_reduce_sequential(t, r, fold_rows).collect()) == sorted(want)
+
+
+def test_moving_average_folds_after_the_last_reset_only(spark, monkeypatch):
+    """Receipts up to the last one that finds no stock don't reach the fold."""
+    receipts = [(1, 1, 100 + k, k) for k in range(50)] + [(2, 5, 70, k) for k in range(3)]
+    t = SimpleNamespace(products=spark.createDataFrame([(1, -40, Decimal(9)), (2, 4, Decimal(10))], "product_id long, stock int, import_price decimal(18,0)"))
+    r = spark.createDataFrame(receipts, "product_id long, quantity int, new_price int, seq1 int").withColumn("seq2", F.lit(0))
+    seen = []
+    write = posting.materialize
+    monkeypatch.setattr(posting, "materialize", lambda df, name: seen.append(write(df, name)) or seen[-1])
+    got = {x["product_id"]: (x["stock"], int(x["import_price"])) for x in posting.moving_average_cost(t, r).collect()}
+    assert got == {1: _python_moving_average(-40, 9, [(q, p) for i, q, p, _ in receipts if i == 1]),
+                   2: _python_moving_average(4, 10, [(5, 70)] * 3)}
+    assert {x["stock_before"] for x in seen[0].where("product_id = 1").collect()} == set(range(-40, 10))
