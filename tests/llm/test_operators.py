@@ -159,6 +159,29 @@ def test_bpe_like_tiktoken():
 
 # 3 URL filters
 
+def test_url_prefixes_case_and_clashes(spark):
+    """Deep prefixes, patterns in any case, very long paths, kept columns named like results."""
+    import datetime as dt
+
+    day = dt.date(2024, 1, 5)
+    long = "http://long.example.com/" + "/".join("s" for _ in range(30_000))
+    urls = [(1, "http://Example.com/de/private/x?q=/a"), (2, "http://example.com/de/privat"), (3, "http://example.com/DE/private"), (4, "https://a.b.example.org/"),
+            (5, long), (6, None), (7, "relative/path"), (8, "http://h.example.net:80/a"), (9, "http://example.com/de/private/")]
+    pages = spark.createDataFrame([(i, u, day, "h", 3, True, "r") for i, u in urls],
+                                  "page_id long, url string, day date, host string, matches int, blocked boolean, _row string")
+    entries = spark.createDataFrame(
+        [("block", "prefix", "EXAMPLE.com/de/private/", "add", day), ("allow", "prefix", "example.com/de/private/x", "add", day),
+         ("block", "domain", ".Example.ORG", "add", day), ("block", "host", "H.example.net", "add", day), ("block", "prefix", "long.example.com/s/s", "add", day),
+         ("block", "domain", None, "add", day)], "list string, kind string, pattern string, action string, day date")
+    out = url_filter.filter_urls(pages, C("url"), C("day"), entries)
+    assert out.columns == ["page_id", "url", "day", "_row", "host", "fetched_on", "matches", "blocked", "decided_by"]
+    got = {r.page_id: (r.matches, r.blocked, r.decided_by) for r in out.collect()}
+    none = (0, False, None)
+    assert got == {1: (2, False, "allow:prefix:example.com/de/private/x"), 2: none, 3: none, 4: (1, True, "block:domain:example.org"),
+                   5: (1, True, "block:prefix:long.example.com/s/s"), 6: none, 7: none, 8: (1, True, "block:host:h.example.net"),
+                   9: (1, True, "block:prefix:example.com/de/private")}
+
+
 def test_url_filter(spark):
     pages = spark.createDataFrame(
         [(1, "http://a.b.example.com/de/1", "2024-01-05"), (1, "http://a.b.example.com/de/1", "2024-01-05"), (2, "https://U:p@B.example.com:80/x", "2024-03-01"),
