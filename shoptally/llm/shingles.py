@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 2 << 20
+BLOCK = 1 << 18
+"""About 50 bytes a byte of a block are held while it is hashed."""
 _SPACES = [32, 9, 10, 11, 12, 13]
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
