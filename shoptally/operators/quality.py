@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
@@ -30,6 +30,8 @@ SETTLEMENT_CATEGORY = "Chi lương nhân viên"      # salary payment
 ADVANCE_DESCRIPTION = "Tạm ứng lương: "
 SETTLEMENT_DESCRIPTION = "Thanh toán lương: "
 EMPLOYEE_FALLBACK = "nhân viên"
+PAYROLL_ADJUSTMENTS = ("ALLOWANCE", "BONUS", "DEDUCTION")
+PAYROLL_PAYMENTS = ("ADVANCE", "SETTLEMENT")
 SETTLEMENT_TYPES = ("DEBT_OFFSET", "REFUND")
 # Bank name aliases (upper-cased, trimmed) -> bank code, fill blanks only.
 BANK_CODES = {
@@ -364,26 +366,25 @@ def _epoch_seconds(c) -> F.Column:
     ).cast("bigint")
 
 
-def sale_signatures(orders: DataFrame, lines: DataFrame) -> DataFrame:
-    """Order header plus a multiset fingerprint of its lines.
+LINE_KEYS = 6
 
-    The multiset of (product, variant, quantity, gift, price, serial) with
-    counts is summarised by order-independent sums of two 64-bit hashes per
-    distinct line and the number of distinct lines; every step is a plain
-    aggregate, so a very large order is combined per task first.
-    """
-    key = [
-        F.col("product_id"), _z("product_variant_id"), F.col("quantity"), _z("gift_quantity"),
-        F.col("unit_price"), F.coalesce(F.col("serial_number"), F.lit("")),
-    ]
-    grouped = lines.groupBy(F.col("order_id"), *[k.alias(f"_k{i}") for i, k in enumerate(key)]).agg(
-        F.count(F.lit(1)).alias("_cnt")
-    )
-    ks = [F.col(f"_k{i}") for i in range(len(key))] + [F.col("_cnt")]
-    fp = grouped.groupBy("order_id").agg(
+
+def _line_counts(lines: DataFrame) -> DataFrame:
+    """How often each order has each line (product, variant, quantity, gift, price, serial): order_id, _k0.., _cnt."""
+    key = [F.col("product_id"), _z("product_variant_id"), F.col("quantity"), _z("gift_quantity"), F.col("unit_price"), F.coalesce(F.col("serial_number"), F.lit(""))]
+    return lines.groupBy("order_id", *[k.alias(f"_k{i}") for i, k in enumerate(key)]).agg(F.count(F.lit(1)).alias("_cnt"))
+
+
+def sale_signatures(orders: DataFrame, counts: DataFrame) -> DataFrame:
+    """The orders with a fingerprint of their lines: the number of different
+    ones and order-independent sums of two 64-bit hashes. Plain aggregates, so
+    a very large order is combined per task first. Equal multisets have equal
+    fingerprints; ``_same_lines`` checks the reverse."""
+    ks = [F.col(f"_k{i}") for i in range(LINE_KEYS)] + [F.col("_cnt")]
+    fp = counts.groupBy("order_id").agg(
         F.count(F.lit(1)).alias("_lines"),
-        F.sum(F.xxhash64(*ks).cast("decimal(38,0)")).alias("_h1"),
-        F.sum(F.xxhash64(F.lit("salt"), *ks).cast("decimal(38,0)")).alias("_h2"),
+        F.sum(_line_hash(*ks).cast("decimal(38,0)")).alias("_h1"),
+        F.sum(_line_hash(F.lit("salt"), *ks).cast("decimal(38,0)")).alias("_h2"),
     )
     return orders.join(fp, "order_id", "left").select(
         "*",
@@ -393,6 +394,21 @@ def sale_signatures(orders: DataFrame, lines: DataFrame) -> DataFrame:
     ).drop("_lines", "_h1", "_h2")
 
 
+def _line_hash(*cols: Column) -> Column:
+    return F.xxhash64(*cols)
+
+
+def _same_lines(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """The pairs (order_id, duplicate_of, sig_lines) whose orders have the same
+    lines equally often: as many lines of one meet an equal line of the other
+    as either has."""
+    one = pairs.select("order_id", "duplicate_of").join(counts, "order_id")
+    two = counts.select(F.col("order_id").alias("duplicate_of"), *[F.col(f"_k{i}").alias(f"_j{i}") for i in range(LINE_KEYS)], F.col("_cnt").alias("_cnt2"))
+    equal = reduce(lambda x, y: x & y, [F.col(f"_k{i}").eqNullSafe(F.col(f"_j{i}")) for i in range(LINE_KEYS)])
+    met = one.join(two, "duplicate_of").where(equal & (F.col("_cnt") == F.col("_cnt2"))).groupBy("order_id").agg(F.count(F.lit(1)).alias("_met"))
+    return pairs.join(met, "order_id", "left").where(F.col("sig_lines") == _z("_met")).drop("_met", "sig_lines")
+
+
 HEADER_KEYS = (
     ("customer_id", -1), ("employee_id", -1), ("cashier_id", -1), ("total_amount", 0), ("discount", 0),
     ("vat_amount", 0), ("final_amount", 0), ("paid_amount", 0), ("status", ""), ("payment_method", ""),
@@ -406,7 +422,10 @@ def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: Da
     has the same header (NULL-safe), the same multiset of lines and a time
     within ``window_seconds`` (whole-second difference).
 
-    Orders are grouped by (header, line fingerprint, 10-minute bucket); rows
+    Headers come first: only orders that another one with an equal header (by
+    hash) is near in time have their lines read and counted. Those are grouped
+    by (header, line fingerprint, 10-minute bucket), and the lines of each
+    pair found are compared, one by one with their counts. Rows
     within 30 s of a bucket edge are copied into the neighbouring bucket as
     candidates only, so a group never spans more than one bucket of time and
     a signature repeated all day is still split across many tasks. Inside a
@@ -418,29 +437,31 @@ def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: Da
     if missing:  # comparing fewer fields would find more "duplicates"
         raise ValueError(f"duplicate_sale_detect needs the header columns {missing}")
     cols = [F.coalesce(F.col(c), F.lit(d)).alias(f"_h_{c}") for c, d in HEADER_KEYS]
-    sig = sale_signatures(orders, lines).select(
-        "order_id", "order_date", F.col("order_type").alias("_type"), *cols, "sig_lines", "sig_h1", "sig_h2",
-        _epoch_seconds("order_date").alias("_sec"),
-    )
-    tied = serial_orders.select("order_id")
-    if wallet_orders is not None:  # optional in the source as well
-        tied = tied.unionByName(wallet_orders.select("order_id"))
-    sig = sig.join(tied.distinct().withColumn("_tied", F.lit(True)), "order_id", "left")
-    b = F.floor(F.col("_sec") / bucket_seconds).cast("bigint")
-    near_start = F.col("_sec") - b * bucket_seconds < window_seconds
-    near_end = (b + 1) * bucket_seconds - F.col("_sec") <= window_seconds
+    heads = orders.select("order_id", "order_date", F.col("order_type").alias("_type"), *cols, _epoch_seconds("order_date").alias("_sec"))
 
     def slot(bucket, main):
         return F.struct(bucket.alias("bucket"), F.lit(main).alias("main"))
 
-    # own bucket plus halo copies, produced from one pass over the signatures
-    slots = F.filter(
-        F.array(slot(b, True), F.when(near_start, slot(b - 1, False)), F.when(near_end, slot(b + 1, False))),
-        lambda x: x.isNotNull(),
-    )
-    rows = sig.select("*", F.explode(slots).alias("_slot")).select(
-        "*", F.col("_slot.bucket").alias("_bucket"), F.col("_slot.main").alias("_main")
-    ).drop("_slot")
+    def in_buckets(df: DataFrame) -> DataFrame:
+        """Own bucket plus halo copies, produced from one pass over the rows."""
+        b = F.floor(F.col("_sec") / bucket_seconds).cast("bigint")
+        near_start = F.col("_sec") - b * bucket_seconds < window_seconds
+        near_end = (b + 1) * bucket_seconds - F.col("_sec") <= window_seconds
+        slots = F.array_compact(F.array(slot(b, True), F.when(near_start, slot(b - 1, False)), F.when(near_end, slot(b + 1, False))))
+        return df.select("*", F.explode(slots).alias("_slot")).select(
+            "*", F.col("_slot.bucket").alias("_bucket"), F.col("_slot.main").alias("_main")).drop("_slot")
+
+    of_header = Window.partitionBy("_hash", "_bucket").orderBy("_sec")
+    hashed = in_buckets(heads.select("order_id", "_sec", F.xxhash64(*[f"_h_{c}" for c, _ in HEADER_KEYS]).alias("_hash")))
+    gap = F.least(F.col("_sec") - F.lag("_sec").over(of_header), F.lead("_sec").over(of_header) - F.col("_sec"))
+    close = hashed.withColumn("_gap", gap).where(F.col("_main") & (F.col("_gap") <= window_seconds)).select("order_id")
+    counts = _line_counts(lines.join(close, "order_id", "left_semi"))
+    sig = sale_signatures(heads.join(close, "order_id", "left_semi"), counts)
+    tied = serial_orders.select("order_id")
+    if wallet_orders is not None:  # optional in the source as well
+        tied = tied.unionByName(wallet_orders.select("order_id"))
+    sig = sig.join(tied.distinct().withColumn("_tied", F.lit(True)), "order_id", "left")
+    rows = in_buckets(sig)
     part = [f"_h_{c}" for c, _ in HEADER_KEYS] + ["sig_lines", "sig_h1", "sig_h2", "_bucket"]
     me = F.struct(F.col("order_date"), F.col("order_id"))
     rng = Window.partitionBy(*part).orderBy("_sec").rangeBetween(-window_seconds, window_seconds)
@@ -454,11 +475,12 @@ def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: Da
     next_ok = F.col("_next").isNotNull() & (F.col("_next._sec") - F.col("_sec") <= window_seconds)
     cand = F.when(~is_self, F.col("_first.order_id")).when(next_ok, F.col("_next.order_id"))
     cand_date = F.when(~is_self, F.col("_first.order_date")).when(next_ok, F.col("_next.order_date"))
-    return w.where(
+    pairs = w.where(
         F.col("_main") & (F.col("_type") == "SALE") & F.col("_tied").isNull() & cand.isNotNull()
     ).select(
-        "order_id", "order_date", cand.alias("duplicate_of"), cand_date.alias("duplicate_of_date"),
+        "order_id", "order_date", cand.alias("duplicate_of"), cand_date.alias("duplicate_of_date"), "sig_lines",
     )
+    return _same_lines(pairs, counts).select("order_id", "order_date", "duplicate_of", "duplicate_of_date")
 
 
 def duplicate_sale_inputs(t):
@@ -683,53 +705,62 @@ def payment_method_backfill(t) -> DataFrame:
 # ---------------------------------------------------------------- constraints report
 
 
-def constraint_violations(t) -> DataFrame:
-    """Q25: the CHECK / UNIQUE / NOT NULL rules of the schema as a report (rule, table, key)."""
+def _row_rules() -> dict[str, list[tuple[str, Column, list[str]]]]:
+    """CHECK and NOT NULL rules by table: (rule, condition of a violation, key)."""
+    col = F.col
+    positive = lambda *key: ("amount_positive", ~F.coalesce(col("amount") > 0, F.lit(False)), list(key))
+    one_of = lambda rule, c, values, key: (rule, ~F.coalesce(col(c).isin(*values), F.lit(False)), [key])
+    cash = (S.CASH_IN, S.CASH_OUT)
+    return {
+        "cashbook_entries": [positive("entry_id"), one_of("entry_type_in_out", "entry_type", cash, "entry_id")],
+        "cashbook_categories": [one_of("category_type_in_out", "category_type", cash, "category_id")],
+        "customer_debt_adjustments": [positive("adjustment_id")],
+        "customer_debt_discount_allocations": [positive("adjustment_id", "order_id")],
+        "supplier_debt_adjustments": [positive("adjustment_id")],
+        "supplier_debt_discount_allocations": [positive("allocation_id")],
+        "employee_payroll_adjustments": [positive("adjustment_id"), one_of("adjustment_type_valid", "adjustment_type", PAYROLL_ADJUSTMENTS, "adjustment_id")],
+        "employee_payroll_payments": [one_of("payment_type_advance_settlement", "payment_type", PAYROLL_PAYMENTS, "payment_id")],
+        "purchase_returns": [one_of("settlement_type_valid", "settlement_type", SETTLEMENT_TYPES, "return_id")],
+        # a CHECK lets NULL pass; the column is nullable
+        "store_info": [("price_method_1_2", ~col("import_price_method").isin(1, 2), ["store_name"])],
+        "sales_orders": [("order_code_not_null", col("order_code").isNull(), ["order_id"])],
+        "imports": [("import_code_not_null", col("import_code").isNull(), ["import_id"])],
+    }
+
+
+def _unique_rules() -> dict[str, list[tuple[str, Column | None, list[str]]]]:
+    """UNIQUE rules by table: (rule, rows that take part, columns)."""
+    there = lambda c: F.col(c).isNotNull()
+    return {
+        "sales_orders": [("order_code_unique", there("order_code"), ["order_code"])],
+        "imports": [("import_code_unique", there("import_code"), ["import_code"])],
+        "customer_debt_discount_allocations": [("allocation_unique", None, ["adjustment_id", "order_id"])],
+        "supplier_debt_discount_allocations": [("allocation_unique", None, ["adjustment_id", "import_id"])],
+        "product_variants": [("sku_unique", None, ["sku_code"])],
+        "product_serials": [("serial_unique", there("serial_number"), ["serial_number"])],
+        "products": [("barcode_unique", there("barcode") & (F.trim("barcode") != ""), ["barcode"])],
+    }
 
-    def rows(rule, table, df, cond, key):
-        return df.where(cond).select(
-            F.lit(rule).alias("rule"), F.lit(table).alias("table_name"), S.col(key).cast("string").alias("row_key")
-        )
 
-    def dups(rule, table, df, cols, cond=None):
-        d = df if cond is None else df.where(cond)
-        g = d.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
-        return g.select(F.lit(rule).alias("rule"), F.lit(table).alias("table_name"),
-                        F.concat_ws("|", *[F.col(c).cast("string") for c in cols]).alias("row_key"))
-
-    not_pos = lambda c: ~(F.coalesce(F.col(c) > 0, F.lit(False)))
-    parts = [
-        rows("amount_positive", "cashbook_entries", t.cashbook_entries, not_pos("amount"), "entry_id"),
-        rows("amount_positive", "customer_debt_adjustments", t.customer_debt_adjustments, not_pos("amount"), "adjustment_id"),
-        rows("amount_positive", "customer_debt_discount_allocations", t.customer_debt_discount_allocations,
-             not_pos("amount"), F.concat_ws("|", F.col("adjustment_id").cast("string"), F.col("order_id").cast("string"))),
-        rows("amount_positive", "supplier_debt_adjustments", t.supplier_debt_adjustments, not_pos("amount"), "adjustment_id"),
-        rows("amount_positive", "supplier_debt_discount_allocations", t.supplier_debt_discount_allocations,
-             not_pos("amount"), "allocation_id"),
-        rows("amount_positive", "employee_payroll_adjustments", t.employee_payroll_adjustments, not_pos("amount"), "adjustment_id"),
-        rows("adjustment_type_valid", "employee_payroll_adjustments", t.employee_payroll_adjustments,
-             ~F.coalesce(F.col("adjustment_type").isin("ALLOWANCE", "BONUS", "DEDUCTION"), F.lit(False)), "adjustment_id"),
-        # a CHECK lets NULL pass; the column is nullable
-        rows("price_method_1_2", "store_info", t.store_info, ~F.col("import_price_method").isin(1, 2), "store_name"),
-        rows("entry_type_in_out", "cashbook_entries", t.cashbook_entries,
-             ~F.coalesce(F.col("entry_type").isin(S.CASH_IN, S.CASH_OUT), F.lit(False)), "entry_id"),
-        rows("category_type_in_out", "cashbook_categories", t.cashbook_categories,
-             ~F.coalesce(F.col("category_type").isin(S.CASH_IN, S.CASH_OUT), F.lit(False)), "category_id"),
-        rows("payment_type_advance_settlement", "employee_payroll_payments", t.employee_payroll_payments,
-             ~F.coalesce(F.col("payment_type").isin("ADVANCE", "SETTLEMENT"), F.lit(False)), "payment_id"),
-        rows("settlement_type_valid", "purchase_returns", t.purchase_returns,
-             ~F.coalesce(F.col("settlement_type").isin(*SETTLEMENT_TYPES), F.lit(False)), "return_id"),
-        rows("order_code_not_null", "sales_orders", t.sales_orders, F.col("order_code").isNull(), "order_id"),
-        rows("import_code_not_null", "imports", t.imports, F.col("import_code").isNull(), "import_id"),
-        dups("order_code_unique", "sales_orders", t.sales_orders, ["order_code"], F.col("order_code").isNotNull()),
-        dups("import_code_unique", "imports", t.imports, ["import_code"], F.col("import_code").isNotNull()),
-        dups("allocation_unique", "customer_debt_discount_allocations", t.customer_debt_discount_allocations,
-             ["adjustment_id", "order_id"]),
-        dups("allocation_unique", "supplier_debt_discount_allocations", t.supplier_debt_discount_allocations,
-             ["adjustment_id", "import_id"]),
-        dups("sku_unique", "product_variants", t.product_variants, ["sku_code"]),
-        dups("serial_unique", "product_serials", t.product_serials, ["serial_number"], F.col("serial_number").isNotNull()),
-        dups("barcode_unique", "products", t.products, ["barcode"],
-             F.col("barcode").isNotNull() & (F.trim("barcode") != "")),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+def constraint_violations(t) -> DataFrame:
+    """Q25: the CHECK / UNIQUE / NOT NULL rules of the schema as a report (rule, table, key).
+
+    The rules are data; each table is read once and each of its rows gives an
+    entry per violated row rule and per unique rule that it takes part in. One
+    aggregate counts the entries of all tables (combined in each task first):
+    a violated row rule counts once a row, a unique key if it occurs twice.
+    """
+    rows, unique = _row_rules(), _unique_rules()
+
+    def entries(table: str) -> DataFrame:
+        found = [(rule, cond, key, False) for rule, cond, key in rows.get(table, [])] + [(rule, cond, key, True) for rule, cond, key in unique.get(table, [])]
+        structs = []
+        for rule, cond, key, is_unique in found:
+            e = F.struct(F.lit(rule).alias("rule"), F.lit(is_unique).alias("is_unique"), F.array(*[F.col(c).cast("string") for c in key]).alias("key"))
+            structs.append(e if cond is None else F.when(cond, e))
+        return getattr(t, table).select(F.explode(F.array_compact(F.array(*structs))).alias("e")).select(F.lit(table).alias("table_name"), "e.*")
+
+    every = reduce(DataFrame.unionByName, [entries(table) for table in dict.fromkeys([*rows, *unique])])
+    counted = every.groupBy("rule", "table_name", "is_unique", "key").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1 OR NOT is_unique")
+    times = F.when(F.col("is_unique"), F.lit(1).cast("long")).otherwise(F.col("_n"))
+    return counted.select("rule", "table_name", F.concat_ws("|", "key").alias("row_key"), F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("_i")).drop("_i")

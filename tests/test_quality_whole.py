@@ -73,3 +73,52 @@ def test_late_constraints(spark):
         ("amount_positive", "employee_payroll_adjustments", "2"), ("amount_positive", "supplier_debt_adjustments", "2"),
         ("amount_positive", "supplier_debt_discount_allocations", "2"), ("allocation_unique", "supplier_debt_discount_allocations", "1|1"),
         ("price_method_1_2", "store_info", "b")])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_constraints_read_each_table_once(spark, tmp_path):
+    """A scan per table and one exchange, whatever the number of rules; repeated rows are reported each."""
+    t = shop(spark)
+    rules = {**quality._row_rules(), **quality._unique_rules()}
+    for name in rules:
+        getattr(t, name).write.parquet(str(tmp_path / name))
+    read = SimpleNamespace(**{n: spark.read.parquet(str(tmp_path / n)) for n in rules})
+    plan = _plan(quality.constraint_violations(read)).split("Initial Plan")[-1]
+    assert plan.count("FileScan parquet") == len(rules) and plan.count("Exchange ") == 1
+    t = shop(spark, customer_debt_discount_allocations=[{"adjustment_id": 1, "order_id": 2, "amount": Decimal(0)}] * 2)
+    key = "customer_debt_discount_allocations", "1|2"
+    assert bag(quality.constraint_violations(t), "rule", "table_name", "row_key") == [("allocation_unique", *key), *[("amount_positive", *key)] * 2]
+
+
+def _sales(spark, heads, lines):
+    when = dt.datetime(2024, 1, 1, 10)
+    o = spark.createDataFrame([(i, "SALE", Decimal(a), when + dt.timedelta(seconds=s)) for i, a, s in heads],
+                              "order_id long, order_type string, final_amount decimal(18,0), order_date timestamp_ntz")
+    o = o.withColumns({c: F.lit(None) for c, _ in quality.HEADER_KEYS if c not in o.columns})
+    schema = "order_id long, product_id long, product_variant_id long, quantity int, gift_quantity int, unit_price decimal(18,0), serial_number string"
+    return o, spark.createDataFrame([(i, p, None, q, None, Decimal(5), s) for i, p, q, s in lines], schema)
+
+
+def test_duplicate_sales_compare_the_lines_themselves(spark, monkeypatch):
+    """A planted collision: all lines hash alike, so only the comparison of lines tells the orders apart."""
+    monkeypatch.setattr(quality, "_line_hash", lambda *cols: F.lit(1).cast("long"))
+    o, lines = _sales(spark, [(1, 5, 0), (2, 5, 3), (11, 6, 0), (12, 6, 3), (21, 7, 0), (22, 7, 3)],
+                      [(1, 7, 1, None), (2, 8, 1, None), (11, 7, 1, "s"), (11, 7, 1, "s"), (11, 8, 1, None), (12, 8, 1, None), (12, 7, 1, "s"), (12, 7, 1, "s"),
+                       (21, 7, 1, None), (21, 7, 1, None), (22, 7, 1, None), (22, 7, 1, None), (22, 7, 1, None)])
+    got = quality.duplicate_sale_detect(o, lines, spark.createDataFrame([], "order_id long"))
+    assert bag(got, "order_id", "duplicate_of") == [(11, 12), (12, 11)]
+
+
+def test_lines_of_other_sales_are_not_counted(spark, tmp_path):
+    """Lines meet the headers that repeat within seconds before any aggregate."""
+    o, lines = _sales(spark, [(1, 5, 0), (2, 5, 30), (3, 5, 61), (4, 6, 62)], [(i, 7, 1, None) for i in range(1, 5)])
+    lines.write.parquet(str(tmp_path / "lines"))
+    got = quality.duplicate_sale_detect(o, spark.read.parquet(str(tmp_path / "lines")), spark.createDataFrame([], "order_id long"))
+    assert bag(got, "order_id", "duplicate_of") == [(1, 2), (2, 1)]
+    plan = _plan(got).split("Initial Plan")[-1].splitlines()
+    scan = next(i for i, line in enumerate(plan) if "FileScan parquet" in line)
+    above = [line for line in plan[:scan] if "Join" in line or "Aggregate" in line]
+    assert "LeftSemi" in above[-1], above[-1]
