@@ -26,12 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoptally.llm.common import SPACE, has_word, materialize, pack, unpack, words
+from shoptally.llm.common import has_word, materialize, pack, unpack, words
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
-SYMBOLS = "#*$%&|<>"
 MAX_RATE = 0.01
 BLOCK_RATE = 0.9
 RULES = ("base", "symbols", "capitals", "dup_lines", "word_length")
@@ -42,14 +41,14 @@ def measure(df: DataFrame, text: Column, host: Column, keep: list[str] | None =
     """``_row`` (the input), ``_host``, the measures and one flag per rule."""
     df = pack(df, keep, _text=F.coalesce(text, F.lit("")), _host=host)
     lines = F.filter(F.split("_text", "\n", -1), has_word)
-    # what is made of the characters first: a text's lines are gone before its words are cut, and the words before their windows
-    df = df.select("_row", "_host", "_text", F.length(F.translate("_text", SPACE, "")).cast("long").alias("word_chars"),
-                   F.length(F.translate("_text", SYMBOLS, "")).alias("_plain"), F.regexp_count("_text", F.lit("[A-Z]")).cast("long").alias("_upper"),
-                   lines.alias("_lines"))
-    df = df.select("_row", "_host", "word_chars", (F.length("_text") - F.col("_plain")).cast("long").alias("n_symbols"), "_upper",
-                   F.size("_lines").alias("_n_lines"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-                   F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_h"))
-    df = df.withColumn("n_words", F.size("_h"))
+    # a text's lines are gone before its words are cut
+    df = df.select("_row", "_host", "_text", F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+                   F.regexp_count("_text", F.lit("[A-Z]")).cast("long").alias("_upper"), lines.alias("_lines"))
+    df = df.select("_row", "_host", "n_symbols", "_upper", F.size("_lines").alias("_n_lines"),
+                   (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), words(F.col("_text")).alias("_w"))
+    df = df.select("_row", "_host", "n_symbols", "_upper", "_n_lines", "n_dup_lines", F.size("_w").alias("n_words"),
+                   F.aggregate("_w", F.lit(0).cast("long"), lambda a, w: a + F.length(w)).alias("word_chars"),
+                   F.transform("_w", lambda w: F.xxhash64(w)).alias("_h"))
     h = F.col("_h")
     grams = F.when(F.col("n_words") >= WINDOW, F.transform(
         F.sequence(F.lit(0), F.col("n_words") - WINDOW),
