@@ -70,3 +70,17 @@ def running_sums_by_id(df: DataFrame, group_cols: list[str], id_col: str, sums:
     out = keyed.join(offsets, [*group_cols, "_blk"])
     out = out.select("*", *[(F.col(f"_o_{n}") + F.coalesce(F.sum(f"_v_{n}").over(local), F.lit(0))).alias(n) for n in sums])
     return out.drop("_blk", *[f"_{p}_{n}" for n in sums for p in "vo"])
+
+
+def next_ids(df: DataFrame, group_cols: list[str], id_col: str, flags: dict[str, Column], block: int = 65536) -> DataFrame:
+    """Add each ``flags[name]``'s least larger ``id_col`` among the group's rows
+    where the flag is true (NULL if there is none), in the same two bounded
+    steps, from the end. Group columns are not NULL."""
+    keyed = df.select("*", *[F.when(c, F.col(id_col)).alias(f"_v_{n}") for n, c in flags.items()], F.floor(F.col(id_col) / F.lit(block)).alias("_blk"))
+    least = keyed.groupBy(*group_cols, "_blk").agg(*[F.min(f"_v_{n}").alias(f"_t_{n}") for n in flags])
+    after = Window.partitionBy(*group_cols).orderBy(F.desc("_blk")).rowsBetween(Window.unboundedPreceding, -1)
+    later = least.select(*group_cols, "_blk", *[F.min(f"_t_{n}").over(after).alias(f"_o_{n}") for n in flags])
+    local = Window.partitionBy(*group_cols, "_blk").orderBy(F.desc(id_col)).rowsBetween(Window.unboundedPreceding, -1)
+    out = keyed.join(later, [*group_cols, "_blk"])
+    out = out.select("*", *[F.coalesce(F.min(f"_v_{n}").over(local), F.col(f"_o_{n}")).alias(n) for n in flags])
+    return out.drop("_blk", *[f"_{p}_{n}" for n in flags for p in "vo"])

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DatetimeType
 
 from ..functions import semantics as S
+from ..functions.holders import decide_claims
 from ..functions.ranking import row_number_by_id, running_sums_by_id
 from ..functions.sequential import REPLAY_ROWS, decide
 from ..session import materialize
@@ -556,12 +557,25 @@ def serial_sell(t, requests: DataFrame) -> DataFrame:
     return j.select("request_id", F.col("sn").alias("serial_number"), "order_id", outcome.alias("outcome"))
 
 
+def _replay_numbers(t, checked: DataFrame) -> DataFrame:
+    """``outcome`` of requests (request_id, serial_id, serial_number, ``outcome``
+    before the check of the number, ``effect``: nothing else refuses it) that set
+    serial numbers one by one in id order: ``duplicate_serial`` where another
+    serial has the number at that time. What a serial gives up is free for later
+    requests. Requests with ``effect`` NULL are not checked."""
+    asked = checked.where("effect IS NOT NULL").select("request_id", F.col("serial_id").alias("holder"), F.col("serial_number").alias("value"), "effect")
+    held = t.product_serials.select(F.col("serial_id").alias("holder"), F.col("serial_number").alias("value"))
+    answers = decide_claims(asked, held).where("refused").select("request_id", "refused")
+    j = checked.join(answers, "request_id", "left")
+    return j.withColumn("outcome", F.when(F.col("refused"), F.lit("duplicate_serial")).otherwise(F.col("outcome")))
+
+
 def serial_update_validate(t, requests: DataFrame) -> DataFrame:
     """Not found / sold / duplicate serial / negative price, else the normalised update.
 
-    Requests: request_id, serial_id, ... A number that several requests of the
-    batch set goes to the first valid one (by id); later ones for another
-    serial find it held.
+    Requests: request_id (unique), serial_id, ... They take effect in id order:
+    a number is a duplicate while another serial has it, a number that an
+    earlier accepted request gave up (by another or a blank one) is free.
     """
     ps = t.product_serials.select("serial_id", F.col("status").alias("_status"))
     req = requests.select(
@@ -571,58 +585,36 @@ def serial_update_validate(t, requests: DataFrame) -> DataFrame:
         S.blank_to_null("product_color").alias("product_color"),
         S.blank_to_null("note").alias("note"),
     )
-    holders = t.product_serials.where(F.col("serial_number").isNotNull()).groupBy(
-        F.col("serial_number").alias("_sn")
-    ).agg(F.count(F.lit(1)).alias("_holders"), F.min("serial_id").alias("_any_id"))
-    j = req.join(ps, "serial_id", "left").join(holders, F.col("serial_number") == F.col("_sn"), "left")
-    dup = F.col("serial_number").isNotNull() & (
-        (F.col("_holders") > 1) | ((F.col("_holders") == 1) & (F.col("_any_id") != F.col("serial_id")))
-    )
+    price_ok = ~F.coalesce(F.col("sell_price_override") < 0, F.lit(False))
     outcome = (
         F.when(F.col("_status").isNull(), F.lit("not_found"))
         .when(F.col("_status") != 0, F.lit("sold"))
-        .when(F.coalesce(dup, F.lit(False)), F.lit("duplicate_serial"))
-        .when(F.col("sell_price_override") < 0, F.lit("invalid_price"))
+        .when(~price_ok, F.lit("invalid_price"))
         .otherwise(F.lit("updated"))
     )
-    j = _first_holder(j.withColumn("outcome", outcome))
+    checked = req.join(ps, "serial_id", "left").withColumn("outcome", outcome).withColumn("effect", F.when(F.col("_status") == 0, price_ok))
+    j = _replay_numbers(t, materialize(checked, "serial-updates"))
     return j.select("request_id", "serial_id", "outcome", "serial_number", "sell_price_override", "product_color", "note")
 
 
-def _first_holder(j: DataFrame) -> DataFrame:
-    """``outcome`` of a batch that sets serial numbers: of the valid requests for
-    one number the first (by id) holds it, later ones for another serial are
-    duplicates. A minimum per number, joined back."""
-    first = (
-        j.where((F.col("outcome") == "updated") & F.col("serial_number").isNotNull()).groupBy("serial_number")
-        .agg(F.min(F.struct("request_id", "serial_id")).alias("_holder"))
-    )
-    j = j.join(first, "serial_number", "left")
-    late = (F.col("outcome") == "updated") & (F.col("_holder.request_id") < F.col("request_id")) & (F.col("_holder.serial_id") != F.col("serial_id"))
-    return j.withColumn("outcome", F.when(F.coalesce(late, F.lit(False)), F.lit("duplicate_serial")).otherwise(F.col("outcome"))).drop("_holder")
-
-
 def serial_set_number(t, requests: DataFrame) -> DataFrame:
     """T11 (blank-only variant): set the number of a serial.
 
-    Checks in the source's order: blank number, unknown serial, number held
-    by another serial, serial already sold; otherwise the trimmed number.
+    Checks in the source's order: blank number, unknown serial, number that
+    another serial has at the time, serial already sold; otherwise the trimmed
+    number. Requests (request_id unique) take effect in id order.
     """
     ps = t.product_serials.select("serial_id", F.col("status").alias("_status"))
-    holders = t.product_serials.where(F.col("serial_number").isNotNull()).groupBy(
-        F.col("serial_number").alias("_sn")
-    ).agg(F.count(F.lit(1)).alias("_holders"), F.min("serial_id").alias("_any_id"))
     req = requests.select("request_id", "serial_id", S.blank_to_null("serial_number").alias("serial_number"))
-    j = req.join(ps, "serial_id", "left").join(holders, F.col("serial_number") == F.col("_sn"), "left")
-    dup = (F.col("_holders") > 1) | ((F.col("_holders") == 1) & (F.col("_any_id") != F.col("serial_id")))
     outcome = (
         F.when(F.col("serial_number").isNull(), F.lit("missing_serial"))
         .when(F.col("_status").isNull(), F.lit("not_found"))
-        .when(F.coalesce(dup, F.lit(False)), F.lit("duplicate_serial"))
         .when(F.col("_status") != 0, F.lit("sold"))
         .otherwise(F.lit("updated"))
     )
-    return _first_holder(j.withColumn("outcome", outcome)).select("request_id", "serial_id", "outcome", "serial_number")
+    known = F.col("serial_number").isNotNull() & F.col("_status").isNotNull()
+    checked = req.join(ps, "serial_id", "left").withColumn("outcome", outcome).withColumn("effect", F.when(known, F.col("_status") == 0))
+    return _replay_numbers(t, materialize(checked, "serial-numbers")).select("request_id", "serial_id", "outcome", "serial_number")
 
 
 def serial_receive(t, requests: DataFrame, as_of) -> DataFrame:

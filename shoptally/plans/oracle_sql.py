@@ -1299,23 +1299,42 @@ SELECT j.request_id, j.sn AS serial_number, j.order_id,
 FROM j LEFT JOIN w ON w.sn = j.sn"""
 
 
-_SERIAL_FIRST = """first AS (SELECT sn, min((request_id, serial_id)) AS f FROM checked WHERE outcome = 'updated' AND sn IS NOT NULL GROUP BY sn)"""
-_SERIAL_LATE = "CASE WHEN c.outcome = 'updated' AND f.f[1] < c.request_id AND f.f[2] <> c.serial_id THEN 'duplicate_serial' ELSE c.outcome END AS outcome"
+def _serial_turns(effect: str, asked: str) -> str:
+    """CTEs from ``req`` (request_id, serial_id, sn, status): ``refused``, the
+    requests that find their number with another serial. Every pass answers all
+    requests from the stretches for which the last pass's accepted ones have
+    their numbers; passes are repeated until no answer changes. An answer depends
+    on earlier requests alone, so the answers that stay are those of calls one by one."""
+    return f"""asks AS (SELECT request_id AS t, serial_id AS h, sn AS v, {effect} AS effect FROM req WHERE {asked}),
+had AS (SELECT serial_id AS h, serial_number AS v FROM product_serials WHERE serial_number IS NOT NULL),
+contested AS (SELECT v, row_number() OVER (ORDER BY v) AS n FROM (
+  SELECT v FROM (SELECT h, v FROM asks UNION ALL SELECT h, v FROM had) WHERE v IS NOT NULL GROUP BY v HAVING min(h) <> max(h))),
+numbered AS (
+  SELECT t, h, n AS v, effect, TRUE AS ask FROM asks LEFT JOIN contested USING (v)
+  UNION ALL SELECT -1, h, n, TRUE, FALSE FROM had JOIN contested USING (v)),
+turn AS (
+  SELECT t, h, v, effect, ask, TRUE AS ok, TRUE AS again FROM numbered WHERE h IN (SELECT h FROM numbered WHERE v IS NOT NULL)
+  UNION ALL
+  SELECT t, h, v, effect, ask, good, bool_or(good <> ok) OVER () FROM (
+    SELECT *, NOT ask OR v IS NULL OR sum(d) OVER (PARTITION BY v ORDER BY t) = sum(d) OVER (PARTITION BY v, h ORDER BY t) AS good FROM (
+      SELECT v, h, unnest([t, until, t]) AS t, unnest([1, -1, 0]) AS d, unnest([FALSE, FALSE, TRUE]) AS q, effect, ask, ok FROM (
+        SELECT *, lead(t) OVER (PARTITION BY h, effect AND ok ORDER BY t) AS until FROM turn WHERE again) WHERE effect AND ok
+      UNION ALL SELECT v, h, t, 0, TRUE, effect, ask, ok FROM turn WHERE again AND NOT (effect AND ok))
+    WHERE t IS NOT NULL) WHERE q),
+refused AS (SELECT t AS request_id FROM turn WHERE NOT again AND NOT ok)"""
 
 
 @oracle("serial_update_validate")
 def _():
     return f"""
-WITH req AS (SELECT request_id, serial_id, nullif(trim(serial_number), '') AS sn, sell_price_override,
-               nullif(trim(product_color), '') AS pc, nullif(trim(note), '') AS nt FROM serial_update_requests),
-checked AS (SELECT r.*,
-  CASE WHEN ps.serial_id IS NULL THEN 'not_found' WHEN ps.status <> 0 THEN 'sold'
-       WHEN r.sn IS NOT NULL AND EXISTS (SELECT 1 FROM product_serials x WHERE x.serial_number = r.sn AND x.serial_id <> r.serial_id) THEN 'duplicate_serial'
-       WHEN r.sell_price_override < 0 THEN 'invalid_price' ELSE 'updated' END AS outcome
-  FROM req r LEFT JOIN product_serials ps ON ps.serial_id = r.serial_id),
-{_SERIAL_FIRST}
-SELECT c.request_id, c.serial_id, {_SERIAL_LATE}, c.sn AS serial_number, c.sell_price_override, c.pc AS product_color, c.nt AS note
-FROM checked c LEFT JOIN first f ON f.sn = c.sn"""
+WITH RECURSIVE req AS (SELECT r.request_id, r.serial_id, nullif(trim(r.serial_number), '') AS sn, r.sell_price_override,
+               nullif(trim(r.product_color), '') AS pc, nullif(trim(r.note), '') AS nt, ps.status
+  FROM serial_update_requests r LEFT JOIN product_serials ps ON ps.serial_id = r.serial_id),
+{_serial_turns("coalesce(sell_price_override, 0) >= 0", "status = 0")}
+SELECT request_id, serial_id,
+  CASE WHEN status IS NULL THEN 'not_found' WHEN status <> 0 THEN 'sold' WHEN request_id IN (SELECT request_id FROM refused) THEN 'duplicate_serial'
+       WHEN sell_price_override < 0 THEN 'invalid_price' ELSE 'updated' END AS outcome,
+  sn AS serial_number, sell_price_override, pc AS product_color, nt AS note FROM req"""
 
 
 @oracle("serial_receive")
@@ -1456,14 +1475,13 @@ FROM sales_orders WHERE order_date BETWEEN {ts(P.from_dt)} AND {ts(P.to_dt)}"""
 @oracle("serial_set_number")
 def _():
     return f"""
-WITH req AS (SELECT request_id, serial_id, nullif(trim(serial_number), '') AS sn FROM serial_update_requests),
-checked AS (SELECT r.*,
-  CASE WHEN r.sn IS NULL THEN 'missing_serial' WHEN ps.serial_id IS NULL THEN 'not_found'
-       WHEN EXISTS (SELECT 1 FROM product_serials x WHERE x.serial_number = r.sn AND x.serial_id <> r.serial_id) THEN 'duplicate_serial'
-       WHEN ps.status <> 0 THEN 'sold' ELSE 'updated' END AS outcome
-  FROM req r LEFT JOIN product_serials ps ON ps.serial_id = r.serial_id),
-{_SERIAL_FIRST}
-SELECT c.request_id, c.serial_id, {_SERIAL_LATE}, c.sn AS serial_number FROM checked c LEFT JOIN first f ON f.sn = c.sn"""
+WITH RECURSIVE req AS (SELECT r.request_id, r.serial_id, nullif(trim(r.serial_number), '') AS sn, ps.status
+  FROM serial_update_requests r LEFT JOIN product_serials ps ON ps.serial_id = r.serial_id),
+{_serial_turns("status = 0", "sn IS NOT NULL AND status IS NOT NULL")}
+SELECT request_id, serial_id,
+  CASE WHEN sn IS NULL THEN 'missing_serial' WHEN status IS NULL THEN 'not_found'
+       WHEN request_id IN (SELECT request_id FROM refused) THEN 'duplicate_serial' WHEN status <> 0 THEN 'sold' ELSE 'updated' END AS outcome,
+  sn AS serial_number FROM req"""
 
 
 _LATER = """later AS (SELECT order_id FROM hits WHERE duplicate_of_date < order_date OR (duplicate_of_date = order_date AND duplicate_of < order_id))"""
