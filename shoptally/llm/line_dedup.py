@@ -2,8 +2,10 @@
 
 A line goes if an earlier line (by document id, then line number) is equal to
 it or within one edit. Lines are compared without the white space around them.
-Every line with a word takes part, those under ``NEAR_CHARS`` code points only if
-equal; a caller may leave short lines out (``min_chars``).
+Every line with a word takes part. One edit is allowed where it changes a fifth
+of a line at most, the similarity of 0.8 that near duplicates take: shorter
+lines (under ``near_chars`` code points, 5) go only if equal. A caller may leave
+short lines out altogether (``min_chars``).
 
 Equal lines: the first of each by a grouped minimum over 128-bit hashes.
 
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from shoptally.llm.common import has_word, materialize, pack, strip, unpack
 
 MIN_CHARS = 1
-NEAR_CHARS = 20
+NEAR_CHARS = 5
 PARTS = 8
 TABLE_WORDS = 1 << 15
 
@@ -135,16 +137,17 @@ def _near(cands: DataFrame) -> DataFrame:
 
 
 def dedup_lines(df: DataFrame, id_col: Column, text: Column, max_edits: int = 1, keep: list[str] | None = None,
-                min_chars: int = MIN_CHARS) -> DataFrame:
+                min_chars: int = MIN_CHARS, near_chars: int = NEAR_CHARS) -> DataFrame:
     """The rows (all input columns, or those in ``keep``) with ``n_lines``
     (lines with a word), ``n_equal`` and ``n_near`` (lines dropped as equal to,
     or within an edit of, an earlier one) and ``kept_text``. ``max_edits`` is 0
-    or 1; lines under ``min_chars`` (at least 1) code points take no part."""
+    or 1; lines under ``min_chars`` (at least 1) code points take no part, those
+    under ``near_chars`` are dropped only if equal."""
     if max_edits not in (0, 1):
         raise ValueError("max_edits is 0 or 1")
     if min_chars < 1:
         raise ValueError("min_chars must be at least 1")
-    near_chars = max(NEAR_CHARS, min_chars)
+    near_chars = max(near_chars, min_chars)
     text = F.coalesce(text, F.lit(""))
     # a text's place: ids may repeat or be NULL
     rows = pack(df, keep, _id=F.struct(id_col.alias("id"), F.xxhash64(text).alias("text")), _text=text)

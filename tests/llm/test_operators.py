@@ -89,6 +89,17 @@ def test_line_dedup_near(spark):
     assert exact.agg(F.sum("n_near")).first()[0] == 0
 
 
+def test_line_dedup_near_short(spark):
+    """One edit in a line of five code points or more, against brute force."""
+    rng = random.Random(11)
+    rows = [(i, "\n".join("".join(rng.choice("abc 日") for _ in range(rng.choice([3, 4, 5, 5, 6, 7, 9, 12]))) for _ in range(6)), "s") for i in range(90)]
+    found = {r.doc_id: r for r in line_dedup.dedup_lines(docs(spark, rows), C("doc_id"), C("text"), keep=["doc_id"]).collect()}
+    assert {i: r.kept_text for i, r in found.items()} == _dedup_by_force([(i, t) for i, t, _ in rows])
+    assert sum(r.n_near for r in found.values()) > 20
+    longer = line_dedup.dedup_lines(docs(spark, [(1, "The anhely eran.", "s"), (2, "The, anhely eran.", "s")]), C("doc_id"), C("text"), near_chars=20)
+    assert longer.agg(F.sum("n_near")).first()[0] == 0
+
+
 def test_line_dedup_edges(spark):
     out = line_dedup.dedup_lines(docs(spark, EDGE), C("doc_id"), C("text"))
     assert out.count() == len(EDGE) and {"_row", "h1", "k"} <= set(out.columns)
