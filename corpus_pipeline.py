@@ -24,6 +24,8 @@ C = F.col
 #: Near copies of the stage; op10's contract (4 words, 85 %) binds its query alone.
 NEAR_WORDS = 5
 NEAR_PERCENT = 80
+#: Shorter lines go only if equal: short sentences that differ in a letter are clean text.
+NEAR_LINE_CHARS = 20
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +36,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that repeat an earlier one (within one edit) go; so do documents
     of which no word is left."""
-    found = dedup_lines(docs, C("doc_id"), C("text"))
+    found = dedup_lines(docs, C("doc_id"), C("text"), near_chars=NEAR_LINE_CHARS)
     changed = C("n_equal") + C("n_near") > 0
     found = found.where(~changed | has_word(C("kept_text")))
     return found.withColumns({"text": F.when(changed, C("kept_text")).otherwise(C("text")),
