@@ -43,7 +43,7 @@ EDGE = [(None, "a text without an id that has more than ten words in it, really"
 
 # 1 line dedup
 
-def _dedup_by_force(rows):
+def _dedup_by_force(rows, near_chars=line_dedup.NEAR_CHARS):
     ws = " \t\n\x0b\x0c\r"
     order = sorted(((i, no, l.strip(ws)) for i, t in set(rows) for no, l in enumerate((t or "").split("\n"))),
                    key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
@@ -61,7 +61,7 @@ def _dedup_by_force(rows):
         k = next((k for k in range(len(a)) if a[k] != b[k]), len(a))
         return a[k + (len(a) == len(b)):] == b[k + 1:]
 
-    long = [l for l in place if len(l) >= line_dedup.NEAR_CHARS]
+    long = [l for l in place if len(l) >= near_chars]
     near = {a for a in long for b in long if rank[b] < rank[a] and one_edit(a, b)}
     gone = defaultdict(set)
     for i, no, l in order:

@@ -23,7 +23,7 @@ def test_stages(spark):
             want = {r.doc_id for r in QUERIES["op8_quality_rules"](spark, SF_SMALL).where("kept").collect()}
             assert set(after) == want and all(after[i].text == text[i] for i in after)
         elif name == "line_dedup":
-            kept = _dedup_by_force(list(text.items()))
+            kept = _dedup_by_force(list(text.items()), P.NEAR_LINE_CHARS)
             assert {i: r.text for i, r in after.items()} == {i: t for i, t in kept.items() if t.split() or t == text[i]}
             assert all(r.n_chars == len(r.text) for r in after.values())
         elif name == "ngram_join":
