@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # ---- fixed values that must equal the source system's ---------------------
@@ -188,3 +188,45 @@ def in_half_open(c, start, end_exclusive) -> Column:
 
 def in_closed(c, start, end) -> Column:
     return (col(c) >= ts(start)) & (col(c) <= ts(end))
+
+
+def month_column(date_column: str) -> str:
+    """The month folder ('yyyy-MM') of a date column: ``order_date`` -> ``order_month``."""
+    return date_column.removesuffix("_date") + "_month"
+
+
+def in_months(df: DataFrame, date_column: str, start=None, end=None, end_exclusive=None) -> DataFrame:
+    """The rows of the months that a period touches; all rows where ``df`` has no month folders.
+
+    For frames that carry their document's month but not its date (lines):
+    the join with the documents of the period decides, this only skips folders.
+    """
+    month = month_column(date_column)
+    if month not in df.columns:
+        return df
+    if start is not None:
+        df = df.where(F.col(month) >= f"{parse_dt(start):%Y-%m}")
+    if end is None and end_exclusive is not None:
+        end = parse_dt(end_exclusive) - _dt.timedelta(microseconds=1)
+    return df if end is None else df.where(F.col(month) <= f"{parse_dt(end):%Y-%m}")
+
+
+def during(df: DataFrame, date_column: str, start=None, end=None, end_exclusive=None) -> DataFrame:
+    """The rows dated in a period, both bounds optional; rows without a date only where neither is given.
+
+    The condition on the date becomes one on the month wherever ``df`` has
+    its folders, so that whole folders are skipped.
+    """
+    df = in_months(df, date_column, start, end, end_exclusive)
+    if start is not None:
+        df = df.where(F.col(date_column) >= ts(parse_dt(start)))
+    if end is not None:
+        df = df.where(F.col(date_column) <= ts(parse_dt(end)))
+    if end_exclusive is not None:
+        df = df.where(F.col(date_column) < ts(parse_dt(end_exclusive)))
+    return df
+
+
+def within(df: DataFrame, date_column: str, start, end) -> DataFrame:
+    """The rows dated in the closed period; a missing bound selects none, as a comparison with NULL does."""
+    return df.where(F.lit(False)) if start is None or end is None else during(df, date_column, start, end)

@@ -13,6 +13,8 @@ threshold and falls back to a shuffle join otherwise.
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,21 +124,19 @@ def products_search_for_import(t, keyword: str, category_id: int = 0) -> DataFra
 # ---------------------------------------------------------------- imports
 
 
-def _import_people(t) -> DataFrame:
+def _import_people(t, imports: DataFrame) -> DataFrame:
     s = t.suppliers.select("supplier_id", "supplier_name", F.col("phone").alias("supplier_phone"),
                            F.col("address").alias("supplier_address"))
     e = t.employees.select("employee_id", F.col("name").alias("employee_name"))
-    return t.imports.join(s, "supplier_id", "left").join(e, "employee_id", "left")
+    return imports.join(s, "supplier_id", "left").join(e, "employee_id", "left")
 
 
 def imports_list(t, from_dt, to_dt, keyword, status=None) -> DataFrame:
     """Imports in the closed period, keyword over code/supplier/employee/note, status filter."""
-    cond = S.in_closed("import_date", S.parse_dt(from_dt), S.parse_dt(to_dt))
-    if status not in (None, "", "All"):
-        cond = cond & (F.col("status") == F.lit(status))
+    cond = F.lit(True) if status in (None, "", "All") else F.col("status") == F.lit(status)
     kw = S.keyword_match(keyword, "import_code", "supplier_name", "employee_name", "note", trim=False)
     return (
-        _import_people(t).where(cond & kw)
+        _import_people(t, S.within(t.imports, "import_date", from_dt, to_dt)).where(cond & kw)
         .select(
             "import_id", "import_code", "supplier_id", "employee_id", "supplier_name", "import_date",
             "employee_name", "total_amount", "discount", "vat_amount", "final_amount", "paid_amount",
@@ -148,7 +148,7 @@ def imports_list(t, from_dt, to_dt, keyword, status=None) -> DataFrame:
 
 def import_by_id(t, import_id=None) -> DataFrame:
     """Import header with supplier, employee and default payment method."""
-    return _import_people(t).where(_eq("import_id", import_id)).select(
+    return _import_people(t, t.imports).where(_eq("import_id", import_id)).select(
         "import_id", "import_code", "supplier_id", "employee_id", "import_date", "total_amount", "vat_amount",
         "discount", "final_amount", "paid_amount",
         _s("payment_method", S.DEFAULT_PAYMENT_METHOD).alias("payment_method"), "note", "status",
@@ -164,7 +164,7 @@ def imports_by_supplier(t, supplier_id=None) -> DataFrame:
         .agg(F.sum("total_amount").alias("ret"))
     )
     return (
-        _import_people(t).where(_eq("supplier_id", supplier_id))
+        _import_people(t, t.imports).where(_eq("supplier_id", supplier_id))
         .join(returned, "import_id", "left")
         .select(
             "import_id", "import_code", "supplier_id", "employee_id", "import_date", "total_amount", "vat_amount",
@@ -216,7 +216,7 @@ def _employees(t):
 
 def customer_payment_history(t, from_dt, to_dt) -> DataFrame:
     """Customer payments in [from, to] with customer (inner) and employee, newest first."""
-    p = t.customer_payments.where(S.in_closed("payment_date", S.parse_dt(from_dt), S.parse_dt(to_dt)))
+    p = S.within(t.customer_payments, "payment_date", from_dt, to_dt)
     c = t.customers.select("customer_id", F.col("name").alias("customer_name"))
     return (
         p.join(c, "customer_id")
@@ -229,10 +229,10 @@ def customer_payment_history(t, from_dt, to_dt) -> DataFrame:
     )
 
 
-def _supplier_payments(t, cond) -> DataFrame:
+def _supplier_payments(t, payments: DataFrame) -> DataFrame:
     s = t.suppliers.select("supplier_id", "supplier_name")
     return (
-        t.supplier_payments.where(cond)
+        payments
         .join(s, "supplier_id", "left")
         .join(_employees(t), "employee_id", "left")
         .select(
@@ -246,12 +246,12 @@ def _supplier_payments(t, cond) -> DataFrame:
 
 def supplier_payment_history(t, from_dt, to_dt) -> DataFrame:
     """Supplier payments in the closed period, newest first."""
-    return _supplier_payments(t, S.in_closed("payment_date", S.parse_dt(from_dt), S.parse_dt(to_dt)))
+    return _supplier_payments(t, S.within(t.supplier_payments, "payment_date", from_dt, to_dt))
 
 
 def supplier_payment_list(t, supplier_id=None) -> DataFrame:
     """Payments of one supplier (all when None)."""
-    return _supplier_payments(t, _eq("supplier_id", supplier_id))
+    return _supplier_payments(t, t.supplier_payments.where(_eq("supplier_id", supplier_id)))
 
 
 # ---------------------------------------------------------------- supplier returns
@@ -278,7 +278,7 @@ def _variants(t):
 
 def purchase_return_history(t, from_dt, to_dt, keyword: str = "") -> DataFrame:
     """Supplier returns in the closed period with settlement and status texts."""
-    pr = t.purchase_returns.where(S.in_closed("return_date", S.parse_dt(from_dt), S.parse_dt(to_dt)))
+    pr = S.within(t.purchase_returns, "return_date", from_dt, to_dt)
     i = t.imports.select("import_id", "import_code")
     s = t.suppliers.select("supplier_id", "supplier_name")
     e = _employees(t)
@@ -334,10 +334,7 @@ def returned_qty_per_import_line(t) -> DataFrame:
 
 def imports_returnable(t, from_dt, to_dt, keyword: str = "") -> DataFrame:
     """Completed/Paid imports in the period with at least one line not fully returned."""
-    i = t.imports.where(
-        S.in_closed("import_date", S.parse_dt(from_dt), S.parse_dt(to_dt))
-        & S.status_in("status", S.PAID_OR_COMPLETED)
-    )
+    i = S.within(t.imports, "import_date", from_dt, to_dt).where(S.status_in("status", S.PAID_OR_COMPLETED))
     s = t.suppliers.select("supplier_id", "supplier_name")
     open_lines = (  # distinct import ids: the semi join's right side has no hot key
         t.import_details.join(returned_qty_per_import_line(t), "import_detail_id", "left")
@@ -416,20 +413,14 @@ def cashbook_categories(t, entry_type=None) -> DataFrame:
     )
 
 
-def _cashbook_period(from_dt, to_dt):
-    import datetime as _dt
-
-    cond = F.col("is_deleted") == 0
-    if from_dt is not None:
-        cond = cond & (F.col("entry_date") >= S.ts(S.parse_dt(from_dt)))
-    if to_dt is not None:
-        cond = cond & (F.col("entry_date") < S.ts(S.parse_dt(to_dt) + _dt.timedelta(days=1)))
-    return cond
+def _live_entries(t, from_dt, to_dt) -> DataFrame:
+    end = None if to_dt is None else S.parse_dt(to_dt) + _dt.timedelta(days=1)
+    return S.during(t.cashbook_entries, "entry_date", from_dt, end_exclusive=end).where(F.col("is_deleted") == 0)
 
 
 def cashbook_search(t, from_dt=None, to_dt=None, entry_type=None, keyword=None) -> DataFrame:
     """Live entries, optional period / type / keyword over six columns, newest first."""
-    cond = _cashbook_period(from_dt, to_dt)
+    cond = F.lit(True)
     ty = _norm_type(entry_type)
     if ty is not None:
         cond = cond & (F.col("entry_type") == F.lit(ty))
@@ -439,7 +430,7 @@ def cashbook_search(t, from_dt=None, to_dt=None, entry_type=None, keyword=None)
             kw, "entry_code", "category_name", "payment_method", "reference_code", "description", "created_by"
         )
     return (
-        t.cashbook_entries.where(cond)
+        _live_entries(t, from_dt, to_dt).where(cond)
         .select(
             "entry_id", "entry_code", "entry_date", "entry_type", "category_id", "category_name", "amount",
             "payment_method", "description", "reference_code", "created_by", "created_at", "updated_at",
@@ -450,7 +441,7 @@ def cashbook_search(t, from_dt=None, to_dt=None, entry_type=None, keyword=None)
 
 def cashbook_summary(t, from_dt=None, to_dt=None) -> DataFrame:
     """Total in, total out, balance and entry count of live entries."""
-    e = t.cashbook_entries.where(_cashbook_period(from_dt, to_dt))
+    e = _live_entries(t, from_dt, to_dt)
     is_in = F.col("entry_type") == S.CASH_IN
     zero = F.lit(0)
     return e.agg(

@@ -33,15 +33,15 @@ def movement_ledger(t, since=None) -> DataFrame:
     ``since`` (optional) keeps only movements on or after that instant.
     """
 
-    def date_ok(c):
-        cond = F.col(c).isNotNull()
-        if since is not None:
-            cond = cond & (F.col(c) >= S.ts(since))
-        return cond
+    def dated(df, c):
+        return S.during(df, c, since).where(F.col(c).isNotNull())
 
-    imports = t.imports.where(S.not_cancelled_broad("status") & date_ok("import_date")).select("import_id", "import_date")
+    def lines_of(df, c):
+        return S.in_months(df, c, since).where(F.col("product_id").isNotNull())
+
+    imports = dated(t.imports, "import_date").where(S.not_cancelled_broad("status")).select("import_id", "import_date")
     purchase_in = (
-        t.import_details.where(F.col("product_id").isNotNull())
+        lines_of(t.import_details, "import_date")
         .join(imports, "import_id")
         .select(
             "product_id",
@@ -54,11 +54,11 @@ def movement_ledger(t, since=None) -> DataFrame:
         )
     )
 
-    returns = t.purchase_returns.where(S.not_cancelled_broad("status") & date_ok("return_date")).select(
+    returns = dated(t.purchase_returns, "return_date").where(S.not_cancelled_broad("status")).select(
         "return_id", "return_date"
     )
     supplier_return_out = (
-        t.purchase_return_details.where(F.col("product_id").isNotNull())
+        lines_of(t.purchase_return_details, "return_date")
         .join(returns, "return_id")
         .select(
             "product_id",
@@ -71,11 +71,11 @@ def movement_ledger(t, since=None) -> DataFrame:
         )
     )
 
-    orders = t.sales_orders.where(S.status_in("status", S.PAID_OR_COMPLETED) & date_ok("order_date")).select(
+    orders = dated(t.sales_orders, "order_date").where(S.status_in("status", S.PAID_OR_COMPLETED)).select(
         "order_id", "order_date", "order_type"
     )
     # one pass over the sales lines yields both SALES_OUT and RETURN_IN rows
-    lines = t.order_items.where(F.col("product_id").isNotNull()).join(orders, "order_id")
+    lines = lines_of(t.order_items, "order_date").join(orders, "order_id")
     kind = (
         F.when(S.is_return("order_type"), F.lit("RETURN_IN"))
         .when(F.coalesce(F.col("quantity"), F.lit(0)) > 0, F.lit("SALES_OUT"))
@@ -94,8 +94,8 @@ def movement_ledger(t, since=None) -> DataFrame:
         )
     )
 
-    checks = t.inventory_checks.where(date_ok("check_date")).select("check_id", "check_date")
-    counted = t.inventory_check_details.where(F.col("product_id").isNotNull() & (F.coalesce(F.col("difference"), F.lit(0)) != 0))
+    checks = dated(t.inventory_checks, "check_date").select("check_id", "check_date")
+    counted = lines_of(t.inventory_check_details, "check_date").where(F.coalesce(F.col("difference"), F.lit(0)) != 0)
     stocktake = counted.join(checks, "check_id").select(
         "product_id",
         F.col("check_date").alias("movement_date"),

@@ -417,11 +417,14 @@ HEADER_KEYS = (
 
 
 def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: DataFrame,
-                          window_seconds: int = 30, bucket_seconds: int = 600, wallet_orders: DataFrame | None = None) -> DataFrame:
+                          window_seconds: int = 30, bucket_seconds: int = 600, *, wallet_orders: DataFrame | None) -> DataFrame:
     """Q17: for each SALE order without serials or wallet rows, the earliest other order that
     has the same header (NULL-safe), the same multiset of lines and a time
     within ``window_seconds`` (whole-second difference).
 
+    ``wallet_orders`` has no default: leaving wallet rows out finds more sales
+    to reverse. None says that the shop has no wallet.
+
     Headers come first: only orders that another one with an equal header (by
     hash) is near in time have their lines read and counted. Those are grouped
     by (header, line fingerprint, 10-minute bucket), and the lines of each
@@ -458,7 +461,7 @@ def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: Da
     counts = _line_counts(lines.join(close, "order_id", "left_semi"))
     sig = sale_signatures(heads.join(close, "order_id", "left_semi"), counts)
     tied = serial_orders.select("order_id")
-    if wallet_orders is not None:  # optional in the source as well
+    if wallet_orders is not None:
         tied = tied.unionByName(wallet_orders.select("order_id"))
     sig = sig.join(tied.distinct().withColumn("_tied", F.lit(True)), "order_id", "left")
     rows = in_buckets(sig)
@@ -483,16 +486,13 @@ def duplicate_sale_detect(orders: DataFrame, lines: DataFrame, serial_orders: Da
     return _same_lines(pairs, counts).select("order_id", "order_date", "duplicate_of", "duplicate_of_date")
 
 
+SALE_COLUMNS = ("order_id", "order_date", "order_code", "points_used", "points_earned", *(c for c, _ in HEADER_KEYS))
+SALE_LINE_COLUMNS = ("order_id", "product_id", "product_variant_id", "quantity", "unit_price", "gift_quantity", "serial_number")
+
+
 def duplicate_sale_inputs(t):
-    """Orders and lines of the duplicate-sale fixture (lines come from ``source_id``)."""
-    orders = t.duplicate_sale_candidates
-    lines = orders.select("order_id", "source_id").join(
-        t.order_items.select(F.col("order_id").alias("source_id"), "product_id", "product_variant_id", "quantity",
-                             "unit_price", "gift_quantity"),
-        "source_id",
-    ).drop("source_id")
-    lines = lines.withColumn("serial_number", F.lit(None).cast("string"))
-    return orders, lines
+    """Orders and lines of a shop, with the columns that the search and the reversal read."""
+    return t.sales_orders.select(*SALE_COLUMNS), t.order_items.select(*SALE_LINE_COLUMNS)
 
 
 def duplicate_sale_detect_shop(t) -> DataFrame:
@@ -502,7 +502,7 @@ def duplicate_sale_detect_shop(t) -> DataFrame:
 
 
 def duplicate_sales_to_reverse(t):
-    """Orders of the duplicate-sale input that Q18 reverses, with the inputs.
+    """Orders that Q18 reverses, with the inputs.
 
     Of a detected pair the earlier order survives; the later copy is
     reversed.
@@ -724,7 +724,10 @@ def _row_rules() -> dict[str, list[tuple[str, Column, list[str]]]]:
         # a CHECK lets NULL pass; the column is nullable
         "store_info": [("price_method_1_2", ~col("import_price_method").isin(1, 2), ["store_name"])],
         "sales_orders": [("order_code_not_null", col("order_code").isNull(), ["order_id"])],
-        "imports": [("import_code_not_null", col("import_code").isNull(), ["import_id"])],
+        "imports": [
+            ("import_code_not_null", col("import_code").isNull(), ["import_id"]),
+            ("credit_not_negative", col("supplier_credit_applied") < 0, ["import_id"]),  # a CHECK lets NULL pass
+        ],
     }
 
 
@@ -738,6 +741,7 @@ def _unique_rules() -> dict[str, list[tuple[str, Column | None, list[str]]]]:
         "supplier_debt_discount_allocations": [("allocation_unique", None, ["adjustment_id", "import_id"])],
         "product_variants": [("sku_unique", None, ["sku_code"])],
         "product_serials": [("serial_unique", there("serial_number"), ["serial_number"])],
+        "employee_payrolls": [("month_employee_unique", None, ["payroll_month", "employee_id"])],
         "products": [("barcode_unique", there("barcode") & (F.trim("barcode") != ""), ["barcode"])],
     }
 

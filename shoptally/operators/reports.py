@@ -15,6 +15,7 @@ Scale notes
 
 from __future__ import annotations
 
+import datetime as _dt
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -71,10 +72,10 @@ def _sales_measures(t, start, end) -> DataFrame:
 
 
 def _purchase_measures(t, start, end) -> tuple[DataFrame, DataFrame]:
-    imp = t.imports.where(S.in_closed("import_date", start, end) & S.not_cancelled_broad("status")).agg(
+    imp = S.within(t.imports, "import_date", start, end).where(S.not_cancelled_broad("status")).agg(
         F.coalesce(F.sum(_z("final_amount")), F.lit(0)).cast(S.MONEY).alias("total_purchase")
     )
-    ret = t.purchase_returns.where(S.in_closed("return_date", start, end) & S.not_cancelled_broad("status")).agg(
+    ret = S.within(t.purchase_returns, "return_date", start, end).where(S.not_cancelled_broad("status")).agg(
         F.coalesce(F.sum(_z("total_amount")), F.lit(0)).cast(S.MONEY).alias("purchase_return_amount")
     )
     return imp, ret
@@ -83,10 +84,8 @@ def _purchase_measures(t, start, end) -> tuple[DataFrame, DataFrame]:
 def cost_of_goods_sold(t, from_dt, to_dt) -> DataFrame:
     """R1.8: signed Σ unit cost x |base qty| over effective orders, clamped at 0."""
     start, end = S.parse_dt(from_dt), S.parse_dt(to_dt)
-    orders = t.sales_orders.where(
-        S.in_closed("order_date", start, end) & S.status_in("status", S.EFFECTIVE_SALE_STATUSES)
-    ).select("order_id", "order_type")
-    lines = t.order_items.where(F.col("product_id").isNotNull()).join(orders, "order_id")
+    orders = S.within(t.sales_orders, "order_date", start, end).where(S.status_in("status", S.EFFECTIVE_SALE_STATUSES)).select("order_id", "order_type")
+    lines = S.in_months(t.order_items, "order_date", start, end).where(F.col("product_id").isNotNull()).join(orders, "order_id")
     lines = line_cost(t, lines)
     amount = F.col("unit_cost") * F.abs(S.base_qty("base_quantity", "quantity"))
     signed = F.when(S.is_return("order_type"), -amount).otherwise(amount)
@@ -100,7 +99,7 @@ def cashbook_profit_split(t, from_dt, to_dt) -> DataFrame:
     An entry whose category is unknown counts as profit-affecting.
     """
     start, end_excl = S.day_start(from_dt), S.day_after(to_dt)
-    e = t.cashbook_entries.where((F.col("is_deleted") == 0) & S.in_half_open("entry_date", start, end_excl))
+    e = S.during(t.cashbook_entries, "entry_date", start, end_exclusive=end_excl).where(F.col("is_deleted") == 0)
     cats = t.cashbook_categories.select("category_id", "affects_profit")
     j = e.join(cats, "category_id", "left")
     is_in = F.col("entry_type") == S.CASH_IN
@@ -157,12 +156,12 @@ def supplier_statistics(t, from_dt, to_dt, top: int = 50) -> DataFrame:
     """Imports and returns in the closed period plus current debt; top 50 by imports."""
     start, end = S.parse_dt(from_dt), S.parse_dt(to_dt)
     imp = (
-        t.imports.where(S.in_closed("import_date", start, end) & S.not_cancelled_broad("status"))
+        S.within(t.imports, "import_date", start, end).where(S.not_cancelled_broad("status"))
         .groupBy("supplier_id")
         .agg(F.sum("final_amount").alias("imp"))
     )
     ret = (
-        t.purchase_returns.where(S.in_closed("return_date", start, end) & S.not_cancelled_broad("status"))
+        S.within(t.purchase_returns, "return_date", start, end).where(S.not_cancelled_broad("status"))
         .groupBy("supplier_id")
         .agg(F.sum(_z("total_amount")).alias("ret"))
     )
@@ -193,9 +192,9 @@ def top_selling_products(t, from_dt, to_dt, top: int = 50) -> DataFrame:
     Returns (negative lines) are not filtered out, so they net against sales.
     """
     start, end = S.parse_dt(from_dt), S.parse_dt(to_dt)
-    o = t.sales_orders.where(S.in_closed("order_date", start, end) & F.col("status").isin(*S.PAID_OR_COMPLETED))
+    o = S.within(t.sales_orders, "order_date", start, end).where(F.col("status").isin(*S.PAID_OR_COMPLETED))
     per_product = (
-        t.order_items.join(o.select("order_id"), "order_id")
+        S.in_months(t.order_items, "order_date", start, end).join(o.select("order_id"), "order_id")
         .groupBy("product_id")
         .agg(
             F.sum("quantity").alias("q"),
@@ -225,14 +224,14 @@ def order_cost(t) -> DataFrame:
     )
 
 
-def _customer_measures(t, order_filter) -> DataFrame:
-    """Per customer: order count, net revenue, net cost, first/last order date.
+def _customer_measures(t, live, **period) -> DataFrame:
+    """Per customer: order count, net revenue, net cost, first/last order date over the ``live`` orders of a period.
 
     Revenue is per order (sign by type); cost is summed per line with the
     order's sign, which equals the per-order cost sub-query summed over
     orders. Aggregation is by customer_id only; attributes come later.
     """
-    o = t.sales_orders.where(order_filter).select(
+    o = S.during(t.sales_orders, "order_date", **period).where(live).select(
         "order_id", "customer_id", "order_date", "order_type", "final_amount", "total_amount"
     )
     ret = S.is_return("order_type")
@@ -243,7 +242,7 @@ def _customer_measures(t, order_filter) -> DataFrame:
         F.min("order_date").alias("first_order_date"),
         F.max("order_date").alias("last_order_date"),
     )
-    lines = line_cost(t, t.order_items.join(o.select("order_id", "customer_id", "order_type"), "order_id"))
+    lines = line_cost(t, S.in_months(t.order_items, "order_date", **period).join(o.select("order_id", "customer_id", "order_type"), "order_id"))
     c = F.col("unit_cost") * F.abs(S.base_qty("base_quantity", "quantity"))
     cost = lines.groupBy("customer_id").agg(F.sum(F.when(ret, -c).otherwise(c)).alias("cost"))
     return rev.join(cost, "customer_id", "left")
@@ -262,20 +261,28 @@ def _profit_columns():
     ]
 
 
+def _with_balance(t, ranked: DataFrame, owed) -> DataFrame:
+    """``ranked`` with ``_balance``: Σ(final - paid) over the orders that are ``owed``, less payments.
+
+    The chosen customers (at most the report's N) filter orders and payments
+    before anything is aggregated, and their subtree is read once. Its limit
+    gives the join its size: small ones are broadcast, others shuffled. Orders
+    not owed count 0, which keeps a chosen customer without debts.
+    """
+    amounts = t.sales_orders.select(
+        "customer_id", F.when(owed, _z("final_amount") - _z("paid_amount")).otherwise(F.lit(0)).alias("_amount")
+    ).unionByName(t.customer_payments.select("customer_id", (-_z("amount")).alias("_amount")))
+    return amounts.join(ranked, "customer_id").groupBy(*ranked.columns).agg(F.sum("_amount").alias("_balance"))
+
+
 def customer_top(t, top: int = 20, from_dt=None, to_dt=None) -> DataFrame:
     """Top customers by net revenue over live orders; unclamped debt (D3).
 
     Either date may be None (no bound); the end bound is ``to + 1 day``
     without truncation.
     """
-    cond = S.not_cancelled_broad("status")
-    if from_dt is not None:
-        cond = cond & (F.col("order_date") >= S.ts(S.parse_dt(from_dt)))
-    if to_dt is not None:
-        import datetime as _dt
-
-        cond = cond & (F.col("order_date") < S.ts(S.parse_dt(to_dt) + _dt.timedelta(days=1)))
-    m = _customer_measures(t, cond)
+    end = None if to_dt is None else S.parse_dt(to_dt) + _dt.timedelta(days=1)
+    m = _customer_measures(t, S.not_cancelled_broad("status"), start=from_dt, end_exclusive=end)
     c = t.customers.select("customer_id", "name", "phone", "email", "address", "points", "created_at")
     ranked = (
         m.join(c, "customer_id")
@@ -288,23 +295,17 @@ def customer_top(t, top: int = 20, from_dt=None, to_dt=None) -> DataFrame:
         .orderBy(F.col("total_revenue").desc(), "customer_id")
         .limit(top)
     )
-    # debt pre-aggregates for every customer joined to the N chosen ones: the
-    # ranked subtree is referenced once (referencing it twice recomputes it)
-    od = debts.order_balance(t, S.not_cancelled_broad("status") & S.is_sale("order_type"))
-    debt = (_z("order_debt") - _z("paid_total")).cast(S.SUM_MONEY).alias("current_debt")
+    owed = S.not_cancelled_broad("status") & S.is_sale("order_type")
     return (
-        ranked.join(od, "customer_id", "left")
-        .join(debts.customer_payments_total(t), "customer_id", "left")
-        .select(*ranked.columns, debt)
+        _with_balance(t, ranked, owed)
+        .select(*ranked.columns, F.col("_balance").cast(S.SUM_MONEY).alias("current_debt"))
         .orderBy(F.col("total_revenue").desc(), "customer_id")
     )
 
 
 def customer_profit(t, from_dt, to_dt, top: int = 20) -> DataFrame:
     """Customer profit over effective orders in the closed period; top N, then clamped debt."""
-    start, end = S.parse_dt(from_dt), S.parse_dt(to_dt)
-    cond = S.in_closed("order_date", start, end) & S.status_in("status", S.EFFECTIVE_SALE_STATUSES)
-    m = _customer_measures(t, cond)
+    m = _customer_measures(t, S.status_in("status", S.EFFECTIVE_SALE_STATUSES) & F.lit(None not in (from_dt, to_dt)), start=from_dt, end=to_dt)
     c = t.customers.select(
         "customer_id",
         F.coalesce(S.blank_to_null("customer_code"), S.code6("KH", "customer_id")).alias("customer_code"),
@@ -322,12 +323,9 @@ def customer_profit(t, from_dt, to_dt, top: int = 20) -> DataFrame:
         .orderBy(F.col("total_revenue").desc(), "customer_id")
         .limit(top)
     )
-    od = debts.order_balance(t, debts.open_receivable_cond())
-    debt = S.clamp0(_z("order_debt") - _z("paid_total")).cast(S.SUM_MONEY).alias("current_debt")
     return (
-        ranked.join(od, "customer_id", "left")
-        .join(debts.customer_payments_total(t), "customer_id", "left")
-        .select(*ranked.columns, debt)
+        _with_balance(t, ranked, debts.open_receivable_cond())
+        .select(*ranked.columns, S.clamp0("_balance").cast(S.SUM_MONEY).alias("current_debt"))
         .orderBy(F.col("total_revenue").desc(), "customer_name", "customer_id")
     )
 

@@ -11,16 +11,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import movement
-from ..sources.fixtures import ShopTables
+from ..sources.fixtures import PlantedSales, ShopTables
 from .params import P
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
 
 
-def query(key: str):
+def query(key: str, tables=ShopTables):
     def deco(fn):
-        QUERIES[key] = lambda spark, sf_dir: fn(ShopTables(spark, sf_dir))
+        QUERIES[key] = lambda spark, sf_dir: fn(tables(spark, sf_dir))
         QUERIES[key].__doc__ = fn.__doc__
         return fn
 
@@ -218,7 +218,7 @@ _QUALITY = {
     "constraint_violations": lambda t: Q.constraint_violations(t),
 }
 for _k, _f in _QUALITY.items():
-    query(_k)(_f)
+    query(_k, PlantedSales if _k.startswith("duplicate_sale_") else ShopTables)(_f)
 
 
 # ---------------------------------------------------------------- posting
@@ -290,6 +290,4 @@ def _(t):
     from ..functions import semantics as S
 
     a, b = S.parse_dt(P.from_dt), S.parse_dt(P.to_dt)
-    return TB.read_shop_table(t.spark, root, "sales_orders", partitioned=True).where(
-        F.col("order_month").between(a.strftime("%Y-%m"), b.strftime("%Y-%m")) & S.in_closed("order_date", a, b)
-    )
+    return S.during(TB.read_shop_table(t.spark, root, "sales_orders", partitioned=True), "order_date", a, b)

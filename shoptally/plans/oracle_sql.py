@@ -919,8 +919,8 @@ FROM product_variants pv JOIN r ON r.variant_id = pv.variant_id"""
 
 _DUP_SALES = """
 lines AS (SELECT d.order_id, oi.product_id, coalesce(oi.product_variant_id, 0) AS v, oi.product_variant_id AS variant_id, oi.quantity,
-                 coalesce(oi.gift_quantity, 0) AS g, oi.unit_price, '' AS s
-          FROM duplicate_sale_candidates d JOIN order_items oi ON oi.order_id = d.source_id),
+                 coalesce(oi.gift_quantity, 0) AS g, oi.unit_price, coalesce(oi.serial_number, '') AS s
+          FROM duplicate_sale_candidates d JOIN duplicate_sale_lines oi ON oi.order_id = d.order_id),
 lg AS (SELECT order_id, product_id, v, quantity, g, unit_price, s, count(*) AS n FROM lines
        GROUP BY order_id, product_id, v, quantity, g, unit_price, s),
 lc AS (SELECT order_id, count(*) AS k FROM lg GROUP BY order_id),
@@ -1050,6 +1050,8 @@ def _():
         bad("settlement_type_valid", "purchase_returns", "NOT coalesce(settlement_type IN ('DEBT_OFFSET', 'REFUND'), false)", "return_id"),
         bad("order_code_not_null", "sales_orders", "order_code IS NULL", "order_id"),
         bad("import_code_not_null", "imports", "import_code IS NULL", "import_id"),
+        bad("credit_not_negative", "imports", "supplier_credit_applied < 0", "import_id"),
+        dup("month_employee_unique", "employee_payrolls", ["payroll_month", "employee_id"]),
         dup("order_code_unique", "sales_orders", ["order_code"], "order_code IS NOT NULL"),
         dup("import_code_unique", "imports", ["import_code"], "import_code IS NOT NULL"),
         dup("allocation_unique", "customer_debt_discount_allocations", ["adjustment_id", "order_id"]),
@@ -1468,7 +1470,7 @@ FROM allrows"""
 def _():
     return f"""
 SELECT order_id, order_code, customer_id, order_date, order_type, status, final_amount, paid_amount, employee_id, total_amount,
-  strftime(order_date, '%Y-%m') AS order_month
+  cashier_id, discount, vat_amount, payment_method, points_used, points_earned, strftime(order_date, '%Y-%m') AS order_month
 FROM sales_orders WHERE order_date BETWEEN {ts(P.from_dt)} AND {ts(P.to_dt)}"""
 
 

@@ -46,7 +46,9 @@ select o_orderkey order_id, case when o_orderkey % 997 = 0 then 'HD997' else con
  case when o_orderkey % 29 = 0 then 'Cancelled' when o_orderkey % 31 = 0 then null when o_orderkey % 37 = 0 then 'Đã hủy' when o_orderstatus='F' then 'Paid' when o_orderstatus='O' then 'Completed' else 'Partial' end status,
  cast(floor(o_totalprice) as decimal(18,0)) final_amount,
  case when o_orderkey % 41 = 0 then null when o_orderstatus='F' then cast(floor(o_totalprice) as decimal(18,0)) when o_orderstatus='O' then cast(floor(o_totalprice/2) as decimal(18,0)) else cast(floor(o_totalprice/4) as decimal(18,0)) end paid_amount,
- cast(o_orderkey % 211 as int) employee_id, cast(ceil(o_totalprice) as decimal(18,0)) total_amount from {orders}""",
+ cast(o_orderkey % 211 as int) employee_id, cast(ceil(o_totalprice) as decimal(18,0)) total_amount,
+ cast(o_orderkey % 7 as int) cashier_id, case when o_orderkey % 2 = 0 then cast(1000 as decimal(18,0)) else null end discount, cast(0 as decimal(18,0)) vat_amount,
+ case when o_orderkey % 4 = 0 then null else 'Tiền mặt' end payment_method, cast(o_orderkey % 5 as int) points_used, cast(floor(o_totalprice / 100000) as int) points_earned from {orders}""",
     "order_items": """
 select l_orderkey order_id, l_partkey product_id, cast(l_quantity as int) * (case when l_orderkey % 11 = 0 then -1 else 1 end) quantity,
  cast(floor(l_extendedprice / l_quantity) as decimal(18,0)) unit_price,
@@ -55,7 +57,8 @@ select l_orderkey order_id, l_partkey product_id, cast(l_quantity as int) * (cas
  case when l_linenumber = 3 and l_orderkey % 2 = 0 then 1 else null end gift_quantity,
  case when l_linenumber % 2 = 0 then cast(l_quantity as decimal(18,3)) else null end input_quantity,
  case when l_linenumber = 7 then null else cast(1 as decimal(18,6)) end unit_conversion_to_base,
- case when l_partkey % 3 = 0 then l_partkey*10 + l_linenumber % 2 else null end product_variant_id from {lineitem}""",
+ case when l_partkey % 3 = 0 then l_partkey*10 + l_linenumber % 2 else null end product_variant_id,
+ case when l_linenumber = 1 and l_partkey % 2 = 0 then concat('SN', cast(l_partkey as string)) else null end serial_number from {lineitem}""",
     "customers": """
 select c_custkey customer_id, case when c_custkey % 9 = 0 then null when c_custkey % 9 = 1 then '  ' when c_custkey % 50 = 2 then 'KH000002' else concat('KH', right(concat('000000', cast(c_custkey as string)),6)) end customer_code,
  c_name name, case when c_custkey % 4 = 0 then null else concat('09', cast(c_custkey as string)) end phone, cast(c_custkey % 100 as int) points,
@@ -96,7 +99,8 @@ select l_orderkey import_id, concat('PN', cast(l_orderkey as string)) import_cod
  case when l_orderkey % 29 = 0 then 'Cancelled' when l_orderkey % 4 = 0 then 'Paid' else 'Completed' end status, cast(l_orderkey % 211 as int) employee_id, case when l_orderkey % 2 = 0 then null else 'Chuyển khoản' end payment_method,
  case when l_orderkey % 5 = 0 then null else concat('Ghi chu ', cast(l_orderkey % 9 as string)) end note,
  cast(sum(floor(l_extendedprice)) + case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) total_amount, cast(0 as decimal(18,0)) vat_amount,
- cast(case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) discount from {lineitem} group by l_orderkey""",
+ cast(case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) discount,
+ cast(case when l_orderkey % 97 = 0 then -1 when l_orderkey % 8 = 0 then 500 else 0 end as decimal(18,0)) supplier_credit_applied from {lineitem} group by l_orderkey""",
     "purchase_return_details": """
 select import_detail_id return_detail_id, import_id return_id, import_detail_id, product_id, case when import_detail_id % 5 = 0 then null else variant_id end variant_id, cast(case when import_detail_id % 2 = 0 then quantity else 1 end as int) quantity, import_price,
  cast(import_price * (case when import_detail_id % 2 = 0 then quantity else 1 end) as decimal(18,0)) total,
@@ -129,7 +133,8 @@ select 1000000000 + o_orderkey * 2 + k, o_orderdate, 'IN', 1, cast(floor(o_total
 from (select o_orderkey, o_orderdate, o_totalprice, 0 k from {orders} where o_orderkey % 100 = 0
       union all select o_orderkey, o_orderdate, o_totalprice, 1 k from {orders} where o_orderkey % 100 = 0) bh""",
     "employee_payrolls": """
-select user_id payroll_id, case when user_id % 5 = 0 then '  ' else concat('NV', cast(user_id as string)) end employee_name, cast(user_id % 12 as int) employee_id from (select distinct user_id from {events} where event_type='signup') u""",
+select user_id payroll_id, case when user_id % 5 = 0 then '  ' else concat('NV', cast(user_id as string)) end employee_name, cast(user_id % 12 as int) employee_id,
+ cast(concat('2024-0', cast(user_id % 9 + 1 as string), '-01') as date) payroll_month from (select distinct user_id from {events} where event_type='signup') u""",
     "employee_payroll_payments": """
 select event_id payment_id, user_id payroll_id, case when event_id % 3 = 0 then 'ADVANCE' else 'SETTLEMENT' end payment_type, ts - interval '9131' day payment_date, cast(floor(value) * 1000 as decimal(18,0)) amount,
  case when event_id % 4 = 1 then ' ' else 'Chuyển khoản' end payment_method, case when event_id % 7 = 0 then 1 else 0 end is_void,
@@ -152,6 +157,11 @@ select order_id, customer_id, final_amount, order_date, source_id, order_type, c
 select o_orderkey order_id, o_custkey customer_id, cast(floor(o_totalprice) as decimal(18,0)) final_amount, o_orderdate order_date, o_orderkey source_id, 'SALE' order_type from {orders}
  union all select o_orderkey + 100000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '20' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 100 = 0
  union all select o_orderkey + 200000000, o_custkey, cast(floor(o_totalprice) as decimal(18,0)), o_orderdate + interval '90' second, o_orderkey, 'SALE' from {orders} where o_orderkey % 150 = 0) d""",
+    # lines of those sales: those of their source; some copies have another serial
+    "duplicate_sale_lines": """
+select d.order_id, oi.product_id, oi.product_variant_id, oi.quantity, oi.unit_price, oi.gift_quantity, oi.cost_price, oi.base_quantity, oi.input_quantity, oi.unit_conversion_to_base,
+ case when d.order_id <> d.source_id and d.source_id % 300 = 0 and oi.serial_number is not null then 'SN0' else oi.serial_number end serial_number
+from {duplicate_sale_candidates} d join {order_items} oi on oi.order_id = d.source_id""",
     "customer_wallet_transactions": """
 select o_orderkey wallet_transaction_id, o_custkey customer_id, o_orderdate transaction_date, 'PAYMENT' transaction_type, cast(floor(o_totalprice) as decimal(18,2)) amount,
  case when o_orderkey % 3 = 0 then null else o_orderkey end order_id from {orders} where o_orderkey % 50 = 7""",
@@ -334,6 +344,13 @@ class ShopTables:
         return self.get(name)
 
 
+class PlantedSales(ShopTables):
+    """The shop tables with sales in which duplicates are planted."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return super().__getattr__({"sales_orders": "duplicate_sale_candidates", "order_items": "duplicate_sale_lines"}.get(name, name))
+
+
 def stage_shop_tables(spark: SparkSession, sf_dir: str, out_dir: str, names=None) -> str:
     """Write the derived shop tables of ``sf_dir`` to parquet under ``out_dir``.
 

@@ -7,7 +7,7 @@ from types import SimpleNamespace
 from pyspark.sql import functions as F
 
 from shoptally.operators import quality
-from shoptally.sources.fixtures import ShopTables
+from shoptally.sources.fixtures import PlantedSales
 from shoptally.sources.tables import SHOP_SCHEMAS
 from tests.conftest import SF_SMALL
 
@@ -54,7 +54,7 @@ def test_wallet_rows_keep_customer_and_order(spark):
     wallet = spark.createDataFrame([(3,)], "order_id long")
     got = quality.duplicate_sale_detect(o, lines, wallet.limit(0), wallet_orders=wallet)
     assert bag(got, "order_id", "duplicate_of") == [(1, 2), (2, 1)]
-    real = ShopTables(spark, SF_SMALL)
+    real = PlantedSales(spark, SF_SMALL)
     hits = [r.order_id for r in quality.duplicate_sale_detect_shop(real).collect()]
     paid = spark.createDataFrame([(i,) for i in hits], "order_id long").withColumn("customer_id", F.lit(1))
     real._frames["customer_wallet_transactions"] = paid
@@ -67,11 +67,15 @@ def test_late_constraints(spark):
     alloc = [{"allocation_id": i, "adjustment_id": 1, "import_id": m, "amount": Decimal(a)} for i, (m, a) in enumerate([(1, 1), (1, 2), (2, -1)])]
     t = shop(spark, employee_payroll_adjustments=pay, supplier_debt_discount_allocations=alloc,
              supplier_debt_adjustments=[{"adjustment_id": 1, "amount": Decimal(1)}, {"adjustment_id": 2}],
+             employee_payrolls=[{"payroll_id": i, "payroll_month": m, "employee_id": e} for i, (m, e) in enumerate(
+                 [(dt.date(2024, 1, 1), 7), (dt.date(2024, 1, 1), 7), (dt.date(2024, 2, 1), 7), (dt.date(2024, 1, 1), 8)])],
+             imports=[{"import_id": i, "import_code": f"PN{i}", "supplier_credit_applied": c} for i, c in enumerate([Decimal(-1), Decimal(0), None])],
              store_info=[{"store_name": "a", "import_price_method": 2}, {"store_name": "b", "import_price_method": 3}, {"store_name": "c"}])
     assert bag(quality.constraint_violations(t), "rule", "table_name", "row_key") == sorted([
         ("adjustment_type_valid", "employee_payroll_adjustments", "3"), ("adjustment_type_valid", "employee_payroll_adjustments", "4"),
         ("amount_positive", "employee_payroll_adjustments", "2"), ("amount_positive", "supplier_debt_adjustments", "2"),
         ("amount_positive", "supplier_debt_discount_allocations", "2"), ("allocation_unique", "supplier_debt_discount_allocations", "1|1"),
+        ("credit_not_negative", "imports", "0"), ("month_employee_unique", "employee_payrolls", "2024-01-01|7"),
         ("price_method_1_2", "store_info", "b")])
 
 
@@ -108,7 +112,7 @@ def test_duplicate_sales_compare_the_lines_themselves(spark, monkeypatch):
     o, lines = _sales(spark, [(1, 5, 0), (2, 5, 3), (11, 6, 0), (12, 6, 3), (21, 7, 0), (22, 7, 3)],
                       [(1, 7, 1, None), (2, 8, 1, None), (11, 7, 1, "s"), (11, 7, 1, "s"), (11, 8, 1, None), (12, 8, 1, None), (12, 7, 1, "s"), (12, 7, 1, "s"),
                        (21, 7, 1, None), (21, 7, 1, None), (22, 7, 1, None), (22, 7, 1, None), (22, 7, 1, None)])
-    got = quality.duplicate_sale_detect(o, lines, spark.createDataFrame([], "order_id long"))
+    got = quality.duplicate_sale_detect(o, lines, spark.createDataFrame([], "order_id long"), wallet_orders=None)
     assert bag(got, "order_id", "duplicate_of") == [(11, 12), (12, 11)]
 
 
@@ -116,7 +120,7 @@ def test_lines_of_other_sales_are_not_counted(spark, tmp_path):
     """Lines meet the headers that repeat within seconds before any aggregate."""
     o, lines = _sales(spark, [(1, 5, 0), (2, 5, 30), (3, 5, 61), (4, 6, 62)], [(i, 7, 1, None) for i in range(1, 5)])
     lines.write.parquet(str(tmp_path / "lines"))
-    got = quality.duplicate_sale_detect(o, spark.read.parquet(str(tmp_path / "lines")), spark.createDataFrame([], "order_id long"))
+    got = quality.duplicate_sale_detect(o, spark.read.parquet(str(tmp_path / "lines")), spark.createDataFrame([], "order_id long"), wallet_orders=None)
     assert bag(got, "order_id", "duplicate_of") == [(1, 2), (2, 1)]
     plan = _plan(got).split("Initial Plan")[-1].splitlines()
     scan = next(i for i, line in enumerate(plan) if "FileScan parquet" in line)

@@ -210,14 +210,14 @@ def test_duplicate_sale_detect_against_brute_force(spark):
         "order_id long, customer_id long, final_amount decimal(18,0), order_date timestamp_ntz, order_type string",
     )
     with pytest.raises(ValueError):  # a missing header field is no match for everything
-        quality.duplicate_sale_detect(o, None, None)
+        quality.duplicate_sale_detect(o, None, None, wallet_orders=None)
     o = o.withColumns({c: F.lit(None) for c, _ in quality.HEADER_KEYS if c not in o.columns})
     ln = spark.createDataFrame(lines, "order_id long, product_id long, quantity int, unit_price decimal(18,0)").select(
         "*", F.lit(None).cast("int").alias("gift_quantity"), F.lit(None).cast("bigint").alias("product_variant_id"),
         F.lit(None).cast("string").alias("serial_number"),
     )
     serials = spark.createDataFrame([], "order_id long")
-    got = dict(rows(quality.duplicate_sale_detect(o, ln, serials), "order_id", "duplicate_of"))
+    got = dict(rows(quality.duplicate_sale_detect(o, ln, serials, wallet_orders=None), "order_id", "duplicate_of"))
     assert got == _brute_duplicates(orders, lines)
     assert got  # the fixture does contain duplicates
 
