@@ -12,11 +12,11 @@ in two bounded steps:
    are unique - completes the number.
 
 The block-count window holds one row per non-empty block of a group, i.e.
-at most (id range / block) rows, far fewer than the group's rows. Ranking a
-whole frame (no group) runs that running sum in one task: over the block
-summary only, e.g. ~15 k rows for ids spanning 10^9 - never over the data.
-Ids are assumed to be identity-like (dense); with very sparse ids the block
-summary approaches the row count.
+at most (id range / block) rows. Ids are assumed to be identity-like (dense);
+with very sparse ids the block summary approaches the row count.
+
+Ranking a whole frame (no group) makes no such assumption: rows are range
+partitioned by id from a sample, so the one summary has a row per partition.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def row_number_by_id(df: DataFrame, group_cols: list[str], id_col: str, out: str = "row_no", block: int = 65536) -> DataFrame:
     """Add ``out`` = row_number() over (partition by group_cols order by id_col).
@@ -34,7 +36,7 @@ def row_number_by_id(df: DataFrame, group_cols: list[str], id_col: str, out: str
     group columns the whole frame is one group.
     """
     if not group_cols:
-        return row_number_by_id(df.withColumn("_all", F.lit(0)), ["_all"], id_col, out, block).drop("_all")
+        return _numbered(df, id_col, out)
     blk = F.floor(F.col(id_col) / F.lit(block)).alias("_blk")
     keyed = df.withColumn("_blk", blk)
     counts = keyed.groupBy(*group_cols, "_blk").agg(F.count(F.lit(1)).alias("_n"))
@@ -56,6 +58,20 @@ def row_number_by_id(df: DataFrame, group_cols: list[str], id_col: str, out: str
     )
 
 
+def _numbered(df: DataFrame, id_col: str, out: str) -> DataFrame:
+    """Add each row's place in the order of ``id_col``, from 1; rows of equal id take turns.
+
+    ``monotonically_increasing_id`` of sorted ranges is (partition, place). It
+    is written, so that the counts and the rows see the same ranges.
+    """
+    placed = df.repartitionByRange(id_col).sortWithinPartitions(id_col).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialize(placed, "numbered").withColumns({"_part": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND((1 << 33) - 1)})
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_part_rows"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_part_rows").over(before), F.lit(0)).alias("_off"))
+    return placed.join(offsets, "_part").select(*df.columns, (F.col("_off") + F.col("_at") + 1).cast("bigint").alias(out))
+
+
 def running_sums_by_id(df: DataFrame, group_cols: list[str], id_col: str, sums: dict[str, Column], block: int = 65536,
                        then: list[str] | None = None) -> DataFrame:
     """Add each ``sums[name]`` summed over the group's rows of smaller ``id_col``

@@ -102,9 +102,9 @@ select l_orderkey import_id, concat('PN', cast(l_orderkey as string)) import_cod
  cast(case when l_orderkey % 7 = 0 then 1000 else 0 end as decimal(18,0)) discount,
  cast(case when l_orderkey % 97 = 0 then -1 when l_orderkey % 8 = 0 then 500 else 0 end as decimal(18,0)) supplier_credit_applied from {lineitem} group by l_orderkey""",
     "purchase_return_details": """
-select import_detail_id return_detail_id, import_id return_id, import_detail_id, product_id, case when import_detail_id % 5 = 0 then null else variant_id end variant_id, cast(case when import_detail_id % 2 = 0 then quantity else 1 end as int) quantity, import_price,
+select case when import_detail_id = 1001 then 0 else import_detail_id end return_detail_id, import_id return_id, import_detail_id, product_id, case when import_detail_id % 5 = 0 then null else variant_id end variant_id, cast(case when import_detail_id % 2 = 0 then quantity else 1 end as int) quantity, import_price,
  cast(import_price * (case when import_detail_id % 2 = 0 then quantity else 1 end) as decimal(18,0)) total,
- case when import_detail_id % 3 = 0 then 'Hang loi' else null end reason from {import_details} where rf='R'""",
+ case when import_detail_id % 3 = 0 then 'Hang loi' else null end reason from {import_details} where rf='R' or import_detail_id = 1001""",
     "purchase_returns": """
 select d.return_id, case when d.return_id % 45 = 0 then 'TH-TRUNG-MA-PHIEU-TRA-NCC-01' else concat('TH', cast(d.return_id as string)) end return_code, d.return_id import_id, i.supplier_id, i.employee_id, i.import_date + interval '10' day return_date, cast(sum(d.total) as decimal(18,0)) total_amount,
  case when d.return_id % 15 = 0 then 'Canceled' else 'Completed' end status, case when d.return_id % 2 = 0 then 'REFUND' when d.return_id % 9 = 0 then 'CREDIT' else 'DEBT_OFFSET' end settlement_type,

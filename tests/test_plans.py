@@ -63,13 +63,12 @@ def test_explicit_broadcasts_are_fixed_lists_only(spark):
 def test_no_window_over_a_single_partition(spark, key):
     """A window without a partition key sits on an ``Exchange SinglePartition``: none may exist over data.
 
-    The one exception is the running sum over *block counts* inside
+    The one exception is the running sum over *partition counts* inside
     ``row_number_by_id`` when it ranks a whole frame (no group): that frame
-    is a summary of at most (id range / block width) rows, recognisable by
-    its ``_blk`` column.
+    has one row per partition, recognisable by its ``_part_rows`` column.
     """
     lines = plan_of(spark, key).splitlines()
     for i, line in enumerate(lines):
-        if "Window [" in line and "WindowGroupLimit" not in line and "_blk" not in line:
+        if "Window [" in line and "WindowGroupLimit" not in line and "_blk" not in line and "_part_rows" not in line:
             below = next((x for x in lines[i + 1:] if "Exchange " in x), "")
             assert "SinglePartition" not in below, (key, line[:200])

@@ -174,6 +174,17 @@ def test_row_number_by_id_matches_window(spark):
     assert rows(allrank, "id", "row_no") == [(i, n + 1) for n, i in enumerate(ids)]
 
 
+def test_numbering_of_far_apart_ids(spark):
+    """The one-task summary of a whole frame has a row per partition, however sparse the ids."""
+    ids = [i * 10**9 - 5 * 10**9 for i in range(300)]
+    df = row_number_by_id(spark.createDataFrame([(i, str(i)) for i in ids], "id long, x string").repartition(7, "x"), [], "id")
+    assert rows(df, "id", "row_no", "x") == [(i, n + 1, str(i)) for n, i in enumerate(ids)]
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" in plan and "_part_rows" in plan and "_blk" not in plan
+    ties = row_number_by_id(spark.createDataFrame([(3,), (3,), (None,), (1,)], "id long"), [], "id")
+    assert rows(ties, "row_no") == [(1,), (2,), (3,), (4,)] and row_number_by_id(ties.select("id").limit(0), [], "id").count() == 0
+
+
 def _brute_duplicates(orders, lines, window=30):
     """Earliest other order with equal header, equal line multiset, within window seconds."""
     from collections import Counter
