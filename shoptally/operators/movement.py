@@ -19,25 +19,28 @@ Scale notes
 
 from __future__ import annotations
 
+import datetime as _dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import semantics as S
 
-def movement_ledger(t, since=None) -> DataFrame:
+def movement_ledger(t, since=None, until=None) -> DataFrame:
     """The ledger of stock movements (R2.1).
 
     PURCHASE_IN, SUPPLIER_RETURN_OUT, SALES_OUT (positive lines of paid or
     completed sales), RETURN_IN (absolute quantity of returns), STOCKTAKE
     (non-zero difference). Rows without date or product are dropped.
-    ``since`` (optional) keeps only movements on or after that instant.
+    ``since`` and ``until`` (optional) keep only movements on or after the one
+    and before the other.
     """
 
     def dated(df, c):
-        return S.during(df, c, since).where(F.col(c).isNotNull())
+        return S.during(df, c, since, end_exclusive=until).where(F.col(c).isNotNull())
 
     def lines_of(df, c):
-        return S.in_months(df, c, since).where(F.col("product_id").isNotNull())
+        return S.in_months(df, c, since, end_exclusive=until).where(F.col("product_id").isNotNull())
 
     imports = dated(t.imports, "import_date").where(S.not_cancelled_broad("status")).select("import_id", "import_date")
     purchase_in = (
@@ -139,16 +142,39 @@ def movement_summary(ledger: DataFrame, start, end_exclusive) -> DataFrame:
     )
 
 
-def inventory_movement(t, from_date, to_date, keyword: str = "") -> DataFrame:
+def monthly_net(t) -> DataFrame:
+    """Net movement per product and month ('yyyy-MM'), to be stored with ``write_result(..., "month")``."""
+    return movement_ledger(t).groupBy("product_id", F.date_format("movement_date", "yyyy-MM").alias("month")).agg(
+        F.sum("qty").cast(S.SUM_QTY).alias("net_qty"))
+
+
+def _summary_with_months(t, start, end_exclusive, monthly: DataFrame) -> DataFrame:
+    """``movement_summary`` that reads the ledger up to the end of the period's last month, and later months from ``monthly``."""
+    last = end_exclusive - _dt.timedelta(microseconds=1)
+    month_end = _dt.datetime(last.year + last.month // 12, last.month % 12 + 1, 1)
+    near = movement_summary(movement_ledger(t, since=start, until=month_end), start, end_exclusive)
+    later = monthly.where(F.col("month") > f"{last:%Y-%m}").groupBy("product_id").agg(F.sum("net_qty").alias("_later"))
+    net = F.coalesce(F.col("net_after_period_qty"), F.lit(0)) + F.coalesce(F.col("_later"), F.lit(0))
+    return near.join(later, "product_id", "full").withColumn("net_after_period_qty", net).drop("_later")
+
+
+def inventory_movement(t, from_date, to_date, keyword: str = "", monthly: DataFrame | None = None) -> DataFrame:
     """Stock movement report (R2): opening, movements, closing per active product.
 
     Opening = current stock - after-period net - period net;
     closing = current stock - after-period net; closing value at import price.
     Dates are day-truncated, half-open: [from day, to day + 1).
+
+    ``monthly``: a stored ``monthly_net``. Months after the period's last one
+    are taken from it, so a report on an old period doesn't read the documents
+    since. Its months must be up to date; later changes to them are not seen.
     """
     start = S.day_start(from_date)
     end_excl = S.day_after(to_date)
-    summary = movement_summary(movement_ledger(t, since=start), start, end_excl)
+    if monthly is None:
+        summary = movement_summary(movement_ledger(t, since=start), start, end_excl)
+    else:
+        summary = _summary_with_months(t, start, end_excl, monthly)
 
     products = t.products.where(
         (F.coalesce(F.col("is_active"), F.lit(1)) == 1)

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions import semantics as S
 from ..operators import movement
 from ..sources.fixtures import PlantedSales, ShopTables
 from .params import P
@@ -32,6 +33,19 @@ def _(t):
     return movement.inventory_movement(t, P.mv_from, P.mv_to)
 
 
+@query("inventory_movement_monthly")
+def _(t):
+    """R2 with the months after the period read from stored monthly balances."""
+    import uuid
+
+    from ..session import checkpoint_dir
+    from ..sources.tables import write_result
+
+    path = f"{checkpoint_dir(t.spark).rstrip('/')}/monthly-net-{uuid.uuid4().hex[:8]}"
+    write_result(movement.monthly_net(t), path, "month")
+    return movement.inventory_movement(t, P.mv_from, P.mv_to, monthly=t.spark.read.schema(f"product_id bigint, net_qty {S.SUM_QTY}, month string").parquet(path))
+
+
 @query("movement_ledger")
 def _(t):
     return movement.movement_ledger(t)
@@ -287,7 +301,5 @@ def _(t):
 
     root = f"{checkpoint_dir(t.spark).rstrip('/')}/shop-{uuid.uuid4().hex[:8]}"
     TB.stage_partitioned(t.sales_orders, "sales_orders", root)
-    from ..functions import semantics as S
-
     a, b = S.parse_dt(P.from_dt), S.parse_dt(P.to_dt)
     return S.during(TB.read_shop_table(t.spark, root, "sales_orders", partitioned=True), "order_date", a, b)

@@ -80,6 +80,7 @@ ledger AS (
 )"""
 
 
+@oracle("inventory_movement_monthly")
 @oracle("inventory_movement")
 def _():
     s, e = ts(P.mv_start), ts(P.mv_end_excl)

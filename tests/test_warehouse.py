@@ -9,7 +9,7 @@ from shoptally.functions import semantics as S
 from shoptally.operators import debts, listings, movement, quality, reports
 from shoptally.plans.params import P
 from shoptally.sources.fixtures import PlantedSales, ShopTables
-from shoptally.sources.tables import SHOP_SCHEMAS, ShopWarehouse, export_shop_tables
+from shoptally.sources.tables import SHOP_SCHEMAS, ShopWarehouse, export_shop_tables, write_result
 from tests.conftest import SF_SMALL
 from tests.oracle_compare import norm
 
@@ -118,3 +118,15 @@ def test_ranked_customers_filter_the_debts(shop):
         assert "Join" in above[-1] and "Aggregate" in above[-2], above
         assert sum("FileScan parquet" in line and "customer_code" not in line and "order_items" in line for line in plan) == 1
         assert sum("TakeOrderedAndProject" in line for line in plan) == 1
+
+
+@pytest.mark.parametrize("period", [("1994-03-10", "1994-03-20"), ("1995-11-15", "1995-12-31"), ("1997-01-31", "1997-03-01")])
+def test_monthly_balances_stand_for_the_later_ledger(spark, shop, period, tmp_path):
+    """The same report as the back-cast over the whole ledger; documents of later months are not read."""
+    _, w = shop
+    write_result(movement.monthly_net(w), str(tmp_path / "m"), "month")
+    monthly = spark.read.schema(f"product_id bigint, net_qty {S.SUM_QTY}, month string").parquet(str(tmp_path / "m"))
+    got = movement.inventory_movement(w, *period, monthly=monthly)
+    assert bag(got) == bag(movement.inventory_movement(w, *period))
+    upper = [f for f in scans(got) if "<= " in f]
+    assert len(upper) == 8 and all(f"<= {period[1][:7]}" in f for f in upper), upper
