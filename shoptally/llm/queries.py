@@ -3,6 +3,8 @@ whole tables with production parameters."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ from shoptally.llm import (
     vector_codes,
     warc,
 )
-from shoptally.llm.common import read
+from shoptally.llm.common import checkpoint_dir, read
 
 C = F.col
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -96,8 +98,14 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    return sharding.shard_rows(docs, C("doc_id"), C("text"), keep=["doc_id"])
+    """The whole documents are sharded and written; size and checksum are taken of the texts read back."""
+    sharded = sharding.shard_rows(read(spark, sf_dir, "documents"), C("doc_id"), C("text"))
+    path = f"{checkpoint_dir(spark).rstrip('/')}/shards-{uuid.uuid4().hex[:12]}"
+    sharding.write_shards(sharded, path)
+    back = sharding.read_shards(spark, path, sharded.schema)
+    text = F.coalesce("text", F.lit(""))
+    return back.select("doc_id", (F.octet_length(text) + sharding.OVERHEAD).cast("long").alias("size"),
+                       F.crc32(text.cast("binary")).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,9 @@ column named like a result is replaced by it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from shoptally.llm.common import materialize, pack, unpack
 
@@ -47,16 +48,17 @@ def shard_rows(df: DataFrame, key: Column, text: Column, shards: int = SHARDS, s
     checkpoint folder: bucket counts and the shuffle read the same hashes."""
     if shards < 1 or bucket_bytes < 1:
         raise ValueError("shards and bucket_bytes must be positive")
-    records = materialize(scatter(df, key, text, seed, keep), "shards")
+    records = materialize(scatter(df, key, text, seed, keep), "shards", "zstd")
     n, size = records.agg(F.count(F.lit(1)), F.coalesce(F.sum("_size"), F.lit(0))).first()
     buckets = max(1, -(-size // bucket_bytes), -(-n // MAX_BUCKET_ROWS))
     bucket = F.pmod("_r", F.lit(buckets))
     counts = records.groupBy(bucket.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
     # a running sum over the buckets' counts: a row per bucket_bytes of input
     counts = counts.select("_b", (F.sum("_n").over(Window.orderBy("_b")) - F.col("_n")).alias("_before"))
-    mixed = (records.select(bucket.alias("_b"), F.struct("_row", "_size", "_crc").alias("_e"))
+    # buckets lie in ranges, so that the shards come out in order without another exchange
+    mixed = (records.select(bucket.alias("_b"), F.struct("_row", "_size", "_crc").alias("_e")).repartitionByRange("_b")
              .groupBy("_b").agg(F.shuffle(F.collect_list("_e"), seed).alias("_all")))
-    placed = mixed.join(counts, "_b").select("_before", F.posexplode("_all").alias("_i", "_e"))
+    placed = mixed.join(F.broadcast(counts), "_b").select("_before", F.posexplode("_all").alias("_i", "_e"))
     at = F.col("_before") + F.col("_i")
     # position p is in shard s if floor(s n / shards) <= p < floor((s + 1) n / shards)
     shard = F.expr(f"((_before + _i + 1) * {shards}L - 1) div {max(n, 1)}L")
@@ -67,7 +69,12 @@ def shard_rows(df: DataFrame, key: Column, text: Column, shards: int = SHARDS, s
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder per shard, its rows in slot order. Rows are ranged by
-    (shard, slot), so a shard larger than a task is several files in order."""
-    (sharded.repartitionByRange(F.col("shard"), F.col("slot")).sortWithinPartitions("shard", "slot")
-     .write.partitionBy("shard").parquet(path))
+    """One folder per shard, its rows in slot order. The rows of ``shard_rows``
+    lie in ranges of (shard, slot) already: a shard larger than a task is
+    several files in order, and nothing is exchanged again."""
+    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+
+
+def read_shards(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The rows of the written shards; ``schema`` is that of the frame written."""
+    return spark.read.schema(schema).parquet(path)

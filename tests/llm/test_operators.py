@@ -503,3 +503,22 @@ def test_components(spark):
             x, y = find(a), find(b)
             up[max(x, y)] = min(x, y)
     assert got == {x: find(x) for x in up if find(x) != x}
+
+
+def test_sharding_query_moves_whole_documents(spark, monkeypatch):
+    """The query writes every column of the documents, in slot order, and reads its digests back."""
+    import zlib
+
+    from shoptally.llm.queries import QUERIES
+
+    paths = []
+    write = sharding.write_shards
+    monkeypatch.setattr(sharding, "write_shards", lambda df, path: paths.append(path) or write(df, path))
+    source = {r.doc_id: r.asDict() for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    rows = {r.doc_id: r for r in QUERIES["op7_sharding"](spark, "/root/testdata/sf0.001").collect()}
+    kept = spark.read.parquet(paths[0]).collect()
+    assert len(kept) == len(source) == len(rows)
+    for k in kept:
+        assert {c: k[c] for c in source[k.doc_id]} == source[k.doc_id]
+        r, text = rows[k.doc_id], (k.text or "").encode()
+        assert (r.size, r.text_crc32, r.shard, r.slot) == (len(text) + 16, zlib.crc32(text), k.shard, k.slot)
