@@ -1,8 +1,12 @@
 """Steps whose memory, rounds or rewritten bytes grew faster than the tables."""
 
+import os
+import time
+
 from pyspark.sql import functions as F
 
-from shoptally.functions import sequential
+from shoptally import session
+from shoptally.functions import holders, sequential
 from shoptally.operators import listings, posting
 from shoptally.sources import fixtures
 from shoptally.sources.fixtures import ShopTables
@@ -109,3 +113,65 @@ def test_serials_without_an_order_do_not_meet_in_the_join(spark):
     rows = traced.collect()
     numbers = t.product_serials.where("serial_number IS NOT NULL").join(t.products, "product_id").select("serial_number").distinct()
     assert len(rows) == numbers.count() and {r.order_code is None for r in rows} == {True, False}
+
+
+def _kept(spark):
+    at = f"{session.checkpoint_dir(spark)}/materialized"
+    return set(os.listdir(at)) if os.path.isdir(at) else set()
+
+
+def _shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_")}
+
+
+def test_lean_steps_leave_no_shuffle_files_and_can_be_deleted(spark):
+    """The shuffles of a written step go when it ends; the session's setting stays as it was."""
+    own = spark.conf.get(session._CLEANUP)
+    before = _shuffle_files(spark)
+    out = session.materialize_lean(spark.range(5000).repartition("id"), "lean")
+    until = time.time() + 20
+    while _shuffle_files(spark) - before and time.time() < until:
+        time.sleep(0.2)
+    assert not _shuffle_files(spark) - before
+    assert spark.conf.get(session._CLEANUP) == own
+    assert out.count() == 5000
+    path = out._written_at
+    assert os.path.isdir(path)
+    session.release(out, spark.range(3))
+    assert not os.path.exists(path)
+
+
+def test_return_requests_keep_only_what_is_read_later(spark):
+    """Items, demands and the rounds of the decision are deleted once read."""
+    t = ShopTables(spark, SF_SMALL)
+    before = _kept(spark)
+    got = posting.return_request_validate(t, t.return_requests, replay_rows=1000)
+    names = {n.rsplit("-", 1)[0] for n in _kept(spark) - before}
+    assert not names & {"return-items", "return-stocked", "return-demands", "edges", "low", "labels", "parts", "replay", "components", "touched"}
+    assert got.count() == t.return_requests.count()
+
+
+def test_claims_keep_only_the_refused(spark):
+    """Rows, components and rounds of claims are deleted once read, in one pass and by components."""
+    asked = [(q, q % 40, f"v{q % 9}" if q % 3 else None, q % 5 > 0) for q in range(200)]
+    requests = spark.createDataFrame(asked, "request_id long, holder long, value string, effect boolean")
+    held = spark.createDataFrame([(h, f"v{h % 11}") for h in range(30)], "holder long, value string")
+    want = None
+    for rows in (10**6, 60):
+        before = _kept(spark)
+        got = {r.request_id for r in holders.refused_claims(requests, held, rows).collect()}
+        assert {n.rsplit("-", 1)[0] for n in _kept(spark) - before} <= {"refused", "large", "timeline", "claims-decided"}  # the last two of a component too large
+        want = got if want is None else want
+        assert got == want and 10 < len(got) < 190
+
+
+def test_items_without_a_variant_do_not_meet_in_the_join(spark):
+    """Most lines have no variant: their NULLs would all go to one task; the rows and their stocks stay."""
+    t = ShopTables(spark, SF_SMALL)
+    items = spark.createDataFrame([(1, 2, 10, 5, 3, 30), (2, 1, 11, 5, 3, None), (3, 1, 12, None, 10**9, 10**9), (4, 1, None, None, None, None)],
+                                  "request_id long, quantity int, import_detail_id long, line_left long, product_id long, _d_variant long")
+    stocked = posting._stocked(t, items)
+    assert "Union" in stocked._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.request_id: (r.q, r.line_left, r.product_left, r.variant_left) for r in stocked.collect()}
+    assert got == {1: (2, 5, 3 * 37 % 500, 3 * 7 % 60 - 5), 2: (1, 5, 3 * 37 % 500, None), 3: (1, None, None, None), 4: (1, None, None, None)}
